@@ -30,22 +30,33 @@ from sitelens.llm.shared import cut, small_batches
 CAPACITY = 1024
 END = 2
 #: Words whose ids a worker remembers, over all its tasks, before it starts afresh (about 200 bytes each).
-MEMORY = 700_000
+MEMORY = 1_000_000
 #: Rows that a bucket of one length aims at.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1_000
 
 Config = tuple[int, ...]
 
-#: A text may be cut before a space that a non-space follows, and between a line end and a
-#: non-space where nothing but the one line end stands between non-spaces: the tokenizer's own
-#: splitting pattern begins a new piece there whatever surrounds it.
-_ODD = re.compile(r" (?:\s|\Z)")
+#: A text may be cut before a space that a non-space follows, whatever surrounds it: the tokenizer's own
+#: splitting pattern begins a new piece there.
 _CUT = re.compile(r"(?= \S)")
-_LINE = re.compile(r"(?<=\S\n)(?=\S)")
+#: White space of ASCII besides the space and the line end.
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def is_plain(text: str) -> bool:
+    """Only non-empty words, with one space or one line end between each two."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    if text.isascii():
+        return not any(x in text for x in ("  ", " \n", "\n ", "\n\n", *_OTHER_SPACE))
+    return text.split() == text.replace("\n", " ").split(" ")
 
 
 class Encoder:
-    """Token ids of texts; words that occurred before are not encoded again."""
+    """Token ids of texts; words that occurred before are not encoded again.
+
+    In a plain text a line end is a token of its own, and a word's ids depend only on whether a space or a line begins before it.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,45 +64,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        [self.line_end] = self.tokenizer.encode("\n", add_special_tokens=False).ids  # always a token of its own between words
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if _ODD.search(text):
-            words = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            words = [first, *[" " + w for w in rest]]
-        return words
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers, per text."""
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known = self.known
-        split = []
-        for text in texts:
-            words = []
-            for w in self._words(text):
-                if "\n" in w and w not in known:
-                    words += _LINE.split(w)
-                else:
-                    words.append(w)
-            split.append(words)
-        fresh = list({w for words in split for w in words if w not in known})
-        odd = [w for w in fresh if w.removeprefix(" ").split() != [w.removeprefix(" ")]]
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        plain = [w for w in fresh if w not in known]
-        lists = [plain[a : a + 400] for a in range(0, len(plain), 400)]
-        for part, e in zip(lists, self.tokenizer.encode_batch_fast(["\n".join(x) for x in lists], add_special_tokens=False)):
+        self.spaced: dict[str, bytes] = {}  # words after a space
+        self.first: dict[str, bytes] = {}  # words at the beginning of a line, and parts of other texts
+        [self.line_end] = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _learn(self, into: dict[str, bytes], words: list[str], prefix: str) -> None:
+        """Encode many words at once, with a line end between each two."""
+        lists = [words[a : a + 400] for a in range(0, len(words), 400)]
+        texts = ["\n".join([prefix + w for w in part]) for part in lists]
+        for part, e in zip(lists, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
             flat = ids.tobytes()
             for w, a, b in zip(part, [0, *[x + 1 for x in ends]], ends, strict=False):
-                known[w] = flat[4 * a : 4 * b]
-        return [b"".join([known[w] for w in words]) for words in split]
+                into[w] = flat[4 * a : 4 * b]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit numbers, per text."""
+        spaced, first = self.spaced, self.first
+        if len(spaced) + len(first) > MEMORY:
+            spaced.clear()
+            first.clear()
+        split: list[tuple[bool, list]] = []
+        new_spaced: set[str] = set()
+        new_first: set[str] = set()
+        odd: set[str] = set()
+        for text in texts:
+            plain = is_plain(text)
+            if plain:
+                parts = [line.split(" ") for line in text.split("\n")]
+                new_first.update([p[0] for p in parts if p[0] not in first])
+                for p in parts:
+                    new_spaced.update([w for w in p[1:] if w not in spaced])
+            else:
+                parts = _CUT.split(text)
+                odd.update([w for w in parts if w not in first])
+            split.append((plain, parts))
+        self._learn(spaced, list(new_spaced), " ")
+        self._learn(first, list(new_first), "")
+        rest = [w for w in odd if w not in first]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            first[w] = np.array(e.ids, "<u4").tobytes()
+        end = np.array([self.line_end], "<u4").tobytes()
+        out = []
+        for plain, parts in split:
+            if plain:
+                out.append(end.join([first[p[0]] + b"".join([spaced[w] for w in p[1:]]) for p in parts]))
+            else:
+                out.append(b"".join([first[w] for w in parts]))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -269,9 +290,11 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_pieces`` (a written table of pieces()) with sequence_id and offset."""
     spark = cut_pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    buckets = max(1, sum(histogram.values()) // BUCKET_ROWS)
     sent = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
-    rows = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)))
+    # Frequent lengths are ranked in many buckets, so that no task gets all pieces of one.
+    many = [x for length, n in histogram.items() if n >= 2 * BUCKET_ROWS for x in (F.lit(length), F.lit(n // BUCKET_ROWS))]
+    buckets = F.coalesce(F.try_element_at(F.create_map(*many), F.col("length")), F.lit(1)) if many else F.lit(1)
+    rows = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), buckets))
     sizes = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
