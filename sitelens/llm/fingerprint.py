@@ -28,7 +28,7 @@ from sitelens.llm.shared import small_batches
 
 SAMPLES = 64
 #: Words whose draws a task remembers before it starts afresh (768 bytes each at 64 samples).
-MEMORY = 60_000
+MEMORY = 100_000
 #: Documents that a range of ids aims at.
 RANGE_ROWS = 4_000
 
@@ -41,47 +41,78 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Signatures of bags of words; the parameters of frequent words stay in memory."""
+    """Signatures of bags of words; the parameters of recent words stay in memory.
+
+    For weight 1, t is 0 and ln a = ln c - r (1 - b), a constant of the word; for other weights ln a is that less r t.
+    """
 
     def __init__(self, samples: int = SAMPLES) -> None:
         self.samples = samples
         self.ids: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, np.uint64)
-        self.r = self.log_c = self.b = np.zeros((0, samples), np.float32)
-
-    def _uniform(self, hashes: np.ndarray, stream: int) -> np.ndarray:
-        steps = (np.arange(self.samples, dtype=np.uint64) * np.uint64(5) + np.uint64(stream + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((_mix(hashes[:, None] + steps) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
+        self._room(1024)
+
+    def _room(self, rows: int) -> None:
+        """Tables of at least so many rows; what they hold is kept."""
+        old = getattr(self, "hashes", np.zeros(0, np.uint64))
+        if rows <= len(old):
+            return
+        rows = max(rows, 2 * len(old))
+        grown = np.zeros(rows, np.uint64)
+        grown[: len(old)] = old
+        self.hashes = grown
+        for name in ("r", "b", "one"):
+            table = np.zeros((rows, self.samples), np.float32)
+            if len(old):
+                table[: len(old)] = getattr(self, name)
+            setattr(self, name, table)
+
+    def _uniforms(self, hashes: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two tables of uniform numbers, from the upper and the lower half of one hash each."""
+        steps = (np.arange(self.samples, dtype=np.uint64) * np.uint64(3) + np.uint64(stream + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = _mix(hashes[:, None] + steps)
+        scale, half = np.float32(1 / (1 << 24)), np.float32(0.5)
+        upper = (mixed >> np.uint64(40)).astype(np.float32)
+        lower = (mixed.view(np.uint32)[:, ::2] >> np.uint32(8)).astype(np.float32)
+        return (upper + half) * scale, (lower + half) * scale
 
     def _learn(self, words: list[bytes]) -> None:
-        for w in words:
-            self.ids[w] = len(self.ids)
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        u = [self._uniform(h, k) for k in range(5)]
-        self.hashes = np.concatenate([self.hashes, h])
-        self.r = np.concatenate([self.r, -np.log(u[0] * u[1])])
-        self.log_c = np.concatenate([self.log_c, np.log(-np.log(u[2] * u[3]))])
-        self.b = np.concatenate([self.b, u[4]])
+        first = len(self.ids)
+        self._room(first + len(words))
+        self.ids.update(zip(words, range(first, first + len(words))))
+        for a in range(0, len(words), 4096):
+            part = words[a : a + 4096]
+            own = slice(first + a, first + a + len(part))
+            h = np.array([xxhash.xxh64_intdigest(w) for w in part], np.uint64)
+            (u0, u1), (u2, u3), (b, _) = (self._uniforms(h, k) for k in range(3))
+            r = -np.log(u0 * u1)
+            self.hashes[own], self.r[own], self.b[own] = h, r, b
+            self.one[own] = np.log(-np.log(u2 * u3)) - r * (1 - b)
 
     def signatures(self, bags: list[Counter[bytes]]) -> np.ndarray:
         """A row of 16-bit draws per bag; an empty bag draws zeros."""
         out = np.zeros((len(bags), self.samples), np.uint16)
         if len(self.ids) > MEMORY:
-            self.__init__(self.samples)
+            self.ids.clear()
         fresh = list({w for bag in bags for w in bag} - self.ids.keys())
         if fresh:
             self._learn(fresh)
-        get = self.ids.__getitem__
+        get, columns = self.ids.__getitem__, np.arange(self.samples)
         for row, bag in enumerate(bags):
             if not bag:
                 continue
             at = np.fromiter(map(get, bag), np.int64, len(bag))
-            log_w = np.log(np.fromiter(bag.values(), np.float32, len(bag)))[:, None]
-            r, b = self.r[at], self.b[at]
-            t = np.floor(log_w / r + b)
-            first = (self.log_c[at] - r * (t - b + 1)).argmin(axis=0)
-            level = t[first, np.arange(self.samples)].astype(np.int64).view(np.uint64)
-            out[row] = (_mix(self.hashes[at[first]] ^ _mix(level + np.uint64(1))) >> np.uint64(48)).astype(np.uint16)
+            weight = np.fromiter(bag.values(), np.float32, len(bag))
+            value, level = self.one[at], np.zeros(self.samples, np.int64)
+            many = np.flatnonzero(weight > 1)
+            if len(many):
+                r = self.r[at[many]]
+                t = np.floor(np.log(weight[many])[:, None] / r + self.b[at[many]])
+                value[many] -= r * t
+            first = value.argmin(axis=0)
+            if len(many):
+                place = np.minimum(np.searchsorted(many, first), len(many) - 1)
+                level = np.where(many[place] == first, t[place, columns], 0).astype(np.int64)
+            out[row] = (_mix(self.hashes[at[first]] ^ _mix(level.view(np.uint64) + np.uint64(1))) >> np.uint64(48)).astype(np.uint16)
         return out
 
 
