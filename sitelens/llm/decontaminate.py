@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -268,19 +269,19 @@ def _search_block(docs: DataFrame, items: list[tuple[str, bytes]], kind: str, wi
     return docs.mapInArrow(run, f"id {kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>")
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text: str) -> list[list[tuple[str, bytes]]]:
-    """Items in blocks of bounded bytes, read from a table that is itself cut into such blocks."""
+def _blocks(benchmark: DataFrame, item_col: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in blocks of bounded bytes, of which the driver holds one at a time; at least one block."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), text_bytes(text).alias("text"))
     rows = rows.filter(F.col("item").isNotNull() & (F.length("text") > 0)).distinct()
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+    block: list[tuple[str, bytes]] = []
     size = 0
     for r in rows.toLocalIterator():
-        if size + len(r["text"]) > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item"], bytes(r["text"])))
+        if size + len(r["text"]) > BLOCK_BYTES and block:
+            yield block
+            block, size = [], 0
+        block.append((r["item"], bytes(r["text"])))
         size += len(r["text"])
-    return blocks
+    yield block
 
 
 def search(
@@ -295,14 +296,16 @@ def search(
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     blocks = _blocks(benchmark, item_col, text)
-    if len(blocks) == 1:
-        return _search_block(rows, blocks[0], kind, width).withColumnRenamed("id", id_col)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return _search_block(rows, first, kind, width).withColumnRenamed("id", id_col)
     # Several blocks: rows get a number, by which the passes' results meet again.
     numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     keyed = numbered.select(F.struct("row", "id").alias("id"), "text")
     kind = keyed.schema["id"].dataType.simpleString()
     hits = None
-    for block in blocks:
+    for block in chain([first, second], blocks):
         found = cut(_search_block(keyed, block, kind, width))
         hits = found if hits is None else hits.unionByName(found)
     merged = hits.groupBy("id").agg(

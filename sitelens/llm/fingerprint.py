@@ -31,6 +31,8 @@ SAMPLES = 64
 MEMORY = 100_000
 #: Documents that a range of ids aims at.
 RANGE_ROWS = 4_000
+#: Ranges at most; on larger tables each holds more documents, which stream through its task.
+MAX_RANGES = 4_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,10 +141,10 @@ def ranges(docs: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
 
     ``place`` is the number of the range. The first document of each range is also a guest, at the end, of the range
     before (of the last range, for the first): it is what the last one there is followed by. Only the
-    ends of the ranges go through the driver, two numbers for each few thousand documents.
+    ends of the ranges go through the driver, two numbers each.
     """
     n = docs.count()
-    parts = max(1, -(-n // rows_per_range))
+    parts = min(max(1, -(-n // rows_per_range)), MAX_RANGES)
     cuts = docs.filter("id IS NOT NULL").approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
     cuts = sorted(set(cuts), reverse=True)
     # range k holds ids in (cuts[k], cuts[k - 1]]; null ids come after all others
