@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.operators.merge import adjacency, answer_from_windows
 from sitelens.operators.questions import Question
+from sitelens.plans.calendar import previous
 from sitelens.plans.request import Request, TimeRange
 from sitelens.plans.windows import WINDOW
 
@@ -26,8 +29,6 @@ def rule(question: Question) -> str:
 
 def period_answer(log: DataFrame, question: Question, request: Request, start_ms: int, end_ms: int) -> DataFrame:
     """The question over exactly one period."""
-    from dataclasses import replace
-
     return question.answer(log, replace(request, span=TimeRange(start_ms, end_ms - 1)))
 
 
@@ -79,3 +80,29 @@ def document(judged: DataFrame, values: dict[str, DataFrame]) -> DataFrame:
         own = rows.agg(F.to_json(order, {"ignoreNullFields": "false"}).alias("value")).withColumn("section", F.lit(section))
         out = own if out is None else out.unionByName(own)
     return judged.join(out, "section", "left") if out is not None else judged.withColumn("value", F.lit(None).cast("string"))
+
+
+def report_key(zone: str, week_start: str, unit, starts_on):
+    """Where a document lies: zone, unit, week start (for weeks) and first date."""
+    week = F.when(unit == "week", F.lit(f"/week-starts-{week_start}")).otherwise("")
+    return F.concat(F.lit(zone.replace("/", "-") + "/"), unit, week, F.lit("/"), starts_on.cast("string"))
+
+
+def manifest(closing: DataFrame, zone: str, week_start: str = "monday") -> DataFrame:
+    """For each closed day the periods that end with it, longest first, with the keys of each and of the one before (C11).
+
+    ``closing`` comes from calendar.closing_with_days(); a unit stands once per day.
+    """
+    once = closing.dropDuplicates(["day", "unit"])
+    rows = previous(once)
+    return rows.select(
+        "day", "unit", "rank", report_key(zone, week_start, F.col("unit"), F.col("starts_on")).alias("current_key"),
+        report_key(zone, week_start, F.col("unit"), F.col("previous_starts_on")).alias("previous_key"),
+    )
+
+
+def require_preceding(current: DataFrame, before: DataFrame) -> None:
+    """Two periods compare only if one ends where the other begins, unit for unit."""
+    pairs = current.alias("c").join(before.alias("p"), "unit", "full_outer")
+    if pairs.filter(~F.col("p.until").eqNullSafe(F.col("c.from"))).limit(1).count():
+        raise ValueError("a period compares with the one immediately before it")

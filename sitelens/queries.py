@@ -479,6 +479,18 @@ def r11(spark, d):
     return judged.select("section", "accuracy", "reason", "summaries")
 
 
+@query("r13_document_coverage", f"SELECT min(make_timestamp((ts_ms - ts_ms % 86400000) * 1000)) AS \"from\", max(make_timestamp((ts_ms - ts_ms % 86400000 + 86400000) * 1000)) AS until, count(DISTINCT ts_ms // 86400000) = 7 AS complete, 2 AS sections FROM log WHERE {_IN_WEEK.format(*_WEEK)}")
+def r13(spark, d):
+    """Coverage of a document of two sections, one from daily windows and one from a period query."""
+    start, end = (F.timestamp_millis(F.lit(x)) for x in _WEEK)
+    sections = spark.createDataFrame([("pageviews", "ranked", "summaries"), ("cache-hit-ratio", "additive", "period-query")], "section string, rule string, calculation string")
+    rows = access_log(spark, d).filter(F.col("ts_ms").between(_WEEK[0], _WEEK[1] - 1))
+    days = with_windows(rows, ["daily"]).select(F.lit("pageviews").alias("section"), F.col("window_start").alias("from")).distinct()
+    windows = days.withColumn("until", F.col("from") + F.expr("INTERVAL 1 DAY")).unionByName(sections.filter("calculation = 'period-query'").select("section", start.alias("from"), end.alias("until")))
+    found = reports.coverage(reports.judged_sections(windows, sections.withColumn("period_from", start).withColumn("period_until", end)))
+    return found.withColumns({"from": F.col("from").cast("timestamp_ntz"), "until": F.col("until").cast("timestamp_ntz"), "sections": F.col("sections").cast("int")})
+
+
 @query("r14_report_document")
 def r14(spark, d):
     log = access_log(spark, d)
@@ -541,6 +553,57 @@ def c10(spark, d):
     return compare.digest_rows(rows, ["path"], "views", 3)
 
 
+@query("c8_compare_visitors", f"""--cte cur AS (SELECT count(DISTINCT c_ip || '|' || cs_user_agent) AS n FROM log WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-' AND {_IN_WEEK.format(*_WEEK)}),
+prev AS (SELECT count(DISTINCT c_ip || '|' || cs_user_agent) AS n FROM log WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-' AND {_IN_WEEK.format(*_LAST_WEEK)})
+SELECT 'distinct' AS metric, CAST(cur.n AS DOUBLE) AS current, CAST(prev.n AS DOUBLE) AS previous, round(100.0 * (cur.n - prev.n) / prev.n, 6) AS change FROM cur, prev""")
+def c8(spark, d):
+    log, sides = access_log(spark, d), []
+    for start, end in (_WEEK, _LAST_WEEK):
+        period = spark.createDataFrame([(salt(SECRET, "week", "UTC", "monday", str(start)),)], "salt string")
+        rows = visitors(log, Request(span=TimeRange(start, end - 1)), period)
+        sides.append(rows.withColumnRenamed("distinct_visitors", "distinct"))
+    out = compare.compared(*sides, compare.definitions()["pageviews", "visitor-count"])
+    return out.select("metric", "current", "previous", F.round("change", 6).alias("change"))
+
+
+@query("c11_manifest", """SELECT CAST(d.starts_on AS STRING) AS day, p.unit, 'UTC/' || p.unit || CASE p.unit WHEN 'week' THEN '/week-starts-monday' ELSE '' END || '/' || CAST(p.starts_on AS STRING) AS current_key
+FROM periods p JOIN periods d ON d.unit = 'day' AND d.ends_before = p.ends_before""", f"{DUCK_LOG}, {_CALENDAR}")
+def c11(spark, d):
+    rows = reports.manifest(calendar.closing_with_days(_periods(spark, d, "UTC")), "UTC")
+    return _dated(rows.select("day", "unit", "current_key"))
+
+
+def _scanned(spark, d, write, read):
+    folder = f"{_folder(spark)}/log"
+    write(access_log(spark, d), folder)
+    rows = read(spark, folder)
+    return rows.groupBy("distributionid", "year", "month", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("cs_user_agent")).alias("agent_chars"), F.count("c_ip").alias("with_ip"), F.max("ts_ms").alias("last_ms")
+    )
+
+
+_SCANNED = "SELECT distributionid, year, month, day, count(*) AS n, CAST(sum(length(cs_user_agent)) AS BIGINT) AS agent_chars, count(c_ip) AS with_ip, max(ts_ms) AS last_ms FROM log GROUP BY 1, 2, 3, 4"
+
+
+@query("s1_s3_json_log", _SCANNED)
+def s1(spark, d):
+    from sitelens.sources import access_log as source
+
+    def write(log, folder):
+        named = [F.col(c).alias(f) for f, c in source.FIELDS.items()]
+        log.select(*named, *source.PARTITIONS).write.partitionBy(*source.PARTITIONS[:-1]).option("compression", "gzip").json(folder)
+
+    columns = source.chosen_columns()
+    return _scanned(spark, d, write, lambda s, folder: source.read_json(s, folder, columns, "daily"))
+
+
+@query("s2_parquet_log", _SCANNED)
+def s2(spark, d):
+    from sitelens.sources import access_log as source
+
+    return _scanned(spark, d, lambda log, folder: source.curate(log, folder, "daily"), lambda s, folder: source.read_parquet(s, folder, granularity="daily", curated=True))
+
+
 @query("t8_streamed_windows", _windowed("sc_status AS status, count(*) AS responses", f"{PEOPLE} AND NOT starts_with(cs_uri_stem, '/_beacon')", "sc_status", "responses", "status", "status, responses"), _WIN_LOG)
 def t8(spark, d):
     """The log written in two parts and streamed; the stored windows are what a batch over all of it gives."""

@@ -57,14 +57,21 @@ def read_json(spark: SparkSession, root: str, columns: Sequence[str] = COLUMNS,
     return typed(rows.select(*[F.col(f"`{delivered[c]}`").alias(c) for c in columns], *_partitions(granularity)))
 
 
-def read_parquet(spark: SparkSession, root: str, columns: Sequence[str] = COLUMNS, granularity: str = "hourly") -> DataFrame:
-    """Parquet; column names match in any case, and columns that old files lack are null."""
-    return typed(spark.read.schema(_schema(columns, granularity)).parquet(root))
+def read_parquet(spark: SparkSession, root: str, columns: Sequence[str] = COLUMNS, granularity: str = "hourly", curated: bool = False) -> DataFrame:
+    """Parquet; column names match in any case, and columns that old files lack are null.
 
+    ``curated`` logs (see below) hold ``ts_ms`` as a typed column, so a span is pushed down to their row groups.
+    """
+    schema = _schema(columns, granularity)
+    if curated:
+        return spark.read.schema(schema.add("ts_ms", T.LongType())).parquet(root)
+    return typed(spark.read.schema(schema).parquet(root))
 
-def curate(log: DataFrame, root: str) -> None:
-    """Write a log as Parquet in the same layout, sorted by time within files so that row groups are skipped."""
-    log.repartition(*PARTITIONS).sortWithinPartitions("ts_ms").write.mode("overwrite").partitionBy(*PARTITIONS).parquet(root)
+
+def curate(log: DataFrame, root: str, granularity: str = "hourly") -> None:
+    """Write a typed log as Parquet in the same layout, sorted by time within files so that row groups are skipped."""
+    keys = _partitions(granularity)
+    log.repartition(*keys).sortWithinPartitions(*keys, "ts_ms").write.mode("overwrite").partitionBy(*keys).parquet(root)
 
 
 def one_distribution(log: DataFrame, distribution: str) -> DataFrame:

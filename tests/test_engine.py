@@ -274,6 +274,9 @@ def test_log_sources(spark, tmp_path):
     assert got(log.orderBy("timestamp_ms"), "ts_ms", "cs_user_agent", "c_ip", "hour", "month") == [(None, None, None, "04", "08"), (DAY, "x", None, "04", "08")]
     source.curate(log, str(tmp_path / "curated"))
     again = source.read_parquet(spark, str(tmp_path / "curated"))
+    typed = pruned(source.read_parquet(spark, str(tmp_path / "curated"), curated=True), TimeRange(DAY, DAY + 1))
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert typed.count() == 1 and "GreaterThanOrEqual(ts_ms" in plan and "PartitionFilters: [isnotnull(year" in plan
     assert again.count() == 2 and source.one_distribution(again, "D2").count() == 0 and source.together([again, again]).count() == 4
     assert source.chosen_columns(["cs-method"], viewer_address=False) == ["timestamp_ms", "cs_method"]
     with pytest.raises(ValueError):
