@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ SAMPLE_BYTES = 4 << 20
 SAMPLE_TEXT = 8 << 10
 STEPS = 120
 RATE = 0.2
+#: How fast the scale of the steps follows gradients that get smaller.
+FADE = 0.98
 DECAY = 0.01
 #: The weight of all toxic rows together, of 1; below a half it favours clean documents.
 TOXIC_WEIGHT = 0.45
@@ -80,10 +83,14 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else 6.0 * (2 * y[0] - 1))
     ids: dict[bytes, int] = {}
     tokens = np.array([ids.setdefault(w, len(ids)) for i in keep for w in split[i]])
-    grams = [features(w) for w in ids]
-    count = np.array([max(1, len(g)) for g in grams])
-    flat = np.array([b for g in grams for b in (g or [0])])
-    share = np.repeat(np.array([1 / len(g) if g else 0 for g in grams]), count)
+    buckets, sizes_of = array("i"), array("i")
+    for w in ids:
+        own = features(w)
+        buckets.extend(own or [0])
+        sizes_of.append(len(own))
+    flat, own_size = np.frombuffer(buckets, np.int32), np.frombuffer(sizes_of, np.int32)
+    count = np.maximum(own_size, 1)
+    share = np.repeat(np.where(own_size > 0, 1 / count, 0), count)
     begins = np.cumsum(count) - count
     sizes = np.array([len(split[i]) for i in keep])
     seg = _segments(sizes)
@@ -115,7 +122,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
         # One scale for each matrix: rare buckets, which could only learn single rows by heart, move little.
         for k, (p, g) in enumerate(zip(params, grads)):
             moments[k] += 0.2 * (g - moments[k])
-            scale[k] = max(0.98 * scale[k], float(np.abs(moments[k]).max()))
+            scale[k] = max(FADE * scale[k], float(np.abs(moments[k]).max()))
             p -= RATE * (moments[k] / (scale[k] + 1e-12) + DECAY * p)
     table, row, bias = params
     return Model((table @ row).astype(np.float32), float(bias[0]))
