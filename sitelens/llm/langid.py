@@ -150,12 +150,15 @@ def code_lengths(model: Model, texts: list[bytes], order: int = ORDER, chunk: in
 def sample(labelled: DataFrame, bound: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
     """At most ``bound`` bytes of whole texts per language (columns lang, text), chosen by a hash of the text.
 
-    Languages are taken to be few; one pass sizes them and another brings the sample alone.
+    Languages are taken to be few; one pass sizes them and another brings the sample alone, without a shuffle of texts.
     """
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    share = F.least(F.lit(1.0), F.lit(1.5 * bound) / F.col("bytes"))
-    rows = labelled.withColumn("order", F.xxhash64("text")).join(sizes, "lang")
-    rows = rows.filter(F.pmod("order", F.lit(1_000_000)) < share * 1_000_000).select("lang", F.col("text").cast("binary").alias("text"), "order")
+    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
+    if not sizes:
+        return []
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * bound / r["bytes"]))])
+    rows = labelled.withColumn("order", F.xxhash64("text"))
+    rows = rows.filter(F.pmod("order", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    rows = rows.select("lang", F.col("text").cast("binary").alias("text"), "order")
     chosen: list[tuple[str, bytes]] = []
     used: dict[str, int] = {}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.order, r.text)):
