@@ -50,6 +50,11 @@ SYLLABLES = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _byte(stream: Column, i: Column) -> Column:
     """Byte ``i`` (from 0) of a hex stream, as an integer; it is read as a ring."""
     return F.conv(F.substring(stream, (i * 2) % F.length(stream) + 1, F.lit(2)), 16, 10).cast("int")
@@ -68,8 +73,8 @@ def _chars(value: Column) -> Column:
 def _recast(value: Column, stream: Column) -> Column:
     """Every digit and letter of ``value`` becomes another of its kind; other characters stay."""
 
-    def one(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
+    def one(c: Column, i: Column, s: Column) -> Column:
+        b = _byte(s, i)
         out = F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
         for row in LETTERS:
             out = out.when(F.instr(F.lit(row), c) > 0, F.substring(F.lit(row), b % len(row) + 1, F.lit(1)))
@@ -77,7 +82,7 @@ def _recast(value: Column, stream: Column) -> Column:
         out = out.when(c.rlike(r"\p{L}"), F.substring(F.lit(LOWER), b % 26 + 1, F.lit(1)))
         return out.otherwise(c)
 
-    return F.array_join(F.transform(_chars(value), one), "")
+    return _let(stream, lambda s: F.array_join(F.transform(_chars(value), lambda c, i: one(c, i, s)), ""))
 
 
 def _email(value: Column, key: str, draw: Column) -> Column:
@@ -96,7 +101,10 @@ def _phone(value: Column, key: str, draw: Column) -> Column:
 
 
 def _ip(value: Column, key: str, draw: Column) -> Column:
-    s = _stream(key, "ip", value, draw)
+    return _let(_stream(key, "ip", value, draw), lambda s: _ip_from(value, s))
+
+
+def _ip_from(value: Column, s: Column) -> Column:
     kept = (
         F.when(value.startswith("10."), 1).when(value.startswith("127."), 1).when(value.startswith("192.168."), 2)
         .when(value.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), 2).otherwise(0)
@@ -118,7 +126,10 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _card(value: Column, key: str, draw: Column) -> Column:
-    s = _stream(key, "card", F.regexp_replace(value, "[ -]", ""), draw)
+    return _let(_stream(key, "card", F.regexp_replace(value, "[ -]", ""), draw), lambda s: _card_from(value, s))
+
+
+def _card_from(value: Column, s: Column) -> Column:
     digits = _chars(F.regexp_replace(value, "[ -]", ""))
     body = F.transform(F.slice(digits, 2, F.size(digits) - 2), lambda _, i: (_byte(s, i) % 10).cast("string"))
     head = F.concat(F.slice(digits, 1, 1), body)
@@ -132,8 +143,10 @@ def _card(value: Column, key: str, draw: Column) -> Column:
 
 
 def _name_part(part: Column, role: str, female: Column, key: str, draw: Column) -> Column:
-    s = _stream(key, role, part, draw)
+    return _let(_stream(key, role, part, draw), lambda s: _name_part_from(part, role, female, s))
+
 
+def _name_part_from(part: Column, role: str, female: Column, s: Column) -> Column:
     def build(script: str, endings: tuple[str, str]) -> Column:
         rows = F.array(*[F.lit(x) for x in SYLLABLES[script]])
         spoken = [F.element_at(rows, _byte(s, F.lit(i)) % 16 + 1) for i in range(4)]
