@@ -29,7 +29,8 @@ class Definition:
 
 
 _VITAL_UNITS = ("vital", {"lcp": "milliseconds", "cls": "score", "fcp": "milliseconds", "ttfb": "milliseconds"})
-#: What is compared for each question, unless a caller brings a definition of the same question and value type.
+# What is compared for each question, with its unit and preference.
+#: They hold unless a caller brings a definition of the same question and value type.
 DEFINITIONS = [
     Definition("pageviews", (Metric("views", "pageviews"),)),
     Definition("pageviews", (Metric("distinct", "visitors"),), ranked=False, value_type="visitor-count"),

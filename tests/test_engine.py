@@ -353,6 +353,19 @@ def test_comparison(spark):
     assert compare.as_table(spark, compare.DEFINITIONS).count() == 13
 
 
+def test_periods_must_follow_each_other(spark):
+    days = spark.createDataFrame([("2026-08-23",), ("2026-08-22",), ("2026-08-20",)], "d string").selectExpr("to_date(d) AS day")
+    every = calendar.periods(days, "UTC").filter("unit = 'day'")
+    day = lambda d: every.filter(F.col("starts_on") == d)
+    reports.require_preceding(day("2026-08-23"), day("2026-08-22"))
+    for other in ("2026-08-20", "2026-08-23"):
+        with pytest.raises(ValueError):
+            reports.require_preceding(day("2026-08-23"), day(other))
+    rows = reports.manifest(calendar.closing_with_days(calendar.periods(days, "UTC")), "Europe/London").collect()
+    keys = {(str(r.day), r.unit): (r.current_key, r.previous_key) for r in rows}
+    assert keys["2026-08-23", "week"] == ("Europe-London/week/week-starts-monday/2026-08-17", "Europe-London/week/week-starts-monday/2026-08-10")
+
+
 def test_section_pairs(spark):
     sections = lambda names: spark.createDataFrame(list(enumerate(names)), "at int, question string")
     pairs = compare.paired_sections(sections("aab"), sections("ac"))
