@@ -3,8 +3,11 @@
 import hashlib
 import math
 import random
+import re
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +15,9 @@ import pytest
 import corpus_pipeline
 from sitelens.llm import decontaminate, fingerprint, langid, language_model, line_dedup, packing, simhash, toxicity
 
+sys.path.insert(0, str(Path(__file__).parent))
+from test_brute import slow_components, slow_fingerprint  # noqa: E402
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, score double, order long"
@@ -171,6 +177,7 @@ def check_packing(rows, texts):
 
     t = Tokenizer.from_file(TOKENIZER)
     t.encode_special_tokens = True
+    assert {r.doc_id for r in rows} == set(texts)
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -284,6 +291,42 @@ def test_toxicity_shares_ngrams_and_takes_odd_input(spark):
 # -- pipeline ----------------------------------------------------------------
 
 
+def slow_pipeline(rows, items):
+    """doc_id to text after the first four stages, by plain loops; rows: (doc_id, text, source), language known for all with letters."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    kept = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    pages, on = Counter(r[2] for r in kept), Counter()
+    for _, text, source in kept:
+        on.update((source, line) for line in set(text.split("\n")) if line.strip(" "))
+    bad = {k for k, n in on.items() if n >= 5 and n / pages[k[0]] > 0.1}
+    kept = [(i, "\n".join(x for x in text.split("\n") if (source, x) not in bad)) for i, text, source in kept]
+    kept.sort()
+    label = slow_components([slow_fingerprint(t) for _, t in kept])
+    kept = [kept[i] for i in sorted(set(label))]
+    windows = {}
+    for item in items:
+        own = words(item)
+        n = min(13, len(own))
+        windows.setdefault(n, set()).update(tuple(own[i : i + n]) for i in range(len(own) - n + 1 if own else 0))
+    out = {}
+    for i, text in kept:
+        ws, hit = words(text), set()
+        for n, grams in windows.items():
+            for a in range(len(ws) - n + 1):
+                if tuple(ws[a : a + n]) in grams:
+                    hit.update(range(a, a + n))
+        if not (hit and 20 * len(hit) >= len(ws)):
+            out[i] = text
+    return out
+
+
+def test_pipeline_matches_plain_loops(spark, sf):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = slow_pipeline(rows, items)
+    check_packing(corpus_pipeline.run(spark, sf).collect(), want)
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r for r in docs.collect()}
