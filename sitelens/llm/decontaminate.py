@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.shared import cut, small_batches, text_bytes
+from sitelens.llm.shared import cut, for_python, text_bytes
 
 WINDOW = 13
 #: Bytes of item texts that go to the tasks at once.
@@ -292,7 +292,7 @@ def search(
     A null or empty text has no words. An item without words has no window; null item ids are
     skipped. An empty benchmark hits nothing. Extra columns are not carried along.
     """
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     blocks = _blocks(benchmark, item_col, text)

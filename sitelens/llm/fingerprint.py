@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.shared import small_batches
+from sitelens.llm.shared import for_python
 
 SAMPLES = 64
 #: Words whose draws a task remembers before it starts afresh (768 bytes each at 64 samples).
@@ -173,7 +173,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sa
     follow in byte order; null ids come last. Null texts are empty; all empty texts are alike. A table of
     one row is its own next one. Ids are numbers.
     """
-    small_batches(docs.sparkSession, 4)
+    for_python(docs.sparkSession, 4)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = ranges(rows)
     inside = dealt.repartition("place").sortWithinPartitions("place", "guest", F.col("id").desc_nulls_last(), "text")

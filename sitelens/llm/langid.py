@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.shared import bucket_of, small_batches
+from sitelens.llm.shared import bucket_of, for_python
 
 ORDER = 4
 #: The bound of the training sample: bytes of text per language.
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"], text: s
 
     Null texts and texts without letters get ``und`` and 0, as does everything if nothing was learned.
     """
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).cast("binary").alias("__llm_text"))
 

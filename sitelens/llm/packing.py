@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.shared import cut, small_batches
+from sitelens.llm.shared import cut, for_python
 
 CAPACITY = 1024
 END = 2
@@ -135,7 +135,7 @@ def cut_points(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """id, piece, start, length, ids_crc32 of every piece of every row; a null text is empty."""
-    small_batches(docs.sparkSession, 4)
+    for_python(docs.sparkSession, 4)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     tail = np.array([end], "<u4").tobytes()

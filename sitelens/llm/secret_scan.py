@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.shared import small_batches
+from sitelens.llm.shared import for_python
 
 #: Kinds in the order that breaks ties of start.
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "ssh"]
@@ -165,7 +165,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     Null and empty texts have none. Extra columns are not carried along.
     """
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 

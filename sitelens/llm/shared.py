@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
-    """Bound the Arrow batches that Python workers get by bytes: texts may be very long."""
+_shipped: set[str] = set()
+
+
+def for_python(spark: SparkSession, megabytes: int = 8) -> None:
+    """Ready a session for Python tasks of this package.
+
+    Arrow batches are bounded by bytes, as texts may be very long, and the package goes to the executors once per application,
+    so that workers find it wherever they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="spark-package-"))) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def cut(df: DataFrame) -> DataFrame:

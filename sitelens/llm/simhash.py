@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.shared import cut, small_batches, text_bytes
+from sitelens.llm.shared import cut, for_python, text_bytes
 
 RADIUS = 4
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """id, ``fp`` (the fingerprint as a signed long) per row. Null and empty texts have 0."""
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.shared import bucket_of, small_batches, text_bytes
+from sitelens.llm.shared import bucket_of, for_python, text_bytes
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -186,7 +186,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     the score is constant.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    for_python(spark)
     drawn = sample(docs, labels, id_col, text, label)
     sent = spark.sparkContext.broadcast(train([t for t, _ in drawn], [y for _, y in drawn]))
     name = uuid.uuid4().hex
