@@ -277,5 +277,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     """
     found = near_duplicates(docs, id_col, text, shingle)
     heads = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__llm_id")).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads["__llm_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    # One row of each id first; the join then finds the rows already dealt by id, so texts are shuffled once.
+    unique = docs.dropDuplicates([id_col])
+    kept = unique.join(heads, unique[id_col] == heads["__llm_id"], "left_semi")
+    if heads.filter(F.col("__llm_id").isNull()).limit(1).count():
+        kept = kept.unionByName(unique.filter(F.col(id_col).isNull()))
+    return kept

@@ -251,3 +251,11 @@ def test_line_dedup(spark):
 def test_registered_queries_run(spark, sf):
     for name, query in entries.queries().items():
         assert query(spark, sf).count() > 0, name
+
+
+def test_one_row_of_each_group_stays_with_odd_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, words), (1, words), (1, words), (None, "quite another text than that"), (None, "quite another text than that"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS component_id", "1 AS fp")
+    kept = simhash.keep_one(docs)
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 7] and kept.columns == docs.columns
