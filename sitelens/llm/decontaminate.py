@@ -105,13 +105,13 @@ class WaveletTree:
         return symbol, at - start
 
 
-def suffix_array(sequence: np.ndarray, longest: int) -> np.ndarray:
-    """Order of the suffixes by their first ``longest`` symbols at least (prefix doubling)."""
+def suffix_array(sequence: np.ndarray) -> np.ndarray:
+    """Order of the suffixes, by prefix doubling until all ranks differ."""
     n = len(sequence)
     rank = np.unique(sequence, return_inverse=True)[1].astype(np.int64)
     width = 1
     order = np.argsort(rank, kind="stable")
-    while width < longest and n and rank[order[-1]] < n - 1:
+    while n and rank[order[-1]] < n - 1:
         follow = np.zeros(n, np.int64)
         follow[: n - width] = rank[width:] + 1
         key = rank * (n + 1) + follow
@@ -123,16 +123,14 @@ def suffix_array(sequence: np.ndarray, longest: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of a sequence of ids from 0 (separator) to ``top``.
+    """Index of a sequence of ids from 0 (separator) to ``top``: transform, ranks and sampled suffix positions.
 
-    Suffixes are told apart by their first ``longest`` symbols; among equal ones the text order rules, which
-    a backward search for up to ``longest`` symbols cannot tell from the full order once every
-    walk is made within runs: LF steps stay right because ties are kept stable.
+    Equal suffixes do not occur but for the end of the sequence, where the shorter one comes first.
     """
 
     def __init__(self, sequence: np.ndarray, top: int) -> None:
         n = len(sequence)
-        order = suffix_array(sequence, n)
+        order = suffix_array(sequence)
         transform = sequence[order - 1]  # for the suffix at 0, the last symbol: the text is read as a ring
         self.n, self.tree = n, WaveletTree(transform, max(1, int(top).bit_length()))
         self.before = np.concatenate(([0], np.cumsum(np.bincount(sequence, minlength=top + 1))))
