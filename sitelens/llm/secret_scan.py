@@ -153,7 +153,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         for m in _B64.finditer(text):
             if any(a <= m.start() < b for a, b in armoured):
                 continue
-            if m[0].startswith("MI") and (body := _decoded(m[0])) and is_private_der(body):
+            # "M" is the tag of a SEQUENCE, whichever form its length takes.
+            if m[0].startswith("M") and (body := _decoded(m[0])) and is_private_der(body):
                 found.append(("der", *m.span()))
             elif m[0].startswith("b3BlbnNzaC1rZXk") and (body := _decoded(m[0])) and is_openssh(body):
                 found.append(("ssh", *m.span()))
