@@ -335,6 +335,8 @@ def judged(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text is contaminated; rows of one id go together."""
-    bad = cut(judged(search(docs, benchmark, id_col, text), id_col).filter("contaminated").select(F.col(id_col).alias("__llm_id")).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__llm_id"]), "left_anti")
+    """``docs`` without the rows whose own text is contaminated, whatever their ids."""
+    row = "__llm_row"
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    bad = cut(judged(search(numbered, benchmark, row, text), row).filter("contaminated").select(row))
+    return numbered.join(bad, row, "left_anti").select(*docs.columns)

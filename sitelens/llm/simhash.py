@@ -252,6 +252,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows (id, fp): fp, first (its smallest id) and component; and component, component_id (its smallest id)."""
+    # Fingerprints stand for themselves; each gets the smallest id that has it.
+    firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    label = components(linked_pairs(firsts)).select(F.col("node").alias("fp"), F.col("component"))
+    named = firsts.join(label, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    return named, named.groupBy("component").agg(F.min("first").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id (smallest id reachable) for every row.
 
@@ -259,11 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     any other. Null ids come out with the smallest id of their component (null where there is none).
     """
     rows = cut(fingerprints(docs, id_col, text, shingle))
-    # Fingerprints stand for themselves; each gets the smallest id that has it.
-    firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    label = components(linked_pairs(firsts)).select(F.col("node").alias("fp"), F.col("component"))
-    named = firsts.join(label, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named, lowest = _named(rows)
     known = named.join(lowest, "component").select("fp", "component_id")
     return rows.join(known, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
@@ -273,13 +278,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest id.
 
-    All columns stay. Among repeated rows of that id, one stays.
+    All columns stay. Rows are told apart by a number, not by their ids: repeated ids with different texts are rows
+    of their own components. Of the rows with the smallest id the first one stays; a null id comes last.
     """
-    found = near_duplicates(docs, id_col, text, shingle)
-    heads = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__llm_id")).distinct()
-    # One row of each id first; the join then finds the rows already dealt by id, so texts are shuffled once.
-    unique = docs.dropDuplicates([id_col])
-    kept = unique.join(heads, unique[id_col] == heads["__llm_id"], "left_semi")
-    if heads.filter(F.col("__llm_id").isNull()).limit(1).count():
-        kept = kept.unionByName(unique.filter(F.col(id_col).isNull()))
-    return kept
+    row = "__llm_row"
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    keyed = numbered.select(order.alias("id"), F.col(text).alias("text"))
+    _, lowest = _named(cut(fingerprints(keyed, "id", "text", shingle)))
+    return numbered.join(lowest.select(F.col("component_id.row").alias(row)), row, "left_semi").select(*docs.columns)

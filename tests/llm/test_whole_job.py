@@ -2,7 +2,7 @@
 
 import base64
 
-from sitelens.llm import secret_scan
+from sitelens.llm import decontaminate, secret_scan, simhash
 
 
 # -- secrets -----------------------------------------------------------------
@@ -20,3 +20,29 @@ def test_short_private_keys_in_bare_base64(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.spans for r in secret_scan.digest(secret_scan.scan(rows)).orderBy("doc_id").collect()]
     assert got[0] == "der:2:166" and got[1] == "der:0:64" and got[2:] == ["", ""]
+
+
+# -- rows with null and repeated ids -------------------------------------------
+
+
+def texts_of(n):
+    return [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(n)]
+
+
+def test_rows_of_one_id_with_different_texts_are_told_apart(spark):
+    a, b, c, d = texts_of(4)
+    rows = [(0, a), (1, a), (1, b), (None, c), (None, d), (2, d), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS row", "2 AS none"))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in kept.collect()) == [(-1, c), (0, a), (1, b), (2, d)]
+    assert kept.columns == ["doc_id", "text", "row", "none"]
+
+
+def test_contaminated_rows_go_alone(spark, monkeypatch):
+    a, b, c, d = texts_of(4)
+    rows = [(None, a), (None, b), (1, c), (1, a), (1, d), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, a), (2, c)], "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        clean = decontaminate.drop_contaminated(docs, items)
+        assert sorted((r.doc_id or -1, r.text or "") for r in clean.collect()) == [(-1, b), (1, d), (2, "")]
