@@ -12,19 +12,20 @@ an honorific) are replaced by keyed surrogates of the same type and format:
 * the surrogate is a function of (key, entity), so all mentions of an entity get the same one
   (coreference) without any join or shuffle of texts. Distinctness is checked over the distinct
   entities of the whole table: where two entities have the same surrogate, or a surrogate equals a
-  real entity, all but the first are drawn again. The few entities that were drawn again reach
+  real entity, all but the first are drawn again, and what still collides after some draws gets the first free
+  values of its form, counted through. The few entities that were drawn again reach
   their documents by a join, in which a small table is broadcast by its measured size only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm.shared import cut
 
 DEFAULT_KEY = "change-me"
-#: Draws before an entity that still collides raises an error.
+#: Draws before an entity that still collides gets a free value of its form by rank.
 MAX_DRAWS = 20
 
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
@@ -97,7 +98,11 @@ def _email(value: Column, key: str, draw: Column) -> Column:
 def _phone(value: Column, key: str, draw: Column) -> Column:
     code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-]))?", 1)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
-    return F.concat(code, _recast(rest, _stream(key, "phone", value, draw)))
+    # One stream for a number however it is written, read from its last digit.
+    later = lambda i: F.length(F.regexp_replace(F.substring(rest, i + 2, F.length(rest)), "[^0-9]", ""))
+    one = lambda c, i, s: F.when(c.rlike("[0-9]"), (_byte(s, later(i)) % 10).cast("string")).otherwise(c)
+    stream = _stream(key, "phone", F.regexp_replace(value, "[^0-9]", ""), draw)
+    return F.concat(code, _let(stream, lambda s: F.array_join(F.transform(_chars(rest), lambda c, i: one(c, i, s)), "")))
 
 
 def _ip(value: Column, key: str, draw: Column) -> Column:
@@ -132,10 +137,14 @@ def _card(value: Column, key: str, draw: Column) -> Column:
 def _card_from(value: Column, s: Column) -> Column:
     digits = _chars(F.regexp_replace(value, "[ -]", ""))
     body = F.transform(F.slice(digits, 2, F.size(digits) - 2), lambda _, i: (_byte(s, i) % 10).cast("string"))
+    return _card_of(value, digits, body, _byte(s, F.lit(63)) % 9)
+
+
+def _card_of(value: Column, digits: Column, body: Column, off: Column) -> Column:
     head = F.concat(F.slice(digits, 1, 1), body)
     short = _luhn_sum(F.concat(head, F.array(F.lit("0")))) % 10
     fit = (F.lit(10) - short) % 10
-    unfit = (fit + 1 + _byte(s, F.lit(63)) % 9) % 10
+    unfit = (fit + 1 + off) % 10
     last = F.when(_luhn_sum(digits) % 10 == 0, fit).otherwise(unfit).cast("string")
     new = F.array_join(F.concat(head, F.array(last)), "")
     sep = F.regexp_extract(value, r"^\d{4}([ -]?)", 1)
@@ -197,6 +206,104 @@ def entities_in(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 
+def _counted(value: Column, n: Column, spare: str) -> Column:
+    """Value ``n`` of the form of ``value``: its digits and letters are counted through, the last one fastest.
+
+    What is left of ``n`` when all of them are used up goes before them, in places of ``spare``.
+    """
+    rows = ["0123456789", *LETTERS]
+
+    def row_of(c: Column) -> Column:
+        out = F.when(c == "", F.lit(None).cast("string"))
+        for row in rows:
+            out = out.when(F.instr(F.lit(row), c) > 0, F.lit(row))
+        return out.when(c.rlike(r"\p{Lu}"), F.lit(UPPER)).when(c.rlike(r"\p{L}"), F.lit(LOWER))
+
+    def put(acc: Column, c: Column) -> Column:
+        row, left, out = row_of(c), acc["left"], acc["out"]
+        size = F.length(row)
+        place = F.substring(row, (left % size).cast("int") + 1, F.lit(1))
+        moved = F.struct(F.floor(left / size).alias("left"), F.concat(place, out).alias("out"))
+        return F.when(row.isNull(), F.struct(left.alias("left"), F.concat(c, out).alias("out"))).otherwise(moved)
+
+    def more(acc: Column, _: Column) -> Column:
+        left = acc["left"] - 1
+        place = F.substring(F.lit(spare), (left % len(spare)).cast("int") + 1, F.lit(1))
+        grown = F.struct(F.floor(left / len(spare)).alias("left"), F.concat(place, acc["out"]).alias("out"))
+        return F.when(acc["left"] > 0, grown).otherwise(acc)
+
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+    used = F.aggregate(F.reverse(_chars(value)), start, put)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), used, more)["out"]
+
+
+def _address(n: Column, octets: int) -> Column:
+    """The last octets of the ``n``-th address of a block."""
+    return F.concat_ws(".", *[(F.floor(n / 256**k) % 256).cast("string") for k in range(octets - 1, -1, -1)])
+
+
+def numbered_value(entity: Column, key: str, n: Column) -> Column:
+    """Value ``n`` (from 0) of the form of an entity. Where a form is used up, names, local parts and phone numbers
+    grow longer, and addresses go on in 10.0.0.0/8 and then in the reserved 240.0.0.0/4."""
+    local, new = F.substring_index(entity, "@", 1), F.substring_index(_email(entity, key, F.lit(0)), "@", -1)
+    email = F.concat(_counted(local, n, LOWER), F.lit("@"), new)
+    code = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .(-]))?", 1)
+    phone = _counted(F.reverse(F.substring(entity, F.length(code) + 1, F.length(entity))), n, "0123456789")
+    phone = F.concat(code, F.reverse(phone))
+
+    def beyond(past: int) -> Column:
+        m = n - past
+        ten = F.concat(F.lit("10."), _address(m, 3))
+        top = (F.floor((m - (1 << 24)) / (1 << 24)) + 240).cast("string")
+        return F.when(m < 1 << 24, ten).otherwise(F.concat_ws(".", top, _address(m, 3)))
+
+    two = F.when(n < 1 << 16, F.concat(F.substring_index(entity, ".", 2), F.lit("."), _address(n, 2))).otherwise(beyond(1 << 16))
+    local_net = F.when(n < 1 << 24, F.concat(F.lit("127."), _address(n, 3))).otherwise(beyond(1 << 24))
+    public = F.concat_ws(".", (F.floor(n / (1 << 24)) + 128).cast("string"), _address(n, 3))
+    ip = (
+        F.when(entity.startswith("10."), beyond(0)).when(entity.startswith("127."), local_net)
+        .when(entity.startswith("192.168.") | entity.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), two).otherwise(public)
+    )
+    digits = _chars(F.regexp_replace(entity, "[ -]", ""))
+    card = _card_of(entity, digits, _chars(F.lpad(n.cast("string"), 14, "0")), F.lit(0))
+    parts = F.split(entity, " ")
+    title, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    hexed = F.hex(n)
+    places = _chars(F.when(F.length(hexed) < 4, F.lpad(hexed, 4, "0")).otherwise(hexed))
+    female = F.regexp_replace(title, r"\.", "").isin(*FEMALE)
+
+    def spoken(script: str, endings: tuple[str, str]) -> Column:
+        rows = F.array(*[F.lit(x) for x in SYLLABLES[script]])
+        surname = F.initcap(F.array_join(F.transform(places, lambda c: F.element_at(rows, F.conv(c, 16, 10).cast("int") + 1)), ""))
+        given = F.initcap(F.concat(F.lit("".join(SYLLABLES[script][:3])), F.when(female, endings[0]).otherwise(endings[1])))
+        return F.when(F.size(parts) > 2, F.concat_ws(" ", title, given, surname)).otherwise(F.concat_ws(" ", title, surname))
+
+    name = F.when(last.rlike(r"\p{IsCyrillic}"), spoken("cyrillic", ("на", "ро"))).when(last.rlike(r"\p{IsGreek}"), spoken("greek", ("να", "ρο")))
+    name = name.otherwise(spoken("latin", ("na", "ro")))
+    kind = kind_of(entity)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
+
+
+def ranked(stuck: DataFrame, taken: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+    """entity, surrogate for every one of ``stuck`` (entity): free values of its form, that aren't ``taken`` (surrogate)."""
+    rest = cut(stuck.select("entity", numbered_value(F.col("entity"), key, F.lit(0).cast("long")).alias("form")))
+    placed, width = None, 2
+    while rest.limit(1).count():
+        # Each form's first values, some times as many as are needed; more of them where too few are free.
+        forms = rest.groupBy("form").agg(F.min("entity").alias("sample"), F.count(F.lit(1)).alias("many"))
+        values = forms.select("form", "sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") * width + 63)).alias("n"))
+        values = values.select("form", "n", numbered_value(F.col("sample"), key, F.col("n")).alias("surrogate"))
+        used = taken if placed is None else taken.unionByName(placed.select("surrogate"))
+        free = cut(values.groupBy("surrogate").agg(F.min(F.struct("form", "n")).alias("f")).join(used, "surrogate", "left_anti").select("f.form", "f.n", "surrogate"))
+        free = free.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy("n"))).drop("n")
+        waiting = rest.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy("entity")))
+        met = cut(waiting.join(free, ["form", "rank"], "left").select("entity", "form", "surrogate"))
+        found = met.filter("surrogate IS NOT NULL").select("entity", "surrogate")
+        placed = found if placed is None else placed.unionByName(found)
+        rest, width = met.filter("surrogate IS NULL").select("entity", "form"), width * 4
+    return placed
+
+
 def redrawn(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """entity, surrogate for those distinct ``entities`` whose first surrogate isn't free.
 
@@ -205,7 +312,7 @@ def redrawn(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """
     known = cut(entities.select("entity").distinct())
     table = cut(known.select("entity", F.lit(0).alias("draw"), surrogate(F.col("entity"), key).alias("surrogate")))
-    for _ in range(MAX_DRAWS):
+    for turn in range(MAX_DRAWS + 1):
         # The first holder of each surrogate keeps it; one row per surrogate, so nothing gathers.
         holder = table.groupBy("surrogate").agg(F.min(F.struct("draw", "entity")).alias("h"))
         real = known.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -215,10 +322,15 @@ def redrawn(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         )
         if not judged.filter("bad").limit(1).count():
             return table.filter("draw > 0").select("entity", "surrogate")
+        if turn == MAX_DRAWS:
+            break
         draw = F.col("draw") + F.col("bad").cast("int")
         again = judged.select("entity", draw.alias("draw"), F.when(F.col("bad"), surrogate(F.col("entity"), key, draw)).otherwise(F.col("surrogate")).alias("surrogate"))
         table = cut(again)
-    raise ValueError(f"surrogates still collide after {MAX_DRAWS} draws")
+    judged = cut(judged.select("entity", "draw", "surrogate", "bad"))
+    good = judged.filter("NOT bad")
+    taken = good.select("surrogate").unionByName(known.select(F.col("entity").alias("surrogate")))
+    return good.filter("draw > 0").select("entity", "surrogate").unionByName(ranked(judged.filter("bad").select("entity"), taken, key))
 
 
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:

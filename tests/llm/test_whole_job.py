@@ -1,8 +1,9 @@
 """Cases that shortcuts of the operators once lost."""
 
 import base64
+import re
 
-from sitelens.llm import decontaminate, secret_scan, simhash
+from sitelens.llm import decontaminate, pii, secret_scan, simhash
 
 
 # -- secrets -----------------------------------------------------------------
@@ -46,3 +47,28 @@ def test_contaminated_rows_go_alone(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         clean = decontaminate.drop_contaminated(docs, items)
         assert sorted((r.doc_id or -1, r.text or "") for r in clean.collect()) == [(-1, b), (1, d), (2, "")]
+
+
+# -- PII -----------------------------------------------------------------------
+
+
+def test_crowded_forms_get_free_values(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_DRAWS", 1)
+    locals_ = [*"abcdefghijklmnopqrstuvwxyz", "ő", "ű"]  # 28 for 26 letters
+    entities = [f"{c}@x.example.com" for c in locals_] + [f"192.168.{i // 250}.{i % 250}" for i in range(3000)]
+    entities += [f"+1 {i:02d} 00" for i in range(100)] + [f"+1 00 {i:02d}" for i in range(1, 100)]
+    known = spark.createDataFrame([(e,) for e in entities], "entity string")
+    new = {r.entity: r.surrogate for r in known.select("entity", pii.surrogate(known.entity).alias("surrogate")).collect()}
+    over = {r.entity: r.surrogate for r in pii.redrawn(known).collect()}
+    new |= over
+    assert over and set(new) == set(entities) and len(set(new.values())) == len(entities) and not set(new.values()) & set(entities)
+    assert all(re.fullmatch(r"192\.168\.\d+\.\d+", new[e]) for e in entities if e.startswith("192"))
+    assert all(re.fullmatch(r"\+1 \d\d \d\d", new[e]) for e in entities if e.startswith("+"))
+    lengths = sorted(len(new[e].split("@")[0]) for e in entities if "@" in e)
+    assert lengths == [1] * 26 + [2] * 2
+
+
+def test_one_number_written_in_two_ways(spark):
+    rows = spark.createDataFrame([("+1 (017) 555-7713",), ("+1 017.555.7713",)], "entity string")
+    a, b = [re.sub(r"\D", "", r.s) for r in rows.select(pii.surrogate(rows.entity).alias("s")).collect()]
+    assert a == b != "10175557713"
