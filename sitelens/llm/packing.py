@@ -5,10 +5,11 @@ fits into one sequence; the covering program "as few configurations as cover eve
 depends on the histogram alone, which has at most ``CAPACITY`` entries at any input size. It is solved by
 multiplicative weights: lengths that lag behind gain weight, a knapsack dynamic program
 finds the configurations of the highest weight, and the mean of the rounds is the fractional solution. It is
-rounded down, and the few pieces left over are packed best fit decreasing.
+rounded down, solved again for what is left, and what remains below one sequence a configuration is rounded up by
+the same pricing with bounded counts. No other packing takes part, at any size.
 
 The plan is small; the pieces never meet in one task. Each piece gets its rank among those of its length
-(a window within hashed buckets, plus the sizes of the buckets before), and the plan says
+(a window within hashed buckets, plus the sizes of the at most ``MOST_BUCKETS`` buckets before), and the plan says
 which sequence and offset the r-th piece of each length has.
 """
 
@@ -19,9 +20,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,33 +33,35 @@ from sitelens.llm.shared import cut, for_python
 
 CAPACITY = 1024
 END = 2
-#: Words whose ids a worker remembers, over all its tasks, before it starts afresh (about 200 bytes each).
-MEMORY = 1_000_000
-#: Rows that a bucket of one length aims at.
-BUCKET_ROWS = 1_000
+#: Words whose ids a worker remembers, over all its tasks, before it starts afresh (about 150 bytes each).
+MEMORY = 1_500_000
+#: Configurations that hold a length covered more often than so are left to the next solution: they use up what others need.
+OVER = 1.1
+#: Ways to bend the prices when rounding up, and how near to the bound the first rounding has to come.
+BENDS = [0.5, 0.1, 2.0]
+CLOSE = 1e-4
+#: Rows that a bucket of one length aims at, and the most buckets of a length.
+BUCKET_ROWS = 200
+MOST_BUCKETS = 1 << 16
 
 Config = tuple[int, ...]
 
 #: A text may be cut before a space that a non-space follows, whatever surrounds it: the tokenizer's own
 #: splitting pattern begins a new piece there.
 _CUT = re.compile(r"(?= \S)")
-#: White space of ASCII besides the space and the line end.
-_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-
-
-def is_plain(text: str) -> bool:
-    """Only non-empty words, with one space or one line end between each two."""
-    if not text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    if text.isascii():
-        return not any(x in text for x in ("  ", " \n", "\n ", "\n\n", *_OTHER_SPACE))
-    return text.split() == text.replace("\n", " ").split(" ")
+#: What plain texts have not: an edge or two in a row of space and line end, or any other white space (RE2 syntax).
+_UNPLAIN = (
+    r"(?:\A|[ \n])(?:[ \n]|\z)|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+#: Marks that the splitting pattern parts from the letters before them.
+_MARKS = ".,;:!?"
 
 
 class Encoder:
     """Token ids of texts; words that occurred before are not encoded again.
 
     In a plain text a line end is a token of its own, and a word's ids depend only on whether a space or a line begins before it.
+    Words are told apart and looked up per batch by Arrow; ids lie end to end in one array, and texts are gathered from it.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,54 +70,99 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}  # words after a space
-        self.first: dict[str, bytes] = {}  # words at the beginning of a line, and parts of other texts
+        size = self.tokenizer.get_vocab_size()
         [self.line_end] = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def _learn(self, into: dict[str, bytes], words: list[str], prefix: str) -> None:
-        """Encode many words at once, with a line end between each two."""
+        [space] = self.tokenizer.model.tokenize("\u0120")
+        #: Tokens that begin with a space.
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space.value) for i in range(size)])
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # a word with the space before it, or without one where a line begins: its number
+        self.flat, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _several(self, words: list[str], begins: np.ndarray, between: str) -> list[list[int]]:
+        """Ids of words that all start with a token marked in ``begins``, many words at once."""
         lists = [words[a : a + 400] for a in range(0, len(words), 400)]
-        texts = ["\n".join([prefix + w for w in part]) for part in lists]
+        texts = ["".join([between + w for w in part]) for part in lists]
+        out: list[list[int]] = []
         for part, e in zip(lists, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-            flat = ids.tobytes()
-            for w, a, b in zip(part, [0, *[x + 1 for x in ends]], ends, strict=False):
-                into[w] = flat[4 * a : 4 * b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers, per text."""
-        spaced, first = self.spaced, self.first
-        if len(spaced) + len(first) > MEMORY:
-            spaced.clear()
-            first.clear()
-        split: list[tuple[bool, list]] = []
-        new_spaced: set[str] = set()
-        new_first: set[str] = set()
-        odd: set[str] = set()
-        for text in texts:
-            plain = is_plain(text)
-            if plain:
-                parts = [line.split(" ") for line in text.split("\n")]
-                new_first.update([p[0] for p in parts if p[0] not in first])
-                for p in parts:
-                    new_spaced.update([w for w in p[1:] if w not in spaced])
-            else:
-                parts = _CUT.split(text)
-                odd.update([w for w in parts if w not in first])
-            split.append((plain, parts))
-        self._learn(spaced, list(new_spaced), " ")
-        self._learn(first, list(new_first), "")
-        rest = [w for w in odd if w not in first]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            first[w] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([self.line_end], "<u4").tobytes()
-        out = []
-        for plain, parts in split:
-            if plain:
-                out.append(end.join([first[p[0]] + b"".join([spaced[w] for w in p[1:]]) for p in parts]))
-            else:
-                out.append(b"".join([first[w] for w in parts]))
+            ids = e.ids
+            cuts = [*np.flatnonzero(begins[np.array(ids, np.int64)]).tolist(), len(ids)]
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+            if len(cuts) != len(part) + 1:
+                raise AssertionError("words and their tokens do not match")
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Number new words. Words of ASCII letters alone, with a mark behind or not, are one piece to the splitting pattern."""
+        tokenize, known = self.tokenizer.model.tokenize, self.known
+        ids: list[list[int] | None] = [None] * len(words)
+        letters: dict[str, list[int]] = {}
+        other, first = [], []
+        for i, w in enumerate(words):
+            if w[0] != " ":
+                first.append(i)
+                continue
+            mark = w[-1] in _MARKS
+            core = w[1:-1] if mark else w[1:]
+            if not (core.isascii() and core.isalpha()):
+                other.append(i)
+                continue
+            own = letters.get(core)
+            if own is None:
+                n = known.get(w[:-1]) if mark else None
+                own = [t.id for t in tokenize("\u0120" + core)] if n is None else self.flat[self.bounds[n] : self.bounds[n + 1]].tolist()
+                letters[core] = own
+            ids[i] = own + self.marks[w[-1]] if mark else own
+        for i, x in zip(other, self._several([words[i] for i in other], self.spaced, "")):
+            ids[i] = x
+        line = np.zeros(len(self.spaced), bool)
+        line[self.line_end] = True
+        for i, x in zip(first, self._several([words[i] for i in first], line, "\n")):
+            ids[i] = x
+        known.update(zip(words, range(len(known), len(known) + len(words))))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum()))])
+
+    def _plain(self, texts: pa.Array) -> list[np.ndarray]:
+        split = pc.split_pattern(pc.replace_substring(texts, " ", "\n "), "\n")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > MEMORY:
+            self._forget()
+            new = words
+        self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        edges = split.offsets.to_numpy().astype(np.int64)
+        edges -= edges[0]
+        begin, end = self.bounds[number], self.bounds[number + 1]
+        begin[edges[:-1]] += 1  # no line end before the first word of a text
+        size = end - begin
+        after = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - (after - size), size) + np.arange(after[-1])]
+        cuts = np.concatenate(([0], after))[edges]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def _odd(self, text: str) -> np.ndarray:
+        parts = _CUT.split(text)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4")
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids as little-endian unsigned 32-bit numbers, per text; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        unplain = pc.match_substring_regex(texts, _UNPLAIN).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~unplain)
+        if len(plain):
+            for i, ids in zip(plain.tolist(), self._plain(texts.take(pa.array(plain)))):
+                out[i] = ids
+        for i in np.flatnonzero(unplain).tolist():
+            out[i] = self._odd(texts[i].as_py())
         return out
 
 
@@ -144,14 +195,15 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         encoder = encoder_of(tokenizer)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(b.column(1).to_pylist())):
-                ids += tail
-                for k, (a, n) in enumerate(cut_points(len(ids) // 4, capacity)):
+            for i, ids in enumerate(encoder.encode(b.column(1))):
+                n_ids = len(ids) + 1
+                for k, (a, n) in enumerate(cut_points(n_ids, capacity)):
                     row.append(i)
                     piece.append(k)
                     start.append(a)
                     length.append(n)
-                    crc.append(zlib.crc32(ids[4 * a : 4 * (a + n)]))
+                    own = zlib.crc32(ids[a : a + n])
+                    crc.append(zlib.crc32(tail, own) if a + n == n_ids else own)
             columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
             yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32"])
 
@@ -161,33 +213,6 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 # -- the plan: arithmetic on the histogram ---------------------------------------
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Counter[Config]:
-    """Best fit decreasing on counts: sequences of one content are handled together."""
-    by_free: dict[int, Counter[Config]] = defaultdict(Counter)
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            free = next((f for f in range(length, capacity) if by_free.get(f)), None)
-            if free is None:
-                each = min(capacity // length, left)
-                bins = left // each
-                by_free[capacity - each * length][(length,) * each] += bins
-                left -= bins * each
-                continue
-            config, n = next(iter(by_free[free].items()))
-            each = min(free // length, left)
-            bins = min(n, left // each)
-            by_free[free][config] -= bins
-            if not by_free[free][config]:
-                del by_free[free][config]
-            by_free[free - each * length][config + (length,) * each] += bins
-            left -= bins * each
-    total: Counter[Config] = Counter()
-    for group in by_free.values():
-        total.update(group)
-    return total
-
-
 def _price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack: the best value for each capacity, and the index of an item of it (-1: none)."""
     best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -214,60 +239,146 @@ def _trace(item: np.ndarray, lengths: np.ndarray, free: int) -> list[int]:
     return chosen
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int, near: float = 0.02) -> dict[Config, float]:
-    """The configuration program by multiplicative weights.
+#: What a full sequence is worth beside the weights of the lengths, in their mean over a sequence.
+_FULL = 100.0
+#: Lengths covered so many times as often as the mean rest from pricing until the others have caught up.
+_AHEAD = 4.0
+
+
+def fractional(counts: dict[int, int], capacity: int, rounds: int, wide: int = 64, part: float = 0.1) -> tuple[dict[Config, float], dict[int, float], float]:
+    """The configuration program by multiplicative weights: the mean of the rounds, by how much it covers each length, and a
+    lower bound of the sequences.
 
-    Each round adds every configuration found whose weight is within ``near`` of the round's best, by as much
-    as its scarcest length allows in one step; weights fall with what is covered already.
+    Its rows are the lengths, each to be covered as often as it occurs, and all tokens together (the sum of the rows, which makes
+    free places cost). Each round prices configurations by a knapsack dynamic program and adds the best ones that hold each of the
+    ``wide`` lengths that lag most, by a ``part`` of what the scarcest length allows. Weights fall exponentially with
+    what is covered already, more sharply from round to round.
     """
     lengths = np.array(sorted(counts))
     need = np.array([counts[x] for x in lengths], float)
+    tokens = float((need * lengths).sum())
     cover = np.zeros(len(lengths))
     used: dict[Config, float] = defaultdict(float)
-    sharp = np.log(len(lengths) + 1) / 0.05
-    for t in range(rounds):
-        lag = cover / max(cover.mean(), 1e-12) if t else cover
+    bound, mean = tokens / capacity, 0.0
+    for sharp in np.geomspace(2, 50, rounds):
+        lag = cover / mean if mean else cover
         weight = np.exp(-np.minimum(sharp * (lag - lag.min()), 60))
-        value = weight / need / (weight / need * lengths).max() * capacity
-        best, item = _price(value, lengths, capacity)
-        through = value + best[capacity - lengths]
-        for k in np.flatnonzero(through >= (1 - near) * best[capacity]):
-            found = Counter([int(k), *_trace(item, lengths, capacity - int(lengths[k]))])
-            step = min(need[j] / n for j, n in found.items())
-            config = tuple(sorted((int(lengths[j]) for j in found.elements()), reverse=True))
-            used[config] += step
+        value = weight / need * tokens / capacity / weight.sum()
+        # Prices that no configuration exceeds in sum give a lower bound, by duality.
+        bound = max(bound, _dual(value, lengths, need, capacity) if sharp > 40 else 0.0)
+        value += _FULL * lengths / capacity
+        open_ = np.flatnonzero(lag <= _AHEAD)
+        item = _price(value[open_], lengths[open_], capacity)[1]
+        for k in np.argsort(lag[open_], kind="stable")[:wide].tolist():
+            found = Counter([k, *_trace(item, lengths[open_], capacity - int(lengths[open_[k]]))])
+            step = part * min(need[open_[j]] / n for j, n in found.items())
+            used[tuple(sorted((int(lengths[open_[j]]) for j in found.elements()), reverse=True))] += step
             for j, n in found.items():
-                cover[j] += n * step / need[j]
-    least = max(cover.min(), 1e-9)
-    return {config: x / least for config, x in used.items()}
+                cover[open_[j]] += n * step / need[open_[j]]
+        mean = float((cover * need * lengths).sum()) / tokens
+    return {config: x / mean for config, x in used.items()}, dict(zip(lengths.tolist(), (cover / mean).tolist())), bound
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 60, repeats: int = 3) -> Counter[Config]:
-    """Sequences by content for a histogram of lengths: at most as many as best fit decreasing takes."""
-    full = counts.get(capacity, 0)
+def _dual(value: np.ndarray, lengths: np.ndarray, need: np.ndarray, capacity: int) -> float:
+    return float((need * value).sum() / _price(value, lengths, capacity)[0][capacity])
+
+
+def _fill(rest: dict[int, int], room: int, capacity: int, bend: float) -> list[int]:
+    """Bounded knapsack: what is left over that makes the most of ``room``.
+
+    Prices rise faster than the length, by ``bend``, as long pieces are the harder ones to place later.
+    """
+    best, steps = np.zeros(room + 1), []
+    for length in sorted((x for x in rest if x <= room), reverse=True):
+        many, chunk, price = min(rest[length], room // length), 1, length * (1 + bend * length / capacity)
+        while many:
+            chunk = min(chunk, many)
+            size = chunk * length
+            new = best[:-size] + chunk * price
+            better = new > best[size:]
+            best[size:][better] = new[better]
+            steps.append((length, chunk, better))
+            many, chunk = many - chunk, chunk * 2
+    free, chosen = int(best.argmax()), []
+    for length, chunk, better in reversed(steps):
+        size = chunk * length
+        if free >= size and better[free - size]:
+            chosen += [length] * chunk
+            free -= size
+    return chosen
+
+
+def _round_up(rest: dict[int, int], capacity: int, bend: float) -> Counter[Config]:
+    """What rounding down left: the longest piece's best configuration by knapsack pricing, as often as the counts allow."""
+    rest, packed = dict(rest), Counter()
+    while rest:
+        longest = max(rest)
+        rest[longest] -= 1
+        config = tuple(sorted([longest, *_fill({k: n for k, n in rest.items() if n}, capacity - longest, capacity, bend)], reverse=True))
+        rest[longest] += 1
+        own = Counter(config)
+        bins = min(rest[k] // n for k, n in own.items())
+        packed[config] += bins
+        for k, n in own.items():
+            rest[k] -= n * bins
+            if not rest[k]:
+                del rest[k]
+    return packed
+
+
+@dataclass
+class Plan:
+    """Sequences by content, how many of them come from rounding the program down, and a lower bound of all."""
+
+    packed: Counter[Config]
+    down: int
+    bound: int
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 150, repeats: int = 4) -> Plan:
+    """Configurations for a histogram of lengths.
+
+    The program is solved and rounded down. Only configurations that waste no more places than the bound allows on average
+    are taken, as others cost sequences. What is left is solved anew until little more is taken, and then rounded up by pricing.
+    Where that misses the bound by more than ``CLOSE``, it is rounded up after fewer solutions and by other prices too,
+    and the best rounding counts.
+    """
     small = {k: n for k, n in counts.items() if n and k < capacity}
     packed: Counter[Config] = Counter()
-    rest = dict(small)
-    for _ in range(repeats):
-        if sum(rest.values()) < 4 * len(rest) or len(rest) < 2:
+    rest, bound = dict(small), 0.0
+    stages = [(Counter(), dict(small))]
+    for turn in range(repeats):
+        if not rest:
             break
-        solution = fractional(rest, capacity, rounds)
-        waste = lambda c: capacity - sum(c)
-        for config, x in sorted(solution.items(), key=lambda e: (waste(e[0]), -e[1])):
+        solution, cover, least = fractional(rest, capacity, rounds)
+        bound = bound or least
+        tokens = left = sum(k * n for k, n in rest.items())
+        waste = capacity - tokens / np.ceil(least - 1e-6)
+        for config, x in sorted(solution.items(), key=lambda e: (-e[1], e[0])):
+            if capacity - sum(config) > waste or max(cover[k] for k in config) > OVER:
+                continue
             own = Counter(config)
             bins = min(int(x), *(rest.get(k, 0) // n for k, n in own.items()))
             if bins:
                 packed[config] += bins
+                left -= bins * sum(config)
                 for k, n in own.items():
                     rest[k] -= n * bins
         rest = {k: n for k, n in rest.items() if n}
-    packed.update(best_fit_decreasing(rest, capacity))
-    plain = best_fit_decreasing(small, capacity)
-    if sum(plain.values()) < sum(packed.values()):
-        packed = plain
+        stages.append((packed.copy(), dict(rest)))
+        if left > 0.9 * tokens:
+            break
+    least = int(np.ceil(bound - 1e-6))
+    full, best = counts.get(capacity, 0), None
+    for (down, rest), bend in product(reversed(stages), BENDS):
+        tried = down + _round_up(rest, capacity, bend)
+        if best is None or sum(tried.values()) < sum(best.packed.values()):
+            best = Plan(tried, sum(down.values()), least)
+        if sum(best.packed.values()) <= least * (1 + CLOSE):
+            break
     if full:
-        packed[(capacity,)] += full
-    return packed
+        best = Plan(best.packed + Counter({(capacity,): full}), best.down, least + full)
+    return best
 
 
 def slots(packed: Counter[Config]) -> np.ndarray:
@@ -290,9 +401,9 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_pieces`` (a written table of pieces()) with sequence_id and offset."""
     spark = cut_pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sent = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
+    sent = spark.sparkContext.broadcast(slots(plan(histogram, capacity).packed))
     # Frequent lengths are ranked in many buckets, so that no task gets all pieces of one.
-    many = [x for length, n in histogram.items() if n >= 2 * BUCKET_ROWS for x in (F.lit(length), F.lit(n // BUCKET_ROWS))]
+    many = [x for length, n in histogram.items() if n >= 2 * BUCKET_ROWS for x in (F.lit(length), F.lit(min(n // BUCKET_ROWS, MOST_BUCKETS)))]
     buckets = F.coalesce(F.try_element_at(F.create_map(*many), F.col("length")), F.lit(1)) if many else F.lit(1)
     rows = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), buckets))
     sizes = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
