@@ -12,6 +12,10 @@ from sitelens.llm import decontaminate, fingerprint, langid, language_model, lin
 from sitelens.llm.shared import documents
 
 
+#: The key of the registered PII query alone; whoever runs the operator brings a secret one.
+QUERY_KEY = "the key of this query"
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), QUERY_KEY)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,19 @@
 """PII surrogates with DataFrame functions only.
 
-Detected entities (e-mail addresses, phone numbers, IPv4 addresses, payment cards, and names after
+Detected entities (e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards, and names after
 an honorific) are replaced by keyed surrogates of the same type and format:
 
 * every digit becomes a digit and every letter a letter of its script and case; separators, country
-  codes, top-level domains and honorifics stay; private IPv4 ranges stay private; a card that passes
+  codes, top-level domains and honorifics stay; private IP ranges stay private; a card that passes
   the Luhn check keeps its issuer digit and passes it again;
 * a name becomes pronounceable syllables of its script, with an ending that matches the gender of the
   honorific; each part of a name has its own surrogate, so ``Mr John Smith`` and ``Mr Smith`` still
-  share their surname;
-* the surrogate is a function of (key, entity), so all mentions of an entity get the same one
+  share their surname, and where a document names someone once with an honorific, bare mentions of those parts in it go too;
+* the surrogate is a function of (key, unit), a unit being a part of a name or another entity whole, so all mentions get the same one
   (coreference) without any join or shuffle of texts. Distinctness is checked over the distinct
-  entities of the whole table: where two entities have the same surrogate, or a surrogate equals a
-  real entity, all but the first are drawn again, and what still collides after some draws gets the first free
-  values of its form, counted through. The few entities that were drawn again reach
+  units of the whole table: where two have the same surrogate, or a surrogate equals a
+  real unit, all but the first are drawn again, and what still collides after some draws gets the first free
+  values of its form, counted through. The few entities with units that were drawn again reach
   their documents by a join, in which a small table is broadcast by its measured size only.
 """
 
@@ -24,21 +24,25 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.shared import cut
 
-DEFAULT_KEY = "change-me"
-#: Draws before an entity that still collides gets a free value of its form by rank.
-MAX_DRAWS = 20
+#: Draws before a unit that still collides gets a free value of its form by rank.
+MAX_DRAWS = 4
 
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
-_PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-_CARD = r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w])"
+_IP6 = r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
+_PHONE = (
+    r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    r"|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+)
+#: Groups of four, American Express's groups, and runs of 13 to 19 digits (which count only if they pass the Luhn check).
+_CARD = r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w])|(?<![\w-])3[47]\d{2}([ -]?)\d{6}\2\d{5}(?![\w])|(?<![\w.-])\d{13,19}(?![\w])"
 #: Honorifics and the gender they tell.
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"]
 MALE = ["Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин"]
 _NAME = r"(?<!\p{L})(?:" + "|".join(sorted(FEMALE + MALE, key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
 #: What every entity has in it: a sign that is cheap to look for. Texts without it are not searched further.
-HINT = r"@|[0-9][0-9. ()-]{4}|[MFSHГ]\p{Ll}{1,8}\.? \p{Lu}"
-PATTERN = "|".join([_EMAIL, _PHONE, _IP, _CARD, _NAME])
+HINT = r"@|[0-9][0-9. ()-]{4}|:[0-9A-Fa-f]{0,4}:|[MFSHГ]\p{Ll}{1,8}\.? \p{Lu}"
+PATTERN = "|".join([_EMAIL, _PHONE, _IP, _IP6, _CARD, _NAME])
 
 #: Letters by script and case; a letter outside of them becomes one of the first row of its case.
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -118,6 +122,17 @@ def _ip_from(value: Column, s: Column) -> Column:
     return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
 
+def _ip6(value: Column, key: str, draw: Column) -> Column:
+    """Hex digits become hex digits, of the same case; the first group of a link-local or private address stays."""
+
+    def one(c: Column, i: Column, s: Column, kept: Column) -> Column:
+        new = F.lower(F.hex(_byte(s, i) % 16))
+        return F.when((i < kept) | (c == ":"), c).when(c.rlike("[A-F]"), F.upper(new)).otherwise(new)
+
+    kept = F.when(value.rlike("(?i)^(fe80|f[cd]..):"), 4).otherwise(0)
+    return _let(_stream(key, "ip6", value, draw), lambda s: F.array_join(F.transform(_chars(value), lambda c, i: one(c, i, s, kept)), ""))
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Luhn sum of an array of digits, the last of them a check digit."""
     n = F.size(digits)
@@ -146,9 +161,9 @@ def _card_of(value: Column, digits: Column, body: Column, off: Column) -> Column
     fit = (F.lit(10) - short) % 10
     unfit = (fit + 1 + off) % 10
     last = F.when(_luhn_sum(digits) % 10 == 0, fit).otherwise(unfit).cast("string")
-    new = F.array_join(F.concat(head, F.array(last)), "")
-    sep = F.regexp_extract(value, r"^\d{4}([ -]?)", 1)
-    return F.when(sep == "", new).otherwise(F.regexp_replace(new, r"(\d{4})(?=\d)", F.concat(F.lit("$1"), sep)))
+    new = F.concat(head, F.array(last))
+    nth = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9]", ""))
+    return F.array_join(F.transform(_chars(value), lambda c, i: F.when(c.rlike("[0-9]"), F.element_at(new, nth(i))).otherwise(c)), "")
 
 
 def _name_part(part: Column, role: str, female: Column, key: str, draw: Column) -> Column:
@@ -176,27 +191,63 @@ def _name(value: Column, key: str, draw: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """email, ip, card, phone or name, told from the form of a detected entity."""
+    """email, ip, ip6, card, phone or name, told from the form of a detected entity; number for a run of digits that is no card."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
     return (
         F.when(entity.contains("@"), "email")
         .when(entity.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
-        .when(entity.rlike(r"^\d") & (F.length(digits) == 16), "card")
-        .when(entity.rlike(r"^[+(]"), "phone")
+        .when(entity.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6")
+        .when(entity.rlike(r"^\d") & ((F.length(digits) == 16) | ((F.length(digits) > 12) & (_luhn_sum(_chars(digits)) % 10 == 0))), "card")
+        .when(entity.rlike(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"), "phone")
+        .when(entity.rlike(r"^\d"), "number")
         .otherwise("name")
     )
 
 
-def surrogate(entity: Column, key: str = DEFAULT_KEY, draw: Column | None = None) -> Column:
-    """The keyed replacement of a detected entity; ``draw`` above 0 gives other ones."""
+#: A unit of a name is its role, this sign and the part itself. Roles of given names tell the gender.
+_ROLE = "\x1f"
+
+
+def units_of(entity: Column) -> Column:
+    """What is held apart: the parts of a name, each with its role, or the entity itself."""
+    parts = F.split(entity, " ")
+    surname = F.concat(F.lit(f"surname{_ROLE}"), F.element_at(parts, -1))
+    given = F.concat(F.when(_is_female(entity), f"given-f{_ROLE}").otherwise(f"given-m{_ROLE}"), F.try_element_at(parts, F.lit(2)))
+    named = F.when(F.size(parts) > 2, F.array(given, surname)).otherwise(F.array(surname))
+    return F.when(kind_of(entity) == "name", named).otherwise(F.array(entity))
+
+
+def _is_female(name: Column) -> Column:
+    return F.regexp_replace(F.substring_index(name, " ", 1), r"\.", "").isin(*FEMALE)
+
+
+def _is_part(unit: Column) -> Column:
+    return unit.contains(_ROLE)
+
+
+def composed(entity: Column, units: Column) -> Column:
+    """The surrogate of an entity from those of its units."""
+    plain = F.transform(units, lambda u: F.substring_index(u, _ROLE, -1))
+    named = F.array_join(F.concat(F.array(F.substring_index(entity, " ", 1)), plain), " ")
+    return F.when(kind_of(entity) == "name", named).otherwise(F.element_at(units, 1))
+
+
+def surrogate(unit: Column, key: str, draw: Column | None = None) -> Column:
+    """The keyed replacement of a unit; ``draw`` above 0 gives other ones. A whole name is replaced part by part."""
     draw = F.lit(0) if draw is None else draw
-    kind = kind_of(entity)
+    kind = kind_of(unit)
+    part, female = F.substring_index(unit, _ROLE, -1), unit.startswith("given-f")
+    role = F.concat(F.substring_index(unit, _ROLE, 1), F.lit(_ROLE))
+    new_part = F.when(unit.startswith("surname"), _name_part(part, "surname", female, key, draw)).otherwise(_name_part(part, "given", female, key, draw))
     return (
-        F.when(kind == "email", _email(entity, key, draw))
-        .when(kind == "ip", _ip(entity, key, draw))
-        .when(kind == "card", _card(entity, key, draw))
-        .when(kind == "phone", _phone(entity, key, draw))
-        .otherwise(_name(entity, key, draw))
+        F.when(_is_part(unit), F.concat(role, new_part))
+        .when(kind == "email", _email(unit, key, draw))
+        .when(kind == "ip", _ip(unit, key, draw))
+        .when(kind == "ip6", _ip6(unit, key, draw))
+        .when(kind == "card", _card(unit, key, draw))
+        .when(kind == "phone", _phone(unit, key, draw))
+        .when(kind == "number", unit)
+        .otherwise(_name(unit, key, draw))
     )
 
 
@@ -243,7 +294,7 @@ def _address(n: Column, octets: int) -> Column:
 
 
 def numbered_value(entity: Column, key: str, n: Column) -> Column:
-    """Value ``n`` (from 0) of the form of an entity. Where a form is used up, names, local parts and phone numbers
+    """Value ``n`` (from 0) of the form of a unit. Where a form is used up, names, local parts and phone numbers
     grow longer, and addresses go on in 10.0.0.0/8 and then in the reserved 240.0.0.0/4."""
     local, new = F.substring_index(entity, "@", 1), F.substring_index(_email(entity, key, F.lit(0)), "@", -1)
     email = F.concat(_counted(local, n, LOWER), F.lit("@"), new)
@@ -265,26 +316,39 @@ def numbered_value(entity: Column, key: str, n: Column) -> Column:
         .when(entity.startswith("192.168.") | entity.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), two).otherwise(public)
     )
     digits = _chars(F.regexp_replace(entity, "[ -]", ""))
-    card = _card_of(entity, digits, _chars(F.lpad(n.cast("string"), 14, "0")), F.lit(0))
-    parts = F.split(entity, " ")
-    title, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    card = _card_of(entity, digits, _chars(F.lpad(n.cast("string"), F.size(digits) - 2, F.lit("0"))), F.lit(0))
+    ip6 = _hex_counted(entity, n)
     hexed = F.hex(n)
-    places = _chars(F.when(F.length(hexed) < 4, F.lpad(hexed, 4, "0")).otherwise(hexed))
-    female = F.regexp_replace(title, r"\.", "").isin(*FEMALE)
+    places = lambda least: _chars(F.when(F.length(hexed) < least, F.lpad(hexed, least, "0")).otherwise(hexed))
+    part, role = F.substring_index(entity, _ROLE, -1), F.concat(F.substring_index(entity, _ROLE, 1), F.lit(_ROLE))
 
     def spoken(script: str, endings: tuple[str, str]) -> Column:
         rows = F.array(*[F.lit(x) for x in SYLLABLES[script]])
-        surname = F.initcap(F.array_join(F.transform(places, lambda c: F.element_at(rows, F.conv(c, 16, 10).cast("int") + 1)), ""))
-        given = F.initcap(F.concat(F.lit("".join(SYLLABLES[script][:3])), F.when(female, endings[0]).otherwise(endings[1])))
-        return F.when(F.size(parts) > 2, F.concat_ws(" ", title, given, surname)).otherwise(F.concat_ws(" ", title, surname))
+        said = lambda least: F.array_join(F.transform(places(least), lambda c: F.element_at(rows, F.conv(c, 16, 10).cast("int") + 1)), "")
+        given = F.concat(said(3), F.when(entity.startswith("given-f"), endings[0]).otherwise(endings[1]))
+        return F.initcap(F.when(entity.startswith("surname"), said(4)).otherwise(given))
 
-    name = F.when(last.rlike(r"\p{IsCyrillic}"), spoken("cyrillic", ("на", "ро"))).when(last.rlike(r"\p{IsGreek}"), spoken("greek", ("να", "ρο")))
-    name = name.otherwise(spoken("latin", ("na", "ro")))
+    name = F.when(part.rlike(r"\p{IsCyrillic}"), spoken("cyrillic", ("на", "ро"))).when(part.rlike(r"\p{IsGreek}"), spoken("greek", ("να", "ρο")))
+    name = F.concat(role, name.otherwise(spoken("latin", ("na", "ro"))))
     kind = kind_of(entity)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
+    by_kind = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", card)
+    return F.when(_is_part(entity), name).otherwise(by_kind.otherwise(phone))
+
+
+def _hex_counted(value: Column, n: Column) -> Column:
+    """Value ``n`` of the form of an IPv6 address: its hex digits are counted through, but for the first group."""
+
+    def put(acc: Column, c: Column) -> Column:
+        digit = F.lower(F.hex(acc["left"] % 16))
+        moved = F.struct(F.floor(acc["left"] / 16).alias("left"), F.concat(digit, acc["out"]).alias("out"))
+        return F.when(c == ":", F.struct(acc["left"].alias("left"), F.concat(c, acc["out"]).alias("out"))).otherwise(moved)
+
+    first = F.substring_index(value, ":", 1)
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+    return F.concat(first, F.aggregate(F.reverse(_chars(F.substring(value, F.length(first) + 1, F.length(value)))), start, put)["out"])
 
 
-def ranked(stuck: DataFrame, taken: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def ranked(stuck: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """entity, surrogate for every one of ``stuck`` (entity): free values of its form, that aren't ``taken`` (surrogate)."""
     rest = cut(stuck.select("entity", numbered_value(F.col("entity"), key, F.lit(0).cast("long")).alias("form")))
     placed, width = None, 2
@@ -304,13 +368,14 @@ def ranked(stuck: DataFrame, taken: DataFrame, key: str = DEFAULT_KEY) -> DataFr
     return placed
 
 
-def redrawn(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """entity, surrogate for those distinct ``entities`` whose first surrogate isn't free.
+def redrawn(entities: DataFrame, key: str) -> DataFrame:
+    """entity, surrogate for those distinct units (column ``entity``) whose first surrogate isn't free.
 
-    A surrogate is free when no entity equals it and no other entity, earlier in (draw, text) order,
-    has it. Names share parts on purpose, so they are held apart by their whole text.
+    A surrogate is free when no unit equals it and no other unit, earlier in (draw, text) order, has it.
     """
-    known = cut(entities.select("entity").distinct())
+    # Written in as many parts as shuffles have: there are few rows, but each takes long to draw.
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cut(entities.select("entity").distinct().repartition(parts, "entity"))
     table = cut(known.select("entity", F.lit(0).alias("draw"), surrogate(F.col("entity"), key).alias("surrogate")))
     for turn in range(MAX_DRAWS + 1):
         # The first holder of each surrogate keeps it; one row per surrogate, so nothing gathers.
@@ -333,16 +398,34 @@ def redrawn(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     return good.filter("draw > 0").select("entity", "surrogate").unionByName(ranked(judged.filter("bad").select("entity"), taken, key))
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def redrawn_entities(entities: DataFrame, key: str) -> DataFrame:
+    """entity, surrogate for the distinct ``entities`` of which a unit was drawn again."""
+    units = cut(entities.select("entity", F.posexplode(units_of(F.col("entity"))).alias("nth", "unit")))
+    over = cut(redrawn(units.select(F.col("unit").alias("entity")), key).select(F.col("entity").alias("unit"), F.col("surrogate").alias("new")))
+    touched = units.join(over, "unit").select("entity", "nth", "new").groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("nth", "new"))).alias("news"))
+    own = F.transform(units_of(F.col("entity")), lambda u, i: F.coalesce(F.element_at(F.col("news"), i), surrogate(u, key)))
+    return touched.select("entity", composed(F.col("entity"), own).alias("surrogate"))
+
+
+def _without_bare_names(fragment: Column, names: Column) -> Column:
+    """A piece of text between entities, with the parts of the document's names (entity, new) replaced as whole words."""
+    pairs = F.flatten(F.transform(names, lambda e: F.slice(F.arrays_zip(F.split(e["entity"], " ").alias("old"), F.split(e["new"], " ").alias("new")), 2, 2)))
+    whole = lambda p: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), p["old"], F.lit(r"(?![\p{L}\p{N}])"))
+    return F.aggregate(pairs, fragment, lambda acc, p: F.regexp_replace(acc, whole(p), p["new"]))
+
+
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the entities of ``text`` replaced and ``n_entities`` appended (or replaced).
 
+    ``key`` is a secret: whoever has it can tell which surrogate an entity has. Bare mentions of a name count as part of its entity.
     A null text stays null with 0 entities. Repeated rows and ids are allowed; extra columns stay.
     Empty tables give empty tables.
     """
+    if not key:
+        raise ValueError("a key is needed")
     found = docs.select(F.col(id_col).alias("id"), F.explode(entities_in(F.col(text))).alias("entity"))
-    found = cut(found.distinct())
-    over = cut(redrawn(found, key))
-    listed = F.col("__llm_entities")
+    found = cut(found.filter(kind_of(F.col("entity")) != "number").distinct())
+    over = cut(redrawn_entities(found.select("entity").distinct(), key))
     work = docs.withColumn("__llm_entities", entities_in(F.col(text)))
     swap = lambda e: surrogate(e, key)
     if over.limit(1).count():
@@ -350,8 +433,14 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
         by_doc = cut(by_doc).withColumnRenamed("id", "__llm_id")
         work = work.join(by_doc, F.col(id_col).eqNullSafe(F.col("__llm_id")), "left").drop("__llm_id")
         swap = lambda e: F.coalesce(F.element_at(F.col("__llm_over"), e), surrogate(e, key))
+    kinds = lambda e: F.struct(e.alias("entity"), swap(e).alias("new"), kind_of(e).alias("kind"))
+    work = work.withColumn("__llm_swapped", F.transform("__llm_entities", kinds))
+    listed = F.col("__llm_swapped")
+    names = F.array_distinct(F.filter(listed, lambda e: e["kind"] == "name"))
     parts = F.split(F.col(text), PATTERN, -1)
-    mended = F.array_join(F.zip_with(parts, F.transform(listed, swap), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    parts = F.when(F.exists(listed, lambda e: e["kind"] == "name"), F.transform(parts, lambda p: _without_bare_names(p, names))).otherwise(parts)
+    mended = F.array_join(F.zip_with(parts, listed, lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), "")
     new = F.when(F.size(listed) > 0, mended).otherwise(F.col(text))
     columns = [new.alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_entities"]
-    return work.select(*columns, F.when(F.col(text).isNull(), 0).otherwise(F.size(listed)).cast("long").alias("n_entities"))
+    counted = F.size(F.filter(listed, lambda e: e["kind"] != "number"))
+    return work.select(*columns, F.when(F.col(text).isNull(), 0).otherwise(counted).cast("long").alias("n_entities"))

@@ -74,7 +74,7 @@ def test_empty_inputs(spark):
     assert simhash.near_duplicates(none).count() == 0
     assert secret_scan.scan(none).count() == 0
     assert line_dedup.drop_boilerplate(none).count() == 0
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
 
 
 # -- SimHash -----------------------------------------------------------------
@@ -202,7 +202,7 @@ def test_surrogates_keep_type_and_are_distinct(spark, sf):
         "Again jo.Ann7@mail1.example.com; host 10.0.0.7 and 97.51.17.173, card 4111 1111 1111 1111 or 4111111111111112.",
         "Mrs. Anna Smith met Mr Smith and Господин Иванов", None, "", "nothing here 1.2.3 12345",
     ]
-    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, texts)).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, texts), "k").collect()}
     assert [out[i].n_entities for i in range(6)] == [3, 5, 3, 0, 0, 0]
     assert out[3].text is None and out[4].text == "" and out[5].text == texts[5]
     first, second, third = out[0].text, out[1].text, out[2].text
@@ -215,13 +215,13 @@ def test_surrogates_keep_type_and_are_distinct(spark, sf):
     assert luhn(cards[1].replace(" ", "")) and not luhn(cards[2])
     m = re.fullmatch(r"Mrs\. (\w+na) (\w+) met Mr (\w+) and Господин ([А-Яа-я]+)", third)
     assert m[2] == m[3] != "Smith" and m[4] != "Иванов"
-    assert {r.text for r in pii.pseudonymise(table(spark, texts), key="other").collect()} != {r.text for r in out.values()}
+    assert {r.text for r in pii.pseudonymise(table(spark, texts), "other").collect()} != {r.text for r in out.values()}
 
 
 def test_collisions_are_drawn_again(spark, monkeypatch):
     real = pii.surrogate
 
-    def crowded(entity, key=pii.DEFAULT_KEY, draw=None):
+    def crowded(entity, key="k", draw=None):
         from pyspark.sql import functions as F
 
         d = F.lit(0) if draw is None else draw
@@ -229,7 +229,7 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
 
     monkeypatch.setattr(pii, "surrogate", crowded)
     texts = [f"host 97.51.17.{i} and 97.51.17.{i % 3}" for i in range(9)]
-    out = [r.text for r in pii.pseudonymise(table(spark, texts)).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymise(table(spark, texts), "k").orderBy("doc_id").collect()]
     ips = [re.findall(r"\d+\.\d+\.\d+\.\d+", t) for t in out]
     assert len({x[0] for x in ips}) == 9
     assert all(ips[i][1] == ips[i % 3][0] for i in range(9))

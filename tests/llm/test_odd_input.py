@@ -44,7 +44,7 @@ def test_filters_keep_columns(spark, odd):
     for name, frame in kept.items():
         assert frame.columns == odd.columns, name
     assert kept["boilerplate"].count() == odd.count() and kept["clean"].count() == odd.count() - 2
-    hidden = pii.pseudonymise(odd)
+    hidden = pii.pseudonymise(odd, "k")
     assert hidden.count() == odd.count() and hidden.columns == [*odd.columns, "n_entities"]
 
 
