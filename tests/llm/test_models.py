@@ -35,18 +35,18 @@ def crc(i, m):
 # -- language ID -------------------------------------------------------------
 
 
-def slow_bits(model_rows, text, languages, contexts, order):
+def slow_bits(model_rows, text, languages, order, least):
     """Code length by walking the tree for every byte, with explicit exclusion."""
     out = []
     for lang in languages:
-        counts = Counter()
+        counts, times = Counter(), Counter()
         for name, t in model_rows:
             if name == lang:
                 for i in range(len(t)):
                     for k in range(min(order, i) + 1):
-                        ctx = t[i - k : i]
-                        if k == 0 or ctx in contexts:
-                            counts[ctx, t[i]] += 1
+                        counts[t[i - k : i], t[i]] += 1
+                        times[t[i - k : i]] += 1
+        contexts = {c for c, n in times.items() if n >= least}
 
         def dist(ctx):
             above = dist(ctx[1:]) if ctx else [1 / 256] * 256
@@ -60,7 +60,7 @@ def slow_bits(model_rows, text, languages, contexts, order):
         bits = 0
         for i, b in enumerate(text):
             k = max(k for k in range(min(order, i) + 1) if k == 0 or text[i - k : i] in contexts)
-            bits += round(-math.log2(dist(text[i - k : i])[b]) * 1024)
+            bits += round(-math.log2(dist(text[i - k : i])[b]) * 256)
         out.append(bits)
     return out
 
@@ -68,20 +68,12 @@ def slow_bits(model_rows, text, languages, contexts, order):
 def test_code_lengths_match_a_tree_walk():
     rng = random.Random(1)
     rows = [(lang, "".join(rng.choices(letters, k=300)).encode()) for lang, letters in (("a", "abcé "), ("b", "abxy "))]
-    model = langid.train(rows, order=3, max_cells=60)
-    seen = Counter()
-    for _, t in rows:
-        for i in range(len(t)):
-            for k in range(1, min(3, i) + 1):
-                seen[t[i - k : i]] += 1
-    ranked = sorted(seen.values(), reverse=True)
-    least = max(2, ranked[255] + 1 if len(ranked) >= 256 else 2)
-    contexts = {c for c, n in seen.items() if n >= least}
+    model = langid.train(rows, order=3, least=4)
     texts = ["".join(rng.choices("abcxyzé ", k=n)).encode() for n in (0, 1, 5, 40)]
     for chunk in (7, 512):
         got = langid.code_lengths(model, texts, order=3, chunk=chunk)
         for row, t in zip(got.tolist(), texts):
-            assert row == pytest.approx(slow_bits(rows, t, model.languages, contexts, 3), abs=len(t))
+            assert row == pytest.approx(slow_bits(rows, t, model.languages, 3, 4), abs=len(t))
 
 
 def test_languages_of_held_out_rows(spark):
@@ -93,6 +85,20 @@ def test_languages_of_held_out_rows(spark):
     assert np.mean([got[i].lang_pred == truth[i] for i in held]) > 0.98
 
 
+def test_a_language_of_long_texts_is_learned_and_copies_count_once(spark):
+    german, english = "der hund und die katze gingen über die straße " * 30_000, "the cat and the dog went over the road "
+    texts = [german, german + "x", *[english * 20] * 50, "die straße und der hund", "the dog and the road"]
+    langs = {i: "de" if i < 2 else "en" for i in range(52)}
+    docs = spark.createDataFrame([(None if i > 20 else i, t, langs.get(i)) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    chosen = langid.sample(docs.filter("lang IS NOT NULL").withColumnRenamed("doc_id", "id"), bound=5000)
+    assert {lang for lang, _ in chosen} == {"de", "en"}
+    assert all(0 < sum(len(t) for name, t in chosen if name == lang) <= 5000 for lang in ("de", "en"))
+    assert len({t for _, t in chosen}) <= 8
+    model = langid.train(chosen)
+    bits = langid.code_lengths(model, [t.encode() for t in texts[-2:]])
+    assert [model.languages[i] for i in bits.argmin(axis=1)] == ["de", "en"]
+
+
 def test_language_edge_cases(spark):
     texts = ["the cat and the dog", "der hund und die katze", None, "", "123 !?", "é" * 5000] * 3
     langs = {i: ("en", "de")[i % 6] for i in range(18) if i % 6 < 2}
@@ -128,7 +134,7 @@ def test_predictive_probabilities_sum_to_one(spark, monkeypatch):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choices(vocab, weights=[1 / (k + 1) for k in range(40)], k=60)) for _ in range(80)]
-    frame = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
     monkeypatch.setattr(language_model, "CONTEXT_SHARE", 0.02)
     total, contexts = language_model.frequent_words(frame)
     assert total == 80 * 61 and language_model.END not in contexts[1:] and len(contexts) > 5
@@ -136,12 +142,12 @@ def test_predictive_probabilities_sum_to_one(spark, monkeypatch):
     direct = Counter()
     at = {w: i + 1 for i, w in enumerate(contexts)}
     for t in texts:
-        ws = [*t.encode().split(), b"\n"]
-        for w, before in zip(ws, [b"\n", *ws]):
+        ws = [*t.split(), "\n"]
+        for w, before in zip(ws, ["\n", *ws]):
             direct[w, at.get(before, 0)] += 1
     got = Counter()
     for r in pairs.collect():
-        got.update({(bytes(r.word), int(u)): int(c) for u, c in zip(np.frombuffer(r.us, "<u4"), np.frombuffer(r.cs, "<i8"))})
+        got.update({(r.word, int(u)): int(c) for u, c in zip(np.frombuffer(r.us, "<u4"), np.frombuffer(r.cs, "<i8"))})
     assert got == direct
     guess = language_model.count_totals(pairs, len(contexts))
     seated = language_model.cut(language_model.seatings(pairs, guess, 6, 3))
@@ -163,6 +169,97 @@ def test_predictive_probabilities_sum_to_one(spark, monkeypatch):
         assert (np.frombuffer(r.rc, "<i8") == ts.sum(axis=0) + cs[~inside].sum()).all()
 
 
+def slow_gibbs(counts, openings, direct, d, d0, root_opening, root_total, sweeps, seed):
+    """Customer by customer, with every table: mean tables of each pair and of the root, over the later half of the sweeps."""
+    rng = random.Random(seed)
+    tables = {k: [1] * n for k, n in counts.items()}
+    words = {w for w, _ in counts} | set(direct)
+    root = {w: [direct.get(w, 0) + sum(len(t) for (v, _), t in tables.items() if v == w)] for w in words}
+
+    def at_root(w, go):
+        own = root[w]
+        if go:
+            k = rng.choices(range(len(own)), own)[0]
+            own[k] -= 1
+            if not own[k]:
+                del own[k]
+        else:
+            k = rng.choices(range(len(own) + 1), [x - d0 for x in own] + [root_opening])[0]
+            own.append(1) if k == len(own) else own.__setitem__(k, own[k] + 1)
+
+    kept, kept_root = Counter(), Counter()
+    for sweep in range(sweeps):
+        for (w, u), own in tables.items():
+            for _ in range(counts[w, u]):
+                k = rng.choices(range(len(own)), own)[0]
+                own[k] -= 1
+                if not own[k]:
+                    del own[k]
+                    at_root(w, True)
+                p = (sum(root[w]) - d0 * len(root[w]) + root_opening) / (1 + root_total)
+                k = rng.choices(range(len(own) + 1), [x - d for x in own] + [openings[u] * p])[0]
+                if k == len(own):
+                    own.append(1)
+                    at_root(w, False)
+                else:
+                    own[k] += 1
+        for w in words:
+            for _ in range(direct.get(w, 0)):
+                at_root(w, True)
+                at_root(w, False)
+        if sweep >= sweeps // 2:
+            kept.update({k: len(t) for k, t in tables.items()})
+            kept_root.update({w: len(t) for w, t in root.items()})
+    half = sweeps - sweeps // 2
+    return {k: n / half for k, n in kept.items()}, {w: n / half for w, n in kept_root.items()}
+
+
+def test_block_sweeps_agree_with_customer_by_customer_gibbs():
+    counts = {(0, 1): 60, (0, 2): 20, (0, 3): 3, (1, 1): 2, (1, 2): 25, (2, 3): 40, (3, 1): 1}
+    direct = {0: 5, 1: 10, 3: 2}
+    customers = np.array([0.0, 63, 45, 43])
+    totals = language_model.Totals(4, 168, (0.6, 0.4), customers, np.array([[4.0, 12, 12, 8]]), np.array([50.0]))
+    rows = sorted({**counts, **{(w, 0): n for w, n in direct.items()}}.items())
+    word, us = (np.array([k[i] for k, _ in rows]) for i in (0, 1))
+    cs = np.array([n for _, n in rows])
+    ts, rc, rt = language_model.sample_seatings(word, us, cs, 4, totals, 7, 1500, 1400)
+    root_opening = (1 + 0.4 * 4.0) * totals.base
+    openings = {u: 1 + 0.6 * totals.tables[0, u] for u in (1, 2, 3)}
+    want, want_root = slow_gibbs(counts, openings, direct, 0.6, 0.4, root_opening, 50.0, 1500, 3)
+    for (k, _), got in zip(rows, ts.mean(axis=0)):
+        assert got == pytest.approx(want.get(k, 0), rel=0.1, abs=0.15), k
+    assert rt.mean(axis=0) == pytest.approx([want_root[w] for w in range(4)], rel=0.15, abs=0.15)
+    assert len({tuple(t) for t in ts}) > 1000  # seatings that are kept differ
+
+
+def test_tables_of_many_customers_follow_the_exact_weights():
+    top = 1500
+    exact = language_model.log_stirling(0.6, top)
+    for c in (65, 300, top):
+        for opening, rest in ((0.01, np.inf), (0.5, np.inf), (20.0, np.inf), (900.0, np.inf), (0.2, 3.0), (30.0, 100.0)):
+            t = np.arange(1, c + 1)
+            weight = exact[c, 1 : c + 1] + t * np.log(opening) + np.concatenate(([0.0], np.cumsum(np.log1p(t[:-1] / rest))))
+            weight = np.exp(weight - weight.max())
+            mean = (weight * t).sum() / weight.sum()
+            deviation = np.sqrt((weight * t**2).sum() / weight.sum() - mean**2)
+            got = language_model.seat(np.full(2000, c), np.full(2000, opening), np.full(2000, rest), 0.6, np.random.default_rng(1))
+            assert got.mean() == pytest.approx(mean, rel=0.12, abs=0.1), (c, opening, rest)
+            assert got.std() == pytest.approx(deviation, rel=0.5, abs=0.1), (c, opening, rest)
+
+
+def test_contexts_do_not_depend_on_how_texts_are_dealt(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(200)], weights=[1 / (k + 1) for k in range(200)], k=40)) for _ in range(300)] + ["", "  a\t B "]
+    counts = Counter(w for t in texts for w in [*t.lower().split(), "\n"])
+    n = sum(counts.values())
+    monkeypatch.setattr(language_model, "CONTEXT_SHARE", 0.005)
+    want = sorted(w for w, k in counts.items() if k >= 0.005 * n)
+    for size, parts in ((1, 1), (3000, 3), (6 << 20, 4)):
+        monkeypatch.setattr(language_model, "BLOCK_BYTES", size)
+        frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+        assert language_model.frequent_words(frame) == (n, want)
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(table(spark, [])).count() == 0
     for r in language_model.score(table(spark, [None, "a b", "a b"])).collect():
