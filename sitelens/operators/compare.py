@@ -115,7 +115,8 @@ def paired_sections(current: DataFrame, previous: DataFrame) -> DataFrame:
 def comparability(pairs: DataFrame) -> DataFrame:
     """The first reason why two sections don't compare, or null (C2), and whether a comparison is approximate.
 
-    Columns: current_at, previous_at; and for each side ``c_`` and ``p_``: question_text, complete, accuracy, value_type, columns, defined.
+    Columns: current_at, previous_at; and for each side ``c_`` and ``p_``: question_text, complete, accuracy, value_type, columns, defined;
+    for the current one also metrics, the defined ones, which have to be among its columns.
     """
     c, p = (lambda n: F.col(f"c_{n}")), (lambda n: F.col(f"p_{n}"))
     reason = (
@@ -125,26 +126,46 @@ def comparability(pairs: DataFrame) -> DataFrame:
         .when((c("accuracy") == "unavailable") | (p("accuracy") == "unavailable"), "section-unavailable")
         .when(~c("value_type").eqNullSafe(p("value_type")), "value-type-mismatch")
         .when(~c("defined"), "unsupported-question")
-        .when(~c("columns").eqNullSafe(p("columns")), "columns-mismatch")
+        .when(~c("columns").eqNullSafe(p("columns")) | ~F.forall(c("metrics"), lambda m: F.array_contains(c("columns"), m)), "columns-mismatch")
     )
     close = F.when((c("accuracy") == "approximate") | (p("accuracy") == "approximate"), "approximate").otherwise("exact")
     return pairs.withColumn("reason", reason).withColumn("accuracy", F.when(reason.isNull(), close))
 
 
-def _plain(value: Column) -> Column:
-    """Whole numbers without decimals, others with two."""
-    return F.when(value.isNull(), "-").when(value == F.floor(value), F.format_string("%d", value.cast("long"))).otherwise(F.format_string("%.2f", value))
+def _number(value: Column, decimals: int) -> Column:
+    """A number rounded half up, without trailing zeros."""
+    scaled = F.floor(value * 10**decimals + F.lit(0.5)) / 10**decimals
+    text = F.format_string(f"%.{decimals}f", scaled)
+    return F.when(scaled == F.floor(scaled), F.format_string("%d", scaled.cast("long"))).otherwise(F.regexp_replace(text, "0+$", ""))
 
 
-def digest_rows(rows: DataFrame, keys: list[str], metric: str, limit: int = 5) -> DataFrame:
-    """The first rows of a comparison as text: label, value, change and how many rows are left out."""
-    order = Window.orderBy(F.col("current").desc_nulls_last(), *[F.coalesce(F.col(k), F.lit("")) for k in keys])
-    chosen = rows.filter(F.col("metric") == metric)
-    first = chosen.orderBy(F.col("current").desc_nulls_last(), *[F.coalesce(F.col(k), F.lit("")) for k in keys]).limit(limit)
-    total = chosen.agg(F.count(F.lit(1)).alias("n"))
-    sign = F.when(F.col("change").isNull(), F.coalesce("change_reason", "reason")).otherwise(
-        F.concat(F.format_string("%+.1f", F.col("change")), F.when(F.col("change_type") == "percentage-points", " points").otherwise("%"))
+def _metric_text() -> Column:
+    """The words of a digest."""
+    value = F.concat_ws(" ", "metric", _number(F.col("current"), 2), "unit")
+    judged = F.when(F.col("assessment").isin("improvement", "regression"), F.concat(F.lit(", "), "assessment")).otherwise("")
+    rounded = F.floor(F.col("change") * 10 + F.lit(0.5)) / 10
+    change = F.concat(F.when(rounded > 0, "+").otherwise(""), _number(F.col("change"), 1))
+    told = F.concat(change, F.when(F.col("change_type") == "percentage-points", " percentage points").otherwise("%"))
+    told = F.when(F.col("reason").isNotNull(), "comparison unavailable").otherwise(
+        F.concat(F.when(F.col("change").isNull(), "change unavailable from zero baseline").otherwise(told), judged)
     )
-    label = F.concat_ws(" / ", *[F.coalesce(F.col(k), F.lit("")) for k in keys]) if keys else F.lit(metric)
-    placed = first.withColumn("place", F.row_number().over(order)).withColumn("line", F.concat_ws(" ", label, _plain(F.col("current")), F.concat(F.lit("("), sign, F.lit(")"))))
-    return placed.join(total).select("place", "line", F.greatest(F.col("n") - limit, F.lit(0).cast("long")).alias("omitted"))
+    return F.concat(value, F.lit(" ("), told, F.lit(")"))
+
+
+def digest_rows(rows: DataFrame, keys: list[str], definition: Definition, limit: int = 5) -> DataFrame:
+    """The first rows of a comparison as text (C10): place, line, and how many rows are left out.
+
+    A line names the row's keys that are not null and all metrics that have a current value, in the order of the definition. Rows that only
+    the previous period has are neither told nor counted. Rows stand by the first metric, highest first, then by keys.
+    """
+    order = {m.column: i for i, m in enumerate(definition.metrics)}
+    nth = F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("metric"))
+    told = rows.filter(F.col("current").isNotNull()).withColumn("entry", F.struct(nth.alias("nth"), F.col("current"), _metric_text().alias("text")))
+    lines = told.groupBy(*keys).agg(F.array_sort(F.collect_list("entry")).alias("entries"))  # an entry per metric at most
+    label = F.concat_ws(", ", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in keys]) if keys else F.lit("")
+    values = F.array_join(F.transform("entries", lambda e: e["text"]), ", ")
+    lines = lines.select(*keys, F.col("entries")[0]["current"].alias("first"), F.when(label == "", values).otherwise(F.concat(label, F.lit(": "), values)).alias("line"))
+    by = [F.col("first").desc_nulls_last(), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]]
+    first = lines.orderBy(*by).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*by)))  # ``limit`` rows
+    total = lines.agg(F.count(F.lit(1)).alias("n"))
+    return first.join(total).select("place", "line", F.greatest(F.col("n") - limit, F.lit(0).cast("long")).alias("omitted"))

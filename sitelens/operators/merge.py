@@ -54,7 +54,7 @@ def covering_windows(wanted: DataFrame, ledger: DataFrame) -> DataFrame:
     have = ledger.select(*WINDOW).distinct()
     found = wanted.join(have, WINDOW, "left_semi")
     lacking = wanted.filter("granularity = 'daily'").join(have, WINDOW, "left_anti").select(F.col("window_start").alias("day"))
-    hours = have.filter("granularity = 'hourly'").withColumn("day", F.date_trunc("day", "window_start"))
+    hours = have.filter("granularity = 'hourly'").withColumn("day", F.timestamp_seconds(F.unix_seconds("window_start") - F.pmod(F.unix_seconds("window_start"), F.lit(86_400))))
     whole = hours.groupBy("day").agg(F.count(F.lit(1)).alias("n")).filter("n = 24").join(lacking, "day", "left_semi")
     return found.unionByName(hours.join(whole, "day", "left_semi").select(*WINDOW))
 
@@ -67,26 +67,35 @@ def require_no_holes(counts: DataFrame) -> None:
         raise ValueError("no stored window covers any of the range")
 
 
-NARROWINGS = ["include_bots", "limit", "param", "host", "paths", "countries", "rendered_only", "redirects"]
+NARROWINGS = ["include_bots", "bot_agents", "limit", "param", "host", "paths", "countries", "rendered_only", "redirects"]
 
 
 def adopted(ledger: DataFrame, asked: dict[str, str | None]) -> DataFrame:
     """Ledger rows whose question matches (M9).
 
-    Named narrowings must be equal; those not named are adopted if all windows agree on them. A stored limit must be at least the
-    asked one; with none asked the smallest stored one holds (column ``adopted_limit``).
+    Named narrowings must be equal in every window; those not named are adopted if all windows agree on them. A stored limit must be at
+    least the asked one; with none asked the smallest stored one holds (column ``adopted_limit``). Windows that do not match are refused,
+    not left out: without them the answer would lack a part of the range. Narrowings that no window stores are none.
     """
     rows = ledger
-    for name in NARROWINGS:
-        if name in asked and name != "limit":
-            rows = rows.filter(F.col(name).eqNullSafe(F.lit(asked[name])))
-    free = [n for n in NARROWINGS if n not in asked and n != "limit"]
+    stored = [n for n in NARROWINGS if n in ledger.columns]
+    differs = F.lit(False)
+    for name, value in asked.items():
+        if name in stored and name != "limit":
+            differs = differs | ~F.col(name).eqNullSafe(F.lit(value))
+        elif name not in stored and value is not None:
+            raise ValueError(f"no stored window was narrowed by {name}")
+    if asked.get("limit") is not None and "limit" in stored:
+        differs = differs | F.coalesce(F.col("limit") < int(asked["limit"]), F.lit(False))
+    if rows.filter(differs).limit(1).count():
+        raise ValueError("stored windows were narrowed otherwise, or by a smaller limit, than is asked")
+    free = [n for n in stored if n not in asked and n != "limit"]
     if free:
         kinds = rows.select(*free).distinct().limit(2).count()
         if kinds > 1:
             raise ValueError("stored windows differ in what was not asked for; name it")
     if asked.get("limit") is not None:
-        return rows.filter(F.col("limit") >= int(asked["limit"])).withColumn("adopted_limit", F.lit(int(asked["limit"])))
+        return rows.withColumn("adopted_limit", F.lit(int(asked["limit"])))
     smallest = rows.agg(F.min("limit")).first()[0]
     return rows.withColumn("adopted_limit", F.lit(smallest).cast("int"))
 

@@ -195,7 +195,7 @@ def visitors(log: DataFrame, request: Request, salts: DataFrame, by: Sequence[st
         rows = with_rendered_flag(rows, log, request.beacon_path, by)
     else:
         rows = rows.withColumn("rendered", F.lit(True))
-    rows = rows.withColumn("day_text", F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd")).select(*by, *PAIR, "rendered", "day_text").distinct()
+    rows = rows.withColumn("day_text", F.date_from_unix_date(F.floor(F.col("ts_ms") / 86_400_000).cast("int")).cast("string")).select(*by, *PAIR, "rendered", "day_text").distinct()
     if "day" in salts.columns:
         rows = rows.join(salts.withColumnRenamed("day", "day_text"), "day_text")
     else:

@@ -21,7 +21,7 @@ def pruned(log: DataFrame, span: TimeRange | str | None) -> DataFrame:
     if span is None:
         return log
     if span == CURRENT_MONTH:
-        today = F.current_date()
+        today = F.date_from_unix_date(F.floor(F.unix_seconds(F.current_timestamp()) / 86_400).cast("int"))  # in UTC, as partitions are
         return log.filter((F.col("year") == F.date_format(today, "yyyy")) & (F.col("month") == F.date_format(today, "MM")))
     days = span.days()
     if {"year", "month", "day"} <= set(log.columns):

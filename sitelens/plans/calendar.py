@@ -35,19 +35,30 @@ def periods(days: DataFrame, zone: str, week_start: str = "monday") -> DataFrame
         start = days.select(starts_on(F.col("day"), unit, week_start).alias("starts_on")).distinct()
         own = start.select(F.lit(unit).alias("unit"), "starts_on", ends_before(F.col("starts_on"), unit).alias("ends_before"))
         rows = own if rows is None else rows.unionByName(own)
-    instant = lambda c: F.to_utc_timestamp(F.col(c).cast("timestamp"), zone)
+    # Made from numbers in the zone itself, so that the session's own zone plays no part.
+    part = lambda c: (F.year(c), F.month(c), F.day(c))
+    instant = lambda c: F.make_timestamp(*part(c), F.lit(0), F.lit(0), F.lit(0), F.lit(zone))
     return rows.withColumn("from", instant("starts_on")).withColumn("until", instant("ends_before"))
 
 
 def local_days(log: DataFrame, zone: str) -> DataFrame:
-    return log.select(F.to_date(F.from_utc_timestamp(F.timestamp_millis("ts_ms"), zone)).alias("day")).distinct()
+    utc = F.expr("timestampadd(MILLISECOND, ts_ms, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    return log.select(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("date").alias("day")).distinct()
 
 
 def closed(rows: DataFrame, now: Column) -> DataFrame:
-    """Periods that are over; the others are refused (R2)."""
+    """The periods that are over."""
     return rows.filter(F.col("until") <= now)
 
 
+def require_closed(rows: DataFrame, now: Column) -> DataFrame:
+    """``rows`` as they are, if all of these periods are over; one that isn't is refused (R2)."""
+    open_ = rows.filter(F.col("until") > now).orderBy("until").first()
+    if open_ is not None:
+        raise ValueError(f"the {open_['unit']} from {open_['starts_on']} has not closed yet")
+    return rows
+
+
 def closing_with_days(rows: DataFrame) -> DataFrame:
     """For each day, the periods that end with it, longest first by ``rank``."""
     day = rows.filter("unit = 'day'").select(F.col("starts_on").alias("day"), "until")
@@ -76,8 +87,8 @@ def source_windows(rows: DataFrame) -> DataFrame:
 
     Periods whose bounds are no whole UTC hours get no windows.
     """
-    whole = lambda unit: (F.date_trunc(unit, "from") == F.col("from")) & (F.date_trunc(unit, "until") == F.col("until"))
-    grain = F.when(whole("day"), "daily").when(whole("hour"), "hourly")
-    step = F.when(F.col("granularity") == "daily", F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 1 HOUR"))
+    whole = lambda seconds: (F.unix_seconds("from") % seconds == 0) & (F.unix_seconds("until") % seconds == 0)
+    grain = F.when(whole(86_400), "daily").when(whole(3_600), "hourly")
+    step = F.when(F.col("granularity") == "daily", F.expr("INTERVAL 24 HOUR")).otherwise(F.expr("INTERVAL 1 HOUR"))
     cut = rows.withColumn("granularity", grain).filter("granularity IS NOT NULL")
     return cut.withColumn("window_start", F.explode(F.sequence(F.col("from"), F.col("until") - step, step)))

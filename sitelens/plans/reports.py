@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,21 @@ def period_answer(log: DataFrame, question: Question, request: Request, start_ms
 
 
 def summarised(rows: DataFrame, wanted: DataFrame, question: Question, version: int = VERSION) -> DataFrame:
-    """The stored windows of a period, added up (R9); rows of another version are left out."""
-    if "version" in rows.columns:
-        rows = rows.filter(F.col("version") == version).drop("version")
+    """The stored windows of a period, added up.
+
+    Rows have to be the question's own: of this version and name where these are stored, with its added columns as
+    numbers and its keys. What is not is refused before anything is added.
+    """
+    for column, value in (("version", version), ("question", question.name)):
+        if column in rows.columns:
+            if rows.filter(~F.col(column).eqNullSafe(F.lit(value))).limit(1).count():
+                raise ValueError(f"stored rows are of another {column} than {value}")
+            rows = rows.drop(column)
+    kinds = dict(rows.dtypes)
+    lacking = [c for c in (*question.keys, *question.added) if c not in kinds]
+    others = [c for c in question.added if c in kinds and kinds[c] in ("boolean", "binary", "date", "timestamp")]
+    if lacking or others:
+        raise ValueError(f"stored rows do not fit {question.name}: {', '.join(lacking + others)}")
     chosen = rows.join(wanted.select(*WINDOW).distinct(), WINDOW, "left_semi")
     return answer_from_windows(chosen, question, 2)
 
@@ -72,8 +86,25 @@ def coverage(judged: DataFrame) -> DataFrame:
     return have.agg(F.min("first").alias("from"), F.max("last").alias("until"), F.bool_and("complete").alias("complete"), F.count(F.lit(1)).alias("sections"))
 
 
+def computed(sections: dict[str, Callable[[], DataFrame]], until_ms: int, now_ms: int) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Values of the sections of a period that has closed, and the errors of those that failed; one failure leaves the others."""
+    if until_ms > now_ms:
+        raise ValueError("the period has not closed yet")
+    values: dict[str, DataFrame] = {}
+    errors: dict[str, str] = {}
+    for section, answer in sections.items():
+        try:
+            values[section] = answer()
+        except (ValueError, AnalysisException) as error:
+            errors[section] = str(error)
+    return values, errors
+
+
 def document(judged: DataFrame, values: dict[str, DataFrame]) -> DataFrame:
-    """One row per section with its value as JSON (R14); a section without a value has null."""
+    """One row per section with its value as JSON (R14); a section without a value has null.
+
+    Values are answers of bounded size: rankings keep their limit in a report.
+    """
     out = None
     for section, rows in values.items():
         order = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in rows.columns])))

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import events
-from sitelens.functions.requests import BROWSERS, DEVICES, browser_family, device_class, is_page_view
+from sitelens.functions.requests import browser_family, device_class, is_page_view
 from sitelens.functions.text import parameter, raw_parameter, referrer_host
-from sitelens.functions.visitors import salt
+from sitelens.functions.visitors import digest, has_address, salt
 from sitelens.operators import compare, merge
 from sitelens.operators.questions import Question, conversion_on_event, conversion_on_path, registry, visitors, web_vitals
 from sitelens.operators.rows import reranked, rows_for, top
@@ -22,7 +22,7 @@ from sitelens.plans.request import HOUR, Request, TimeRange
 from sitelens.plans.windows import WINDOW, as_rows, compute, compute_visitors, coverage, overlapping, pending, with_windows
 from sitelens.sources.access_log import one_distribution
 from sitelens.sources.derived_log import DUCK_FLOODED, DUCK_LOG, access_log, flooded
-from sitelens.sources.stores import SummaryStore
+from sitelens.sources.stores import ReportStore, SummaryStore, write_csv, write_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,8 +55,12 @@ RENDERED = """(c_ip, cs_user_agent) IN (SELECT (c_ip, cs_user_agent) FROM {log}
 HOST = "nullif(regexp_extract(cs_referer, '^https?://([^/?#:\\[]+)', 1), '')"
 
 
-def _ladder(steps) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower(cs_user_agent), '{p}') THEN '{n}'" for p, n in steps) + " ELSE 'Other' END"
+_BROWSER = """CASE WHEN regexp_matches(lower(cs_user_agent), 'edg(e|a|ios)?/') THEN 'Edge' WHEN regexp_matches(lower(cs_user_agent), '(opr|opera|opios)/|opera(%20| )mini/') THEN 'Opera'
+  WHEN contains(lower(cs_user_agent), 'samsungbrowser/') THEN 'Samsung Internet' WHEN regexp_matches(lower(cs_user_agent), '(firefox|fxios)/') THEN 'Firefox'
+  WHEN regexp_matches(lower(cs_user_agent), '(chrome|crios|chromium)/') THEN 'Chrome family' WHEN contains(lower(cs_user_agent), 'safari/') THEN 'Safari family' ELSE 'Other' END"""
+_DEVICE = """CASE WHEN regexp_matches(lower(cs_user_agent), 'ipad|tablet|kindle|silk/|playbook') THEN 'Tablet'
+  WHEN regexp_matches(lower(cs_user_agent), 'mobile|iphone|ipod|windows(%20| )phone|blackberry|bb10') THEN 'Mobile' WHEN contains(lower(cs_user_agent), 'android') THEN 'Tablet'
+  WHEN regexp_matches(lower(cs_user_agent), 'windows(%20| )nt|macintosh|x11|cros|linux') THEN 'Desktop' ELSE 'Other' END"""
 
 
 def _once(x: str) -> str:
@@ -69,7 +73,7 @@ def _raw(name: str) -> str:
 
 _V1 = " || ',' || ".join(_once(_raw(p)) for p in "epnsm")
 _PACKED = f"CASE WHEN {_raw('v')} = '2' THEN {_once(_once(_raw('b')))} ELSE {_V1} END"
-_FIELDS = ", ".join(f"{_once(f'split_part(packed, chr(44), {i + 1})')} AS {f}" for i, f in enumerate(events.FIELDS))
+_FIELDS = ", ".join(f"{_once(f'split_part(packed, chr(44), {i + 1})')} AS {f}" for i, f in enumerate(("event", "page", "value", "subject", "message")))
 EVENTS = f"""ev AS (
   SELECT *, {_FIELDS} FROM (SELECT *, unnest(string_split({_PACKED}, ';')) AS packed, {_raw("v")} AS version FROM log)
 )"""
@@ -105,8 +109,19 @@ query("a1_pageviews_countries", _views(f"{PEOPLE} AND c_country IN ('GB', 'DE')"
 query("a1_pageviews_span", _views(f"{PEOPLE} AND {IN_SPAN}"))(ask("pageviews", Request(span=SPAN)))
 query("a1_pageviews_rendered", _views(f"{PEOPLE} AND {RENDERED.format(log='log')}"))(ask("pageviews", Request(rendered_only=True)))
 query("f3_current_month", _views(f"{PEOPLE} AND year = strftime(current_date, '%Y') AND month = strftime(current_date, '%m')"))(ask("pageviews", Request(span="current month")))
+
+
+@query("f3_half_in_this_month", _views(f"{PEOPLE} AND day <= '15'"))
+def f3(spark, d):
+    """The first half of the log's month stands in the current month's partitions, the rest where it was."""
+    now = F.date_from_unix_date(F.floor(F.unix_seconds(F.current_timestamp()) / 86_400).cast("int"))
+    moved = lambda c, form: F.when(F.col("day") <= "15", F.date_format(now, form)).otherwise(F.col(c))
+    log = access_log(spark, d).withColumns({"year": moved("year", "yyyy"), "month": moved("month", "MM")})
+    return registry()["pageviews"].answer(log, Request(span="current month"))
+
+
 query("a2_referrers", _top(f"{HOST} AS referrer, count(*) AS views", "log", f"{VIEW} AND {PEOPLE} AND cs_referer <> '-' AND {HOST} <> x_host_header", "1", "views DESC, referrer"))(ask("referrers"))
-query("a3_browsers", _top(f"{_ladder(BROWSERS)} AS browser, {_ladder(DEVICES)} AS device, count(*) AS views", "log", f"{VIEW} AND {PEOPLE}", "1, 2", "views DESC, browser, device"))(ask("browsers"))
+query("a3_browsers", _top(f"{_BROWSER} AS browser, {_DEVICE} AS device, count(*) AS views", "log", f"{VIEW} AND {PEOPLE}", "1, 2", "views DESC, browser, device"))(ask("browsers"))
 query("a4_status_codes", _top("sc_status AS status, count(*) AS responses", "log", f"{PEOPLE} AND NOT starts_with(cs_uri_stem, '/_beacon')", "1", "responses DESC, status"))(ask("status-codes"))
 _HITS, _MISSES = "sum(CASE WHEN x_edge_result_type IN ('Hit', 'RefreshHit') THEN 1 ELSE 0 END)", "sum(CASE WHEN x_edge_result_type = 'Miss' THEN 1 ELSE 0 END)"
 _RATIO = f"CAST({_HITS} AS BIGINT) AS hits, CAST({_MISSES} AS BIGINT) AS misses, CAST(round(CAST(100.0 * {_HITS} AS DECIMAL(18, 6)) / nullif({_HITS} + {_MISSES}, 0), 1) AS DOUBLE) AS hit_percent"
@@ -182,7 +197,7 @@ query("a13_conversions_event_host", _conversion("ev", _SEEN, _BOUGHT, where=f"{P
     lambda spark, d: conversion_on_event("purchase").answer(access_log(spark, d), Request(host="www.example.com", countries=("GB",)))
 )
 query("a14_conversions_path", _conversion("log", _SEEN, _CHECKOUT))(lambda spark, d: conversion_on_path("/do/checkout", "post", ["303"]).answer(access_log(spark, d)))
-query("a15_conversions_by_device", _conversion("log", _SEEN, _CHECKOUT, _ladder(DEVICES)))(lambda spark, d: conversion_on_path("/do/checkout", "post", ["303"], by_device=True).answer(access_log(spark, d)))
+query("a15_conversions_by_device", _conversion("log", _SEEN, _CHECKOUT, _DEVICE))(lambda spark, d: conversion_on_path("/do/checkout", "post", ["303"], by_device=True).answer(access_log(spark, d)))
 
 
 @query("a16_custom_countries", _top("c_country AS country, count(*) AS views", "log", f"{VIEW} AND {PEOPLE} AND NOT starts_with(path, '/blog/')", "1", "views DESC, country"))
@@ -205,7 +220,7 @@ def j3(spark, d):
     return rows.groupBy(*events.FIELDS, "version").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p5_p6_ladders", f"SELECT cs_user_agent AS agent, {_ladder(BROWSERS)} AS browser, {_ladder(DEVICES)} AS device, count(*) AS n FROM log GROUP BY 1, 2, 3")
+@query("p5_p6_ladders", f"SELECT cs_user_agent AS agent, {_BROWSER} AS browser, {_DEVICE} AS device, count(*) AS n FROM log GROUP BY 1, 2, 3")
 def ladders(spark, d):
     agent = F.col("cs_user_agent")
     return access_log(spark, d).groupBy(agent.alias("agent"), browser_family(agent).alias("browser"), device_class(agent).alias("device")).agg(F.count(F.lit(1)).alias("n"))
@@ -354,7 +369,7 @@ FROM (SELECT date_trunc('day', make_timestamp(ts_ms * 1000)) AS day, count(DISTI
 def m8(spark, d):
     log = access_log(spark, d).filter(F.col("c_country").isin("GB", "US"))
     found = merge.covering_windows(as_rows(spark, _month(("daily",))), with_windows(log, ["hourly"]).select(*WINDOW).distinct())
-    days = found.withColumn("day", F.date_trunc("day", "window_start"))
+    days = found.withColumn("day", F.floor(F.unix_seconds("window_start") / 86_400))
     return days.agg(F.lit("daily").alias("granularity"), F.count_distinct("day").alias("whole_days"), F.count(F.lit(1)).alias("hours"))
 
 
@@ -373,7 +388,11 @@ def t5(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-summaries-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-summaries-")
     return f"{base.rstrip('/')}/summaries-{uuid.uuid4().hex}"
 
 
@@ -416,9 +435,25 @@ def r1(spark, d):
     return _dated(rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("from", "until")}))
 
 
-@query("r1_calendar_london")
-def r1_london(spark, d):
-    return _dated(_periods(spark, d, "Europe/London"))
+def _zoned(hours: int) -> str:
+    """Periods of a zone that is so many hours ahead of UTC at all bounds of the log's days, weeks, months and years."""
+    local = _CALENDAR.replace("CAST(make_timestamp(ts_ms * 1000) AS DATE) AS day", f"CAST(make_timestamp((ts_ms + {hours} * 3600000) * 1000) AS DATE) AS day")
+    return f"{DUCK_LOG}, {local}"
+
+
+def _zoned_sql(hours: int) -> str:
+    at = lambda c: f"epoch_ms(CAST({c} AS TIMESTAMP)) - {hours} * 3600000"
+    return f"SELECT unit, CAST(starts_on AS STRING) AS starts_on, CAST(ends_before AS STRING) AS ends_before, {at('starts_on')} AS from_ms, {at('ends_before')} AS until_ms FROM periods"
+
+
+def _in_zone(spark, d, zone):
+    rows = _periods(spark, d, zone)
+    return _dated(rows.select("unit", "starts_on", "ends_before", F.unix_millis("from").alias("from_ms"), F.unix_millis("until").alias("until_ms")))
+
+
+query("r1_calendar_london", _zoned_sql(0), _zoned(0))(lambda spark, d: _in_zone(spark, d, "Europe/London"))
+query("r1_calendar_sydney", _zoned_sql(11), _zoned(11))(lambda spark, d: _in_zone(spark, d, "Australia/Sydney"))
+query("r1_calendar_new_york", _zoned_sql(-5), _zoned(-5))(lambda spark, d: _in_zone(spark, d, "America/New_York"))
 
 
 @query("r4_closing_periods", "SELECT CAST(d.starts_on AS STRING) AS day, p.unit, CAST(p.starts_on AS STRING) AS starts_on, CAST(p.ends_before AS STRING) AS ends_before FROM periods p JOIN periods d ON d.unit = 'day' AND d.ends_before = p.ends_before", f"{DUCK_LOG}, {_CALENDAR}")
@@ -491,6 +526,18 @@ def r13(spark, d):
     return found.withColumns({"from": F.col("from").cast("timestamp_ntz"), "until": F.col("until").cast("timestamp_ntz"), "sections": F.col("sections").cast("int")})
 
 
+_VALUES = {
+    "pageviews": f"SELECT to_json(list(x ORDER BY x.path NULLS FIRST, x.views)) AS value FROM (SELECT struct_pack(path := path, views := views) AS x FROM ({_views(f'{PEOPLE} AND {_IN_WEEK.format(*_WEEK)}')}))",
+    "status-codes": f"SELECT to_json(list(x ORDER BY x.status)) FROM (SELECT struct_pack(status := status, responses := responses) AS x FROM (SELECT sc_status AS status, count(*) AS responses FROM log WHERE {PEOPLE} AND NOT starts_with(cs_uri_stem, '/_beacon') AND {_IN_WEEK.format(*_WEEK)} GROUP BY 1 ORDER BY responses DESC, status LIMIT 20))",
+    "cache-hit-ratio": f"SELECT to_json(list(struct_pack(hits := hits, misses := misses, hit_percent := hit_percent))) FROM (SELECT {_RATIO} FROM log WHERE {PEOPLE} AND {_IN_WEEK.format(*_WEEK)})",
+}
+
+
+@query("r14_report_values", " UNION ALL ".join(f"SELECT '{n}' AS section, 'exact' AS accuracy, v.value FROM ({x}) v(value)" for n, x in _VALUES.items()))
+def r14_values(spark, d):
+    return r14(spark, d).select("section", "accuracy", "value")
+
+
 @query("r14_report_document")
 def r14(spark, d):
     log = access_log(spark, d)
@@ -537,9 +584,20 @@ def c6(spark, d):
     return rows.select("status", "current", "previous", "difference", F.round("change", 6).alias("change"), "trend", "reason")
 
 
-@query("c5_compare_hit_ratio")
+_RATIOS = f"SELECT {_RATIO} FROM log WHERE {PEOPLE} AND SPAN"
+_EACH_METRIC = """m AS (SELECT metric, unit, preference, ratio, cv, pv, cv - pv AS dv FROM (
+  SELECT 'hits' AS metric, 'requests' AS unit, 'neutral' AS preference, false AS ratio, CAST(c.hits AS DOUBLE) AS cv, CAST(p.hits AS DOUBLE) AS pv FROM cur c, prev p
+  UNION ALL SELECT 'misses', 'requests', 'neutral', false, c.misses, p.misses FROM cur c, prev p
+  UNION ALL SELECT 'hit_percent', 'percent', 'higher-is-better', true, c.hit_percent, p.hit_percent FROM cur c, prev p))"""
+
+
+@query("c5_compare_hit_ratio", f"""--cte cur AS ({_RATIOS.replace("SPAN", _IN_WEEK.format(*_WEEK))}), prev AS ({_RATIOS.replace("SPAN", _IN_WEEK.format(*_LAST_WEEK))}), {_EACH_METRIC}
+SELECT metric, unit, cv AS current, pv AS previous, round(dv, 6) AS difference, round(CASE WHEN ratio THEN dv WHEN pv <> 0 THEN 100 * dv / abs(pv) END, 6) AS change,
+  CASE WHEN ratio THEN 'percentage-points' ELSE 'relative-percent' END AS change_type, CASE WHEN dv > 0 THEN 'increase' WHEN dv < 0 THEN 'decrease' ELSE 'unchanged' END AS trend,
+  CASE WHEN dv = 0 THEN 'unchanged' WHEN preference = 'neutral' THEN 'unrated' WHEN dv > 0 THEN 'improvement' ELSE 'regression' END AS assessment FROM m""")
 def c5(spark, d):
-    return compare.compared(*_two_weeks(spark, d, "cache-hit-ratio", ALL), compare.definitions()["cache-hit-ratio", "rows"])
+    rows = compare.compared(*_two_weeks(spark, d, "cache-hit-ratio", ALL), compare.definitions()["cache-hit-ratio", "rows"])
+    return rows.select("metric", "unit", "current", "previous", F.round("difference", 6).alias("difference"), F.round("change", 6).alias("change"), "change_type", "trend", "assessment")
 
 
 @query("c7_compare_vitals")
@@ -547,10 +605,19 @@ def c7(spark, d):
     return compare.compared(*_two_weeks(spark, d, "web-vitals", ALL), compare.definitions()["web-vitals", "rows"])
 
 
-@query("c10_digest")
+_COUNTED = f"SELECT {_TERM} AS term, {_SEARCHES.format(codes=chr(39) + '302' + chr(39))} FROM log WHERE {_SEARCHED} AND SPAN GROUP BY 1"
+_TEXT = "'{m} ' || CAST(c.{m} AS BIGINT) || ' searches (' || CASE WHEN p.{m} IS NULL THEN 'comparison unavailable' WHEN p.{m} = 0 THEN 'change unavailable from zero baseline' ELSE CASE WHEN r_{m} > 0 THEN '+' ELSE '' END || CASE WHEN r_{m} = floor(r_{m}) THEN CAST(CAST(r_{m} AS BIGINT) AS STRING) ELSE CAST(CAST(r_{m} AS DECIMAL(18, 1)) AS STRING) END || '%' END || ')'"
+_ROUNDED = "floor(1000.0 * (c.{m} - p.{m}) / nullif(p.{m}, 0) + 0.5) / 10 AS r_{m}"
+
+
+@query("c10_digest", f"""--cte cur AS ({_COUNTED.replace("SPAN", _IN_WEEK.format(*_WEEK))}), prev AS ({_COUNTED.replace("SPAN", _IN_WEEK.format(*_LAST_WEEK))}),
+r AS (SELECT c, p, {_ROUNDED.format(m="searches")}, {_ROUNDED.format(m="redirected")} FROM cur c LEFT JOIN prev p ON c.term = p.term),
+lines AS (SELECT row_number() OVER (ORDER BY c.searches DESC, c.term) AS place, 'term=' || c.term || ': ' || {_TEXT.format(m="searches")} || ', ' || {_TEXT.format(m="redirected")} AS line, count(*) OVER () AS n FROM r)
+SELECT CAST(place AS INTEGER) AS place, line, greatest(n - 3, 0) AS omitted FROM lines WHERE place <= 3""")
 def c10(spark, d):
-    rows = compare.compared(*_two_weeks(spark, d, "pageviews", ALL), compare.definitions()["pageviews", "rows"])
-    return compare.digest_rows(rows, ["path"], "views", 3)
+    definition = compare.definitions()["searches", "rows"]
+    rows = compare.compared(*_two_weeks(spark, d, "searches", ALL), definition)
+    return compare.digest_rows(rows, ["term"], definition, 3)
 
 
 @query("c8_compare_visitors", f"""--cte cur AS (SELECT count(DISTINCT c_ip || '|' || cs_user_agent) AS n FROM log WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-' AND {_IN_WEEK.format(*_WEEK)}),
@@ -566,11 +633,13 @@ def c8(spark, d):
     return out.select("metric", "current", "previous", F.round("change", 6).alias("change"))
 
 
-@query("c11_manifest", """SELECT CAST(d.starts_on AS STRING) AS day, p.unit, 'UTC/' || p.unit || CASE p.unit WHEN 'week' THEN '/week-starts-monday' ELSE '' END || '/' || CAST(p.starts_on AS STRING) AS current_key
+@query("c11_manifest", """SELECT CAST(d.starts_on AS STRING) AS day, p.unit, 'UTC/' || p.unit || CASE p.unit WHEN 'week' THEN '/week-starts-monday' ELSE '' END || '/' || CAST(p.starts_on AS STRING) AS current_key,
+  'UTC/' || p.unit || CASE p.unit WHEN 'week' THEN '/week-starts-monday' ELSE '' END || '/' || CAST(CAST(CASE p.unit WHEN 'day' THEN p.starts_on - INTERVAL 1 DAY WHEN 'week' THEN p.starts_on - INTERVAL 7 DAY
+  WHEN 'month' THEN p.starts_on - INTERVAL 1 MONTH ELSE p.starts_on - INTERVAL 1 YEAR END AS DATE) AS STRING) AS previous_key
 FROM periods p JOIN periods d ON d.unit = 'day' AND d.ends_before = p.ends_before""", f"{DUCK_LOG}, {_CALENDAR}")
 def c11(spark, d):
     rows = reports.manifest(calendar.closing_with_days(_periods(spark, d, "UTC")), "UTC")
-    return _dated(rows.select("day", "unit", "current_key"))
+    return _dated(rows.select("day", "unit", "current_key", "previous_key"))
 
 
 def _scanned(spark, d, write, read):
@@ -613,9 +682,98 @@ def t8(spark, d):
     folder = _folder(spark)
     log = access_log(spark, d)
     for part in range(2):
-        log.filter(F.pmod(F.hash("timestamp_ms", "cs_uri_stem"), F.lit(2)) == part).drop(*PARTITIONS[1:]).write.mode("append").parquet(f"{folder}/log")
-    stream = spark.readStream.schema(log.drop(*PARTITIONS[1:]).schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/log")
+        log.filter(F.pmod(F.hash("timestamp_ms", "cs_uri_stem"), F.lit(2)) == part).write.mode("append").partitionBy(*PARTITIONS[1:4]).parquet(f"{folder}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/log")
     store = SummaryStore(spark, f"{folder}/store")
-    keep_current(stream, lambda: spark.read.parquet(f"{folder}/log"), registry()["status-codes"], Request(), store, f"{folder}/checkpoint").awaitTermination()
+    keep_current(stream, lambda: spark.read.schema(log.schema).parquet(f"{folder}/log"), registry()["status-codes"], Request(), store, f"{folder}/checkpoint").awaitTermination()
     return _naive(store.read("status-codes").drop("computed_at"))
 
+
+# -- further operators, each held against SQL ------------------------------------------
+
+_PERIOD_SALT = salt(SECRET, "month", "UTC", "monday", "2024-01-01")
+
+
+@query("p14_visitor_digests", f"SELECT upper(sha256('{_PERIOD_SALT}' || '|' || c_ip || '|' || cs_user_agent)) AS visitor, count(*) AS views FROM log WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-' GROUP BY 1")
+def p14(spark, d):
+    rows = rows_for(access_log(spark, d), Request(), [is_page_view(), has_address()])
+    return rows.groupBy(digest(F.lit(_PERIOD_SALT)).alias("visitor")).agg(F.count(F.lit(1)).alias("views"))
+
+
+@query("w4_null_order", "SELECT country, count(*) AS responses FROM (SELECT nullif(c_country, 'DE') AS country FROM log) GROUP BY 1 ORDER BY responses DESC, country NULLS LAST LIMIT 3")
+def w4(spark, d):
+    rows = access_log(spark, d).select(F.nullif(F.col("c_country"), F.lit("DE")).alias("country"))
+    return top(rows.groupBy("country").agg(F.count(F.lit(1)).alias("responses")), "responses", ["country"], 3)
+
+
+@query("m6_refused_or_counted", f"SELECT CAST(greatest(count(*) FILTER (WHERE n = 0 AND h > lo AND h < hi), 0) AS BIGINT) AS holes, count(*) FILTER (WHERE n > 0) AS present, count(*) FILTER (WHERE n = 0 AND h > lo AND h < hi) > 0 AS refused FROM (SELECT h, n, min(CASE WHEN n > 0 THEN h END) OVER () AS lo, max(CASE WHEN n > 0 THEN h END) OVER () AS hi FROM (SELECT r.h, count(l.ts_ms) AS n FROM (SELECT unnest(range(19723, 19754)) AS h) r LEFT JOIN (SELECT ts_ms FROM log WHERE day NOT IN ('01', '05', '06', '31')) l ON l.ts_ms // 86400000 = r.h GROUP BY 1))")
+def m6(spark, d):
+    """Windows missing inside a range make an answer refused; those at its edges do not."""
+    log = access_log(spark, d).filter(~F.col("day").isin("01", "05", "06", "31"))
+    counts = merge.gaps(as_rows(spark, _month(("daily",))), with_windows(log, ["daily"]).select(*WINDOW).distinct())
+    try:
+        merge.require_no_holes(counts)
+        refused = False
+    except ValueError:
+        refused = True
+    return counts.select("holes", "present", F.lit(refused).alias("refused"))
+
+
+@query("m9_adopted_windows", "SELECT CAST(day AS INTEGER) AS day, CAST(min(n) OVER () AS INTEGER) AS adopted_limit FROM (SELECT day, 20 + CAST(day AS INTEGER) % 3 AS n FROM log GROUP BY day)")
+def m9(spark, d):
+    """Days stored with limits of their own and no narrowing: all match, and the smallest limit holds."""
+    days = access_log(spark, d).select(F.col("day").cast("int").alias("day")).distinct()
+    ledger = days.withColumns({"include_bots": F.lit(False), "bot_agents": F.lit(None).cast("string"), "limit": 20 + F.col("day") % 3})
+    return merge.adopted(ledger, {"include_bots": False}).select("day", "adopted_limit")
+
+
+def _file(write, read):
+    def run(spark, d):
+        path = f"{_folder(spark)}/answer"
+        answer = registry()["pageviews"].answer(access_log(spark, d))
+        write(answer, path)
+        return read(spark.read.schema(answer.schema), path)
+
+    return run
+
+
+query("s9_json_rows", _views(PEOPLE))(_file(write_json, lambda reader, path: reader.json(path)))
+query("s9_csv_rows", _views(PEOPLE))(_file(write_csv, lambda reader, path: reader.option("header", True).option("quote", '"').option("escape", '"').csv(path)))
+
+
+@query("s8_report_store", _views(f"{PEOPLE} AND {_IN_WEEK.format(*_WEEK)}"))
+def s8(spark, d):
+    """A report stored by its key, read back, and its value parsed again."""
+    store = ReportStore(spark, f"{_folder(spark)}/reports")
+    key = {"zone": F.lit("UTC"), "unit": F.lit("week"), "week_start": F.lit("monday"), "starts_on": F.lit("2024-01-08")}
+    for _ in range(2):  # writing again replaces
+        store.write(r14(spark, d).withColumns(key))
+    value = store.read(unit="week", starts_on="2024-01-08").filter("section = 'pageviews'")
+    rows = value.select(F.explode(F.from_json("value", "array<struct<path: string, views: bigint>>")).alias("r"))
+    return rows.select("r.path", "r.views")
+
+
+@query("j5_section_pairs", "--cte s AS (SELECT sc_status AS question, day, row_number() OVER (PARTITION BY sc_status, day < '16' ORDER BY day) AS nth FROM (SELECT DISTINCT sc_status, day FROM log)), c AS (SELECT * FROM s WHERE day >= '16'), p AS (SELECT * FROM s WHERE day < '16') SELECT coalesce(c.question, p.question) AS question, CAST(coalesce(c.nth, p.nth) AS INTEGER) AS nth, c.day AS current_at, p.day AS previous_at FROM c FULL JOIN p ON c.question = p.question AND c.nth = p.nth")
+def j5(spark, d):
+    """Days on which a status occurred, as sections of two halves of the month."""
+    sections = access_log(spark, d).select(F.col("sc_status").alias("question"), F.col("day").alias("at")).distinct()
+    return compare.paired_sections(sections.filter("at >= '16'"), sections.filter("at < '16'"))
+
+
+@query("c2_c9_comparability", """--cte s AS (SELECT sc_status AS question, day < '16' AS old, count(*) % 7 <> 0 AS complete, CASE count(*) % 5 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'approximate' ELSE 'exact' END AS accuracy,
+  CASE WHEN count(*) % 3 = 0 THEN 'a' ELSE 'b' END AS value_type FROM log GROUP BY 1, 2), c AS (SELECT * FROM s WHERE NOT old), p AS (SELECT * FROM s WHERE old),
+r AS (SELECT coalesce(c.question, p.question) AS question, CASE WHEN c.question IS NULL OR p.question IS NULL THEN 'section-absent' WHEN NOT (c.complete AND p.complete) THEN 'incomplete-source'
+  WHEN c.accuracy = 'unavailable' OR p.accuracy = 'unavailable' THEN 'section-unavailable' WHEN c.value_type <> p.value_type THEN 'value-type-mismatch' WHEN c.question = '404' THEN 'unsupported-question'
+  WHEN c.question = '302' THEN 'columns-mismatch' END AS reason, c.accuracy = 'approximate' OR p.accuracy = 'approximate' AS close FROM c FULL JOIN p ON c.question = p.question)
+SELECT question, reason, CASE WHEN reason IS NULL THEN CASE WHEN close THEN 'approximate' ELSE 'exact' END END AS accuracy FROM r""")
+def c2(spark, d):
+    """Sections by status, whose counts decide what they lack."""
+    n = F.count(F.lit(1))
+    made = access_log(spark, d).groupBy(F.col("sc_status").alias("question"), (F.col("day") < "16").alias("old")).agg(
+        (n % 7 != 0).alias("complete"), F.when(n % 5 == 0, "unavailable").when(n % 5 == 1, "approximate").otherwise("exact").alias("accuracy"), F.when(n % 3 == 0, "a").otherwise("b").alias("value_type"),
+    )
+    made = made.withColumns({"at": F.lit(1), "question_text": F.col("question"), "columns": F.when(F.col("question") == "302", F.array(F.lit("status"))).otherwise(F.array(F.lit("status"), F.lit("responses"))), "defined": F.col("question") != "404", "metrics": F.array(F.lit("responses"))})
+    pairs = compare.paired_sections(made.filter("NOT old"), made.filter("old")).drop("nth")
+    side = lambda name, old: made.filter(F.col("old") == old).select("question", *[F.col(c).alias(f"{name}_{c}") for c in made.columns if c not in ("question", "old", "at")])
+    rows = pairs.join(side("c", False), "question", "left").join(side("p", True), "question", "left")
+    return compare.comparability(rows).select("question", "reason", "accuracy")

@@ -2,46 +2,69 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.plans.windows import SIZES, WINDOW, Span, as_rows
 
 
+#: Version of the stored layout; rows of other versions are not read.
+SCHEMA = 1
+
+
 class SummaryStore:
     """Answers per question and window, with a ledger of what was computed when.
 
-    Writing a window again replaces it. A window of no rows writes no partition, so what was there before would survive; the ledger
-    settles it: rows count only if they were computed when the ledger says so. It also tells an empty window from one that
-    was never computed.
+    Nothing stored is ever overwritten. A run appends its rows under a number of its own, and then one ledger row per
+    window; a window's rows are those of the run in its newest ledger row. A run that is lost before its ledger leaves rows that
+    nobody reads, and the old answers standing. The ledger also tells an empty window from one that was never computed.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        stamped = rows.withColumn("window_text", F.date_format("window_start", "yyyy-MM-dd'T'HH"))
-        writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("granularity", "window_text").parquet(path)
+    def _append(self, rows: DataFrame, path: str) -> None:
+        # One task per window, so that a run leaves one file for each.
+        hours = (F.unix_seconds("window_start") / 3600).cast("long")
+        stamped = rows.withColumn("window_hour", hours).repartition("granularity", "window_hour")
+        stamped.write.mode("append").partitionBy("granularity", "window_hour").parquet(path)
 
-    def write(self, question: str, answer: DataFrame, spans: list[Span], computed_at: Column, **narrowings: str | int | None) -> None:
-        """One job for all windows: the rows first, the ledger after them, so that a lost run leaves old answers standing."""
-        moment = answer.sparkSession.range(1).select(computed_at.alias("t")).first()["t"]
-        self._write(answer.withColumn("computed_at", F.lit(moment)), f"{self.root}/rows/{question}")
+    def write_rows(self, question: str, answer: DataFrame, moment: datetime) -> str:
+        """Append the rows of a run and give its number; they do not count before the ledger names it."""
+        run = uuid.uuid4().hex
+        stamped = answer.withColumn("computed_at", F.lit(moment)).withColumn("run", F.lit(run))
+        self._append(stamped, f"{self.root}/rows/{question}")
+        return run
+
+    def write_ledger(self, question: str, spans: list[Span], moment: datetime, run: str, **narrowings: str | int | None) -> None:
         sizes = F.when(F.col("granularity") == "daily", SIZES["daily"]).otherwise(SIZES["hourly"])
         ledger = as_rows(self.spark, spans).withColumn("window_end", F.timestamp_millis(F.unix_millis("window_start") + sizes))
-        ledger = ledger.withColumn("computed_at", F.lit(moment))
-        for name, value in narrowings.items():
-            ledger = ledger.withColumn(name, F.lit(value))
-        self._write(ledger, f"{self.root}/ledger/{question}")
+        told = {"computed_at": moment, "run": run, "schema": SCHEMA, **narrowings}
+        ledger = ledger.withColumns({name: F.lit(value) for name, value in told.items()}).withColumn("written_at", F.current_timestamp())
+        self._append(ledger, f"{self.root}/ledger/{question}")
+
+    def write(self, question: str, answer: DataFrame, spans: list[Span], computed_at: Column, **narrowings: str | int | None) -> None:
+        """One job for all windows: the rows first, the ledger after them."""
+        moment = answer.sparkSession.range(1).select(computed_at.alias("t")).first()["t"]
+        self.write_ledger(question, spans, moment, self.write_rows(question, answer, moment), **narrowings)
+
+    def _current(self, question: str) -> DataFrame:
+        """The newest ledger row of each window, of this version."""
+        rows = self.spark.read.parquet(f"{self.root}/ledger/{question}").filter(F.col("schema") == SCHEMA)
+        rest = [c for c in rows.columns if c not in (*WINDOW, "window_hour")]
+        newest = rows.groupBy(*WINDOW).agg(F.max_by(F.struct(*rest), F.struct("written_at", "run")).alias("entry"))
+        return newest.select(*WINDOW, "entry.*")
 
     def ledger(self, question: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/ledger/{question}").drop("window_text")
+        return self._current(question).drop("run", "schema", "written_at")
 
     def read(self, question: str) -> DataFrame:
         """Rows of the windows as they were last computed."""
-        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_text")
-        return rows.join(self.ledger(question).select(*WINDOW, "computed_at"), [*WINDOW, "computed_at"], "left_semi")
+        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_hour")
+        return rows.join(self._current(question).select(*WINDOW, "run"), [*WINDOW, "run"], "left_semi").drop("run")
 
     def states(self, question: str, wanted: DataFrame) -> DataFrame:
         """For each wanted window: rows, empty, or never computed."""

@@ -50,7 +50,7 @@ def test_registered_queries_all_run(spark, sf):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
     for name in [n for n in names if n[0] in "acjp" and n[1].isdigit()][::4]:
-        assert names[name](spark, sf).columns
+        assert names[name](spark, sf).limit(1).count() <= 1
 
 
 def test_decoding(spark):
@@ -246,10 +246,78 @@ def test_gaps_and_days(spark):
 def test_adoption(spark):
     columns = "include_bots boolean, limit int, param string, host string, paths string, countries string, rendered_only boolean, redirects string"
     rows = spark.createDataFrame([(False, 20, "q", None, None, None, False, None), (False, 50, "q", None, None, None, False, None), (True, 20, "q", None, None, None, False, None)], columns)
-    assert {r.adopted_limit for r in merge.adopted(rows, {"include_bots": False}).collect()} == {20}
-    assert merge.adopted(rows, {"include_bots": False, "limit": 30}).count() == 1
+    alike = rows.filter("NOT include_bots")
+    assert {r.adopted_limit for r in merge.adopted(alike, {"include_bots": False}).collect()} == {20}
+    assert merge.adopted(alike, {"include_bots": False, "limit": 20, "bot_agents": None}).count() == 2
+    for asked in ({"include_bots": False, "limit": 30}, {"host": "h"}, {"bot_agents": "x"}):
+        with pytest.raises(ValueError):
+            merge.adopted(alike, asked)
+    for asked in ({}, {"include_bots": False}):
+        with pytest.raises(ValueError):
+            merge.adopted(rows, asked)
+
+
+def test_a_run_lost_between_rows_and_ledger_leaves_old_answers(spark, log, tmp_path):
+    from datetime import datetime
+
+    store, q = SummaryStore(spark, str(tmp_path)), registry()["pageviews"]
+    spans = [Span(DAY, "hourly")]
+    store.write("pageviews", compute(log(row()), q, Request(), spans), spans, F.timestamp_millis(F.lit(DAY)))
+    before = got(store.read("pageviews"), "path")
+    run = store.write_rows("pageviews", compute(log(row(stem="/n"), row(stem="/n")), q, Request(), spans), datetime(2027, 1, 1))
+    assert before and got(store.read("pageviews"), "path") == before
+    assert [r.state for r in store.states("pageviews", as_rows(spark, spans)).collect()] == ["rows"]
+    store.write_ledger("pageviews", spans, datetime(2027, 1, 1), run)
+    assert got(store.read("pageviews"), "path") == [("/n",)]
+
+
+def test_calendars_do_not_depend_on_the_session_zone(spark):
+    log = spark.createDataFrame([(1_704_067_200_000 + h * HOUR,) for h in (-1, 0, 5, 13, 30 * 24, 90 * 24)], "ts_ms long")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = []
+    try:
+        for session in ("UTC", "America/New_York", "Australia/Sydney"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            rows = [calendar.periods(calendar.local_days(log, z), z) for z in ("Europe/London", "Australia/Sydney")]
+            text = [r.selectExpr("unit", "cast(starts_on AS string)", "unix_millis(`from`)", "unix_millis(until)") for r in rows]
+            windows = [calendar.source_windows(r).groupBy("unit", "granularity").count() for r in rows]
+            found.append([sorted(map(tuple, x.collect())) for x in (*text, *windows)])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found[0] == found[1] == found[2]
+    assert ("day", "2024-01-01", 1_704_067_200_000 - 11 * HOUR, 1_704_067_200_000 + 13 * HOUR) in found[0][1]
+
+
+def test_a_report_is_refused_before_its_period_closes_and_survives_a_failing_section(spark):
+    days = spark.createDataFrame([("2026-08-23",)], "day string").selectExpr("cast(day AS date) AS day")
+    every = calendar.periods(days, "UTC").filter("unit = 'day'")
+    at = lambda text: F.lit(text).cast("timestamp")
+    assert calendar.require_closed(every, at("2026-08-24 00:00:00")).count() == 1
+    with pytest.raises(ValueError):
+        calendar.require_closed(every, at("2026-08-23 23:59:59"))
     with pytest.raises(ValueError):
-        merge.adopted(rows, {})
+        reports.computed({}, 2, 1)
+
+    def fails():
+        raise ValueError("no such window")
+
+    values, errors = reports.computed({"a": lambda: spark.range(1), "b": fails}, 1, 1)
+    assert list(values) == ["a"] and errors == {"b": "no such window"}
+    stored = spark.createDataFrame([(1, "other")], "views long, question string").withColumn("path", F.lit("/"))
+    for rows in (stored, stored.drop("question").drop("path"), stored.withColumn("version", F.lit(9))):
+        with pytest.raises(ValueError):
+            reports.summarised(rows, rows, registry()["pageviews"])
+
+
+def test_digest_lines(spark):
+    definition = compare.definitions()["searches", "rows"]
+    side = lambda rows: spark.createDataFrame(rows, "term string, searches long, redirected long")
+    rows = compare.compared(side([("a", 15, 2), ("b", 3, 1), (None, 9, 0)]), side([("a", 10, 2), ("b", 0, 3), ("gone", 99, 9)]), definition)
+    lines = compare.digest_rows(rows, ["term"], definition, 2).orderBy("place").collect()
+    assert [(r.line, r.omitted) for r in lines] == [
+        ("term=a: searches 15 searches (+50%), redirected 2 searches (0%)", 1),
+        ("searches 9 searches (comparison unavailable), redirected 0 searches (comparison unavailable)", 1),
+    ]
 
 
 def test_store_states_and_overwrite(spark, log, tmp_path):
@@ -370,10 +438,11 @@ def test_section_pairs(spark):
     sections = lambda names: spark.createDataFrame(list(enumerate(names)), "at int, question string")
     pairs = compare.paired_sections(sections("aab"), sections("ac"))
     assert {(r.question, r.nth, r.current_at, r.previous_at) for r in pairs.collect()} == {("a", 1, 0, 0), ("a", 2, 1, None), ("b", 1, 2, None), ("c", 1, None, 1)}
-    side = "{0}_question_text string, {0}_complete boolean, {0}_accuracy string, {0}_value_type string, {0}_columns string, {0}_defined boolean"
-    same = ("q", True, "exact", "rows", "x", True)
-    cases = [(0, 0, *same, *same), (None, 0, *same, *same), (0, 0, *same, "r", *same[1:]), (0, 0, *same, "q", False, *same[2:]), (0, 0, *same, "q", True, "unavailable", *same[3:]), (0, 0, *same, *same[:4], "y", True), (0, 0, "q", True, "approximate", *same[3:], *same)]
-    frame = spark.createDataFrame(cases, f"current_at int, previous_at int, {side.format('c')}, {side.format('p')}")
+    side = "{0}_question_text string, {0}_complete boolean, {0}_accuracy string, {0}_value_type string, {0}_columns array<string>, {0}_defined boolean"
+    same = ("q", True, "exact", "rows", ["x"], True)
+    cases = [(0, 0, *same, *same), (None, 0, *same, *same), (0, 0, *same, "r", *same[1:]), (0, 0, *same, "q", False, *same[2:]), (0, 0, *same, "q", True, "unavailable", *same[3:]), (0, 0, *same, *same[:4], ["y"], True), (0, 0, "q", True, "approximate", *same[3:], *same)]
+    frame = spark.createDataFrame(cases, f"current_at int, previous_at int, {side.format('c')}, {side.format('p')}").withColumn("c_metrics", F.array(F.lit("x")))
+    assert compare.comparability(frame.limit(1).withColumn("c_metrics", F.array(F.lit("z")))).first()["reason"] == "columns-mismatch"
     assert [(r.reason, r.accuracy) for r in compare.comparability(frame).collect()] == [(None, "exact"), ("section-absent", None), ("question-mismatch", None), ("incomplete-source", None), ("section-unavailable", None), ("columns-mismatch", None), (None, "approximate")]
 
 
