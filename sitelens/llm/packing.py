@@ -34,7 +34,7 @@ from sitelens.llm.shared import cut, for_python
 CAPACITY = 1024
 END = 2
 #: Words whose ids a worker remembers, over all its tasks, before it starts afresh (about 150 bytes each).
-MEMORY = 1_500_000
+MEMORY = 500_000
 #: Configurations that hold a length covered more often than so are left to the next solution: they use up what others need.
 OVER = 1.1
 #: Ways to bend the prices when rounding up, and how near to the bound the first rounding has to come.
@@ -204,6 +204,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                     length.append(n)
                     own = zlib.crc32(ids[a : a + n])
                     crc.append(zlib.crc32(tail, own) if a + n == n_ids else own)
+            pa.default_memory_pool().release_unused()  # workers serve other operators too
             columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
             yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32"])
 

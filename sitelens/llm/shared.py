@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where a session has none (tests on one machine), a temporary folder is set for it.
+    Where a session on one machine has none (as in tests), a temporary folder is set for it; a cluster without one is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
