@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from sitelens.llm.shared import cut, for_python, text_bytes
 
 WINDOW = 13
-#: Bytes of item texts that go to the tasks at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item texts that go to the tasks at once: their windows take about 13 times as much, as 32-bit word ids.
+BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 #: Shards close at about so many words that may be part of a window.
 SHARD_WORDS = 1 << 19
@@ -50,25 +50,33 @@ class Windows:
 
     vocabulary: dict[bytes, int]  # ids from 1
     by_length: dict[int, np.ndarray]  # windows of that many words, one a row
-    items: dict[int, list[tuple[str, ...]]]  # the item ids of each of them
+    owners: dict[int, tuple[np.ndarray, np.ndarray]]  # where the items of each of them begin, and the numbers of those items
+    names: list[str]
     shortest: int
 
+    def items_of(self, length: int, window: int) -> list[str]:
+        starts, items = self.owners[length]
+        return [self.names[i] for i in items[starts[window] : starts[window + 1]].tolist()]
+
 
 def windows_of(items: list[tuple[str, bytes]], width: int = WINDOW) -> Windows:
     vocabulary: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        if ids:
-            n = min(width, len(ids))
-            for i in range(len(ids) - n + 1):
-                owners.setdefault(tuple(ids[i : i + n]), set()).add(item)
-    by_length, named = {}, {}
-    for n in sorted({len(w) for w in owners}):
-        rows = [w for w in owners if len(w) == n]
-        by_length[n] = np.array(rows, np.int64)
-        named[n] = [tuple(sorted(owners[w])) for w in rows]
-    return Windows(vocabulary, by_length, named, min(by_length, default=0))
+    rows: dict[int, list[np.ndarray]] = {}
+    of: dict[int, list[np.ndarray]] = {}
+    for number, (_, text) in enumerate(items):
+        words = words_of(text)
+        if words:
+            ids = np.fromiter([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32, len(words))
+            own = np.lib.stride_tricks.sliding_window_view(ids, min(width, len(ids)))
+            rows.setdefault(own.shape[1], []).append(own)
+            of.setdefault(own.shape[1], []).append(np.full(len(own), number, np.int32))
+    by_length, owners = {}, {}
+    for n in sorted(rows):
+        by_length[n], which = np.unique(np.concatenate(rows.pop(n)), axis=0, return_inverse=True)
+        pairs = np.unique(which.ravel().astype(np.int64) * len(items) + np.concatenate(of.pop(n)))
+        starts = np.searchsorted(pairs // len(items), np.arange(len(by_length[n]) + 1))
+        owners[n] = (starts, (pairs % len(items)).astype(np.int32))
+    return Windows(vocabulary, by_length, owners, [name for name, _ in items], min(by_length, default=0))
 
 
 class WaveletTree:
@@ -217,10 +225,9 @@ class Shard:
             all_d.append(documents[run])
             all_w.append(words[run] + positions - at[run])
             all_n.append(np.full(len(run), n))
-            names = self.windows.items[n]
             pairs = np.unique(np.stack([documents[run], which]), axis=1)
             for d, w in pairs.T.tolist():
-                items.setdefault(d, set()).update(names[w])
+                items.setdefault(d, set()).update(self.windows.items_of(n, w))
         d, w, n = np.concatenate(all_d), np.concatenate(all_w), np.concatenate(all_n)
         order = np.lexsort((w, d))
         for doc, a, b in zip(d[order].tolist(), w[order].tolist(), (w + n)[order].tolist()):
@@ -287,7 +294,7 @@ def search(
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, ``spans`` (merged word spans hit), ``items`` (sorted ids).
 
-    A null or empty text has no words. An item without words has no window; null item ids are
+    Repeated rows are searched each, and an empty table gives none. A null or empty text has no words. An item without words has no window; null item ids are
     skipped. An empty benchmark hits nothing. Extra columns are not carried along.
     """
     for_python(docs.sparkSession)

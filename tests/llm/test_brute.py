@@ -43,10 +43,10 @@ def test_decontamination_matches_brute_force(spark):
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([0, 1, 5, 14, 20, 40])))) for i in range(12)]
     texts = [" ".join(rng.choices([*vocab, "zz", "zz-a"], k=rng.randrange(80))) for _ in range(60)]
     texts += [f"x {items[k][1]}. y {items[k][1]}" for k in range(12)] + [None, "", "  ", items[5][1].upper()]
-    items = [x for x in items if len(x[1].split()) != 1] + [(99, None)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items = [x for x in items if len(x[1].split()) != 1] + [(99, None), (7, "zz")]  # one word alone is a window too
     docs = table(spark, texts)
-    for block in (decontaminate.BLOCK_BYTES, 60):
+    for block, items in ((decontaminate.BLOCK_BYTES, items), (60, items), (decontaminate.BLOCK_BYTES, items[:-1])):
+        bench = spark.createDataFrame(items, "item_id long, text string")
         old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, block
         got = {r.doc_id: r for r in decontaminate.judged(decontaminate.search(docs, bench)).collect()}
         decontaminate.BLOCK_BYTES = old
