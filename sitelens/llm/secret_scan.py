@@ -4,9 +4,9 @@ Base kinds are found by pattern alone. Further kinds are reported only when thei
 
 * ``jwt``: three base64url segments whose header is a JSON object with a string ``alg`` and whose
   payload is a JSON object;
-* ``pem``: an armoured private key whose body decodes to DER of exact nested lengths, or to an
-  OpenSSH key container with consistent length fields;
-* ``der``: a bare base64 or hex run that decodes to a private key in DER;
+* ``pem``: an armoured private key whose body decodes to DER of exact nested lengths, to an OpenSSH key container with
+  consistent length fields, or, below the headers of the old encrypted form, to whole blocks of the cipher named there;
+* ``der``: a bare base64 or hex run (in either case) that decodes to a private key in DER;
 * ``ssh``: a bare base64 run that decodes to an OpenSSH private key container.
 
 Spans are counted in code points, the end exclusive. Each row is read on its own inside
@@ -36,12 +36,15 @@ _WORDS = re.compile(rb"(?i)passw|secret|token|api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+_OLD_ENCRYPTED = re.compile(r"\s*Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16,32})\s")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{64,}={0,2}")
+_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 _SSH_MAGIC = b"openssh-key-v1\0"
 #: 1 for each byte that is a base64 letter, or a lower-case hex digit.
 _B64_MARK = bytes(1 if chr(b).isalnum() and b < 128 or chr(b) in "+/" else 0 for b in range(256))
 _HEX_MARK = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
+_HEX_ANY_MARK = bytes(1 if chr(b) in "0123456789abcdefABCDEF" else 0 for b in range(256))
 
 
 def der_items(data: bytes, depth: int = 8) -> list[tuple[int, bytes]] | None:
@@ -122,7 +125,7 @@ def is_jwt(token: str) -> bool:
     parts = token.split(".")
     try:
         header, payload = (json.loads(_decoded(p, url=True) or b"") for p in parts[:2])
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested deeper than any token is
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
 
@@ -136,9 +139,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if b"\1" * 32 in data.translate(_HEX_MARK):
-        runs = [m.span() for m in _HEX_RUN.finditer(text)]
-        found += [("hex", *s) for s in runs]
-        found += [("der", a, b) for a, b in runs if text.startswith("30", a) and is_private_der(bytes.fromhex(text[a : b - (b - a) % 2]))]
+        found += [("hex", *m.span()) for m in _HEX_RUN.finditer(text)]
+    if b"\1" * 64 in data.translate(_HEX_ANY_MARK):
+        runs = [m.span() for m in _HEX_ANY.finditer(text)]
+        found += [("der", a, b) for a, b in runs if is_private_der(bytes.fromhex(text[a : b - (b - a) % 2]))]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_jwt(m[0])]
     armoured = []
@@ -146,7 +150,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         for m in _PEM.finditer(text):
             lines = [x for x in m[2].splitlines() if ":" not in x]  # without the headers of old keys
             body = _decoded("".join("".join(lines).split()))
-            if body and (is_openssh(body) or is_private_der(body) or is_encrypted_der(body) or "ENCRYPTED" in m[2]):
+            old = _OLD_ENCRYPTED.match(m[2])
+            blocks = body and old and len(body) >= 32 and len(body) * 2 % len(old[1]) == 0  # the IV is as long as a block
+            if body and (is_openssh(body) or is_private_der(body) or is_encrypted_der(body) or blocks):
                 found.append(("pem", *m.span()))
                 armoured.append(m.span())
     if b"\1" * 64 in data.translate(_B64_MARK):
@@ -164,7 +170,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id and ``found``, an array of (kind, start, end).
 
-    Null and empty texts have none. Extra columns are not carried along.
+    Null and empty texts have none. Repeated rows come out as often as they go in, an empty table gives none. Where spans of
+    several kinds begin at one place, the order of ``KINDS`` decides. Extra columns are not carried along.
     """
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
