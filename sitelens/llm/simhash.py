@@ -8,7 +8,8 @@
    planes are added up by carry-save counters, and blocks of lanes whose counters all exceed the
    radius are abandoned. Short buckets are compared lane against shifted lane, all buckets at once;
    in long buckets a breadth-first walk compares the newly reached fingerprints with the not
-   yet reached ones, so a dense group costs about one pass and no pair is listed.
+   yet reached ones, so a dense group costs about one pass and no pair is listed. What such a walk has
+   not settled soon is split by further blocks of bits, so a long bucket without links is not quadratic.
    Each bucket yields one edge per linked fingerprint.
 4. Components: minimum labels spread over the edges by alternating large-star and small-star
    steps on Spark tables, until nothing changes.
@@ -33,6 +34,9 @@ SEED = 42
 WIDTHS = [10, 9, 9, 9, 9, 9, 9]
 #: Buckets up to this size are compared by shifts.
 SHORT = 48
+#: Longer ones are walked, and what is left of one after so many comparisons is split while it is longer than LONG.
+ROUNDS = 64
+LONG = 4096
 _STARTS = np.cumsum([0, *WIDTHS])
 _MASKS = [((1 << w) - 1) << int(s) for w, s in zip(WIDTHS, _STARTS)]
 
@@ -130,30 +134,58 @@ def _lanes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.astype("<u8").view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
 
 
-def walk(fps: np.ndarray) -> np.ndarray:
-    """For a long bucket: the index of one fingerprint of each one's component, the same for all of it."""
-    root = np.arange(len(fps))
-    rest = np.arange(len(fps))  # not yet settled
+def walk(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a long bucket: pairs of fingerprints that connect what is linked in it.
+
+    What is still unsettled after ``ROUNDS`` comparisons of 64 with all the rest is split.
+    """
+    out_a, out_b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    rest, rounds = fps, 0  # not yet settled
+
+    def near(step: np.ndarray) -> np.ndarray:
+        target = planes(rest)
+        return within(_cross(step, target), (len(step), target.shape[1]))
+
     while len(rest):
-        step, target = rest[:64], planes(fps[rest])
-        near = _lanes(within(_cross(fps[step], target), (len(step), target.shape[1])), len(rest))
-        linked = np.flatnonzero(near.sum(axis=1) > 1)  # each is near itself
+        step, front = rest[:64], rest[:0]
+        lanes = _lanes(near(step), len(rest))
+        rounds += 1
+        linked = np.flatnonzero(lanes.sum(axis=1) > 1)  # each is near itself
         if not len(linked):
             rest = rest[len(step) :]
-            continue
-        start = step[linked[0]]
-        reached = near[linked[0]]
-        front = rest[reached]
-        root[front] = start
-        rest = rest[~reached]
-        while len(front) and len(rest):
-            step, front, target = front[:64], front[64:], planes(fps[rest])
-            hit = within(_cross(fps[step], target), (len(step), target.shape[1]))
-            new = _lanes(np.bitwise_or.reduce(hit, axis=0), len(rest))
-            root[rest[new]] = start
-            front = np.concatenate([front, rest[new]])
-            rest = rest[~new]
-    return root
+        else:
+            start, reached = step[linked[0]], lanes[linked[0]]
+            new, rest = rest[reached], rest[~reached]
+            while len(new) or len(front):
+                out_a.append(new)
+                out_b.append(np.full(len(new), start))
+                front = np.concatenate([front, new])
+                if not len(rest) or (rounds >= ROUNDS and len(rest) > LONG):
+                    break
+                step, front = front[:64], front[64:]
+                reached = _lanes(np.bitwise_or.reduce(near(step), axis=0), len(rest))
+                rounds += 1
+                new, rest = rest[reached], rest[~reached]
+        if rounds >= ROUNDS and len(rest) > LONG:
+            for a, b in split(np.concatenate([front, rest])):
+                out_a.append(a)
+                out_b.append(b)
+            break
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def split(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a long bucket by smaller ones.
+
+    The bits that differ in it are dealt into 6 further blocks. Two fingerprints within the radius agree on two of them at
+    least, so each link is found under one of the 15 choices of two.
+    """
+    spread = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [k for k in range(64) if spread >> k & 1]
+    for chosen in combinations(range(RADIUS + 2), 2):
+        keys = fps & np.uint64(sum(1 << k for i in chosen for k in bits[i :: RADIUS + 2]))
+        order = np.argsort(keys, kind="stable")
+        yield links(keys[order], fps[order])
 
 
 def links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,10 +198,9 @@ def links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = ends - starts
     out_a, out_b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for a, b in zip(starts[sizes > SHORT], ends[sizes > SHORT]):
-        root = walk(fps[a:b])
-        far = np.flatnonzero(root != np.arange(b - a))
-        out_a.append(fps[a:b][far])
-        out_b.append(fps[a:b][root[far]])
+        one, other = walk(fps[a:b])
+        out_a.append(one[one != other])
+        out_b.append(other[one != other])
     end_of = np.repeat(np.where(sizes > SHORT, 0, ends), sizes)
     at = np.arange(len(keys))
     for shift in range(1, SHORT):

@@ -112,8 +112,10 @@ def test_simhash_matches_brute_force(spark, sf):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(slow_components(fps)))
 
 
-@pytest.mark.parametrize("size", [30, 300, 700])
-def test_bucket_links_connect_as_all_pairs_do(size):
+@pytest.mark.parametrize(("size", "rounds", "long"), [(30, 64, 4096), (300, 64, 4096), (700, 64, 4096), (700, 2, 60), (700, 0, 60)])
+def test_bucket_links_connect_as_all_pairs_do(size, rounds, long, monkeypatch):
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "LONG", long)
     rng = np.random.default_rng(size)
     centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
     fps = set()
@@ -139,6 +141,32 @@ def test_bucket_links_connect_as_all_pairs_do(size):
     assert label == slow_components([int(f) for f in fps])
 
 
+def test_a_long_bucket_of_strangers_loses_no_link():
+    """30,000 fingerprints that share 27 bits, among them 40 planted pairs."""
+    rng = np.random.default_rng(5)
+    fps = np.unique((rng.integers(0, 2**37, 30_000, dtype=np.uint64) << np.uint64(27)) | np.uint64(77))
+    planted = {(int(f), int(f) ^ sum(1 << int(b) for b in rng.choice(np.arange(27, 64), 4, replace=False))) for f in fps[:: len(fps) // 40]}
+    fps = np.unique(np.concatenate([fps, np.array([q for _, q in planted], np.uint64)]))
+    a, b = simhash.links(np.zeros(len(fps), np.int64), fps)
+    near = set()  # all pairs, by one fingerprint against all
+    for f in fps:
+        for g in fps[np.bitwise_count(fps ^ f) <= 4]:
+            if g != f:
+                near.add((min(int(f), int(g)), max(int(f), int(g))))
+    assert {(min(p), max(p)) for p in planted} <= near
+    group = {int(f): int(f) for f in fps}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert (min(x, y), max(x, y)) in near
+        group[root(x)] = root(y)
+    assert all(root(x) == root(y) for x, y in near)
+
+
 def test_fingerprints_of_long_texts():
     words = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
     assert simhash.fingerprint(words.encode(), 4) == slow_fingerprint(words)
