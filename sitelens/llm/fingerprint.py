@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm.shared import for_python
@@ -29,6 +29,10 @@ from sitelens.llm.shared import for_python
 SAMPLES = 64
 #: Words whose draws a task remembers before it starts afresh (768 bytes each at 64 samples).
 MEMORY = 100_000
+#: Words whose draws are computed at a time.
+PART = 4096
+#: Texts of more distinct words than this are drawn part by part, without remembering their words.
+LONG = 50_000
 #: Documents that a range of ids aims at.
 RANGE_ROWS = 4_000
 #: Ranges at most; on larger tables each holds more documents, which stream through its task.
@@ -77,45 +81,80 @@ class Sampler:
         lower = (mixed.view(np.uint32)[:, ::2] >> np.uint32(8)).astype(np.float32)
         return (upper + half) * scale, (lower + half) * scale
 
+    def _parameters(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Hash, r, b and ln a at weight 1 of each word."""
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        (u0, u1), (u2, u3), (b, _) = (self._uniforms(h, k) for k in range(3))
+        r = -np.log(u0 * u1)
+        return h, r, b, np.log(-np.log(u2 * u3)) - r * (1 - b)
+
     def _learn(self, words: list[bytes]) -> None:
         first = len(self.ids)
         self._room(first + len(words))
         self.ids.update(zip(words, range(first, first + len(words))))
-        for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
+        for a in range(0, len(words), PART):
+            part = words[a : a + PART]
             own = slice(first + a, first + a + len(part))
-            h = np.array([xxhash.xxh64_intdigest(w) for w in part], np.uint64)
-            (u0, u1), (u2, u3), (b, _) = (self._uniforms(h, k) for k in range(3))
-            r = -np.log(u0 * u1)
-            self.hashes[own], self.r[own], self.b[own] = h, r, b
-            self.one[own] = np.log(-np.log(u2 * u3)) - r * (1 - b)
-
-    def signatures(self, bags: list[Counter[bytes]]) -> np.ndarray:
-        """A row of 16-bit draws per bag; an empty bag draws zeros."""
-        out = np.zeros((len(bags), self.samples), np.uint16)
+            self.hashes[own], self.r[own], self.b[own], self.one[own] = self._parameters(part)
+
+    def _least(self, tables: tuple[np.ndarray, ...], at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a of the word drawn by each sample, and the mixed hash of (word, t)."""
+        hashes, r_of, b_of, one = tables
+        value, level, columns = one[at], np.zeros(self.samples, np.int64), np.arange(self.samples)
+        many = np.flatnonzero(weight > 1)
+        if len(many):
+            r = r_of[at[many]]
+            t = np.floor(np.log(weight[many])[:, None] / r + b_of[at[many]])
+            value[many] -= r * t
+        first = value.argmin(axis=0)
+        if len(many):
+            place = np.minimum(np.searchsorted(many, first), len(many) - 1)
+            level = np.where(many[place] == first, t[place, columns], 0).astype(np.int64)
+        return value[first, columns], _mix(hashes[at[first]] ^ _mix(level.view(np.uint64) + np.uint64(1)))
+
+    def _long(self, bag: Counter[bytes]) -> np.ndarray:
+        """The draws of a bag of very many words, part by part; none is remembered."""
+        words, weights = list(bag), np.fromiter(bag.values(), np.float32, len(bag))
+        lowest, drawn = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64)
+        for a in range(0, len(words), PART):
+            part = words[a : a + PART]
+            value, mixed = self._least(self._parameters(part), np.arange(len(part)), weights[a : a + PART])
+            lower = value < lowest
+            lowest, drawn = np.where(lower, value, lowest), np.where(lower, mixed, drawn)
+        return drawn
+
+    def _several(self, bags: list[Counter[bytes]]) -> Iterator[np.ndarray]:
+        """The draws of bags of at most ``MEMORY`` words in all."""
         if len(self.ids) > MEMORY:
             self.ids.clear()
         fresh = list({w for bag in bags for w in bag} - self.ids.keys())
         if fresh:
             self._learn(fresh)
-        get, columns = self.ids.__getitem__, np.arange(self.samples)
-        for row, bag in enumerate(bags):
-            if not bag:
-                continue
+        tables, get = (self.hashes, self.r, self.b, self.one), self.ids.__getitem__
+        for bag in bags:
             at = np.fromiter(map(get, bag), np.int64, len(bag))
-            weight = np.fromiter(bag.values(), np.float32, len(bag))
-            value, level = self.one[at], np.zeros(self.samples, np.int64)
-            many = np.flatnonzero(weight > 1)
-            if len(many):
-                r = self.r[at[many]]
-                t = np.floor(np.log(weight[many])[:, None] / r + self.b[at[many]])
-                value[many] -= r * t
-            first = value.argmin(axis=0)
-            if len(many):
-                place = np.minimum(np.searchsorted(many, first), len(many) - 1)
-                level = np.where(many[place] == first, t[place, columns], 0).astype(np.int64)
-            out[row] = (_mix(self.hashes[at[first]] ^ _mix(level.view(np.uint64) + np.uint64(1))) >> np.uint64(48)).astype(np.uint16)
-        return out
+            yield self._least(tables, at, np.fromiter(bag.values(), np.float32, len(bag)))[1]
+
+    def signatures(self, bags: list[Counter[bytes]]) -> np.ndarray:
+        """A row of 16-bit draws per bag; an empty bag draws zeros."""
+        mixed = np.zeros((len(bags), self.samples), np.uint64)
+        group, words = [], 0
+
+        def settle() -> None:
+            for row, draws in zip(group, self._several([bags[i] for i in group])):
+                mixed[row] = draws
+
+        for row, bag in enumerate(bags):
+            if len(bag) > LONG:
+                mixed[row] = self._long(bag)
+            elif bag:
+                if words + len(bag) > MEMORY:
+                    settle()
+                    group, words = [], 0
+                group.append(row)
+                words += len(bag)
+        settle()
+        return (mixed >> np.uint64(48)).astype(np.uint16)
 
 
 def bag_of(text: str) -> Counter[bytes]:
@@ -136,6 +175,19 @@ def _hex(signature: np.ndarray) -> str:
     return signature.astype(">u2").tobytes().hex()
 
 
+def _passed(value: Column, cuts: list[float]) -> Column:
+    """How many of the falling ``cuts`` are not below the value (all of them for null), looked up in two steps."""
+    step = 64
+    groups = [cuts[a : a + step] for a in range(0, len(cuts), step)]
+    if not groups:
+        return F.lit(0)
+    floats = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    count = lambda xs: F.size(F.filter(xs, lambda c: value <= c))
+    whole = count(floats([g[-1] for g in groups]))
+    inside = F.coalesce(F.try_element_at(F.array(*[floats(g) for g in groups]), whole + 1), F.array().cast("array<double>"))
+    return F.when(value.isNull(), len(cuts)).otherwise(whole * step + count(inside))
+
+
 def ranges(docs: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """id, text, place, guest: documents dealt into ranges of ids, highest ids first.
 
@@ -148,18 +200,15 @@ def ranges(docs: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     cuts = docs.filter("id IS NOT NULL").approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
     cuts = sorted(set(cuts), reverse=True)
     # range k holds ids in (cuts[k], cuts[k - 1]]; null ids come after all others
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    place = F.size(F.filter(bounds, lambda c: F.coalesce(F.col("id") <= c, F.lit(True))))
-    placed = docs.withColumn("place", place)
+    placed = docs.withColumn("place", _passed(F.col("id"), cuts))
     tops = {r["place"]: r["top"] for r in placed.groupBy("place").agg(F.max("id").alias("top")).collect()}
     order = sorted(tops)
-    host = {tops[p]: order[k - 1] for k, p in enumerate(order)}  # the first range's top is the guest of the last
-    if not host:
+    if not order:
         return placed.withColumn("guest", F.lit(False))
-    known = [x for top, p in host.items() if top is not None for x in (F.lit(top), F.lit(p))]
-    goes_to = F.try_element_at(F.create_map(*known), F.col("id")) if known else F.lit(None).cast("int")
-    if None in host:
-        goes_to = F.when(F.col("id").isNull(), host[None]).otherwise(goes_to)
+    host = {p: order[k - 1] for k, p in enumerate(order)}  # the first range's top is the guest of the last
+    top_of = F.array(*[F.lit(tops.get(p)).cast("long") for p in range(order[-1] + 1)])
+    host_of = F.array(*[F.lit(host.get(p)).cast("int") for p in range(order[-1] + 1)])
+    goes_to = F.when(F.col("id").eqNullSafe(top_of[F.col("place")]), host_of[F.col("place")])
     own = F.struct(F.col("place").alias("place"), F.lit(False).alias("guest"))
     visit = F.struct(goes_to.alias("place"), F.lit(True).alias("guest"))
     both = F.filter(F.array(own, visit), lambda x: x["place"].isNotNull())
@@ -175,7 +224,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sa
     """
     for_python(docs.sparkSession, 4)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = ranges(rows)
+    dealt = ranges(rows, RANGE_ROWS)
     inside = dealt.repartition("place").sortWithinPartitions("place", "guest", F.col("id").desc_nulls_last(), "text")
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -389,7 +389,7 @@ def test_the_program_itself():
 def test_fingerprints(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     pairs = [(r.doc_id, r.text) for r in docs.collect()] + [(1000, None), (1001, ""), (1002, "one"), (5000, "one"), (5000, "two")]
-    for size in (10_000, 30):
+    for size in (10_000, 30, 2):
         monkeypatch.setattr(fingerprint, "RANGE_ROWS", size)
         frame = spark.createDataFrame(pairs, "doc_id long, text string")
         got = fingerprint.ranges(frame.selectExpr("doc_id AS id", "coalesce(text, '') AS text"), size)
@@ -422,6 +422,17 @@ def test_collision_rate_is_generalised_jaccard():
         assert fingerprint.likeness(x, y) == pytest.approx(want, abs=0.05)
 
 
+def test_long_texts_and_full_groups_draw_as_short_ones_do(monkeypatch):
+    rng = random.Random(4)
+    bags = [Counter(f"w{int(rng.paretovariate(0.4)) % 5000}".encode() for _ in range(n)) for n in (3, 900, 0, 4000, 2500)]
+    want = fingerprint.Sampler().signatures(bags)
+    monkeypatch.setattr(fingerprint, "PART", 100)
+    monkeypatch.setattr(fingerprint, "MEMORY", 700)
+    assert (fingerprint.Sampler().signatures(bags) == want).all()
+    monkeypatch.setattr(fingerprint, "LONG", 50)
+    assert (fingerprint.Sampler().signatures(bags) == want).all()
+
+
 # -- toxicity ----------------------------------------------------------------
 
 
