@@ -173,8 +173,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: st
     chosen = known.filter("y = 0").orderBy("order", "id").limit(SAMPLE_ROWS).unionByName(known.filter("y = 1").orderBy("order", "id").limit(SAMPLE_ROWS))
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text).alias("text")).join(F.broadcast(chosen), "id")
     rows = rows.filter(F.length("text") <= SAMPLE_TEXT)
-    used = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy("order", "id", "text"))
-    rows = rows.withColumn("used", used).filter(F.col("used") <= SAMPLE_BYTES)
+    drawn = Window.partitionBy("y").orderBy("order", "id", "text")
+    # An id may be repeated: each task keeps only the first rows of a class before they meet.
+    rows = rows.withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= SAMPLE_ROWS)
+    rows = rows.withColumn("used", F.sum(F.length("text")).over(drawn)).filter(F.col("used") <= SAMPLE_BYTES)
     return [(bytes(r.text), r.y) for r in sorted(rows.select("order", "text", "y").collect(), key=lambda r: (r.order, bytes(r.text)))]
 
 
