@@ -62,9 +62,16 @@ def with_windows(log: DataFrame, granularities: Sequence[str] = ("hourly", "dail
 
 
 def _only(log: DataFrame, spans: Iterable[Span]) -> DataFrame:
-    """Rows of the wanted windows; the outer bounds prune directories and row groups first."""
+    """Rows of the wanted windows; the outer bounds prune directories and row groups first.
+
+    Where days between them are not wanted, as when late rows touch old windows, their directories are not listed either.
+    """
     spans = list(spans)
-    log = pruned(log, TimeRange(min(s.start for s in spans), max(s.end for s in spans) - 1))
+    outer = TimeRange(min(s.start for s in spans), max(s.end for s in spans) - 1)
+    log = pruned(log, outer)
+    days = {d.strftime("%Y-%m-%d") for s in spans for d in TimeRange(s.start, s.end - 1).days()}
+    if len(days) < len(outer.days()) and {"year", "month", "day"} <= set(log.columns):
+        log = log.filter(F.concat_ws("-", "year", "month", "day").isin(*sorted(days)))
     rows = with_windows(log, sorted({s.granularity for s in spans}))
     starts = {g: sorted({s.start for s in spans if s.granularity == g}) for g in SIZES}
     keep = F.lit(False)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import events
 from sitelens.functions.requests import browser_family, device_class, is_page_view
 from sitelens.functions.text import parameter, raw_parameter, referrer_host
-from sitelens.functions.visitors import digest, has_address, salt
+from sitelens.functions.visitors import day_salts, digest, has_address, salt
 from sitelens.operators import compare, merge
 from sitelens.operators.questions import Question, conversion_on_event, conversion_on_path, registry, visitors, web_vitals
 from sitelens.operators.rows import reranked, rows_for, top
@@ -136,17 +136,24 @@ query("a6_searches_sections", _top(f"{_TERM} AS term, {_SECTION} AS section, {_S
 )
 
 
-def _salts(spark: SparkSession, days: list[str]) -> DataFrame:
-    return spark.createDataFrame([(d, salt(SECRET, "day", d)) for d in days], "day string, salt string")
+def _extent(log: DataFrame) -> TimeRange:
+    """The whole days from the first row of a log to its last; a log without times has the first day of all."""
+    first, last = log.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    day = 24 * HOUR
+    return TimeRange((first or 0) // day * day, (last or 0) // day * day + day - 1)
+
+
+def _salts(log: DataFrame) -> DataFrame:
+    return day_salts(log.sparkSession, SECRET, [d.strftime("%Y-%m-%d") for d in _extent(log).days()])
 
 
-JANUARY = [f"2024-01-{d:02d}" for d in range(1, 32)]
 _VISIT = "CAST(strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS STRING) || '|' || c_ip || '|' || cs_user_agent"
 
 
 @query("a7_visitors", f"SELECT count(DISTINCT {_VISIT}) AS distinct_visitors FROM log WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-'")
 def a7(spark, d):
-    return visitors(access_log(spark, d), Request(), _salts(spark, JANUARY))
+    log = access_log(spark, d)
+    return visitors(log, Request(), _salts(log))
 
 
 @query("a7_visitors_period", f"SELECT count(DISTINCT c_ip || '|' || cs_user_agent) AS distinct_visitors FROM log WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-'")
@@ -158,7 +165,8 @@ def a7_period(spark, d):
 @query("a8_visitors_split", f"""SELECT count(DISTINCT CASE WHEN r THEN v END) AS distinct_visitors, count(DISTINCT CASE WHEN NOT r THEN v END) AS unrendered
 FROM (SELECT {_VISIT} AS v, coalesce({RENDERED.format(log="log")}, false) AS r FROM log WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-')""")
 def a8(spark, d):
-    return visitors(access_log(spark, d), Request(rendered_only=True), _salts(spark, JANUARY), split=True)
+    log = access_log(spark, d)
+    return visitors(log, Request(rendered_only=True), _salts(log), split=True)
 
 
 _CAPPED = f"""SELECT page, event, CAST(sum(least(n, 60)) AS BIGINT) AS events FROM (
@@ -267,6 +275,12 @@ def _month(granularities=("hourly", "daily")):
     return [s for g in granularities for s in overlapping(span, g, 1_706_745_600_000)]
 
 
+def _windows(log: DataFrame, granularities=("hourly", "daily")):
+    """Every window of the days that a log covers."""
+    span = _extent(log)
+    return [s for g in granularities for s in overlapping(span, g, span.end + 1)]
+
+
 _WIN_LOG = f"{DUCK_LOG}, {WINDOWED}"
 
 
@@ -282,29 +296,34 @@ def _naive(rows: DataFrame) -> DataFrame:
 
 @query("t4_backfill_pageviews", _windowed("path, count(*) AS views", f"{VIEW} AND {PEOPLE}", "path", "views", "path", "path, views", 3), _WIN_LOG)
 def t4(spark, d):
-    return _naive(compute(access_log(spark, d), registry()["pageviews"], Request(limit=3), _month()))
+    log = access_log(spark, d)
+    return _naive(compute(log, registry()["pageviews"], Request(limit=3), _windows(log)))
 
 
 @query("t4_backfill_statuses", _windowed("sc_status AS status, count(*) AS responses", f"{PEOPLE} AND NOT starts_with(cs_uri_stem, '/_beacon')", "sc_status", "responses", "status", "status, responses"), _WIN_LOG)
 def t4_statuses(spark, d):
-    return _naive(compute(access_log(spark, d), registry()["status-codes"], Request(), _month()))
+    log = access_log(spark, d)
+    return _naive(compute(log, registry()["status-codes"], Request(), _windows(log)))
 
 
 @query("t4_backfill_hit_ratio", f"SELECT granularity, window_start, {_RATIO} FROM win WHERE {PEOPLE} GROUP BY granularity, window_start", _WIN_LOG)
 def t4_ratio(spark, d):
-    return _naive(compute(access_log(spark, d), registry()["cache-hit-ratio"], Request(), _month()))
+    log = access_log(spark, d)
+    return _naive(compute(log, registry()["cache-hit-ratio"], Request(), _windows(log)))
 
 
 @query("t4_backfill_rendered", f"""SELECT granularity, window_start, path, count(*) AS views FROM win w WHERE {VIEW} AND {PEOPLE} AND EXISTS (
   SELECT 1 FROM win x WHERE x.granularity = w.granularity AND x.window_start = w.window_start AND x.c_ip = w.c_ip AND x.cs_user_agent = w.cs_user_agent AND
   (regexp_matches(lower(x.cs_uri_stem), '\\.(css|js|mjs|woff|woff2|ttf|otf)$') OR starts_with(x.cs_uri_stem, '/_beacon'))) GROUP BY ALL""", _WIN_LOG)
 def t4_rendered(spark, d):
-    return _naive(compute(access_log(spark, d), registry()["pageviews"], Request(limit=None, rendered_only=True), _month(("daily",)) + _month(("hourly",))))
+    log = access_log(spark, d)
+    return _naive(compute(log, registry()["pageviews"], Request(limit=None, rendered_only=True), _windows(log)))
 
 
 @query("t6_window_visitors", f"SELECT granularity, window_start, count(DISTINCT {_VISIT}) AS distinct_visitors FROM win WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-' AND cs_user_agent IS NOT NULL GROUP BY 1, 2", _WIN_LOG)
 def t6(spark, d):
-    return _naive(compute_visitors(access_log(spark, d), Request(), _month(), _salts(spark, JANUARY)))
+    log = access_log(spark, d)
+    return _naive(compute_visitors(log, Request(), _windows(log), _salts(log)))
 
 
 @query("t1_windows", "SELECT granularity, window_start, count(*) AS n FROM win GROUP BY 1, 2", _WIN_LOG)
@@ -329,22 +348,25 @@ def m1(spark, d):
 @query("m2_merge_statuses", _top("sc_status AS status, count(*) AS responses", "log", f"{PEOPLE} AND NOT starts_with(cs_uri_stem, '/_beacon')", "1", "responses DESC, status"))
 def m2(spark, d):
     question = registry()["status-codes"]
-    spans = _month(("daily",))
-    return merge.answer_from_windows(compute(access_log(spark, d), question, ALL, spans), question, len(spans), 20)
+    log = access_log(spark, d)
+    spans = _windows(log, ("daily",))
+    return merge.answer_from_windows(compute(log, question, ALL, spans), question, len(spans), 20)
 
 
 @query("m2_merge_beacon_events", _CAPPED, _WITH_EVENTS)
 def m2_events(spark, d):
     question = registry()["beacon-events"]
-    spans = _month(("hourly",))
-    return merge.answer_from_windows(compute(access_log(spark, d), question, ALL, spans), question, len(spans), 20)
+    log = access_log(spark, d)
+    spans = _windows(log, ("hourly",))
+    return merge.answer_from_windows(compute(log, question, ALL, spans), question, len(spans), 20)
 
 
 @query("m3_merge_hit_ratio", f"SELECT {_RATIO} FROM log WHERE {PEOPLE}")
 def m3(spark, d):
     question = registry()["cache-hit-ratio"]
-    spans = _month(("hourly",))
-    return merge.answer_from_windows(compute(access_log(spark, d), question, ALL, spans), question, len(spans))
+    log = access_log(spark, d)
+    spans = _windows(log, ("hourly",))
+    return merge.answer_from_windows(compute(log, question, ALL, spans), question, len(spans))
 
 
 @query("w3_ranked_merge", """SELECT path, CAST(sum(views) AS BIGINT) AS views FROM (
@@ -353,7 +375,8 @@ def m3(spark, d):
 ) WHERE place <= 2 GROUP BY 1 ORDER BY views DESC, path LIMIT 3""", _WIN_LOG)
 def w3(spark, d):
     question = registry()["pageviews"]
-    rows = compute(access_log(spark, d), question, Request(limit=2), _month(("daily",)))
+    log = access_log(spark, d)
+    rows = compute(log, question, Request(limit=2), _windows(log, ("daily",)))
     return reranked(merge.added_up(rows, question), question.added, question.keys, 3)
 
 
@@ -682,7 +705,8 @@ def t8(spark, d):
     folder = _folder(spark)
     log = access_log(spark, d)
     for part in range(2):
-        log.filter(F.pmod(F.hash("timestamp_ms", "cs_uri_stem"), F.lit(2)) == part).write.mode("append").partitionBy(*PARTITIONS[1:4]).parquet(f"{folder}/log")
+        half = log.filter(F.pmod(F.hash("timestamp_ms", "cs_uri_stem"), F.lit(2)) == part).repartitionByRange(*PARTITIONS[1:4], "ts_ms")
+        half.write.mode("append").partitionBy(*PARTITIONS[1:4]).parquet(f"{folder}/log")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/log")
     store = SummaryStore(spark, f"{folder}/store")
     keep_current(stream, lambda: spark.read.schema(log.schema).parquet(f"{folder}/log"), registry()["status-codes"], Request(), store, f"{folder}/checkpoint").awaitTermination()

@@ -69,9 +69,12 @@ def read_parquet(spark: SparkSession, root: str, columns: Sequence[str] = COLUMN
 
 
 def curate(log: DataFrame, root: str, granularity: str = "hourly") -> None:
-    """Write a typed log as Parquet in the same layout, sorted by time within files so that row groups are skipped."""
+    """Write a typed log as Parquet in the same layout, sorted by time within files so that row groups are skipped.
+
+    Tasks hold ranges of (partition, time): a busy hour or day is dealt over several, quiet ones share one.
+    """
     keys = _partitions(granularity)
-    log.repartition(*keys).sortWithinPartitions(*keys, "ts_ms").write.mode("overwrite").partitionBy(*keys).parquet(root)
+    log.repartitionByRange(*keys, "ts_ms").sortWithinPartitions(*keys, "ts_ms").write.mode("overwrite").partitionBy(*keys).parquet(root)
 
 
 def one_distribution(log: DataFrame, distribution: str) -> DataFrame:

@@ -66,6 +66,18 @@ class SummaryStore:
         rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_hour")
         return rows.join(self._current(question).select(*WINDOW, "run"), [*WINDOW, "run"], "left_semi").drop("run")
 
+    def compacted(self, question: str, root: str) -> SummaryStore:
+        """A store under another root with the rows and ledger rows of ``question`` that still count.
+
+        The caller turns to it once it is whole, and may drop the old one then.
+        """
+        other = SummaryStore(self.spark, root)
+        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_hour")
+        current = self._current(question)
+        self._append(rows.join(current.select(*WINDOW, "run"), [*WINDOW, "run"], "left_semi"), f"{other.root}/rows/{question}")
+        self._append(current, f"{other.root}/ledger/{question}")
+        return other
+
     def states(self, question: str, wanted: DataFrame) -> DataFrame:
         """For each wanted window: rows, empty, or never computed."""
         counts = self.read(question).groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("n"))

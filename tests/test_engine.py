@@ -332,6 +332,26 @@ def test_store_states_and_overwrite(spark, log, tmp_path):
     assert [r.state for r in store.states("pageviews", wanted).orderBy("window_start").collect()] == ["rows", "empty", "never computed"]
     assert got(store.read("pageviews"), "path") == [("/n",)]
     assert merge.freshness(store.ledger("pageviews")).first()["windows"] == 2
+    small = store.compacted("pageviews", str(tmp_path / "compacted"))
+    assert spark.read.parquet(f"{small.root}/rows/pageviews").count() == 1 < spark.read.parquet(f"{store.root}/rows/pageviews").count()
+    assert got(small.read("pageviews"), "path") == [("/n",)] and small.ledger("pageviews").count() == 2
+
+
+def test_only_wanted_days_are_listed_and_busy_ones_are_dealt_over_tasks(spark, log, tmp_path):
+    rows = log(*[row(at=h * HOUR // 60) for h in range(300)], row(at=48 * HOUR), row(at=96 * HOUR))
+    day = F.timestamp_millis("ts_ms")
+    parts = {"distributionid": F.lit("D1"), "year": F.date_format(day, "yyyy"), "month": F.date_format(day, "MM"), "day": F.date_format(day, "dd")}
+    source.curate(rows.withColumns(parts), str(tmp_path), "daily")
+    again = source.read_parquet(spark, str(tmp_path), granularity="daily", curated=True)
+    assert again.count() == 302
+    spans = [Span(DAY, "daily"), Span(DAY + 96 * HOUR, "hourly")]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    answer = compute(again, registry()["pageviews"], Request(), spans)
+    assert sorted(got(answer, "granularity", "views")) == [("daily", 300), ("hourly", 1)]
+    assert len(again.select("year", "month", "day").distinct().collect()) == 3
+    scan = next(x for x in answer._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "concat_ws(-, year" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
 def test_log_sources(spark, tmp_path):
