@@ -27,10 +27,10 @@ class SummaryStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _append(self, rows: DataFrame, path: str) -> None:
-        # One task per window, so that a run leaves one file for each.
-        hours = (F.unix_seconds("window_start") / 3600).cast("long")
-        stamped = rows.withColumn("window_hour", hours).repartition("granularity", "window_hour")
-        stamped.write.mode("append").partitionBy("granularity", "window_hour").parquet(path)
+        # Windows are dealt over tasks and lie in directories of days, so that a run leaves few files: small shuffles are coalesced.
+        days = F.floor(F.unix_seconds("window_start") / 86_400).cast("int")
+        stamped = rows.withColumn("window_day", days).repartition(*WINDOW)
+        stamped.write.mode("append").partitionBy("granularity", "window_day").parquet(path)
 
     def write_rows(self, question: str, answer: DataFrame, moment: datetime) -> str:
         """Append the rows of a run and give its number; they do not count before the ledger names it."""
@@ -54,7 +54,7 @@ class SummaryStore:
     def _current(self, question: str) -> DataFrame:
         """The newest ledger row of each window, of this version."""
         rows = self.spark.read.parquet(f"{self.root}/ledger/{question}").filter(F.col("schema") == SCHEMA)
-        rest = [c for c in rows.columns if c not in (*WINDOW, "window_hour")]
+        rest = [c for c in rows.columns if c not in (*WINDOW, "window_day")]
         newest = rows.groupBy(*WINDOW).agg(F.max_by(F.struct(*rest), F.struct("written_at", "run")).alias("entry"))
         return newest.select(*WINDOW, "entry.*")
 
@@ -63,7 +63,7 @@ class SummaryStore:
 
     def read(self, question: str) -> DataFrame:
         """Rows of the windows as they were last computed."""
-        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_hour")
+        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_day")
         return rows.join(self._current(question).select(*WINDOW, "run"), [*WINDOW, "run"], "left_semi").drop("run")
 
     def compacted(self, question: str, root: str) -> SummaryStore:
@@ -72,7 +72,7 @@ class SummaryStore:
         The caller turns to it once it is whole, and may drop the old one then.
         """
         other = SummaryStore(self.spark, root)
-        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_hour")
+        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_day")
         current = self._current(question)
         self._append(rows.join(current.select(*WINDOW, "run"), [*WINDOW, "run"], "left_semi"), f"{other.root}/rows/{question}")
         self._append(current, f"{other.root}/ledger/{question}")
