@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import decontaminate, fingerprint, langid, language_model, line_dedup, packing, pii, secret_scan, simhash, toxicity
-from sitelens.llm.shared import documents
+from sitelens.llm import (
+    conversation_repair, decontaminate, fingerprint, langid, language_model, line_dedup, packing, pii, secret_scan, simhash, toxicity, vector_codes, warc,
+)
+from sitelens.llm.shared import documents, shared_dir
 
 
 #: The key of the registered PII query alone; whoever runs the operator brings a secret one.
@@ -58,6 +61,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(pages, counted=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are archived and all records read back; what is told of them comes from the archives."""
+    index = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{shared_dir(spark)}/llm-warc-{uuid.uuid4().hex}")
+    return warc.read(index, payloads=False).drop("payload")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -74,9 +91,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": op8_pii_surrogates,
         "op9_secret_scan": op9_secret_scan,
         "op10_line_dedup": op10_line_dedup,
+        "op11_warc": op11_warc,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op10_line_dedup": line_dedup.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL}

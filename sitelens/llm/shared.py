@@ -71,3 +71,23 @@ def text_bytes(column: str) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Up to so many rows of a lookup table are sent to every executor.
+BROADCAST_ROWS = 10_000
+#: Over so many tasks the rows of one key are dealt where the lookup table is larger.
+SALTS = 16
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one narrow row per key; null keys match each other, others may have no match.
+
+    ``table`` is a written one (see ``cut``), so that its rows can be counted before it is sent anywhere. A larger one is repeated once per salt
+    and joined by key and salt: however many rows share a key, no task gets more than a share of them.
+    """
+    table = table.withColumnRenamed(key, "key_")
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), rows[key].eqNullSafe(F.col("key_")), "left").drop("key_")
+    table = table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("dealt_", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return salted.join(table, salted[key].eqNullSafe(F.col("key_")) & (F.col("dealt_") == F.col("salt_")), "left").drop("key_", "salt_", "dealt_")
