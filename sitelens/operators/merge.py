@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators.questions import Question
 from sitelens.operators.rows import reranked, top
+from sitelens.plans.identity import NARROWINGS
 from sitelens.plans.windows import WINDOW
 
 
@@ -67,37 +68,32 @@ def require_no_holes(counts: DataFrame) -> None:
         raise ValueError("no stored window covers any of the range")
 
 
-NARROWINGS = ["include_bots", "bot_agents", "limit", "param", "host", "paths", "countries", "rendered_only", "redirects"]
-
-
 def adopted(ledger: DataFrame, asked: dict[str, str | None]) -> DataFrame:
-    """Ledger rows whose question matches (M9).
+    """Ledger rows whose question matches (M9), of a ledger with any of the narrowings as columns.
 
     Named narrowings must be equal in every window; those not named are adopted if all windows agree on them. A stored limit must be at
-    least the asked one; with none asked the smallest stored one holds (column ``adopted_limit``). Windows that do not match are refused,
-    not left out: without them the answer would lack a part of the range. Narrowings that no window stores are none.
+    least the asked one; with none asked the smallest stored one holds (column ``adopted_limit``, null where no window keeps one). Windows that do not
+    match are refused, not left out: without them the answer would lack a part of the range. Narrowings that no window stores are none.
     """
-    rows = ledger
     stored = [n for n in NARROWINGS if n in ledger.columns]
     differs = F.lit(False)
     for name, value in asked.items():
-        if name in stored and name != "limit":
+        if name in stored:
             differs = differs | ~F.col(name).eqNullSafe(F.lit(value))
-        elif name not in stored and value is not None:
+        elif name != "limit" and value is not None:
             raise ValueError(f"no stored window was narrowed by {name}")
-    if asked.get("limit") is not None and "limit" in stored:
-        differs = differs | F.coalesce(F.col("limit") < int(asked["limit"]), F.lit(False))
-    if rows.filter(differs).limit(1).count():
-        raise ValueError("stored windows were narrowed otherwise, or by a smaller limit, than is asked")
-    free = [n for n in stored if n not in asked and n != "limit"]
-    if free:
-        kinds = rows.select(*free).distinct().limit(2).count()
-        if kinds > 1:
-            raise ValueError("stored windows differ in what was not asked for; name it")
+    limit = F.col("limit").cast("int") if "limit" in ledger.columns else F.lit(None).cast("int")
     if asked.get("limit") is not None:
-        return rows.withColumn("adopted_limit", F.lit(int(asked["limit"])))
-    smallest = rows.agg(F.min("limit")).first()[0]
-    return rows.withColumn("adopted_limit", F.lit(smallest).cast("int"))
+        differs = differs | F.coalesce(limit < int(asked["limit"]), F.lit(False))
+    free = [n for n in stored if n not in asked]
+    # One pass over the ledger: does any differ, do the free ones agree, which is the smallest limit.
+    kinds = F.count_distinct(F.struct(*free)) if free else F.lit(1)
+    told = ledger.agg(F.coalesce(F.bool_or(differs), F.lit(False)).alias("differs"), kinds.alias("kinds"), F.min(limit).alias("least")).first()
+    if told["differs"]:
+        raise ValueError("stored windows were narrowed otherwise, or by a smaller limit, than is asked")
+    if told["kinds"] > 1:
+        raise ValueError("stored windows differ in what was not asked for; name it")
+    return ledger.withColumn("adopted_limit", F.lit(asked["limit"] if asked.get("limit") is not None else told["least"]).cast("int"))
 
 
 def freshness(ledger: DataFrame) -> DataFrame:

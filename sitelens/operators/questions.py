@@ -26,6 +26,22 @@ EVENT_CAP = 60
 Body = Callable[[DataFrame, Request, Sequence[str]], DataFrame]
 
 
+@dataclass(frozen=True)
+class Tally:
+    """Counts as sums over single rows, so that many questions share one pass over the log and sums of parts are sums of the whole.
+
+    ``where``: rows that count, besides the request's own narrowings. ``keys``: what they are counted by, as text. ``measures``: what each adds.
+    ``events``: over events instead of rows. ``capped``: a sum counts for at most ``cap`` within these further keys.
+    """
+
+    where: Callable[[Request], Column]
+    keys: Callable[[Request], list[Column]]
+    measures: Callable[[Request], list[Column]]
+    events: bool = False
+    capped: Callable[[Request], list[Column]] | None = None
+    cap: int | None = None
+
+
 @dataclass(frozen=True)
 class Question:
     name: str
@@ -39,6 +55,10 @@ class Question:
     percentile: bool = False
     counts_visitors: bool = False
     needs_address: bool = False
+    #: Narrowings that only some questions read.
+    reads: tuple[str, ...] = ()
+    #: The same counts as sums over rows, where the question is no more than that.
+    tally: Tally | None = None
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[a-z][a-z0-9]*(-[a-z0-9]+)*", self.name):
@@ -213,18 +233,65 @@ def _hit_percent() -> Column:
     return percent(F.col("hits"), F.col("hits") + F.col("misses"))
 
 
+def _one(request: Request) -> list[Column]:
+    return [F.lit(1)]
+
+
+def _flag(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0)
+
+
+def _referred() -> Column:
+    return referrer_host(F.col("cs_referer"))
+
+
+def _searched(request: Request) -> Column:
+    query = F.col("cs_uri_query")
+    return (F.col("cs_method") == "GET") & (query != "-") & (parameter(query, request.param) != "")
+
+
+def _term(request: Request) -> list[Column]:
+    several = len(request.paths or ()) > 1
+    return [parameter(F.col("cs_uri_query"), request.param), *([matched_prefix(F.col("path"), request.paths)] if several else [])]
+
+
+def _happened(request: Request) -> Column:
+    return events.is_event()
+
+
+def _failed(request: Request) -> Column:
+    beacon = under_any(F.col("path"), request.on_beacon_path().paths) if request.paths is None else F.lit(True)
+    return events.is_event() & F.col("event").isin(*events.ERRORS) & beacon
+
+
+_RESULT = "x_edge_result_type"
+_TALLIES = {
+    "pageviews": Tally(lambda r: is_page_view(), lambda r: [F.col("path")], _one),
+    "referrers": Tally(lambda r: is_page_view() & (F.col("cs_referer") != "-") & (_referred() != F.col("x_host_header")), lambda r: [_referred()], _one),
+    "browsers": Tally(lambda r: is_page_view(), lambda r: [browser_family(F.col("cs_user_agent")), device_class(F.col("cs_user_agent"))], _one),
+    "status-codes": Tally(lambda r: ~on_beacon_path(), lambda r: [F.col("sc_status")], _one),
+    "cache-hit-ratio": Tally(lambda r: F.lit(True), lambda r: [], lambda r: [_flag(F.col(_RESULT).isin("Hit", "RefreshHit")), _flag(F.col(_RESULT) == "Miss")]),
+    "searches": Tally(_searched, _term, lambda r: [F.lit(1), _flag(any_of(F.col("sc_status"), r.redirects))]),
+    "beacon-events": Tally(
+        _happened, lambda r: [F.col("page"), F.col("event")], _one, events=True, cap=EVENT_CAP,
+        capped=lambda r: [F.col("c_ip"), F.col("cs_user_agent"), hour_number(F.col("ts_ms")).cast("string")],
+    ),
+    "javascript-errors": Tally(_failed, lambda r: [F.col("page"), F.col("message")], _one, events=True),
+}
+
 DEFAULT_QUESTIONS = [
     Question("pageviews", _pageviews, ("path",), ("views",), counts_visitors=True),
     Question("referrers", _referrers, ("referrer",), ("views",)),
     Question("browsers", _browsers, ("browser", "device"), ("views",)),
     Question("status-codes", _status_codes, ("status",), ("responses",)),
     Question("cache-hit-ratio", _cache_hit_ratio, (), ("hits", "misses"), {"hit_percent": _hit_percent}, ranked=False),
-    Question("searches", _searches, ("term",), ("searches", "redirected")),
+    Question("searches", _searches, ("term",), ("searches", "redirected"), reads=("param", "redirects")),
     Question("beacon-events", _beacon_events, ("page", "event"), ("events",), needs_address=True),
     Question("beacon-totals", _beacon_totals, ("event",), ("total", "events"), needs_address=True),
     Question("web-vitals", web_vitals(), ("vital",), ranked=False, percentile=True),
     Question("javascript-errors", _javascript_errors, ("page", "message"), ("errors",)),
 ]
+DEFAULT_QUESTIONS = [replace(q, tally=_TALLIES.get(q.name)) for q in DEFAULT_QUESTIONS]
 
 
 class Registry:

@@ -30,6 +30,18 @@ def pruned(log: DataFrame, span: TimeRange | str | None) -> DataFrame:
     return log.filter(F.col("ts_ms").between(span.start, span.end))
 
 
+def narrowed(request: Request) -> Column:
+    """Whether a row with its decoded ``path`` is within a request, but for its span and rendering."""
+    keep = F.lit(True) if request.include_bots else not_a_bot(F.col("cs_user_agent"), request.bot_agents)
+    if request.host is not None:
+        keep &= F.col("x_host_header") == request.host
+    if request.countries is not None:
+        keep &= any_of(F.col("c_country"), request.countries)
+    if request.paths:
+        keep &= under_any(F.col("path"), request.paths)
+    return keep
+
+
 def rendered_pairs(log: DataFrame, beacon_path: str, by: Sequence[str] = ()) -> DataFrame:
     """The visitors (per window) that fetched what only a rendering browser fetches."""
     return log.filter(shows_rendering(beacon_path)).select(*by, *PAIR).distinct()

@@ -18,8 +18,11 @@ from sitelens.operators import compare, merge
 from sitelens.operators.questions import Question, conversion_on_event, conversion_on_path, registry, visitors, web_vitals
 from sitelens.operators.rows import reranked, rows_for, top
 from sitelens.plans import calendar, reports
+from sitelens.plans.identity import identity
+from sitelens.plans.matrix import compute_matrix
 from sitelens.plans.request import HOUR, Request, TimeRange
-from sitelens.plans.windows import WINDOW, as_rows, compute, compute_visitors, coverage, overlapping, pending, with_windows
+from sitelens.plans.stored import answered
+from sitelens.plans.windows import WINDOW, as_rows, compute, compute_visitors, coverage, matrix, overlapping, pending, with_windows
 from sitelens.sources.access_log import one_distribution
 from sitelens.sources.derived_log import DUCK_FLOODED, DUCK_LOG, access_log, flooded
 from sitelens.sources.stores import ReportStore, SummaryStore, write_csv, write_json
@@ -801,3 +804,57 @@ def c2(spark, d):
     side = lambda name, old: made.filter(F.col("old") == old).select("question", *[F.col(c).alias(f"{name}_{c}") for c in made.columns if c not in ("question", "old", "at")])
     rows = pairs.join(side("c", False), "question", "left").join(side("p", True), "question", "left")
     return compare.comparability(rows).select("question", "reason", "accuracy")
+
+
+# -- stored answers and the matrix -------------------------------------------------------
+
+_STATUS_VIEWS = f"{PEOPLE} AND NOT starts_with(cs_uri_stem, '/_beacon')"
+_FIRST_DAY, _LAST_DAY = "(SELECT min(ts_ms) // 86400000 * 86400000 FROM log)", "(SELECT max(ts_ms) // 86400000 * 86400000 FROM log)"
+
+
+def _kept_statuses(spark, log: DataFrame, request: Request, lost_days: tuple[int, ...], lost_hours: tuple[int, ...]) -> SummaryStore:
+    """Status codes of every hour and day of a log, but for some days' daily windows and some days' hourly ones (by place in the log)."""
+    question, first, day = registry()["status-codes"], _extent(log).start, 24 * HOUR
+    lost = lambda w: (w.start - first) // day in (lost_days if w.granularity == "daily" else lost_hours)
+    spans = [w for w in _windows(log) if not lost(w)]
+    store = SummaryStore(spark, _folder(spark))
+    store.write("statuses", compute(log, question, request, spans), spans, F.current_timestamp(), identity(question, request))
+    return store
+
+
+@query("m_stored_answer", _top("sc_status AS status, count(*) AS responses", "log", f"{_STATUS_VIEWS} AND ts_ms BETWEEN {_FIRST_DAY} + 5400000 AND {_LAST_DAY} + 80399999", "1", "responses DESC, status", None))
+def m_stored(spark, d):
+    """All of a log but its first 90 and last 100 minutes: a day of hours, a day and both edges out of the log, the rest out of stored days."""
+    log = access_log(spark, d)
+    store, span = _kept_statuses(spark, log, ALL, (2, 4), (2,)), _extent(log)
+    return answered(store, "statuses", registry()["status-codes"], TimeRange(span.start + 90 * 60_000, span.end - 100 * 60_000), ALL, log=log).rows
+
+
+@query("m_stored_windows", _top("sc_status AS status, count(*) AS responses", "log", f"{_STATUS_VIEWS} AND c_country = 'GB' AND ts_ms BETWEEN {_FIRST_DAY} + 7200000 AND {_LAST_DAY} + 79199999", "1", "responses DESC, status", None))
+def m_stored_windows(spark, d):
+    """The same range out of whole stored windows alone, narrowed as these are."""
+    log = access_log(spark, d)
+    store, span = _kept_statuses(spark, log, Request(limit=None, countries=("GB",)), (4,), ()), _extent(log)
+    return answered(store, "statuses", registry()["status-codes"], TimeRange(span.start + 90 * 60_000, span.end - 100 * 60_000), ALL).rows
+
+
+_HITS_BY_WINDOW = f"SELECT granularity, window_start, '' AS key, {_HITS} AS first, {_MISSES} AS second FROM win WHERE {PEOPLE} GROUP BY granularity, window_start"
+_MATRIX = {
+    "pageviews": _windowed("path, count(*) AS views", f"{VIEW} AND {PEOPLE}", "path", "views", "path", "concat_ws('|', path) AS key, views AS first, 0 AS second", 3),
+    "referrers": _windowed(f"{HOST} AS referrer, count(*) AS views", f"{VIEW} AND {PEOPLE} AND cs_referer <> '-' AND {HOST} <> x_host_header", "referrer", "views", "referrer", "referrer AS key, views AS first, 0 AS second", 3),
+    "browsers": _windowed(f"{_BROWSER} AS browser, {_DEVICE} AS device, count(*) AS views", f"{VIEW} AND {PEOPLE}", "browser, device", "views", "browser, device", "browser || '|' || device AS key, views AS first, 0 AS second", 3),
+    "status-codes": _windowed("sc_status AS status, count(*) AS responses", _STATUS_VIEWS, "status", "responses", "status", "status AS key, responses AS first, 0 AS second", 3),
+    "cache-hit-ratio": _HITS_BY_WINDOW,
+    "searches": _windowed(f"{_TERM} AS term, {_SEARCHES.format(codes=chr(39) + '302' + chr(39))}", _SEARCHED, "term", "searches", "term", "term AS key, searches AS first, redirected AS second", 3),
+}
+
+
+@query("t7_matrix", "SELECT name, granularity, window_start, key, CAST(first AS BIGINT) AS first, CAST(second AS BIGINT) AS second FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, * FROM ({x})" for n, x in _MATRIX.items()) + ")", _WIN_LOG)
+def t7(spark, d):
+    """Six questions at two cadences in one scan of the log."""
+    log = access_log(spark, d)
+    scheduled = matrix([(n, registry()[n], ["hourly", "daily"], Request(limit=3, redirects=("302",))) for n in _MATRIX])
+    rows = compute_matrix(log, scheduled, _windows(log))
+    keys = F.concat_ws("|", "path", "referrer", "browser", "device", "status", "term")
+    first, second = F.coalesce("views", "responses", "hits", "searches"), F.coalesce("misses", "redirected", F.lit(0))
+    return _naive(rows.select("name", *WINDOW, keys.alias("key"), first.alias("first"), second.alias("second")))

@@ -3,85 +3,194 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
+from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sitelens.plans.identity import NARROWINGS, digest_of
 from sitelens.plans.windows import SIZES, WINDOW, Span, as_rows
 
 
 #: Version of the stored layout; rows of other versions are not read.
-SCHEMA = 1
+SCHEMA = 2
+DAY = 86_400
+_PLACE = ["granularity", "window_day"]
+
+#: The ledger always has these columns, whatever a run narrowed by.
+LEDGER = T.StructType(
+    [
+        T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()), T.StructField("computed_at", T.TimestampType()),
+        T.StructField("written_at", T.TimestampType()), T.StructField("run", T.StringType()), T.StructField("schema", T.IntegerType()),
+        T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("limit", T.IntegerType()), T.StructField("digest", T.StringType()),
+        *[T.StructField(n, kind) for n, kind in NARROWINGS.items()],
+    ]
+)
+_KEPT = [f.name for f in LEDGER if f.name not in WINDOW]
+
+
+def window_day() -> Column:
+    """The UTC day of a window, by which files lie in directories."""
+    return F.floor(F.unix_seconds("window_start") / DAY).cast("int")
+
+
+def days_of(spans: Sequence[Span]) -> dict[str, list[int]]:
+    """The directories of windows: days by granularity."""
+    return {g: sorted({s.start // (DAY * 1000) for s in spans if s.granularity == g}) for g in sorted({s.granularity for s in spans})}
+
+
+def in_days(spans: Sequence[Span]) -> Column:
+    """Literals on the partition columns, so that other directories are not listed."""
+    keep = F.lit(False)
+    for g, days in days_of(spans).items():
+        near = F.col("window_day").between(days[0], days[-1]) if days[-1] - days[0] + 1 == len(days) else F.col("window_day").isin(*days)
+        keep |= (F.col("granularity") == g) & near
+    return keep
 
 
 class SummaryStore:
-    """Answers per question and window, with a ledger of what was computed when.
+    """Answers by configured name and window, with a ledger of what was computed when and how it was narrowed.
 
     Nothing stored is ever overwritten. A run appends its rows under a number of its own, and then one ledger row per
-    window; a window's rows are those of the run in its newest ledger row. A run that is lost before its ledger leaves rows that
-    nobody reads, and the old answers standing. The ledger also tells an empty window from one that was never computed.
+    window; a window's rows are those of the run in its newest ledger row of one narrowing. A run that is lost before its ledger leaves rows that
+    nobody reads, and the old answers standing. The ledger also tells an empty window from one that was never computed. Answers of one name that
+    were narrowed otherwise stand beside each other and never for each other.
+
+    Rows and ledger lie under name, granularity and day. Readers that name their windows list and read the directories of those days only.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _append(self, rows: DataFrame, path: str) -> None:
+    # -- writing
+
+    def _append(self, rows: DataFrame, path: str, *by: str) -> None:
         # Windows are dealt over tasks and lie in directories of days, so that a run leaves few files: small shuffles are coalesced.
-        days = F.floor(F.unix_seconds("window_start") / 86_400).cast("int")
-        stamped = rows.withColumn("window_day", days).repartition(*WINDOW)
-        stamped.write.mode("append").partitionBy("granularity", "window_day").parquet(path)
+        stamped = rows.withColumn("window_day", window_day()).repartition(*by, *WINDOW)
+        stamped.write.mode("append").partitionBy(*by, *_PLACE).parquet(path)
 
-    def write_rows(self, question: str, answer: DataFrame, moment: datetime) -> str:
+    def write_rows(self, name: str, answer: DataFrame, moment: datetime) -> str:
         """Append the rows of a run and give its number; they do not count before the ledger names it."""
+        return self.write_many(answer.withColumn("name", F.lit(name)), moment)
+
+    def write_many(self, answers: DataFrame, moment: datetime) -> str:
+        """The same for answers of several names (column ``name``) with their columns side by side, in one job."""
         run = uuid.uuid4().hex
-        stamped = answer.withColumn("computed_at", F.lit(moment)).withColumn("run", F.lit(run))
-        self._append(stamped, f"{self.root}/rows/{question}")
+        self._append(answers.withColumn("computed_at", F.lit(moment)).withColumn("run", F.lit(run)), f"{self.root}/rows", "name")
         return run
 
-    def write_ledger(self, question: str, spans: list[Span], moment: datetime, run: str, **narrowings: str | int | None) -> None:
+    def ledger_rows(self, name: str, spans: Sequence[Span], moment: datetime, run: str, asked: Mapping[str, Any], columns: Sequence[str] | None) -> DataFrame:
         sizes = F.when(F.col("granularity") == "daily", SIZES["daily"]).otherwise(SIZES["hourly"])
-        ledger = as_rows(self.spark, spans).withColumn("window_end", F.timestamp_millis(F.unix_millis("window_start") + sizes))
-        told = {"computed_at": moment, "run": run, "schema": SCHEMA, **narrowings}
-        ledger = ledger.withColumns({name: F.lit(value) for name, value in told.items()}).withColumn("written_at", F.current_timestamp())
-        self._append(ledger, f"{self.root}/ledger/{question}")
-
-    def write(self, question: str, answer: DataFrame, spans: list[Span], computed_at: Column, **narrowings: str | int | None) -> None:
-        """One job for all windows: the rows first, the ledger after them."""
-        moment = answer.sparkSession.range(1).select(computed_at.alias("t")).first()["t"]
-        self.write_ledger(question, spans, moment, self.write_rows(question, answer, moment), **narrowings)
+        told = {n: asked.get(n) for n in NARROWINGS}
+        told = {**told, "limit": asked.get("limit"), "digest": digest_of(told), "columns": None if columns is None else list(columns), "computed_at": moment, "run": run, "schema": SCHEMA}
+        rows = as_rows(self.spark, spans).withColumn("window_end", F.timestamp_millis(F.unix_millis("window_start") + sizes))
+        typed = {f.name: F.lit(told[f.name]).cast(f.dataType) for f in LEDGER if f.name in told}
+        return rows.withColumns(typed).withColumns({"written_at": F.current_timestamp(), "name": F.lit(name)})
 
-    def _current(self, question: str) -> DataFrame:
-        """The newest ledger row of each window, of this version."""
-        rows = self.spark.read.parquet(f"{self.root}/ledger/{question}").filter(F.col("schema") == SCHEMA)
-        rest = [c for c in rows.columns if c not in (*WINDOW, "window_day")]
-        newest = rows.groupBy(*WINDOW).agg(F.max_by(F.struct(*rest), F.struct("written_at", "run")).alias("entry"))
-        return newest.select(*WINDOW, "entry.*")
+    def write_ledger(self, name: str, spans: Sequence[Span], moment: datetime, run: str, asked: Mapping[str, Any] | None = None, columns: Sequence[str] | None = None) -> None:
+        self._append(self.ledger_rows(name, spans, moment, run, asked or {}, columns), f"{self.root}/ledger", "name")
 
-    def ledger(self, question: str) -> DataFrame:
-        return self._current(question).drop("run", "schema", "written_at")
+    def write_ledgers(self, ledgers: Sequence[DataFrame]) -> None:
+        """Ledger rows of several names at once."""
+        self._append(reduce(lambda a, b: a.unionByName(b), ledgers), f"{self.root}/ledger", "name")
 
-    def read(self, question: str) -> DataFrame:
-        """Rows of the windows as they were last computed."""
-        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_day")
-        return rows.join(self._current(question).select(*WINDOW, "run"), [*WINDOW, "run"], "left_semi").drop("run")
+    def write(self, name: str, answer: DataFrame, spans: Sequence[Span], computed_at: Column, asked: Mapping[str, Any] | None = None, **narrowings: Any) -> None:
+        """One job for all windows: the rows first, the ledger after them.
 
-    def compacted(self, question: str, root: str) -> SummaryStore:
-        """A store under another root with the rows and ledger rows of ``question`` that still count.
+        ``asked`` is what ``identity`` gives of the request; without it, narrowings may be given by name, and those that are not are null.
+        """
+        moment = answer.sparkSession.range(1).select(computed_at.alias("t")).first()["t"]
+        columns = [c for c in answer.columns if c not in WINDOW]
+        self.write_ledger(name, spans, moment, self.write_rows(name, answer, moment), {**(asked or {}), **narrowings}, columns)
+
+    # -- reading
+
+    def _ledger(self, name: str, wanted: Sequence[Span] | None) -> DataFrame:
+        schema = T.StructType([*LEDGER, T.StructField("granularity", T.StringType()), T.StructField("window_day", T.IntegerType())])
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/ledger/name={name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], schema)  # nothing was ever stored under this name
+        rows = rows.filter(F.col("schema") == SCHEMA)
+        return rows if wanted is None else rows.filter(in_days(wanted))
+
+    def _current(self, name: str, wanted: Sequence[Span] | None = None) -> DataFrame:
+        """The newest ledger row of each window and narrowing, of this version."""
+        newest = self._ledger(name, wanted).groupBy(*WINDOW, "window_day", "digest").agg(F.max_by(F.struct(*[c for c in _KEPT if c != "digest"]), F.struct("written_at", "run")).alias("entry"))
+        return newest.select(*WINDOW, "window_day", "digest", "entry.*")
+
+    def ledger(self, name: str, wanted: Sequence[Span] | None = None) -> DataFrame:
+        """Windows that were computed: when, how narrowed, with which columns; one row for each of them and each narrowing."""
+        return self._current(name, wanted).drop("run", "schema", "written_at", "window_day")
+
+    def entries(self, name: str, wanted: Sequence[Span]) -> list[dict[str, Any]]:
+        """Ledger rows of wanted windows, of which there are as many at most as windows and narrowings of one name."""
+        if not wanted:
+            return []
+        asked = {(s.granularity, s.start) for s in wanted}
+        rows = self._current(name, wanted).withColumn("start", F.unix_millis("window_start")).collect()
+        return [r.asDict(recursive=True) for r in rows if (r["granularity"], r["start"]) in asked]
+
+    def of_entries(self, name: str, chosen: Sequence[Mapping[str, Any]]) -> DataFrame:
+        """The rows of ledger entries, which may be of different runs."""
+        if not chosen:
+            raise ValueError("no stored windows to read")
+        spans = [Span(r["start"], r["granularity"]) for r in chosen]
+        rows = self._rows(name).filter(in_days(spans))
+        runs = sorted({r["run"] for r in chosen})
+        if len(runs) <= 1_000:  # a literal list that reaches the row groups
+            rows = rows.filter(F.col("run").isin(*runs))
+        frame = self.spark.createDataFrame([(r["granularity"], r["start"], r["run"]) for r in chosen], "granularity string, ms long, run string")
+        keys = frame.select("granularity", F.timestamp_millis("ms").alias("window_start"), "run")
+        columns = [c for r in chosen for c in r["columns"] or ()]
+        found = rows.join(keys, [*WINDOW, "run"], "left_semi")
+        return found.select(*dict.fromkeys([*WINDOW, *columns, "computed_at"])) if columns else found.drop("run", "window_day")
+
+    def _rows(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/rows/name={name}")
+
+    def read(self, name: str, wanted: Sequence[Span] | None = None, digest: str | None = None) -> DataFrame:
+        """Rows of the windows as they were last computed: of all, or of ``wanted`` ones out of the directories of their days.
+
+        ``digest`` picks one narrowing; without it, windows that were narrowed in several ways are refused when they are named.
+        """
+        if wanted is not None:
+            chosen = [r for r in self.entries(name, wanted) if digest in (None, r["digest"])]
+            if len({(r["granularity"], r["start"]) for r in chosen}) < len(chosen):
+                raise ValueError(f"windows of {name} were narrowed in several ways; say which is meant")
+            return self.of_entries(name, chosen)
+        current = self._current(name)
+        if digest is not None:
+            current = current.filter(F.col("digest") == digest)
+        # By day as well, so that days without a wanted window are left out while the job runs.
+        return self._rows(name).join(current.select(*WINDOW, "window_day", "run"), [*WINDOW, "window_day", "run"], "left_semi").drop("run", "window_day")
+
+    def compacted(self, name: str, root: str) -> SummaryStore:
+        """A store under another root with the rows and ledger rows of ``name`` that still count.
 
         The caller turns to it once it is whole, and may drop the old one then.
         """
         other = SummaryStore(self.spark, root)
-        rows = self.spark.read.parquet(f"{self.root}/rows/{question}").drop("window_day")
-        current = self._current(question)
-        self._append(rows.join(current.select(*WINDOW, "run"), [*WINDOW, "run"], "left_semi"), f"{other.root}/rows/{question}")
-        self._append(current, f"{other.root}/ledger/{question}")
+        current = self._current(name)
+        rows = self._rows(name).join(current.select(*WINDOW, "window_day", "run"), [*WINDOW, "window_day", "run"], "left_semi")
+        self._append(rows.drop("window_day").withColumn("name", F.lit(name)), f"{other.root}/rows", "name")
+        self._append(current.drop("window_day").withColumn("name", F.lit(name)), f"{other.root}/ledger", "name")
         return other
 
-    def states(self, question: str, wanted: DataFrame) -> DataFrame:
+    def states(self, name: str, wanted: DataFrame) -> DataFrame:
         """For each wanted window: rows, empty, or never computed."""
-        counts = self.read(question).groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("n"))
-        known = self.ledger(question).select(*WINDOW, F.lit(True).alias("known")).join(counts, WINDOW, "left")
+        keys = wanted.select(*WINDOW).distinct().withColumn("window_day", window_day())
+        current = self._current(name).join(keys, [*WINDOW, "window_day"], "left_semi")
+        rows = self._rows(name).join(current.select(*WINDOW, "window_day", "run"), [*WINDOW, "window_day", "run"], "left_semi")
+        counts = rows.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("n"))
+        known = current.select(*WINDOW, F.lit(True).alias("known")).distinct().join(counts, WINDOW, "left")
         state = F.when(F.col("known").isNull(), "never computed").when(F.coalesce("n", F.lit(0)) > 0, "rows").otherwise("empty")
         return wanted.join(known, WINDOW, "left").select(*WINDOW, state.alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from sitelens.operators.questions import Question
+from sitelens.plans.identity import identity
 from sitelens.plans.request import Request
 from sitelens.plans.windows import Span, compute, with_windows
 from sitelens.sources.stores import SummaryStore
@@ -37,7 +38,7 @@ def keep_current(
         spans = touched(batch, granularities)
         if spans:
             answer = compute(history(), question, request, spans)
-            store.write(question.name, answer, spans, F.current_timestamp() if now is None else now)
+            store.write(question.name, answer, spans, F.current_timestamp() if now is None else now, identity(question, request))
 
     timed = stream.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", lag)
     return timed.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

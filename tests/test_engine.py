@@ -333,7 +333,7 @@ def test_store_states_and_overwrite(spark, log, tmp_path):
     assert got(store.read("pageviews"), "path") == [("/n",)]
     assert merge.freshness(store.ledger("pageviews")).first()["windows"] == 2
     small = store.compacted("pageviews", str(tmp_path / "compacted"))
-    assert spark.read.parquet(f"{small.root}/rows/pageviews").count() == 1 < spark.read.parquet(f"{store.root}/rows/pageviews").count()
+    assert spark.read.parquet(f"{small.root}/rows/name=pageviews").count() == 1 < spark.read.parquet(f"{store.root}/rows/name=pageviews").count()
     assert got(small.read("pageviews"), "path") == [("/n",)] and small.ledger("pageviews").count() == 2
 
 
