@@ -156,7 +156,8 @@ def digest_rows(rows: DataFrame, keys: list[str], definition: Definition, limit:
     """The first rows of a comparison as text (C10): place, line, and how many rows are left out.
 
     A line names the row's keys that are not null and all metrics that have a current value, in the order of the definition. Rows that only
-    the previous period has are neither told nor counted. Rows stand by the first metric, highest first, then by keys.
+    the previous period has are neither told nor counted. Rows stand as the comparison has them: ranked ones by the first metric, highest first, then by
+    keys, others by keys. Without any row the only line says so.
     """
     order = {m.column: i for i, m in enumerate(definition.metrics)}
     nth = F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("metric"))
@@ -165,7 +166,8 @@ def digest_rows(rows: DataFrame, keys: list[str], definition: Definition, limit:
     label = F.concat_ws(", ", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in keys]) if keys else F.lit("")
     values = F.array_join(F.transform("entries", lambda e: e["text"]), ", ")
     lines = lines.select(*keys, F.col("entries")[0]["current"].alias("first"), F.when(label == "", values).otherwise(F.concat(label, F.lit(": "), values)).alias("line"))
-    by = [F.col("first").desc_nulls_last(), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]]
+    by = [*([F.col("first").desc_nulls_last()] if definition.ranked or not keys else []), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]]
     first = lines.orderBy(*by).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*by)))  # ``limit`` rows
-    total = lines.agg(F.count(F.lit(1)).alias("n"))
-    return first.join(total).select("place", "line", F.greatest(F.col("n") - limit, F.lit(0).cast("long")).alias("omitted"))
+    total = lines.agg(F.count(F.lit(1)).alias("n"))  # one row, also over none
+    told = total.join(first, F.lit(True), "left")
+    return told.select(F.coalesce("place", F.lit(1)).alias("place"), F.coalesce("line", F.lit("No rows.")).alias("line"), F.greatest(F.col("n") - limit, F.lit(0).cast("long")).alias("omitted"))

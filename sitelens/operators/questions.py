@@ -203,24 +203,30 @@ def conversion_on_path(prefix: str, method: str | None = None, statuses: Sequenc
     return Question(f"conversions-{slug}" + ("-by-device" if by_device else ""), body, keys=("device",) if by_device else (), ranked=False, needs_address=True)
 
 
-def visitors(log: DataFrame, request: Request, salts: DataFrame, by: Sequence[str] = (), split: bool = False) -> DataFrame:
-    """Exact distinct visitors of page views (A7); ``split`` counts unrendered ones apart.
-
-    ``salts`` has one row per ``day`` (yyyy-mm-dd), or a single row without that column for a whole period.
-    Digests are made distinct before they are counted, so no row is expanded.
-    """
+def _visits(log: DataFrame, request: Request, salts: DataFrame, by: Sequence[str], split: bool, once: bool = True) -> DataFrame:
+    """The digests of the visitors of page views, by window; ``once`` if rows are made distinct before they are salted."""
     outer = replace(request, rendered_only=False) if split else request
     rows = rows_for(log, outer, [is_page_view(), has_address()], by)
     if split:
         rows = with_rendered_flag(rows, log, request.beacon_path, by)
     else:
         rows = rows.withColumn("rendered", F.lit(True))
-    rows = rows.withColumn("day_text", F.date_from_unix_date(F.floor(F.col("ts_ms") / 86_400_000).cast("int")).cast("string")).select(*by, *PAIR, "rendered", "day_text").distinct()
+    rows = rows.withColumn("day_text", F.date_from_unix_date(F.floor(F.col("ts_ms") / 86_400_000).cast("int")).cast("string")).select(*by, *PAIR, "rendered", "day_text")
+    rows = rows.distinct() if once else rows
     if "day" in salts.columns:
         rows = rows.join(salts.withColumnRenamed("day", "day_text"), "day_text")
     else:
         rows = rows.withColumn("salt", F.lit(salts.first()["salt"]))
-    ids = rows.select(*by, digest(F.col("salt")).alias("id"), "rendered").filter(F.col("id").isNotNull())
+    return rows.select(*by, digest(F.col("salt")).alias("id"), "rendered").filter(F.col("id").isNotNull())
+
+
+def visitors(log: DataFrame, request: Request, salts: DataFrame, by: Sequence[str] = (), split: bool = False) -> DataFrame:
+    """Exact distinct visitors of page views (A7); ``split`` counts unrendered ones apart.
+
+    ``salts`` has one row per ``day`` (yyyy-mm-dd), or a single row without that column for a whole period.
+    Digests are made distinct before they are counted, so no row is expanded.
+    """
+    ids = _visits(log, request, salts, by, split)
     ids = ids.groupBy(*by, "id").agg(F.max(F.col("rendered").cast("int")).alias("r"), F.min(F.col("rendered").cast("int")).alias("u"))
     measures = [count_where(F.col("r") == 1).alias("distinct_visitors")]
     if split:
@@ -229,6 +235,25 @@ def visitors(log: DataFrame, request: Request, salts: DataFrame, by: Sequence[st
     return answer.na.fill(0, [c for c in ("distinct_visitors", "unrendered") if c in answer.columns])
 
 
+#: A sketch of 2^14 registers: 12 KB at most, and a relative standard error below 1 %.
+SKETCH_BITS = 14
+
+
+def visitor_sketches(log: DataFrame, request: Request, salts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """By window, a sketch of the visitors of page views, from which approximate counts of any windows together follow (A7, on request only).
+
+    Sketches of parts are merged before the shuffle, so a window costs one sketch a task, however many visitors it has.
+    """
+    return _visits(log, request, salts, by, False, once=False).groupBy(*by).agg(F.hll_sketch_agg("id", SKETCH_BITS).alias("sketch"))
+
+
+def approximate_visitors(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Approximate distinct visitors of windows together, marked as such, with the relative standard error of the sketch."""
+    merged = F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0).cast("long"))
+    measures = [merged.alias("approximate_visitors"), F.lit(1.04 / 2 ** (SKETCH_BITS / 2)).alias("relative_error")]
+    return sketches.groupBy(*by).agg(*measures) if by else sketches.agg(*measures)
+
+
 def _hit_percent() -> Column:
     return percent(F.col("hits"), F.col("hits") + F.col("misses"))
 

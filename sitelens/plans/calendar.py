@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNITS = ["year", "month", "week", "day"]  # the longest first
@@ -41,9 +41,31 @@ def periods(days: DataFrame, zone: str, week_start: str = "monday") -> DataFrame
     return rows.withColumn("from", instant("starts_on")).withColumn("until", instant("ends_before"))
 
 
+def local_date(ms: Column, zone: str) -> Column:
+    """The date in a zone of an instant in milliseconds."""
+    utc = F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("date")
+
+
 def local_days(log: DataFrame, zone: str) -> DataFrame:
-    utc = F.expr("timestampadd(MILLISECOND, ts_ms, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
-    return log.select(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("date").alias("day")).distinct()
+    return log.select(local_date(F.col("ts_ms"), zone).alias("day")).distinct()
+
+
+def transitions(spark: SparkSession, zone: str, first: int, last: int) -> DataFrame:
+    """Where the clocks of a zone change in the years from ``first`` to ``last``: instant, minutes before and after it.
+
+    Offsets are compared an hour apart, and the hours in which they differ a minute apart: some 9,000 rows a year.
+    """
+    at = lambda y: F.make_timestamp(F.lit(y), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
+    utc = lambda ms: F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    offset = lambda ms: F.timestamp_diff("MINUTE", utc(ms), F.convert_timezone(F.lit("UTC"), F.lit(zone), utc(ms)))
+    years = spark.range(first, last + 1).select(F.make_timestamp("id", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")).alias("y"))
+    hours = years.select(F.explode(F.sequence(F.unix_millis("y"), F.unix_millis("y") + F.lit(366 * 24 * 3_600_000), F.lit(3_600_000))).alias("ms"))
+    differing = hours.filter(offset(F.col("ms")) != offset(F.col("ms") + 3_600_000)).distinct()
+    minutes = differing.select(F.explode(F.sequence(F.col("ms"), F.col("ms") + F.lit(3_540_000), F.lit(60_000))).alias("ms"))
+    before, after = offset(F.col("ms")), offset(F.col("ms") + 60_000)
+    found = minutes.filter(before != after).select((F.col("ms") + 60_000).alias("ms"), before.alias("minutes_before"), after.alias("minutes_after"))
+    return found.filter(F.col("ms") < F.unix_millis(at(last + 1))).select(F.timestamp_millis("ms").alias("instant"), "minutes_before", "minutes_after")
 
 
 def closed(rows: DataFrame, now: Column) -> DataFrame:
@@ -66,10 +88,15 @@ def closing_with_days(rows: DataFrame) -> DataFrame:
     return rows.join(day, "until").select("day", "unit", "starts_on", "ends_before", "from", "until", rank.alias("rank"))
 
 
-def previous(rows: DataFrame) -> DataFrame:
-    """Each period with the start of the one before it."""
-    before = F.when(F.col("unit") == "day", F.date_sub("starts_on", 1)).when(F.col("unit") == "week", F.date_sub("starts_on", 7))
-    before = before.when(F.col("unit") == "month", F.add_months("starts_on", -1)).otherwise(F.add_months("starts_on", -12))
+def previous(rows: DataFrame, zone: str, week_start: str = "monday") -> DataFrame:
+    """Each period with the start of the one before it: the one that the last millisecond before it is in.
+
+    So a date that a zone has skipped is never the one before.
+    """
+    day = local_date(F.unix_millis("from") - 1, zone)
+    before = starts_on(day, "year", week_start)
+    for unit in UNITS[1:]:
+        before = F.when(F.col("unit") == unit, starts_on(day, unit, week_start)).otherwise(before)
     return rows.withColumn("previous_starts_on", before)
 
 
@@ -82,6 +109,19 @@ def selected(text: str) -> tuple[str, date]:
     return unit, date(int(m[1]), int(m[2] or 1), int(m[3] or 1))
 
 
+def selected_period(spark: SparkSession, text: str, zone: str, week_start: str = "monday", week: bool = False) -> DataFrame:
+    """The period that a text names in a zone, or the week of the day it names; dates that the zone has skipped are refused."""
+    unit, first = selected(text)
+    if week and unit != "day":
+        raise ValueError(f"{text!r} names no day of a week")
+    days = spark.createDataFrame([(first,)], "day date")
+    own = periods(days, zone, week_start)
+    at = own.filter("unit = 'day'").select(local_date(F.unix_millis("from"), zone).alias("day")).first()["day"]
+    if at != first:
+        raise ValueError(f"there is no {first} in {zone}")
+    return own.filter(F.col("unit") == ("week" if week else unit))
+
+
 def source_windows(rows: DataFrame) -> DataFrame:
     """The windows a period is read from: daily where its bounds are UTC midnights, else hourly.
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators.merge import adjacency, answer_from_windows
 from sitelens.operators.questions import Question
 from sitelens.plans.calendar import previous
+from sitelens.plans.identity import identity
 from sitelens.plans.request import Request, TimeRange
-from sitelens.plans.windows import WINDOW
+from sitelens.plans.windows import SIZES, WINDOW, Span, as_rows
+from sitelens.sources.once import create_once
+from sitelens.sources.stores import SummaryStore
 
 VERSION = 1
 
@@ -34,24 +38,45 @@ def period_answer(log: DataFrame, question: Question, request: Request, start_ms
     return question.answer(log, replace(request, span=TimeRange(start_ms, end_ms - 1)))
 
 
-def summarised(rows: DataFrame, wanted: DataFrame, question: Question, version: int = VERSION) -> DataFrame:
-    """The stored windows of a period, added up.
+def summarised(rows: DataFrame, wanted: DataFrame, question: Question, version: int = VERSION, limit: int | None = None) -> DataFrame:
+    """The stored windows of a period, added up (R9); a ranking is cut to its limit.
 
-    Rows have to be the question's own: of this version and name where these are stored, with its added columns as
-    numbers and its keys. What is not is refused before anything is added.
+    Only the question's own rows are taken: of this version and name where these are stored, with its keys, and with its added columns as numbers.
+    Others are as good as absent, which leaves their section incomplete.
     """
     for column, value in (("version", version), ("question", question.name)):
         if column in rows.columns:
-            if rows.filter(~F.col(column).eqNullSafe(F.lit(value))).limit(1).count():
-                raise ValueError(f"stored rows are of another {column} than {value}")
-            rows = rows.drop(column)
+            rows = rows.filter(F.col(column).eqNullSafe(F.lit(value))).drop(column)
     kinds = dict(rows.dtypes)
-    lacking = [c for c in (*question.keys, *question.added) if c not in kinds]
-    others = [c for c in question.added if c in kinds and kinds[c] in ("boolean", "binary", "date", "timestamp")]
-    if lacking or others:
-        raise ValueError(f"stored rows do not fit {question.name}: {', '.join(lacking + others)}")
+    unfit = [c for c in (*question.keys, *question.added) if c not in kinds or (c in question.added and kinds[c] in ("boolean", "binary", "date", "timestamp"))]
+    if unfit:
+        fit = [F.lit(None).cast("string").alias(c) if c in question.keys else F.lit(0).cast("long").alias(c) for c in (*question.keys, *question.added)]
+        rows = rows.select(*WINDOW, *fit).limit(0)
     chosen = rows.join(wanted.select(*WINDOW).distinct(), WINDOW, "left_semi")
-    return answer_from_windows(chosen, question, 2)
+    return answer_from_windows(chosen, question, 2, limit)
+
+
+def stored_section(store: SummaryStore, name: str, question: Question, request: Request, spans: Sequence[Span]) -> tuple[DataFrame | None, DataFrame]:
+    """A section out of the store (R9): its rows, none without any source, and the windows they come from (section, from, until).
+
+    Windows that were narrowed otherwise, cut shorter, of another length, or with other columns than the first of them are left out, and judged as gaps.
+    """
+    own = identity(question, request)
+    fits, columns = [], None
+    for entry in sorted(store.entries(name, spans), key=lambda e: (e["start"], e["granularity"])):
+        whole = (entry["window_end"] - entry["window_start"]).total_seconds() * 1000 == SIZES[entry["granularity"]]
+        same = entry["digest"] == own["digest"] and entry["limit"] == own["limit"]
+        if whole and same and columns in (None, entry["columns"]):
+            columns = entry["columns"]
+            fits.append(entry)
+    frame = store.spark.createDataFrame([(name, e["start"], e["start"] + SIZES[e["granularity"]]) for e in fits], "section string, a long, b long")
+    sources = frame.select("section", F.timestamp_millis("a").alias("from"), F.timestamp_millis("b").alias("until"))
+    if not fits:
+        return None, sources
+    rows = store.of_entries(name, fits).drop("computed_at")
+    if len(fits) == 1 or not question.added:
+        return answer_from_windows(rows, question, 1, request.limit), sources
+    return summarised(rows, as_rows(store.spark, [Span(e["start"], e["granularity"]) for e in fits]), question, limit=request.limit if question.ranked else None), sources
 
 
 def judged_sections(windows: DataFrame, sections: DataFrame) -> DataFrame:
@@ -125,13 +150,29 @@ def manifest(closing: DataFrame, zone: str, week_start: str = "monday") -> DataF
     ``closing`` comes from calendar.closing_with_days(); a unit stands once per day.
     """
     once = closing.dropDuplicates(["day", "unit"])
-    rows = previous(once)
+    rows = previous(once, zone, week_start)
     return rows.select(
         "day", "unit", "rank", report_key(zone, week_start, F.col("unit"), F.col("starts_on")).alias("current_key"),
         report_key(zone, week_start, F.col("unit"), F.col("previous_starts_on")).alias("previous_key"),
     )
 
 
+def announce(spark: SparkSession, root: str, manifests: DataFrame, zone: str, units: Sequence[str], created_at: str) -> dict[str, str]:
+    """Write the manifest of each closed day once, if any of ``units`` closes with it: key to "written" or "already there" (C11).
+
+    ``manifests`` comes from manifest(): a few rows for each day that a run closes.
+    """
+    days: dict[str, list[dict[str, str]]] = {}
+    for r in manifests.filter(F.col("unit").isin(*units)).orderBy("day", "rank").collect():
+        days.setdefault(str(r["day"]), []).append({"unit": r["unit"], "current": r["current_key"], "previous": r["previous_key"]})
+    said = {}
+    for day, reports_ in days.items():
+        key = f"notifications/{zone.replace('/', '-')}/{day}.json"
+        text = json.dumps({"version": VERSION, "zone": zone, "day": day, "created_at": created_at, "reports": reports_})
+        said[key] = "written" if create_once(spark, f"{root.rstrip('/')}/{key}", text) else "already there"
+    return said
+
+
 def require_preceding(current: DataFrame, before: DataFrame) -> None:
     """Two periods compare only if one ends where the other begins, unit for unit."""
     pairs = current.alias("c").join(before.alias("p"), "unit", "full_outer")

@@ -489,7 +489,7 @@ def r4(spark, d):
 
 @query("r3_previous_periods", "SELECT unit, CAST(starts_on AS STRING) AS starts_on, CAST(CAST(CASE unit WHEN 'day' THEN starts_on - INTERVAL 1 DAY WHEN 'week' THEN starts_on - INTERVAL 7 DAY WHEN 'month' THEN starts_on - INTERVAL 1 MONTH ELSE starts_on - INTERVAL 1 YEAR END AS DATE) AS STRING) AS previous_starts_on FROM periods", f"{DUCK_LOG}, {_CALENDAR}")
 def r3(spark, d):
-    return _dated(calendar.previous(_periods(spark, d, "UTC")).select("unit", "starts_on", "previous_starts_on"))
+    return _dated(calendar.previous(_periods(spark, d, "UTC"), "UTC").select("unit", "starts_on", "previous_starts_on"))
 
 
 @query("r6_source_windows", "SELECT unit, CAST(starts_on AS STRING) AS starts_on, 'daily' AS granularity, CAST(ends_before - starts_on AS BIGINT) AS windows FROM periods", f"{DUCK_LOG}, {_CALENDAR}")

@@ -9,7 +9,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,21 +196,52 @@ class SummaryStore:
 
 
 class ReportStore:
-    """Report documents by zone, unit, week start and first date."""
+    """Report documents by zone, unit, week start and first date.
+
+    Each writing is a snapshot of its own; a pointer row that is appended after it makes it the one that is read. A run that is lost in between leaves
+    the earlier report, and earlier snapshots stay readable. Documents of another version are refused.
+    """
 
     KEY = ["zone", "unit", "week_start", "starts_on"]
+    VERSION = 1
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        texts = ", ".join(f"{k} string" for k in self.KEY)
+        self.pointer = f"snapshot string, version int, written_at timestamp, {texts}"
+
+    def write_snapshot(self, document: DataFrame) -> tuple[str, DataFrame]:
+        """The rows of documents under a new number, which nobody reads yet; with it the keys that are in them."""
+        snapshot = uuid.uuid4().hex
+        keyed = document.withColumns({k: F.col(k).cast("string") for k in self.KEY})
+        keyed.withColumn("snapshot", F.lit(snapshot)).write.mode("append").partitionBy(*self.KEY, "snapshot").parquet(f"{self.root}/documents")
+        return snapshot, keyed.select(*self.KEY).distinct()
+
+    def point(self, snapshot: str, keys: DataFrame, version: int | None = None) -> None:
+        told = {"snapshot": F.lit(snapshot), "version": F.lit(self.VERSION if version is None else version), "written_at": F.current_timestamp()}
+        keys.withColumns(told).write.mode("append").partitionBy(*self.KEY).parquet(f"{self.root}/pointers")
 
     def write(self, document: DataFrame) -> None:
-        document.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.KEY).parquet(self.root)
+        self.point(*self.write_snapshot(document))
+
+    def snapshots(self, **key: str) -> DataFrame:
+        """All that was ever pointed to, with ``current`` for what is read."""
+        rows = self.spark.read.schema(self.pointer).parquet(f"{self.root}/pointers")
+        for column, value in key.items():
+            rows = rows.filter(F.col(column) == value)
+        newest = F.max(F.struct("written_at", "snapshot")).over(Window.partitionBy(*self.KEY))  # as many rows as writings of one report
+        return rows.withColumn("current", F.struct("written_at", "snapshot") == newest)
 
     def read(self, **key: str) -> DataFrame:
-        rows = self.spark.read.parquet(self.root)
+        """The current rows of the reports with these values."""
+        current = self.snapshots(**key).filter("current")
+        others = current.filter(F.col("version") != self.VERSION).select("version", *self.KEY).first()
+        if others is not None:
+            raise ValueError(f"a report of version {others['version']} is not read: {others['unit']} from {others['starts_on']}")
+        rows = self.spark.read.parquet(f"{self.root}/documents").withColumns({k: F.col(k).cast("string") for k in self.KEY})
         for column, value in key.items():
-            rows = rows.filter(F.col(column).cast("string") == value)
-        return rows
+            rows = rows.filter(F.col(column) == value)
+        return rows.join(current.select(*self.KEY, "snapshot"), [*self.KEY, "snapshot"], "left_semi").drop("snapshot")
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -76,7 +76,9 @@ class Parts:
 
     def _write(self, level: int, batch: int, sums: DataFrame) -> None:
         # One folder a part, written over when a batch is replayed: the same rows again.
-        sums.withColumn("window_day", window_day()).write.mode("overwrite").partitionBy("name", "granularity", "window_day").parquet(f"{self.root}/part={level}-{batch}")
+        # Rebalanced by folder: small ones share a task and a file, a busy day is dealt over several.
+        dealt = sums.withColumn("window_day", window_day()).hint("rebalance", "name", "granularity", "window_day")
+        dealt.write.mode("overwrite").partitionBy("name", "granularity", "window_day").parquet(f"{self.root}/part={level}-{batch}")
 
     def read(self, parts: Sequence[tuple[int, int]], spans: Sequence[Span] | None = None) -> DataFrame:
         """The rows of parts; only their folders are listed, and only directories of wanted days are read."""

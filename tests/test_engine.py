@@ -303,10 +303,12 @@ def test_a_report_is_refused_before_its_period_closes_and_survives_a_failing_sec
 
     values, errors = reports.computed({"a": lambda: spark.range(1), "b": fails}, 1, 1)
     assert list(values) == ["a"] and errors == {"b": "no such window"}
-    stored = spark.createDataFrame([(1, "other")], "views long, question string").withColumn("path", F.lit("/"))
-    for rows in (stored, stored.drop("question").drop("path"), stored.withColumn("version", F.lit(9))):
-        with pytest.raises(ValueError):
-            reports.summarised(rows, rows, registry()["pageviews"])
+    stored = spark.createDataFrame([(1, "other", "daily")], "views long, question string, granularity string").withColumns({"path": F.lit("/"), "window_start": F.timestamp_millis(F.lit(DAY))})
+    kept = stored.withColumn("question", F.lit("pageviews"))
+    assert got(reports.summarised(kept, stored, registry()["pageviews"], limit=1), "path", "views") == [("/", 1)]
+    for rows in (stored, stored.drop("question").drop("path"), kept.withColumn("version", F.lit(9)), kept.withColumn("views", F.lit(True))):
+        dropped = reports.summarised(rows, stored, registry()["pageviews"])
+        assert dropped.count() == 0 and {"path", "views"} <= set(dropped.columns)
 
 
 def test_digest_lines(spark):
