@@ -451,7 +451,7 @@ def test_periods_must_follow_each_other(spark):
     for other in ("2026-08-20", "2026-08-23"):
         with pytest.raises(ValueError):
             reports.require_preceding(day("2026-08-23"), day(other))
-    rows = reports.manifest(calendar.closing_with_days(calendar.periods(days, "UTC")), "Europe/London").collect()
+    rows = reports.manifest(calendar.closing_with_days(calendar.periods(days, "Europe/London")), "Europe/London").collect()
     keys = {(str(r.day), r.unit): (r.current_key, r.previous_key) for r in rows}
     assert keys["2026-08-23", "week"] == ("Europe-London/week/week-starts-monday/2026-08-17", "Europe-London/week/week-starts-monday/2026-08-10")
 
