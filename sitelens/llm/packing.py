@@ -3,10 +3,13 @@
 Pieces of at most ``CAPACITY`` tokens are counted by length. A configuration is a multiset of lengths that
 fits into one sequence; the covering program "as few configurations as cover every count"
 depends on the histogram alone, which has at most ``CAPACITY`` entries at any input size. It is solved by
-multiplicative weights: lengths that lag behind gain weight, a knapsack dynamic program
-finds the configurations of the highest weight, and the mean of the rounds is the fractional solution. It is
-rounded down, solved again for what is left, and what remains below one sequence a configuration is rounded up by
-the same pricing with bounded counts. No other packing takes part, at any size.
+multiplicative weights. Each round prices the lengths by their weights and covers all counts with configurations that a knapsack dynamic program
+finds at these prices, each as often as the counts that are left allow. Lengths that lay in sequences with free places
+gain weight, so that the next round places them with more care.
+
+The mean of the rounds solves the program in fractions; since each round is whole by itself, the round with the fewest sequences is what
+that mean is rounded to. Every sequence of the plan is thus a configuration that was priced by the weights of its round. Rounds end
+as soon as one meets the lower bound that the prices give by duality, which for histograms of many lengths the first round, of equal weights, often does.
 
 The plan is small; the pieces never meet in one task. Each piece gets its rank among those of its length
 (a window within hashed buckets, plus the sizes of the at most ``MOST_BUCKETS`` buckets before), and the plan says
@@ -18,10 +21,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, product
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,11 @@ CAPACITY = 1024
 END = 2
 #: Words whose ids a worker remembers, over all its tasks, before it starts afresh (about 150 bytes each).
 MEMORY = 500_000
-#: Configurations that hold a length covered more often than so are left to the next solution: they use up what others need.
-OVER = 1.1
-#: Ways to bend the prices when rounding up, and how near to the bound the first rounding has to come.
-BENDS = [0.5, 0.1, 2.0]
-CLOSE = 1e-4
+#: Rounds of weights at most, and how much the weight of the length with the most free places beside it grows in one.
+ROUNDS, GROWTH = 6, 0.3
+#: A length of weight one costs its tokens, and longer ones up to so much more, as they are the harder ones to place. Rounds take turns
+#: at these starts, each of which has weights of its own.
+BENDS = [0.5, 2.0, 0.1]
 #: Rows that a bucket of one length aims at, and the most buckets of a length.
 BUCKET_ROWS = 200
 MOST_BUCKETS = 1 << 16
@@ -228,74 +231,20 @@ def _price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.nd
     return best, item
 
 
-def _trace(item: np.ndarray, lengths: np.ndarray, free: int) -> list[int]:
-    chosen = []
-    while free > 0 and item[free] != -1:
-        k = item[free]
-        if k == -2:
-            free -= 1
-        else:
-            chosen.append(int(k))
-            free -= int(lengths[k])
-    return chosen
-
-
-#: What a full sequence is worth beside the weights of the lengths, in their mean over a sequence.
-_FULL = 100.0
-#: Lengths covered so many times as often as the mean rest from pricing until the others have caught up.
-_AHEAD = 4.0
-
-
-def fractional(counts: dict[int, int], capacity: int, rounds: int, wide: int = 64, part: float = 0.1) -> tuple[dict[Config, float], dict[int, float], float]:
-    """The configuration program by multiplicative weights: the mean of the rounds, by how much it covers each length, and a
-    lower bound of the sequences.
-
-    Its rows are the lengths, each to be covered as often as it occurs, and all tokens together (the sum of the rows, which makes
-    free places cost). Each round prices configurations by a knapsack dynamic program and adds the best ones that hold each of the
-    ``wide`` lengths that lag most, by a ``part`` of what the scarcest length allows. Weights fall exponentially with
-    what is covered already, more sharply from round to round.
-    """
-    lengths = np.array(sorted(counts))
-    need = np.array([counts[x] for x in lengths], float)
-    tokens = float((need * lengths).sum())
-    cover = np.zeros(len(lengths))
-    used: dict[Config, float] = defaultdict(float)
-    bound, mean = tokens / capacity, 0.0
-    for sharp in np.geomspace(2, 50, rounds):
-        lag = cover / mean if mean else cover
-        weight = np.exp(-np.minimum(sharp * (lag - lag.min()), 60))
-        value = weight / need * tokens / capacity / weight.sum()
-        # Prices that no configuration exceeds in sum give a lower bound, by duality.
-        bound = max(bound, _dual(value, lengths, need, capacity) if sharp > 40 else 0.0)
-        value += _FULL * lengths / capacity
-        open_ = np.flatnonzero(lag <= _AHEAD)
-        item = _price(value[open_], lengths[open_], capacity)[1]
-        for k in np.argsort(lag[open_], kind="stable")[:wide].tolist():
-            found = Counter([k, *_trace(item, lengths[open_], capacity - int(lengths[open_[k]]))])
-            step = part * min(need[open_[j]] / n for j, n in found.items())
-            used[tuple(sorted((int(lengths[open_[j]]) for j in found.elements()), reverse=True))] += step
-            for j, n in found.items():
-                cover[open_[j]] += n * step / need[open_[j]]
-        mean = float((cover * need * lengths).sum()) / tokens
-    return {config: x / mean for config, x in used.items()}, dict(zip(lengths.tolist(), (cover / mean).tolist())), bound
-
-
 def _dual(value: np.ndarray, lengths: np.ndarray, need: np.ndarray, capacity: int) -> float:
+    """A lower bound of the sequences: by duality, prices of which no configuration holds more than one in sum."""
     return float((need * value).sum() / _price(value, lengths, capacity)[0][capacity])
 
 
-def _fill(rest: dict[int, int], room: int, capacity: int, bend: float) -> list[int]:
-    """Bounded knapsack: what is left over that makes the most of ``room``.
-
-    Prices rise faster than the length, by ``bend``, as long pieces are the harder ones to place later.
-    """
+def _fill(rest: dict[int, int], room: int, price: dict[int, float]) -> list[int]:
+    """Bounded knapsack: what is left over that is worth most in ``room``."""
     best, steps = np.zeros(room + 1), []
     for length in sorted((x for x in rest if x <= room), reverse=True):
-        many, chunk, price = min(rest[length], room // length), 1, length * (1 + bend * length / capacity)
+        many, chunk = min(rest[length], room // length), 1
         while many:
             chunk = min(chunk, many)
             size = chunk * length
-            new = best[:-size] + chunk * price
+            new = best[:-size] + chunk * price[length]
             better = new > best[size:]
             best[size:][better] = new[better]
             steps.append((length, chunk, better))
@@ -309,13 +258,13 @@ def _fill(rest: dict[int, int], room: int, capacity: int, bend: float) -> list[i
     return chosen
 
 
-def _round_up(rest: dict[int, int], capacity: int, bend: float) -> Counter[Config]:
-    """What rounding down left: the longest piece's best configuration by knapsack pricing, as often as the counts allow."""
-    rest, packed = dict(rest), Counter()
+def _covered(counts: dict[int, int], capacity: int, price: dict[int, float]) -> Counter[Config]:
+    """One round: the best configuration at these prices that holds the longest piece left, as often as the counts allow, until none is left."""
+    rest, packed = dict(counts), Counter()
     while rest:
         longest = max(rest)
         rest[longest] -= 1
-        config = tuple(sorted([longest, *_fill({k: n for k, n in rest.items() if n}, capacity - longest, capacity, bend)], reverse=True))
+        config = tuple(sorted([longest, *_fill({k: n for k, n in rest.items() if n}, capacity - longest, price)], reverse=True))
         rest[longest] += 1
         own = Counter(config)
         bins = min(rest[k] // n for k, n in own.items())
@@ -327,59 +276,50 @@ def _round_up(rest: dict[int, int], capacity: int, bend: float) -> Counter[Confi
     return packed
 
 
+def _free_beside(packed: Counter[Config], capacity: int) -> Counter[int]:
+    """By length, the free places of the sequences it lies in, shared among their pieces."""
+    free: Counter[int] = Counter()
+    for config, bins in packed.items():
+        for k, n in Counter(config).items():
+            free[k] += (capacity - sum(config)) * bins * n / len(config)
+    return free
+
+
 @dataclass
 class Plan:
-    """Sequences by content, how many of them come from rounding the program down, and a lower bound of all."""
+    """Sequences by content, how many each round took (their mean solves the program in fractions), and a lower bound."""
 
     packed: Counter[Config]
-    down: int
+    rounds: list[int]
     bound: int
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 150, repeats: int = 4) -> Plan:
-    """Configurations for a histogram of lengths.
-
-    The program is solved and rounded down. Only configurations that waste no more places than the bound allows on average
-    are taken, as others cost sequences. What is left is solved anew until little more is taken, and then rounded up by pricing.
-    Where that misses the bound by more than ``CLOSE``, it is rounded up after fewer solutions and by other prices too,
-    and the best rounding counts.
-    """
-    small = {k: n for k, n in counts.items() if n and k < capacity}
-    packed: Counter[Config] = Counter()
-    rest, bound = dict(small), 0.0
-    stages = [(Counter(), dict(small))]
-    for turn in range(repeats):
-        if not rest:
-            break
-        solution, cover, least = fractional(rest, capacity, rounds)
-        bound = bound or least
-        tokens = left = sum(k * n for k, n in rest.items())
-        waste = capacity - tokens / np.ceil(least - 1e-6)
-        for config, x in sorted(solution.items(), key=lambda e: (-e[1], e[0])):
-            if capacity - sum(config) > waste or max(cover[k] for k in config) > OVER:
-                continue
-            own = Counter(config)
-            bins = min(int(x), *(rest.get(k, 0) // n for k, n in own.items()))
-            if bins:
-                packed[config] += bins
-                left -= bins * sum(config)
-                for k, n in own.items():
-                    rest[k] -= n * bins
-        rest = {k: n for k, n in rest.items() if n}
-        stages.append((packed.copy(), dict(rest)))
-        if left > 0.9 * tokens:
-            break
-    least = int(np.ceil(bound - 1e-6))
-    full, best = counts.get(capacity, 0), None
-    for (down, rest), bend in product(reversed(stages), BENDS):
-        tried = down + _round_up(rest, capacity, bend)
-        if best is None or sum(tried.values()) < sum(best.packed.values()):
-            best = Plan(tried, sum(down.values()), least)
-        if sum(best.packed.values()) <= least * (1 + CLOSE):
+def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+    """Configurations for a histogram of lengths: full pieces stand alone, all others as the best round has them."""
+    small, full = {k: n for k, n in counts.items() if n and k < capacity}, counts.get(capacity, 0)
+    alone = Counter({(capacity,): full}) if full else Counter()
+    if not small:
+        return Plan(alone, [full], full)
+    lengths = np.array(sorted(small))
+    need = np.array([small[x] for x in lengths.tolist()], float)
+    weights, best, taken = [np.ones(len(lengths)) for _ in BENDS], Counter(), []
+    least = _dual(lengths.astype(float), lengths, need, capacity)
+    for turn in range(rounds):
+        weight = weights[turn % len(BENDS)]
+        value = lengths * (1 + BENDS[turn % len(BENDS)] * lengths / capacity) * weight
+        packed = _covered(small, capacity, dict(zip(lengths.tolist(), value.tolist())))
+        taken.append(sum(packed.values()))
+        if taken[-1] < min(taken[:-1], default=taken[-1] + 1):
+            best = packed
+        least = max(least, _dual(value, lengths, need, capacity))
+        if min(taken) <= np.ceil(least - 1e-6):
             break
-    if full:
-        best = Plan(best.packed + Counter({(capacity,): full}), best.down, least + full)
-    return best
+        free = _free_beside(packed, capacity)
+        loss = np.array([free[x] for x in lengths.tolist()]) / need
+        if loss.any():
+            weight *= np.exp(GROWTH * loss / loss.max())
+            weight /= weight.mean()
+    return Plan(best + alone, [n + full for n in taken], int(np.ceil(least - 1e-6)) + full)
 
 
 def slots(packed: Counter[Config]) -> np.ndarray:

@@ -371,16 +371,17 @@ def test_plans_of_the_given_tables(spark, sf):
     found = packing.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), TOKENIZER)
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     check_plan(counts)
-    # At greater counts more sequences come from rounding the program down.
-    many = check_plan({k: 25 * n for k, n in counts.items()})
-    assert many.down or sf == "sf0.001"
+    check_plan({k: 25 * n for k, n in counts.items()})
 
 
 def test_the_program_itself():
-    """The fractional solution covers what it says, and its bound is one: a third of two pieces of 342 each fits thrice nowhere."""
-    solution, cover, bound = packing.fractional({342: 300, 682: 300}, 1024, 150)
-    assert set(solution) <= {(682, 342), (342, 342), (682,), (342,)} and min(cover.values()) > 0.9
-    assert 290 <= bound <= 300 + 1e-6
+    """Rounds after the first, whose weights differ, take fewer sequences, and the bound is one."""
+    few = {341: 900, 342: 500, 171: 700, 513: 300, 250: 1000, 130: 777}
+    plan = check_plan(few)
+    assert min(plan.rounds) == sum(plan.packed.values()) < plan.rounds[0] == sum(packing.plan(few, rounds=1).packed.values())
+    assert plan.bound <= sum(plan.rounds) / len(plan.rounds)
+    # Of 342 and 682, which fill a sequence together, there are as many sequences as pairs: met at once.
+    assert packing.plan({342: 300, 682: 300}).rounds == [300] and packing.plan({342: 300, 682: 300}).bound == 300
 
 
 # -- fingerprints ------------------------------------------------------------
