@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import UTC, datetime
+from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +19,15 @@ from sitelens.functions.text import parameter, raw_parameter, referrer_host
 from sitelens.functions.visitors import day_salts, digest, has_address, salt
 from sitelens.operators import compare, merge
 from sitelens.operators.questions import Question, conversion_on_event, conversion_on_path, registry, visitors, web_vitals
-from sitelens.operators.rows import reranked, rows_for, top
+from sitelens.operators.rows import pruned, reranked, rows_for, top
 from sitelens.plans import calendar, reports
 from sitelens.plans.identity import identity
 from sitelens.plans.matrix import compute_matrix
-from sitelens.plans.request import HOUR, Request, TimeRange
+from sitelens.plans.request import HOUR, Request, TimeRange, asked_span
 from sitelens.plans.stored import answered
-from sitelens.plans.windows import WINDOW, as_rows, compute, compute_visitors, coverage, matrix, overlapping, pending, with_windows
+from sitelens.plans.windows import WINDOW, as_rows, compute, compute_visitors, coverage, due, matrix, overlapping, pending, recent, with_windows
 from sitelens.sources.access_log import one_distribution
-from sitelens.sources.derived_log import DUCK_FLOODED, DUCK_LOG, access_log, flooded
+from sitelens.derived_log import DUCK_FLOODED, DUCK_LOG, access_log, flooded
 from sitelens.sources.stores import ReportStore, SummaryStore, write_csv, write_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,8 +257,6 @@ CAST(sum(CASE WHEN coalesce(regexp_extract(url, '[?&]id=([^&#]*)', 1), '') <> ''
 
 @query("s5_one_distribution", f"SELECT distributionid, count(*) AS n, count(DISTINCT year || month || day || hour) AS hours FROM log WHERE distributionid = 'D2' AND {IN_SPAN} GROUP BY 1")
 def s5(spark, d):
-    from sitelens.operators.rows import pruned
-
     rows = one_distribution(pruned(access_log(spark, d), SPAN), "D2")
     return rows.groupBy("distributionid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.concat("year", "month", "day", "hour")).alias("hours"))
 
@@ -858,3 +859,182 @@ def t7(spark, d):
     keys = F.concat_ws("|", "path", "referrer", "browser", "device", "status", "term")
     first, second = F.coalesce("views", "responses", "hits", "searches"), F.coalesce("misses", "redirected", F.lit(0))
     return _naive(rows.select("name", *WINDOW, keys.alias("key"), first.alias("first"), second.alias("second")))
+
+
+# -- requests, spans and single steps -----------------------------------------------------
+
+
+@query("s4_field_projection", "SELECT 'timestamp_ms,cs_uri_stem,sc_status' AS columns, sc_status, count(*) AS n, CAST(sum(length(cs_uri_stem)) AS BIGINT) AS chars FROM log GROUP BY 2")
+def s4(spark, d):
+    """A delivery of chosen fields without the viewer's address, written and read back."""
+    from sitelens.sources import access_log as source
+
+    columns = source.chosen_columns(["sc-status", "cs-uri-stem", "c-ip"], viewer_address=False)
+    folder, names = f"{_folder(spark)}/log", {c: f for f, c in source.FIELDS.items()}
+    access_log(spark, d).select(*[F.col(c).alias(names[c]) for c in columns], *source.PARTITIONS[:-1]).write.partitionBy(*source.PARTITIONS[:-1]).json(folder)
+    rows = source.read_json(spark, folder, columns, "daily")
+    return rows.groupBy("sc_status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("cs_uri_stem")).alias("chars")).withColumn("columns", F.lit(",".join(columns)))
+
+
+_NOON = datetime(2024, 1, 20, 12, 10, tzinfo=UTC)
+_WAYS = {
+    "relative": ({"last_": "2d"}, (1_705_579_800_000, 1_705_752_600_000)), "day": ({"day": "2024-01-11"}, (1_704_931_200_000, 1_705_017_600_000)),
+    "explicit": ({"start": "2024-01-11T06:00", "until": "2024-01-12"}, (1_704_952_800_000, 1_705_017_600_000)),
+}
+
+
+@query("f5_f6_spans", " UNION ALL ".join(f"SELECT '{n}' AS way, count(*) AS n FROM log WHERE ts_ms BETWEEN {a} AND {b}" for n, (_, (a, b)) in _WAYS.items()))
+def f5(spark, d):
+    log = access_log(spark, d)
+    parts = [pruned(log, asked_span(_NOON, **asked)).agg(F.lit(n).alias("way"), F.count(F.lit(1)).alias("n")) for n, (asked, _) in _WAYS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+query("f17_no_redirects", _top(f"{_TERM} AS term, count(*) AS searches, CAST(0 AS BIGINT) AS redirected", "log", _SEARCHED, "1", "searches DESC, term"))(ask("searches", Request(redirects=())))
+query("f19_rendered_by_path", _views(f"{PEOPLE} AND {RENDERED.format(log='log').replace('/_beacon', '/blog/')}"))(ask("pageviews", Request(rendered_only="/blog/")))
+query("u4_without_visitors", _views(PEOPLE))(lambda spark, d: registry()["pageviews"].without_visitors().answer(access_log(spark, d)))
+
+
+def _salt_rows() -> str:
+    """Salts of January 2024 as SQL values, by HMAC's own definition."""
+    key = SECRET.encode().ljust(64, b"\0")
+    inner, outer = (bytes(k ^ x for k in key) for x in (0x36, 0x5C))
+    made = lambda day: sha256(outer + sha256(inner + f"visitors|1|day|{day}".encode()).digest()).hexdigest()
+    return ", ".join(f"('{day}', '{made(day)}')" for day in (f"2024-01-{n:02}" for n in range(1, 32)))
+
+
+@query("p16_daily_digests", f"""--cte s(day_text, salt) AS (VALUES {_salt_rows()}) SELECT day_text, upper(sha256(salt || '|' || c_ip || '|' || cs_user_agent)) AS visitor, count(*) AS views
+FROM (SELECT *, CAST(strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS STRING) AS day_text FROM log) JOIN s USING (day_text) WHERE {VIEW} AND {PEOPLE} AND c_ip <> '-' GROUP BY 1, 2""")
+def p16(spark, d):
+    log = access_log(spark, d)
+    rows = rows_for(log, Request(), [is_page_view(), has_address()]).withColumn("day_text", calendar.local_date(F.col("ts_ms"), "UTC").cast("string"))
+    rows = rows.join(_salts(log).withColumnRenamed("day", "day_text"), "day_text")
+    return rows.groupBy("day_text", digest(F.col("salt")).alias("visitor")).agg(F.count(F.lit(1)).alias("views"))
+
+
+_MERGES = {"status-codes": False, "web-vitals": True, "conversions-purchase": True, "cache-hit-ratio": False}
+
+
+@query("m5_refused_merges", f"SELECT name, refused, (SELECT count(DISTINCT day) FROM log) AS windows FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {r})' for n, r in _MERGES.items())}) v(name, refused)")
+def m5(spark, d):
+    """Which questions' days combine."""
+    log, told = access_log(spark, d), []
+    days = with_windows(log, ["daily"]).select("window_start").distinct().count()
+    spans = _windows(log, ("daily",))
+    for name in _MERGES:
+        question = conversion_on_event("purchase") if name.startswith("conversions") else registry()[name]
+        try:
+            merge.answer_from_windows(compute(log, question, ALL, spans), question, days)
+            told.append((name, False, days))
+        except ValueError:
+            told.append((name, True, days))
+    return spark.createDataFrame(told, "name string, refused boolean, windows long")
+
+
+@query("m6_single_window", _views(f"{PEOPLE} AND ts_ms BETWEEN {_FIRST_DAY} AND {_FIRST_DAY} + 86399999", limit=3))
+def m6_single(spark, d):
+    """One stored day, cut to a shorter ranking than it keeps."""
+    log, question = access_log(spark, d), registry()["pageviews"]
+    store, day = SummaryStore(spark, _folder(spark)), _extent(log).start
+    spans = [w for w in _windows(log, ("daily",)) if w.start == day]
+    store.write("views", compute(log, question, ALL, spans), spans, F.current_timestamp(), identity(question, ALL))
+    return answered(store, "views", question, TimeRange(day, day + 24 * HOUR - 1), Request(limit=3), {"limit"}).rows
+
+
+@query("t2_t3_recent_windows", f"SELECT granularity, window_start, sc_status AS status, count(*) AS responses FROM win WHERE {_STATUS_VIEWS} AND (granularity = 'hourly' AND window_start IN (TIMESTAMP '2024-01-20 09:00:00', TIMESTAMP '2024-01-20 10:00:00') OR granularity = 'daily' AND window_start IN (TIMESTAMP '2024-01-18', TIMESTAMP '2024-01-19')) GROUP BY 1, 2, 3", _WIN_LOG)
+def t2(spark, d):
+    """At ten past noon, 15 minutes being the time that rows may take: the two hours and days that closed last."""
+    spans = [w for g in ("hourly", "daily") for w in recent(due(_NOON, 15), g)]
+    return _naive(compute(access_log(spark, d), registry()["status-codes"], ALL, spans))
+
+
+@query("r2_closed_periods", "SELECT unit, CAST(starts_on AS STRING) AS starts_on, CAST(ends_before AS STRING) AS ends_before FROM periods WHERE ends_before <= DATE '2024-01-20'", f"{DUCK_LOG}, {_CALENDAR}")
+def r2(spark, d):
+    rows = calendar.closed(_periods(spark, d, "UTC"), F.make_timestamp(F.lit(2024), F.lit(1), F.lit(20), F.lit(12), F.lit(0), F.lit(0), F.lit("UTC")))
+    return _dated(calendar.require_closed(rows, F.lit("2024-01-20T00:00:00Z").cast("timestamp")).select("unit", "starts_on", "ends_before"))
+
+
+@query("r5_selected_week", _views(f"{PEOPLE} AND ts_ms >= 1704585600000 AND ts_ms < 1705190400000"))
+def r5(spark, d):
+    """The week of a day, beginning on a Sunday."""
+    row = calendar.selected_period(spark, "2024-01-10", "UTC", "sunday", week=True).select(F.unix_millis("from").alias("a"), F.unix_millis("until").alias("b")).first()
+    return reports.period_answer(access_log(spark, d), registry()["pageviews"], Request(), row["a"], row["b"])
+
+
+@query("r8_calculations", f"SELECT 'status-codes' AS section, 'summaries' AS calculation, count(*) AS counted FROM log WHERE {_STATUS_VIEWS} UNION ALL SELECT 'cache-hit-ratio', 'period-query', CAST({_HITS} AS BIGINT) FROM log WHERE {PEOPLE}")
+def r8(spark, d):
+    """Each section by the calculation that its question asks for: added-up days, or one query over the period."""
+    log, parts = access_log(spark, d), []
+    span, spans = _extent(log), _windows(log, ("daily",))
+    for name in ("status-codes", "cache-hit-ratio"):
+        question = registry()[name]
+        how = reports.calculation(question)
+        rows = reports.summarised(compute(log, question, ALL, spans), as_rows(spark, spans), question) if how == "summaries" else reports.period_answer(log, question, ALL, span.start, span.end + 1)
+        parts.append(rows.agg(F.lit(name).alias("section"), F.lit(how).alias("calculation"), F.sum(question.added[0]).alias("counted")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_ORDER_DAYS = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders"
+_LENGTH = "CASE WHEN month(day) = 4 AND dayofweek(day) = 0 AND day(day) <= 7 THEN 23 WHEN month(day) = 10 AND dayofweek(day) = 0 AND day(day) >= 25 THEN 25 ELSE 24 END"
+
+
+def _order_days(spark, d) -> DataFrame:
+    """Days of the orders in New York, whose clocks changed on the first Sunday of April and the last of October in those years."""
+    days = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return calendar.periods(days, "America/New_York").filter("unit = 'day'")
+
+
+@query("r1_days_of_23_and_25_hours", f"SELECT CAST(day AS STRING) AS starts_on, CAST({_LENGTH} AS BIGINT) AS hours FROM ({_ORDER_DAYS})")
+def r1_lengths(spark, d):
+    hours = (F.unix_millis("until") - F.unix_millis("from")) / HOUR
+    return _dated(_order_days(spark, d).select("starts_on", hours.cast("long").alias("hours")))
+
+
+@query("r6_hourly_windows", f"SELECT CAST(day AS STRING) AS starts_on, 'hourly' AS granularity, CAST({_LENGTH} AS BIGINT) AS windows FROM ({_ORDER_DAYS})")
+def r6_hourly(spark, d):
+    rows = calendar.source_windows(_order_days(spark, d))
+    return _dated(rows.groupBy("starts_on", "granularity").agg(F.count(F.lit(1)).alias("windows")))
+
+
+@query("r3_previous_in_zone", f"SELECT CAST(day AS STRING) AS starts_on, CAST(CAST(day - INTERVAL 1 DAY AS DATE) AS STRING) AS previous_starts_on FROM ({_ORDER_DAYS})")
+def r3_zone(spark, d):
+    return _dated(calendar.previous(_order_days(spark, d), "America/New_York").select("starts_on", "previous_starts_on"))
+
+
+@query("c1_preceding_weeks", f"SELECT 'weeks' AS pair, true AS follows, (SELECT count(*) FROM log WHERE {_IN_WEEK.format(*_WEEK)}) AS current, (SELECT count(*) FROM log WHERE {_IN_WEEK.format(*_LAST_WEEK)}) AS previous UNION ALL SELECT 'same', false, (SELECT count(*) FROM log WHERE {_IN_WEEK.format(*_WEEK)}), (SELECT count(*) FROM log WHERE {_IN_WEEK.format(*_WEEK)})")
+def c1(spark, d):
+    """Two weeks compare only if one follows the other."""
+    log, told = access_log(spark, d), []
+    week = lambda text: calendar.selected_period(spark, text, "UTC", week=True)
+    for pair, before in (("weeks", "2024-01-01"), ("same", "2024-01-08")):
+        counts = [pruned(log, TimeRange(r["a"], r["b"] - 1)).count() for r in (week(t).select(F.unix_millis("from").alias("a"), F.unix_millis("until").alias("b")).first() for t in ("2024-01-08", before))]
+        try:
+            reports.require_preceding(week("2024-01-08"), week(before))
+            told.append((pair, True, *counts))
+        except ValueError:
+            told.append((pair, False, *counts))
+    return spark.createDataFrame(told, "pair string, follows boolean, current long, previous long")
+
+
+@query("c3_metric_definitions", f"""--cte cur AS ({_STATUSES.replace("SPAN", _IN_WEEK.format(*_WEEK))}), prev AS ({_STATUSES.replace("SPAN", _IN_WEEK.format(*_LAST_WEEK))})
+SELECT coalesce(c.status, p.status) AS status, 'responses' AS metric, 'answers' AS unit, 'lower-is-better' AS preference, CASE WHEN c.responses IS NULL OR p.responses IS NULL THEN NULL WHEN c.responses < p.responses THEN 'improvement'
+  WHEN c.responses > p.responses THEN 'regression' ELSE 'unchanged' END AS assessment FROM cur c FULL JOIN prev p ON c.status = p.status""")
+def c3(spark, d):
+    """A caller's own definition (U5) in the place of the library's, and what the table of definitions says of it."""
+    own = compare.Definition("status-codes", (compare.Metric("responses", "answers", preference="lower-is-better"),))
+    known = compare.definitions([own])
+    rows = compare.compared(*_two_weeks(spark, d, "status-codes", ALL), known["status-codes", "rows"]).drop("unit", "preference", "measure")
+    table = compare.as_table(spark, list(known.values())).filter("question = 'status-codes'")
+    return rows.join(table, "metric").select("status", "metric", "unit", "preference", "assessment")
+
+
+_VITALS_IN = "SELECT event AS vital, quantile_disc(CAST(value AS DOUBLE), 0.75) AS p75, count(*) AS samples FROM ev WHERE {e} AND {p} AND {b} AND event IN ('lcp', 'cls', 'fcp', 'ttfb') AND {n} AND value NOT LIKE '-%' AND {{0}} GROUP BY 1".format(e=EVENT, p=PEOPLE, b=ON_BEACON, n=NUMBER)
+
+
+@query("c7_units_by_vital", f"""--cte cur AS ({_VITALS_IN.format(_IN_WEEK.format(*_WEEK))}), prev AS ({_VITALS_IN.format(_IN_WEEK.format(*_LAST_WEEK))})
+SELECT coalesce(c.vital, p.vital) AS vital, CASE coalesce(c.vital, p.vital) WHEN 'cls' THEN 'score' ELSE 'milliseconds' END AS unit, c.p75 AS current, p.p75 AS previous,
+  CASE WHEN c.p75 IS NULL OR p.p75 IS NULL THEN NULL WHEN c.p75 < p.p75 THEN 'improvement' WHEN c.p75 > p.p75 THEN 'regression' ELSE 'unchanged' END AS assessment FROM cur c FULL JOIN prev p ON c.vital = p.vital""", _WITH_EVENTS)
+def c7_units(spark, d):
+    log, question = access_log(spark, d), Question("web-vitals-exact", web_vitals(exact=True), ranked=False)
+    sides = [question.answer(log, Request(span=TimeRange(a, b - 1))) for a, b in (_WEEK, _LAST_WEEK)]
+    return compare.compared(*sides, compare.definitions()["web-vitals", "rows"]).filter("metric = 'p75'").select("vital", "unit", "current", "previous", "assessment")

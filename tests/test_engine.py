@@ -43,14 +43,12 @@ def got(df, *columns):
     return [tuple(r[c] for c in columns) for r in df.collect()]
 
 
-def test_registered_queries_all_run(spark, sf):
+def test_registered_queries_and_their_twins(spark, sf):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
     names = entry.queries()
-    assert set(entry.oracle_sql()) <= set(names)
-    for name in [n for n in names if n[0] in "acjp" and n[1].isdigit()][::4]:
-        assert names[name](spark, sf).limit(1).count() <= 1
+    assert set(entry.oracle_sql()) <= set(names)  # each of them is run in test_queries.py or in tests/llm
 
 
 def test_decoding(spark):

@@ -15,7 +15,7 @@ from sitelens.plans.backfill import backfill, lacking
 from sitelens.plans.identity import identity
 from sitelens.plans.request import HOUR, Request
 from sitelens.plans.windows import WINDOW, Span, compute, matrix, with_windows
-from sitelens.sources.derived_log import access_log
+from sitelens.derived_log import access_log
 from sitelens.sources.once import create_once, read_text
 from sitelens.sources.stores import ReportStore, SummaryStore
 

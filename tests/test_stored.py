@@ -11,7 +11,7 @@ from sitelens.plans.matrix import columns_of, compute_matrix, run
 from sitelens.plans.request import HOUR, Request, TimeRange
 from sitelens.plans.stored import Piece, answered, candidates, cover, without_gaps
 from sitelens.plans.windows import WINDOW, Scheduled, Span, compute, matrix
-from sitelens.sources.derived_log import access_log, flooded
+from sitelens.derived_log import access_log, flooded
 from sitelens.sources.stores import SummaryStore, in_days
 
 DAY = 24 * HOUR

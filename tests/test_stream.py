@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sitelens.operators.questions import registry
 from sitelens.plans.request import HOUR, Request
 from sitelens.plans.windows import Span, compute, matrix
-from sitelens.sources.derived_log import access_log, flooded
+from sitelens.derived_log import access_log, flooded
 from sitelens.sources.stores import SummaryStore
 from sitelens.streaming.late import Keeper, folded_at, keep_all_current, live_counts, live_parts
 
