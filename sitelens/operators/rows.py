@@ -47,6 +47,20 @@ def rendered_pairs(log: DataFrame, beacon_path: str, by: Sequence[str] = ()) ->
     return log.filter(shows_rendering(beacon_path)).select(*by, *PAIR).distinct()
 
 
+#: So many of the busiest senders are spread, each over so many tasks.
+HOT_SENDERS, SPREAD = 1_000, 64
+
+
+def _spread(rows: DataFrame, pairs: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with a column ``lot``: rows of the busiest senders draw one, and their pairs stand once in each; all others are in lot 0."""
+    busy = log.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *PAIR).limit(HOT_SENDERS).select(*PAIR, F.lit(True).alias("busy"))
+    busy = F.broadcast(busy)  # HOT_SENDERS rows
+    drawn = F.pmod(F.xxhash64("ts_ms", "cs_uri_stem"), F.lit(SPREAD)).cast("int")
+    rows = rows.join(busy, PAIR, "left").withColumn("lot", F.when(F.col("busy"), drawn).otherwise(0)).drop("busy")
+    lots = F.when(F.col("busy"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    return rows, pairs.join(busy, PAIR, "left").withColumn("lot", F.explode(lots)).drop("busy")
+
+
 def rows_for(log: DataFrame, request: Request, where: Sequence[Column] = (), by: Sequence[str] = ()) -> DataFrame:
     """The rows a request covers, with their decoded ``path``.
 
@@ -67,7 +81,12 @@ def rows_for(log: DataFrame, request: Request, where: Sequence[Column] = (), by:
     if request.paths:
         rows = rows.filter(under_any(F.col("path"), request.paths))
     if request.rendered_only:
-        rows = rows.join(rendered_pairs(log, request.beacon_path, by), [*by, *PAIR], "left_semi")
+        pairs, on = rendered_pairs(log, request.beacon_path, by), [*by, *PAIR]
+        if request.spread_senders:
+            rows, pairs = _spread(rows, pairs, log)
+            rows = rows.join(pairs, [*on, "lot"], "left_semi").drop("lot")
+        else:
+            rows = rows.join(pairs, on, "left_semi")
     return rows
 
 

@@ -85,6 +85,8 @@ class Request:
     host: str | None = None
     countries: tuple[str, ...] | None = None
     rendered_only: bool | str = False
+    #: For logs that a few senders flood: their rows are dealt over many tasks where visitors are looked up, at the price of counting senders first.
+    spread_senders: bool = False
 
     def __post_init__(self) -> None:
         if isinstance(self.rendered_only, str) and not self.rendered_only.startswith("/"):

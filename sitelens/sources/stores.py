@@ -20,6 +20,8 @@ from sitelens.plans.windows import SIZES, WINDOW, Span, as_rows
 #: Version of the stored layout; rows of other versions are not read.
 SCHEMA = 2
 DAY = 86_400
+#: Days that one pattern of paths names.
+MOST_DAYS = 500
 _PLACE = ["granularity", "window_day"]
 
 #: The ledger always has these columns, whatever a run narrowed by.
@@ -110,16 +112,36 @@ class SummaryStore:
 
     # -- reading
 
+    def _listed(self, kind: str, name: str, spans: Sequence[Span], schema: T.StructType | None = None) -> DataFrame | None:
+        """Files of the days of windows, of which no other directories are listed; None where there are none."""
+        found = None
+        for g, days in days_of(spans).items():
+            base = f"{self.root}/{kind}/name={name}"
+            reader = self.spark.read.option("basePath", base)
+            # Runs of one name may differ in their columns, as those that several names share do.
+            reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
+            for some in (days[k : k + MOST_DAYS] for k in range(0, len(days), MOST_DAYS)):
+                try:
+                    own = reader.parquet(f"{base}/granularity={g}/window_day={{{','.join(map(str, some))}}}")
+                except AnalysisException as error:
+                    if error.getCondition() != "PATH_NOT_FOUND":
+                        raise
+                    continue
+                found = own if found is None else found.unionByName(own, allowMissingColumns=True)
+        return None if found is None else found.filter(in_days(spans))
+
     def _ledger(self, name: str, wanted: Sequence[Span] | None) -> DataFrame:
         schema = T.StructType([*LEDGER, T.StructField("granularity", T.StringType()), T.StructField("window_day", T.IntegerType())])
+        if wanted is not None:
+            rows = self._listed("ledger", name, wanted, schema)
+            return (self.spark.createDataFrame([], schema) if rows is None else rows).filter(F.col("schema") == SCHEMA)
         try:
             rows = self.spark.read.schema(schema).parquet(f"{self.root}/ledger/name={name}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             rows = self.spark.createDataFrame([], schema)  # nothing was ever stored under this name
-        rows = rows.filter(F.col("schema") == SCHEMA)
-        return rows if wanted is None else rows.filter(in_days(wanted))
+        return rows.filter(F.col("schema") == SCHEMA)
 
     def _current(self, name: str, wanted: Sequence[Span] | None = None) -> DataFrame:
         """The newest ledger row of each window and narrowing, of this version."""
@@ -143,7 +165,9 @@ class SummaryStore:
         if not chosen:
             raise ValueError("no stored windows to read")
         spans = [Span(r["start"], r["granularity"]) for r in chosen]
-        rows = self._rows(name).filter(in_days(spans))
+        rows = self._listed("rows", name, spans)
+        if rows is None:  # all of them are empty: their run left no file of these days
+            rows = self._rows(name).limit(0)
         runs = sorted({r["run"] for r in chosen})
         if len(runs) <= 1_000:  # a literal list that reaches the row groups
             rows = rows.filter(F.col("run").isin(*runs))
@@ -154,7 +178,7 @@ class SummaryStore:
         return found.select(*dict.fromkeys([*WINDOW, *columns, "computed_at"])) if columns else found.drop("run", "window_day")
 
     def _rows(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/rows/name={name}")
+        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/rows/name={name}")
 
     def read(self, name: str, wanted: Sequence[Span] | None = None, digest: str | None = None) -> DataFrame:
         """Rows of the windows as they were last computed: of all, or of ``wanted`` ones out of the directories of their days.

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelens.operators.questions import registry
+from sitelens.operators.rows import rows_for
 from sitelens.plans.identity import adopted, identity
 from sitelens.plans.matrix import columns_of, compute_matrix, run
 from sitelens.plans.request import HOUR, Request, TimeRange
@@ -184,6 +185,9 @@ def test_reads_are_pruned_to_their_days(spark, log, tmp_path):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "window_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert {r.window_start.timestamp() * 1000 for r in frame.select("window_start").distinct().collect()} == {w.start for w in wanted}
+    # Only these directories are listed, and a day without any file is none.
+    assert {f.split("window_day=")[1].split("/")[0] for f in frame.inputFiles()} == {str(w.start // DAY) for w in wanted}
+    assert store.read("views", [*wanted, *days(START + 300 * DAY, START + 301 * DAY)]).count() == frame.count()
     for part in ("rows", "ledger"):
         whole = spark.read.parquet(f"{store.root}/{part}/name=views")
         assert files_read(whole.filter(in_days(wanted))) < files_read(whole) and files_read(whole.filter(in_days(wanted))) <= 2
@@ -191,6 +195,40 @@ def test_reads_are_pruned_to_their_days(spark, log, tmp_path):
     assert store.ledger("views", wanted).count() == 2 and store.ledger("nothing").count() == 0
 
 
+def test_empty_windows_and_runs_of_other_columns(spark, log, tmp_path):
+    store, q = SummaryStore(spark, str(tmp_path)), registry()["pageviews"]
+    far = days(START + 400 * DAY, START + 402 * DAY)
+    store.write("views", compute(log, q, ALL, far), far, now(), identity(q, ALL))
+    near = days(START, START + DAY)
+    store.write("views", compute(log, q, ALL, near).withColumn("more", F.lit(1)), near, now(), identity(q, ALL))
+    assert store.read("views", far).count() == 0 and answered(store, "views", q, TimeRange(far[0].start, far[1].start + DAY - 1), ALL).rows.count() == 0
+    assert {"path", "more"} <= set(store.read("views", near).columns)
+
+
+def test_a_flooding_sender_is_spread(spark):
+    """One sender of a third of all rows; no task of the lookup holds twice the median."""
+    plain = access_log(spark, "/root/testdata/sf0.01").filter("c_ip IS NOT NULL AND cs_user_agent IS NOT NULL")
+    sender = plain.filter("sc_content_type LIKE 'text/html%' AND cs_uri_stem NOT LIKE '/_beacon%'").select("c_ip", "cs_user_agent").first()
+    mine = (F.pmod(F.hash("ts_ms", "cs_uri_stem"), F.lit(3)) == 0)
+    busy = plain.withColumns({c: F.when(mine, F.lit(sender[c])).otherwise(F.col(c)) for c in ("c_ip", "cs_user_agent")}).cache()
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        most = {}
+        for spread in (False, True):
+            request = Request(include_bots=True, rendered_only=True, spread_senders=spread, limit=None)
+            looked_up = rows_for(busy, request)
+            sizes = sorted(r["count"] for r in looked_up.groupBy(F.spark_partition_id().alias("task")).count().collect())
+            most[spread] = (sizes[-1] / sizes[len(sizes) // 2], sum(sizes))
+            assert rows(registry()["pageviews"].answer(busy, request)) == rows(registry()["pageviews"].answer(busy, Request(include_bots=True, rendered_only=True, limit=None)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert most[True][0] <= 2 < most[False][0] and most[True][1] == most[False][1]
+
+
 # -- the matrix ----------------------------------------------------------------
 
 SIX = ["pageviews", "referrers", "browsers", "status-codes", "cache-hit-ratio", "searches"]
