@@ -7,8 +7,9 @@ an honorific) are replaced by keyed surrogates of the same type and format:
   codes, top-level domains and honorifics stay; private IP ranges stay private; a card that passes
   the Luhn check keeps its issuer digit and passes it again;
 * a name becomes pronounceable syllables of its script, with an ending that matches the gender of the
-  honorific; each part of a name has its own surrogate, so ``Mr John Smith`` and ``Mr Smith`` still
-  share their surname, and where a document names someone once with an honorific, bare mentions of those parts in it go too;
+  honorific; each part of a name, also of one with a hyphen, has its own surrogate, so ``Mr John Smith`` and ``Mrs Smith-Jones`` still
+  share a surname, and where a document names someone once with an honorific, bare mentions of those parts in it go too, in capitals as well.
+  Initials become other letters, which nothing tells apart; a letter before an apostrophe stays;
 * the surrogate is a function of (key, unit), a unit being a part of a name or another entity whole, so all mentions get the same one
   (coreference) without any join or shuffle of texts. Distinctness is checked over the distinct
   units of the whole table: where two have the same surrogate, or a surrogate equals a
@@ -29,19 +30,29 @@ MAX_DRAWS = 4
 
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
-_IP6 = r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
+_IP6 = (
+    r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
+    r"|:(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:])"
+)
 _PHONE = (
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+    r"|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+.-])0\d{2,4}[ -]\d{3,4}[ -]?\d{3,4}(?![\w-])"
 )
 #: Groups of four, American Express's groups, and runs of 13 to 19 digits (which count only if they pass the Luhn check).
 _CARD = r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w])|(?<![\w-])3[47]\d{2}([ -]?)\d{6}\2\d{5}(?![\w])|(?<![\w.-])\d{13,19}(?![\w])"
 #: Honorifics and the gender they tell.
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"]
 MALE = ["Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин"]
-_NAME = r"(?<!\p{L})(?:" + "|".join(sorted(FEMALE + MALE, key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+#: Honorifics that tell none; a given name after one ends as after the second kind.
+NEUTRAL = ["Dr", "Prof", "Doctor", "Professor"]
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:-(?:\p{Lu}['’])?\p{Lu}\p{L}+)*"
+_INITIAL = r"\p{Lu}\."
+_NAME = (
+    r"(?<!\p{L})(?:" + "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True)) + r")\.? "
+    rf"(?:{_WORD} (?:{_INITIAL} ){{0,2}}|{_INITIAL} (?:{_INITIAL} )?)?{_WORD}"
+)
 #: What every entity has in it: a sign that is cheap to look for. Texts without it are not searched further.
-HINT = r"@|[0-9][0-9. ()-]{4}|:[0-9A-Fa-f]{0,4}:|[MFSHГ]\p{Ll}{1,8}\.? \p{Lu}"
+HINT = r"@|[0-9][0-9. ()-]{4}|:[0-9A-Fa-f]{0,4}:|[MFSHDPГ]\p{Ll}{1,8}\.? \p{Lu}"
 PATTERN = "|".join([_EMAIL, _PHONE, _IP, _IP6, _CARD, _NAME])
 
 #: Letters by script and case; a letter outside of them becomes one of the first row of its case.
@@ -167,27 +178,25 @@ def _card_of(value: Column, digits: Column, body: Column, off: Column) -> Column
 
 
 def _name_part(part: Column, role: str, female: Column, key: str, draw: Column) -> Column:
-    return _let(_stream(key, role, part, draw), lambda s: _name_part_from(part, role, female, s))
+    return _let(_stream(key, role, part, draw), lambda s: _name_part_from(part, role, female, s, draw))
+
 
+def _name_part_from(part: Column, role: str, female: Column, s: Column, draw: Column) -> Column:
+    """Syllables, and with each draw one more, so that names never run out, however many there are."""
+    least = 3 if role == "given" else 4
 
-def _name_part_from(part: Column, role: str, female: Column, s: Column) -> Column:
     def build(script: str, endings: tuple[str, str]) -> Column:
         rows = F.array(*[F.lit(x) for x in SYLLABLES[script]])
-        spoken = [F.element_at(rows, _byte(s, F.lit(i)) % 16 + 1) for i in range(4)]
+        spoken = F.transform(F.sequence(F.lit(0), draw + (least - 1)), lambda i: F.element_at(rows, _byte(s, i) % 16 + 1))
         end = F.when(female, endings[0]).otherwise(endings[1]) if role == "given" else F.lit("")
-        return F.initcap(F.concat(*(spoken[:3] if role == "given" else spoken), end))
+        return F.initcap(F.concat(F.array_join(spoken, ""), end))
 
     latin, cyrillic, greek = build("latin", ("na", "ro")), build("cyrillic", ("на", "ро")), build("greek", ("να", "ρο"))
     return F.when(part.rlike(r"\p{IsCyrillic}"), cyrillic).when(part.rlike(r"\p{IsGreek}"), greek).otherwise(latin)
 
 
 def _name(value: Column, key: str, draw: Column) -> Column:
-    parts = F.split(value, " ")
-    title = F.element_at(parts, 1)
-    female = F.regexp_replace(title, r"\.", "").isin(*FEMALE)
-    surname = _name_part(F.element_at(parts, -1), "surname", female, key, draw)
-    given = _name_part(F.element_at(parts, 2), "given", female, key, draw)
-    return F.when(F.size(parts) > 2, F.concat_ws(" ", title, given, surname)).otherwise(F.concat_ws(" ", title, surname))
+    return _composed_name(value, F.transform(_name_units(value), lambda u: _part_surrogate(u, key, draw)), key)
 
 
 def kind_of(entity: Column) -> Column:
@@ -198,7 +207,7 @@ def kind_of(entity: Column) -> Column:
         .when(entity.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
         .when(entity.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6")
         .when(entity.rlike(r"^\d") & ((F.length(digits) == 16) | ((F.length(digits) > 12) & (_luhn_sum(_chars(digits)) % 10 == 0))), "card")
-        .when(entity.rlike(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"), "phone")
+        .when(entity.rlike(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$|^0\d{2,4}[ -]"), "phone")
         .when(entity.rlike(r"^\d"), "number")
         .otherwise("name")
     )
@@ -208,13 +217,36 @@ def kind_of(entity: Column) -> Column:
 _ROLE = "\x1f"
 
 
+def _tokens(name: Column) -> Column:
+    """What follows the honorific, cut into words and the signs between them."""
+    body = F.substring(name, F.locate(" ", name) + 1, F.length(name))
+    return F.split(body, r"(?<=[ '’-])|(?=[ '’-])", -1)
+
+
+def _is_word(token: Column) -> Column:
+    return token.rlike(r"^\p{L}{2,}$")
+
+
+def _plain_case(word: Column) -> Column:
+    """Words in capitals are the same as others."""
+    return F.when(word == F.upper(word), F.initcap(word)).otherwise(word)
+
+
+def _name_units(name: Column) -> Column:
+    given = F.when(_is_female(name), f"given-f{_ROLE}").otherwise(f"given-m{_ROLE}")
+
+    def units(tokens: Column) -> Column:
+        last = F.size(tokens) - F.array_position(F.reverse(tokens), " ") + 1  # the place of the last space, or behind all
+        first = F.when(F.array_contains(tokens, " "), last).otherwise(0)
+        named = F.transform(tokens, lambda t, i: F.when(_is_word(t), F.concat(F.when(i >= first, F.lit(f"surname{_ROLE}")).otherwise(given), _plain_case(t))))
+        return F.filter(named, lambda u: u.isNotNull())
+
+    return _let(_tokens(name), units)
+
+
 def units_of(entity: Column) -> Column:
     """What is held apart: the parts of a name, each with its role, or the entity itself."""
-    parts = F.split(entity, " ")
-    surname = F.concat(F.lit(f"surname{_ROLE}"), F.element_at(parts, -1))
-    given = F.concat(F.when(_is_female(entity), f"given-f{_ROLE}").otherwise(f"given-m{_ROLE}"), F.try_element_at(parts, F.lit(2)))
-    named = F.when(F.size(parts) > 2, F.array(given, surname)).otherwise(F.array(surname))
-    return F.when(kind_of(entity) == "name", named).otherwise(F.array(entity))
+    return F.when(kind_of(entity) == "name", _name_units(entity)).otherwise(F.array(entity))
 
 
 def _is_female(name: Column) -> Column:
@@ -225,22 +257,37 @@ def _is_part(unit: Column) -> Column:
     return unit.contains(_ROLE)
 
 
-def composed(entity: Column, units: Column) -> Column:
+def _composed_name(name: Column, units: Column, key: str) -> Column:
+    """The honorific, then words out of ``units`` in order; signs stay, and so does a letter before an apostrophe."""
+
+    def put(tokens: Column) -> Column:
+        nth = lambda i: F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), _is_word))
+        word = lambda i: F.substring_index(F.element_at(units, nth(i)), _ROLE, -1)
+        cased = lambda t, i: F.when(t == F.upper(t), F.upper(word(i))).otherwise(word(i))
+        initial = lambda t: _recast(t, _stream(key, "initial", name, F.lit(0)))
+        one = lambda t, i: F.when(_is_word(t), cased(t, i)).when(t.rlike(r"^\p{L}\.$"), initial(t)).otherwise(t)
+        return F.array_join(F.transform(tokens, one), "")
+
+    return F.concat(F.substring_index(name, " ", 1), F.lit(" "), _let(_tokens(name), put))
+
+
+def composed(entity: Column, units: Column, key: str) -> Column:
     """The surrogate of an entity from those of its units."""
-    plain = F.transform(units, lambda u: F.substring_index(u, _ROLE, -1))
-    named = F.array_join(F.concat(F.array(F.substring_index(entity, " ", 1)), plain), " ")
-    return F.when(kind_of(entity) == "name", named).otherwise(F.element_at(units, 1))
+    return F.when(kind_of(entity) == "name", _composed_name(entity, units, key)).otherwise(F.element_at(units, 1))
+
+
+def _part_surrogate(unit: Column, key: str, draw: Column) -> Column:
+    part, female = F.substring_index(unit, _ROLE, -1), unit.startswith("given-f")
+    new = F.when(unit.startswith("surname"), _name_part(part, "surname", female, key, draw)).otherwise(_name_part(part, "given", female, key, draw))
+    return F.concat(F.substring_index(unit, _ROLE, 1), F.lit(_ROLE), new)
 
 
 def surrogate(unit: Column, key: str, draw: Column | None = None) -> Column:
     """The keyed replacement of a unit; ``draw`` above 0 gives other ones. A whole name is replaced part by part."""
     draw = F.lit(0) if draw is None else draw
     kind = kind_of(unit)
-    part, female = F.substring_index(unit, _ROLE, -1), unit.startswith("given-f")
-    role = F.concat(F.substring_index(unit, _ROLE, 1), F.lit(_ROLE))
-    new_part = F.when(unit.startswith("surname"), _name_part(part, "surname", female, key, draw)).otherwise(_name_part(part, "given", female, key, draw))
     return (
-        F.when(_is_part(unit), F.concat(role, new_part))
+        F.when(_is_part(unit), _part_surrogate(unit, key, draw))
         .when(kind == "email", _email(unit, key, draw))
         .when(kind == "ip", _ip(unit, key, draw))
         .when(kind == "ip6", _ip6(unit, key, draw))
@@ -404,12 +451,19 @@ def redrawn_entities(entities: DataFrame, key: str) -> DataFrame:
     over = cut(redrawn(units.select(F.col("unit").alias("entity")), key).select(F.col("entity").alias("unit"), F.col("surrogate").alias("new")))
     touched = units.join(over, "unit").select("entity", "nth", "new").groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("nth", "new"))).alias("news"))
     own = F.transform(units_of(F.col("entity")), lambda u, i: F.coalesce(F.element_at(F.col("news"), i), surrogate(u, key)))
-    return touched.select("entity", composed(F.col("entity"), own).alias("surrogate"))
+    return touched.select("entity", composed(F.col("entity"), own, key).alias("surrogate"))
 
 
 def _without_bare_names(fragment: Column, names: Column) -> Column:
-    """A piece of text between entities, with the parts of the document's names (entity, new) replaced as whole words."""
-    pairs = F.flatten(F.transform(names, lambda e: F.slice(F.arrays_zip(F.split(e["entity"], " ").alias("old"), F.split(e["new"], " ").alias("new")), 2, 2)))
+    """A piece of text between entities, with the parts of the document's names (entity, new) replaced as whole words, in capitals too."""
+
+    def words(e: Column) -> Column:
+        both = F.arrays_zip(_tokens(e["entity"]).alias("old"), _tokens(e["new"]).alias("new"))
+        own = F.filter(both, lambda p: _is_word(p["old"]))
+        loud = F.transform(own, lambda p: F.struct(F.upper(p["old"]).alias("old"), F.upper(p["new"]).alias("new")))
+        return F.concat(own, loud)
+
+    pairs = F.flatten(F.transform(names, words))
     whole = lambda p: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), p["old"], F.lit(r"(?![\p{L}\p{N}])"))
     return F.aggregate(pairs, fragment, lambda acc, p: F.regexp_replace(acc, whole(p), p["new"]))
 
