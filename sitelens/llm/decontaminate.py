@@ -329,7 +329,11 @@ def search(
 
 
 def judged(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """n_hit, n_items, items_sha256 and the contamination rule (a 20th of the words) for search()'s rows."""
+    """n_hit, n_items, items_sha256 and the contamination rule (a 20th of the words) for search()'s rows.
+
+    One row per row, repeated ones too: a null or empty text has no words, hits nothing and is clean; its digest is that of no items. An empty
+    table gives none.
+    """
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.withColumn("n_hit", n_hit).select(
         id_col,
@@ -342,7 +346,11 @@ def judged(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose own text is contaminated, whatever their ids."""
+    """``docs`` without the rows whose own text is contaminated, whatever their ids.
+
+    All columns stay. Rows with null or empty texts stay; repeated rows stay or go together; null and repeated ids are told apart by a row number. An empty
+    table stays empty, and an empty benchmark keeps every row.
+    """
     row = "__llm_row"
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     bad = cut(judged(search(numbered, benchmark, row, text), row).filter("contaminated").select(row))

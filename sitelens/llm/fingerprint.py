@@ -220,7 +220,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sa
 
     The next document is the one with the next lower id; the first follows the last. Among equal ids texts
     follow in byte order; null ids come last. Null texts are empty; all empty texts are alike. A table of
-    one row is its own next one. Ids are numbers.
+    one row is its own next one, and an empty table gives no rows. Repeated rows are rows of their own. Ids are numbers, or text that reads as
+    whole numbers.
     """
     for_python(docs.sparkSession, 4)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

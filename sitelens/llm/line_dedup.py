@@ -66,7 +66,7 @@ def drop_boilerplate(
 
     ``counted`` appends ``n_lines`` and ``n_dropped`` (in place of columns so named). A null text
     stays null with no lines; an empty text is one blank line. A page of nothing but boilerplate
-    gets an empty text. Repeated rows each count as a page.
+    gets an empty text. Repeated rows each count as a page; a null host is a host. An empty table stays empty.
     """
     bad = cut(boilerplate(pages, host, text, ratio, min_pages))
     bad = bad.select(F.col("host").alias("__llm_host"), F.col("bad").alias("__llm_bad"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,13 +51,31 @@ def for_python(spark: SparkSession, megabytes: int = 8) -> None:
     _shipped.add(context.applicationId)
 
 
+_cut: set[str] = set()
+
+
+def cleared() -> None:
+    """Delete the tables that this process has written with cut(), which goes by itself as it ends. Results that were not stored before are lost."""
+    gateway = SparkContext._gateway
+    while _cut and gateway is not None:
+        try:
+            path = gateway.jvm.org.apache.hadoop.fs.Path(_cut.pop())
+            path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Py4JError:  # the JVM has gone first: whoever made the folder clears it
+            return
+
+
+atexit.register(cleared)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later jobs start from the files, so a lost executor costs no recomputation of what lies
-    before, and the file sizes let Spark check what may be broadcast.
+    before, and the file sizes let Spark check what may be broadcast. They stay until the process ends.
     """
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    _cut.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -310,7 +310,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     """``docs`` with one row of each near-duplicate component: the one with the smallest id.
 
     All columns stay. Rows are told apart by a number, not by their ids: repeated ids with different texts are rows
-    of their own components. Of the rows with the smallest id the first one stays; a null id comes last.
+    of their own components. Of the rows with the smallest id the first one stays; a null id comes last. Texts without words, null ones among
+    them, have fingerprint zero and are one component with whatever lies near it. An empty table stays empty.
     """
     row = "__llm_row"
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))

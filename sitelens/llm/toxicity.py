@@ -185,7 +185,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     Learns from labelled rows whose crc32(id) mod 5 is not 0; null or other labels teach nothing, a repeated id
     counts as toxic if any of its labels says so. Null texts are empty. Without labels of both classes
-    the score is constant.
+    the score is constant. Repeated rows have the same score each; a score of exactly one half counts as toxic. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     for_python(spark)
