@@ -1,4 +1,7 @@
-"""The corpus pipeline: documents through five stages, each a written table for the next."""
+"""The corpus pipeline: documents through five stages, each a written table for the next.
+
+Every stage takes an empty table and gives an empty one, tells rows of repeated or null ids apart, and lets extra columns pass.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +13,33 @@ from sitelens.llm.shared import cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of unknown language (no text, or no letters in it) or of an unsure one go."""
+    """Documents of unknown language (null or empty text, or no letters in it) or of an unsure one go. Repeated rows are judged each."""
     return langid.accept(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source are cut out of the texts; no document goes."""
+    """Boilerplate lines of each source are cut out of the texts; no document goes.
+
+    Null and empty texts stay as they are, a null source is one source, and each repeated row counts as a page.
+    """
     return line_dedup.drop_boilerplate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest doc_id."""
+    """One document of each near-duplicate group stays: that with the smallest doc_id.
+
+    Repeated rows are a group. Texts without words, which line dedup may have left, are one too. A null id comes last.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items contaminate go."""
+    """Documents that benchmark items contaminate go. Null and empty texts are clean, repeated rows stay or go together."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left becomes training sequences."""
+    """What is left becomes training sequences. A null or empty text is the end token alone, and repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
