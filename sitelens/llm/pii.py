@@ -260,15 +260,16 @@ def _is_part(unit: Column) -> Column:
 def _composed_name(name: Column, units: Column, key: str) -> Column:
     """The honorific, then words out of ``units`` in order; signs stay, and so does a letter before an apostrophe."""
 
-    def put(tokens: Column) -> Column:
+    def put(tokens: Column, known: Column) -> Column:
         nth = lambda i: F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), _is_word))
-        word = lambda i: F.substring_index(F.element_at(units, nth(i)), _ROLE, -1)
-        cased = lambda t, i: F.when(t == F.upper(t), F.upper(word(i))).otherwise(word(i))
+        word = lambda i: F.substring_index(F.element_at(known, nth(i)), _ROLE, -1)
+        cased = lambda t, i: _let(word(i), lambda w: F.when(t == F.upper(t), F.upper(w)).otherwise(w))
         initial = lambda t: _recast(t, _stream(key, "initial", name, F.lit(0)))
         one = lambda t, i: F.when(_is_word(t), cased(t, i)).when(t.rlike(r"^\p{L}\.$"), initial(t)).otherwise(t)
         return F.array_join(F.transform(tokens, one), "")
 
-    return F.concat(F.substring_index(name, " ", 1), F.lit(" "), _let(_tokens(name), put))
+    body = _let(units, lambda known: _let(_tokens(name), lambda tokens: put(tokens, known)))
+    return F.concat(F.substring_index(name, " ", 1), F.lit(" "), body)
 
 
 def composed(entity: Column, units: Column, key: str) -> Column:
@@ -450,6 +451,8 @@ def redrawn_entities(entities: DataFrame, key: str) -> DataFrame:
     units = cut(entities.select("entity", F.posexplode(units_of(F.col("entity"))).alias("nth", "unit")))
     over = cut(redrawn(units.select(F.col("unit").alias("entity")), key).select(F.col("entity").alias("unit"), F.col("surrogate").alias("new")))
     touched = units.join(over, "unit").select("entity", "nth", "new").groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("nth", "new"))).alias("news"))
+    # Few rows, each of which takes long to compose: as many parts as shuffles have, not as their bytes would make.
+    touched = touched.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
     own = F.transform(units_of(F.col("entity")), lambda u, i: F.coalesce(F.element_at(F.col("news"), i), surrogate(u, key)))
     return touched.select("entity", composed(F.col("entity"), own, key).alias("surrogate"))
 
