@@ -711,7 +711,7 @@ def t8(spark, d):
     for part in range(2):
         half = log.filter(F.pmod(F.hash("timestamp_ms", "cs_uri_stem"), F.lit(2)) == part).repartitionByRange(*PARTITIONS[1:4], "ts_ms")
         half.write.mode("append").partitionBy(*PARTITIONS[1:4]).parquet(f"{folder}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 24).parquet(f"{folder}/log")
     store = SummaryStore(spark, f"{folder}/store")
     keep_current(stream, lambda: spark.read.schema(log.schema).parquet(f"{folder}/log"), registry()["status-codes"], Request(), store, f"{folder}/checkpoint").awaitTermination()
     return _naive(store.read("status-codes").drop("computed_at"))
