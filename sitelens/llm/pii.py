@@ -424,7 +424,8 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
     # Written in as many parts as shuffles have: there are few rows, but each takes long to draw.
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = cut(entities.select("entity").distinct().repartition(parts, "entity"))
-    table = cut(known.select("entity", F.lit(0).alias("draw"), surrogate(F.col("entity"), key).alias("surrogate")))
+    # Dealt once more: the few small files of ``known`` would be one task, which draws for all.
+    table = cut(known.repartition(parts, "entity").select("entity", F.lit(0).alias("draw"), surrogate(F.col("entity"), key).alias("surrogate")))
     for turn in range(MAX_DRAWS + 1):
         # The first holder of each surrogate keeps it; one row per surrogate, so nothing gathers.
         holder = table.groupBy("surrogate").agg(F.min(F.struct("draw", "entity")).alias("h"))
