@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,13 +55,16 @@ def for_python(spark: SparkSession, megabytes: int = 8) -> None:
 _cut: set[str] = set()
 
 
+def _delete(folder: str, configuration: JavaObject) -> None:
+    path = SparkContext._gateway.jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(configuration).delete(path, True)
+
+
 def cleared() -> None:
     """Delete the tables that this process has written with cut(), which goes by itself as it ends. Results that were not stored before are lost."""
-    gateway = SparkContext._gateway
-    while _cut and gateway is not None:
+    while _cut and SparkContext._gateway is not None:
         try:
-            path = gateway.jvm.org.apache.hadoop.fs.Path(_cut.pop())
-            path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+            _delete(_cut.pop(), SparkContext._gateway.jvm.org.apache.hadoop.conf.Configuration())
         except Py4JError:  # the JVM has gone first: whoever made the folder clears it
             return
 
@@ -68,6 +72,15 @@ def cleared() -> None:
 atexit.register(cleared)
 
 
+def let_go(table: DataFrame) -> None:
+    """Delete a table of cut() from which everything that reads it has been written, and let Spark drop the shuffles that nothing refers to any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        for known in [c for c in _cut if c.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
+            _cut.discard(known)
+            _delete(known, table.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    SparkContext._gateway.jvm.System.gc()  # shuffle files go once their dataset is collected
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

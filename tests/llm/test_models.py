@@ -260,6 +260,48 @@ def test_contexts_do_not_depend_on_how_texts_are_dealt(spark, monkeypatch):
         assert language_model.frequent_words(frame) == (n, want)
 
 
+def test_scores_are_plain_sums_over_the_model(spark, monkeypatch):
+    """Over several families of rows, blocks and tasks, with long, empty, repeated and null texts and words never seen."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[k] for k in np.minimum(rng.geometric(0.02, rng.integers(0, 12)) - 1, 299)) for _ in range(2600)]
+    texts[5], texts[1500], texts[1501] = None, " ".join(words * 40), "w1 W1 neverseen w1"
+    texts[2599] = texts[2598]
+    asked = {}
+    scored = language_model._scored
+
+    def recorded(docs, model, head, totals, contexts, kept):
+        asked.update(model=model, totals=totals, contexts=contexts, head=head)
+        return scored(docs, model, head, totals, contexts, kept)
+
+    monkeypatch.setattr(language_model, "_scored", recorded)
+    monkeypatch.setattr(language_model, "CONTEXT_SHARE", 0.002)
+    monkeypatch.setattr(language_model, "HEAD_SHARE", 0.001)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(3, "doc_id")
+    frame = language_model.cut(frame)
+    got = {r.doc_id: r for r in language_model.score(frame).collect()}
+    assert len(got) == len(texts)
+    totals, number = asked["totals"], {w: i + 1 for i, w in enumerate(asked["contexts"])}
+    assert len(number) > 50 and 0 < len(asked["head"].keys)
+    pairs, roots, counts = {}, {}, {}
+    for r in asked["model"].collect():
+        counts[r.word], roots[r.word] = r.n, np.frombuffer(r.root, "<f8")
+        pairs |= {(r.word, int(u)): v for u, v in zip(np.frombuffer(r.us, "<u4"), np.frombuffer(r.lp, "<f8"))}
+    for i, text in enumerate(texts):
+        tokens = [*(text or "").lower().split(), "\n"]
+        want = base = 0.0
+        for before, word in zip(["\n", *tokens], tokens):
+            u = number.get(before, 0)
+            if (word, u) in pairs:
+                want += pairs[word, u]
+            else:
+                root = roots.get(word, language_model.unknown_root(totals))
+                want += np.log10(language_model.unseen(np.array([u]), root[None], totals)[0])
+            base += np.log10((counts.get(word, 0) + 1) / (totals.tokens + totals.words + 1))
+        assert (got[i].n_tokens, got[i].n_known) == (len(tokens), sum(w in counts for w in tokens))
+        assert got[i].score == pytest.approx(want, rel=1e-9) and got[i].base_score == pytest.approx(base, rel=1e-9)
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(table(spark, [])).count() == 0
     for r in language_model.score(table(spark, [None, "a b", "a b"])).collect():
