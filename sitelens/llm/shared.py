@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -78,7 +79,8 @@ def let_go(table: DataFrame) -> None:
         for known in [c for c in _cut if c.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
             _cut.discard(known)
             _delete(known, table.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    SparkContext._gateway.jvm.System.gc()  # shuffle files go once their dataset is collected
+    gc.collect()  # shuffle files go once neither side refers to their dataset
+    SparkContext._gateway.jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
