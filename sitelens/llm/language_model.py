@@ -1,9 +1,7 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Words are dishes and tokens are customers. Each frequent word (a share of at least ``CONTEXT_SHARE``
-of the training tokens, so at most 1 / CONTEXT_SHARE of them) is a context and has a restaurant for the tokens
-after it; all these restaurants share the root as their parent, which also seats the tokens after
-other words directly. Each table of a context restaurant is a customer of the root; the root's base is
+Words are dishes and tokens are customers. Each training word is a context and has a restaurant for the tokens
+after it; all these restaurants share the root as their parent. Each table of a context restaurant is a customer of the root; the root's base is
 uniform over the known words and one place for unknown ones.
 
 Seating follows the Chinese restaurant process and is sampled by Gibbs in blocks: a sweep empties the tables of each (context,
@@ -13,9 +11,12 @@ the mean of their predictive probabilities, and scores are sums of its log10.
 
 On Spark:
 
-* tasks count (word, context) pairs over blocks of text and send one row per distinct word;
-  the rows of a word meet in one task, which streams them in word order;
-* all restaurants' tables for one dish, and that dish at the root, are then in one row, so sweeps run per
+* frequent words (a share of at least ``CONTEXT_SHARE`` of the training tokens, so at most 1 / CONTEXT_SHARE of them) have numbers that every
+  task knows. The tokens after all other words go once to the buckets of their contexts, by a 63-bit hash of the word: a bucket has whole restaurants, and
+  the places of their customers. First tables are drawn there; words get them as customers of the root. When the root is
+  seated, it sends what it has of a word to the restaurants where the word is eaten, which are then seated anew for each kept seating and score their tokens;
+* tasks count (word, context) pairs of numbered contexts over blocks of text and send one message per bucket of words;
+* all tables of numbered restaurants for one dish, and that dish at the root, are then in one row, so sweeps run per
   chunk of words without shuffles. Only the totals of each restaurant (bounded by the number of
   contexts) are shared; they are gathered after a first run and held fixed during the second one,
   and the final totals of each kept seating normalise its predictive probabilities;
@@ -28,11 +29,12 @@ On Spark:
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -59,8 +61,13 @@ CHUNK_PAIRS = 200_000
 EXACT = 64
 #: The end of a text, a token; no word can be equal to it. It is also the context of a text's first token.
 END = "\n"
-#: The context number of all words that are no context: the root itself.
+#: The number of all words without one; as a context, the root itself.
 ROOT = 0
+#: Keys of words without a number are above this, numbers are below.
+KEYED = np.uint64(1 << 63)
+#: Training tokens per bucket of keys, and the fewest buckets.
+BUCKET_TOKENS = 1_000_000
+LEAST_BUCKETS = 16
 
 
 # -- counting ----------------------------------------------------------------------
@@ -115,6 +122,21 @@ class Block:
         return names, words, before, np.repeat(np.arange(len(sizes)), sizes)
 
 
+    def rest(self, contexts: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens after words without a number: that word's key, the code of the token's own word, and the document."""
+        names, words, before, doc = self.places(contexts)
+        codes = numbers(names, contexts, ROOT).astype(np.uint64)
+        without = np.flatnonzero(codes == ROOT)
+        codes[without] = word_keys(names.take(pa.array(without)))
+        at = np.flatnonzero(before == ROOT)
+        return codes[words[at - 1]], codes[words[at]], doc[at]  # before a text's first token is the END of the text before it, or the block's last
+
+
+def word_keys(names: pa.Array) -> np.ndarray:
+    """63 bits of a hash of each word, and KEYED."""
+    return pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False).astype(np.uint64) | KEYED
+
+
 def numbers(names: pa.Array, of: dict[str, int], none: int) -> np.ndarray:
     get = of.get
     return np.fromiter([get(w, none) for w in names.to_numpy(zero_copy_only=False).tolist()], np.int64, len(names))
@@ -170,6 +192,68 @@ def frequent_words(texts: DataFrame) -> tuple[int, list[str]]:
     return total, sorted(sure)
 
 
+def numbered_words(texts: DataFrame) -> tuple[int, list[str]]:
+    """Training tokens, and the words that get a number: all, if they are at most 1 / ``CONTEXT_SHARE``, else those of ``frequent_words``."""
+    total, words = frequent_words(texts)
+    most = int(1 / CONTEXT_SHARE)
+    if total > 100 * most:
+        return total, words
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(b.column(0) for b in batches):
+            yield pa.RecordBatch.from_arrays([block.tokens()[0].cast(pa.string())], ["word"])
+
+    every = texts.mapInArrow(distinct, "word string").distinct().limit(most + 1).collect()
+    return total, sorted(r.word for r in every) if len(every) <= most else words
+
+
+# -- messages ----------------------------------------------------------------------
+
+
+def _written(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+MESSAGE = "bucket bigint, kind int, payload binary"
+
+
+def _messages(kind: int, keys: np.ndarray, buckets: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``rows`` by the buckets of their keys, a message for each."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows.take(pa.array(order)), bucket[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
+        cells = [pa.array([bucket[a]], pa.int64()), pa.array([kind], pa.int32()), pa.array([_written(rows.slice(a, b - a))], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cells, ["bucket", "kind", "payload"])
+
+
+def _read(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all()
+
+
+def _meet(messages: DataFrame, work: Callable[[Iterator[tuple[int, dict[int, pa.Table]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` on the buckets of a task, each with its messages by kind."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, pa.Table]]]:
+        now, held = None, {}
+        whole = lambda: (now, {k: pa.concat_tables(v).combine_chunks() for k, v in held.items()})
+        for b in batches:
+            for bucket, kind, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if bucket != now and held:
+                    yield whole()
+                    held = {}
+                now = bucket
+                held.setdefault(kind, []).append(_read(payload))
+        if held:
+            yield whole()
+
+    return messages.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: work(each(batches)), schema)
+
+
 def _packed(rows: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
     """Distinct values of ``rows`` (sorted), and each part's slice for them as one binary value."""
     starts = np.flatnonzero(np.diff(rows, prepend=-1))
@@ -190,47 +274,62 @@ def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return data.view(kind) if len(data) else np.zeros(0, kind), np.diff(offsets).astype(np.int64) // np.dtype(kind).itemsize
 
 
-def count_pairs(texts: DataFrame, contexts: list[str]) -> DataFrame:
-    """word, us, cs: for every training word, the contexts it follows (packed, ascending) and how often."""
-    numbered = texts.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(contexts)})
-    width = len(contexts) + 1
+def count_pairs(texts: DataFrame, contexts: list[str], buckets: int = LEAST_BUCKETS, rest: DataFrame | None = None, tables: np.ndarray | None = None) -> DataFrame:
+    """word, us, cs, vs, direct: for every training word, the numbers of the contexts it follows (packed, ascending) and how often.
 
-    def emit(names: pa.Array, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        rows, (us, cs) = _packed(keys // width, [(keys % width).astype("<u4"), counts.astype("<i8")])
-        return pa.RecordBatch.from_arrays([names.take(pa.array(rows)).cast(pa.string()), us, cs], ["word", "us", "cs"])
+    ``rest`` has what first_tables() sends of contexts without a number: their tables sum to ``direct`` (of numbered words: ``tables``), and
+    ``vs`` are those that a word without a number occurs after. Without ``rest``, ``direct`` are the tokens that follow no numbered context.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(({w: i + 1 for i, w in enumerate(contexts)}, tables))
+    width = len(contexts) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(b.column(0) for b in batches):
-            names, words, before, _ = block.places(numbered.value)
+            names, words, before, _ = block.places(sent.value[0])
             keys, counts = np.unique(words * width + before, return_counts=True)
-            yield emit(names, keys, counts)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by word; the sums of the last word of a batch wait for the next batch."""
-        held: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
-        for b in batches:
-            names = b.column(0)
-            if not len(names):
+            rows, (us, cs) = _packed(keys // width, [(keys % width).astype("<u4"), counts.astype("<i8")])
+            own = names.take(pa.array(rows)).cast(pa.string())
+            yield from _messages(0, word_keys(own), buckets, pa.RecordBatch.from_arrays([own, us, cs], ["word", "us", "cs"]))
+
+    def merge(each: Iterator[tuple[int, dict[int, pa.Table]]]) -> Iterator[pa.RecordBatch]:
+        numbered, tables = sent.value
+        for _, found in each:
+            if 0 not in found:  # no training word
                 continue
-            us, n = _unpacked(b.column(1), "<u4")
-            cs, _ = _unpacked(b.column(2), "<i8")
-            if held is not None:
-                names = pa.concat_arrays([held[0], names])
-                us, cs, n = np.concatenate([held[1], us]), np.concatenate([held[2], cs]), np.concatenate([[len(held[1])], n])
-            new = np.concatenate(([True], pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)))
-            group = np.cumsum(new) - 1
-            names = names.take(pa.array(np.flatnonzero(new)))
-            keys, back = np.unique(np.repeat(group, n) * width + us, return_inverse=True)
+            coded = found[0]["word"].combine_chunks().dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            names = coded.dictionary.take(pa.array(order))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            us, n = _unpacked(_one(found[0]["us"]), "<u4")
+            cs, _ = _unpacked(_one(found[0]["cs"]), "<i8")
+            keys, back = np.unique(np.repeat(place[coded.indices.to_numpy()], n) * width + us, return_inverse=True)
             sums = np.bincount(back, weights=cs).astype(np.int64)  # exact below 2 ** 53
-            last = np.searchsorted(keys, (len(names) - 1) * width)
-            if last:
-                yield emit(names, keys[:last], sums[:last])
-            held = (names[-1:], (keys[last:] % width).astype("<u4"), sums[last:])
-        if held is not None:
-            yield emit(held[0], held[1].astype(np.int64), held[2])
-
-    schema = "word string, us binary, cs binary"
-    return cut(texts.mapInArrow(count, schema).repartition("word").sortWithinPartitions("word").mapInArrow(merge, schema))
+            _, (us, cs) = _packed(keys // width, [(keys % width).astype("<u4"), sums.astype("<i8")])
+            number = numbers(names, numbered, ROOT)
+            at_root = keys % width == ROOT
+            direct = np.bincount(keys[at_root] // width, weights=sums[at_root], minlength=len(names)) if tables is None else tables[number].astype(float)
+            vs = pa.array([b""] * len(names), pa.binary())
+            if 1 in found:
+                w, u, t = (found[1][k].to_numpy() for k in ("w", "u", "t"))
+                own = word_keys(names)
+                by = np.argsort(own)
+                to = np.minimum(np.searchsorted(own[by], w), len(by) - 1)
+                known = own[by][to] == w
+                word, u, t = by[to][known], u[known], t[known]
+                direct += np.bincount(word, weights=t, minlength=len(names))
+                by = np.lexsort((u, word))
+                edges = np.searchsorted(word[by], np.arange(len(names) + 1)) * 8
+                vs = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(u[by].tobytes())])
+            yield pa.RecordBatch.from_arrays([names, us, cs, vs, pa.array(direct.astype(np.int64))], ["word", "us", "cs", "vs", "direct"])
+
+    messages = texts.mapInArrow(count, MESSAGE)
+    messages = messages if rest is None else messages.unionByName(rest)
+    return cut(_meet(messages, merge, "word string, us binary, cs binary, vs binary, direct bigint"))
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
 # -- seating -----------------------------------------------------------------------
@@ -302,14 +401,15 @@ class Totals:
     customers: np.ndarray  # by context; row 0 unused
     tables: np.ndarray  # seating, context; column 0: tables of the root
     root_customers: np.ndarray  # by seating
+    rest: bool = False  # whether words without a number are contexts too, in buckets of their own
 
     @property
     def base(self) -> float:
         return 1 / (self.words + 1)
 
 
-def sample_seatings(word: np.ndarray, us: np.ndarray, cs: np.ndarray, n: int, totals: Totals, seed: int, sweeps: int, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seatings of a chunk of ``n`` words, of which all pairs (word, us, cs) are given.
+def sample_seatings(word: np.ndarray, us: np.ndarray, cs: np.ndarray, n: int, totals: Totals, seed: int, sweeps: int, kept: int, direct: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seatings of a chunk of ``n`` words, of which all pairs (word, us, cs) are given, and the root's other customers (by default, those of its pairs).
 
     Returns, per kept seating, tables of each pair (0 for pairs of the root), and customers and tables of each word at the root.
     """
@@ -319,7 +419,7 @@ def sample_seatings(word: np.ndarray, us: np.ndarray, cs: np.ndarray, n: int, to
     root_opening = (STRENGTH + d0 * t_mean[0]) * totals.base
     inside = np.flatnonzero(us != ROOT)
     own, customers, opening = word[inside], cs[inside], (STRENGTH + d * t_mean[us])[inside]
-    direct = np.bincount(word, weights=np.where(us == ROOT, cs, 0), minlength=n).astype(np.int64)
+    direct = np.bincount(word, weights=np.where(us == ROOT, cs, 0), minlength=n).astype(np.int64) if direct is None else direct
     # To begin with, a table for each pair.
     tables = np.minimum(customers, 1).astype(np.int64)
     root = direct + np.bincount(own, weights=tables, minlength=n).astype(np.int64)
@@ -345,22 +445,23 @@ def sample_seatings(word: np.ndarray, us: np.ndarray, cs: np.ndarray, n: int, to
     return np.array(out_t), np.array(out_c), np.array(out_r)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Names, word number, contexts and counts of chunks of the pair table."""
-    names, words, us_all, cs_all, size, n = [], [], [], [], 0, 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, word number, contexts and counts of chunks of the pair table."""
+    rows, words, us_all, cs_all, size, n = [], [], [], [], 0, 0
+    whole = lambda: (pa.Table.from_batches(rows).combine_chunks(), np.concatenate(words), np.concatenate(us_all), np.concatenate(cs_all))
     for b in batches:
         us, each = _unpacked(b.column(1), "<u4")
         cs, _ = _unpacked(b.column(2), "<i8")
-        names.append(b.column(0))
+        rows.append(b)
         words.append(np.repeat(np.arange(len(each)), each) + n)
         us_all.append(us.astype(np.int64))
         cs_all.append(cs)
         n, size = n + len(each), size + len(us)
         if size >= CHUNK_PAIRS:
-            yield pa.concat_arrays(names), np.concatenate(words), np.concatenate(us_all), np.concatenate(cs_all)
-            names, words, us_all, cs_all, size, n = [], [], [], [], 0, 0
+            yield whole()
+            rows, words, us_all, cs_all, size, n = [], [], [], [], 0, 0
     if n:
-        yield pa.concat_arrays(names), np.concatenate(words), np.concatenate(us_all), np.concatenate(cs_all)
+        yield whole()
 
 
 def _sums(rows: Iterator[tuple[int, np.ndarray]], width: int) -> np.ndarray:
@@ -371,8 +472,12 @@ def _sums(rows: Iterator[tuple[int, np.ndarray]], width: int) -> np.ndarray:
     return out if out is not None else np.zeros((width, 0))
 
 
-def count_totals(pairs: DataFrame, n_contexts: int) -> Totals:
-    """Customers by context and the discounts, from counts of counts (n1 / (n1 + 2 n2))."""
+def _discount(once: float, twice: float) -> float:
+    return min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
+
+
+def count_totals(pairs: DataFrame, n_contexts: int, more: tuple[int, int] | None = None) -> Totals:
+    """Customers by context and the discounts, from counts of counts (n1 / (n1 + 2 n2)); ``more``: pairs seen once and twice of contexts without a number."""
     width = n_contexts + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,28 +495,28 @@ def count_totals(pairs: DataFrame, n_contexts: int) -> Totals:
     found = {r.u: r.n for r in rows}
     p1, p2, w1, w2, words, tokens = (found.get(k, 0) for k in range(-6, 0))
     customers = np.array([found.get(u, 0.0) for u in range(width)])
-    discount = lambda a, b: min(0.95, max(0.1, a / (a + 2 * b) if a else 0.5))
     tables = np.minimum(customers, customers**0.8)[None, :]
     tables[0, 0] = words
-    d = (discount(p1, p2), discount(w1, w2))
-    return Totals(int(words), int(tokens), d, customers, tables, np.array([max(tokens / 2, 1.0)]))
+    p1, p2 = (a + b for a, b in zip((p1, p2), more or (0, 0)))
+    d = (_discount(p1, p2), _discount(w1, w2))
+    return Totals(int(words), int(tokens), d, customers, tables, np.array([max(tokens / 2, 1.0)]), more is not None)
 
 
 def seatings(pairs: DataFrame, totals: Totals, sweeps: int, kept: int) -> DataFrame:
-    """word, us, cs, ts, rc, rt: the pair table with the kept seatings (packed, seating by seating)."""
+    """word, us, cs, ts, rc, rt, vs: the pair table with the kept seatings (packed, seating by seating)."""
     sent = pairs.sparkSession.sparkContext.broadcast(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, word, us, cs in _chunks(batches):
-            n = len(names)
+        for rows, word, us, cs in _chunks(batches):
+            names, n = _one(rows["word"]), len(rows)
             seed = zlib.crc32(names[0].as_py().encode())  # the same whenever the task is repeated
-            ts, rc, rt = sample_seatings(word, us, cs, n, sent.value, seed, sweeps, kept)
+            ts, rc, rt = sample_seatings(word, us, cs, n, sent.value, seed, sweeps, kept, rows["direct"].to_numpy())
             _, packed = _packed(word, [us.astype("<u4"), cs.astype("<i8"), np.ascontiguousarray(ts.T).astype("<u4").reshape(-1, kept).view(f"V{4 * kept}").ravel()])
             per = [np.ascontiguousarray(x.T).astype("<i8").view(f"V{8 * kept}").ravel() for x in (rc, rt)]
             _, roots = _packed(np.arange(n), per)
-            yield pa.RecordBatch.from_arrays([names, *packed, *roots], ["word", "us", "cs", "ts", "rc", "rt"])
+            yield pa.RecordBatch.from_arrays([names, *packed, *roots, _one(rows["vs"])], ["word", "us", "cs", "ts", "rc", "rt", "vs"])
 
-    return pairs.mapInArrow(run, "word string, us binary, cs binary, ts binary, rc binary, rt binary")
+    return pairs.mapInArrow(run, "word string, us binary, cs binary, ts binary, rc binary, rt binary, vs binary")
 
 
 def seated_totals(seated: DataFrame, totals: Totals, kept: int) -> Totals:
@@ -436,7 +541,187 @@ def seated_totals(seated: DataFrame, totals: Totals, kept: int) -> Totals:
     zero = np.zeros(kept)
     tables = np.stack([found.get(u, zero) for u in range(width)], axis=1)
     tables[:, 0] = found.get(-1, zero)
-    return Totals(totals.words, totals.tokens, totals.discounts, totals.customers, tables, np.maximum(found.get(-2, zero), 0))
+    return Totals(totals.words, totals.tokens, totals.discounts, totals.customers, tables, np.maximum(found.get(-2, zero), 0), totals.rest)
+
+
+# -- contexts without a number -----------------------------------------------------
+
+
+def rest_tokens(docs: DataFrame, contexts: list[str], buckets: int) -> DataFrame:
+    """bucket, kind, payload, once, twice: the tokens of ``docs`` after words without a number, a row per bucket of those words.
+
+    A payload has, ordered by u and w: u (the context's key), w (the token's word), row, and train (false: held out). ``once`` and ``twice`` are the
+    pairs that occur so often in training.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(contexts)})
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, first, _, held in row_blocks(batches):
+            u, w, doc = block.rest(sent.value)
+            by = np.lexsort((w, u))
+            u, w, doc = u[by], w[by], doc[by]
+            train = ~pa.concat_arrays(held).to_numpy(zero_copy_only=False)
+            yield from _messages(0, u, buckets, pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(first + doc), pa.array(train[doc])], ["u", "w", "row", "train"]))
+
+    def merge(each: Iterator[tuple[int, dict[int, pa.Table]]]) -> Iterator[pa.RecordBatch]:
+        for bucket, found in each:
+            u, w = (found[0][k].to_numpy() for k in ("u", "w"))
+            rows = found[0].take(pa.array(np.lexsort((w, u)))).combine_chunks()
+            c = Rest.of(rows).c
+            cells = [pa.array([bucket]), pa.array([0], pa.int32()), pa.array([_written(rows.to_batches()[0])], pa.binary()), *[pa.array([int((c == k).sum())]) for k in (1, 2)]]
+            yield pa.RecordBatch.from_arrays(cells, ["bucket", "kind", "payload", "once", "twice"])
+
+    return cut(_meet(with_row(docs).mapInArrow(send, MESSAGE), merge, f"{MESSAGE}, once bigint, twice bigint"))
+
+
+@dataclass
+class Rest:
+    """The pairs of a bucket of contexts without a number, ordered by context."""
+
+    u: np.ndarray
+    w: np.ndarray
+    c: np.ndarray  # in training; 0 for pairs of held-out texts alone
+    own: np.ndarray  # which of the contexts
+    pair: np.ndarray  # by token
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Rest:
+        u, w, train = (rows[k].to_numpy() for k in ("u", "w", "train"))
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+        pair = np.cumsum(new) - 1
+        u, w = u[new], w[new]
+        return cls(u, w, np.bincount(pair, weights=train, minlength=len(u)).astype(np.int64), np.cumsum(np.concatenate(([True], u[1:] != u[:-1]))) - 1, pair)
+
+    def totals(self, of: np.ndarray) -> np.ndarray:
+        return np.bincount(self.own, weights=of, minlength=self.own[-1] + 1)
+
+    def sweep(self, t: np.ndarray, root: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        """Seat all customers anew, half of the pairs at a time, given the root's probability of each pair's word.
+
+        A table adds ``discount`` to what opens the next one, so seat() gets exact weights.
+        """
+        many = np.flatnonzero(self.c > 1)
+        half = rng.random(len(many)) < 0.5
+        for part in (many[half], many[~half]):
+            others = STRENGTH + discount * (self.totals(t)[self.own[part]] - t[part])
+            t[part] = seat(self.c[part], others * root[part], others / discount, discount, rng)
+
+
+def first_tables(rest: DataFrame, discount: float, buckets: int, width: int) -> tuple[DataFrame, np.ndarray]:
+    """First tables of contexts without a number: messages (w, u, t) on words without a number, held-out pairs (0 tables) too, and tables by number.
+
+    A word's share of a bucket's pairs stands for the root's probability.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, payload in zip(b.column(0).to_pylist(), b.column(2)):
+                pairs = Rest.of(_read(payload))
+                rng = np.random.default_rng(bucket)
+                t = np.minimum(pairs.c, 1)
+                _, word, times = np.unique(pairs.w, return_inverse=True, return_counts=True)
+                for _ in range(SWEEPS // 2):
+                    pairs.sweep(t, times[word] / len(t), discount, rng)
+                keyed = pairs.w >= KEYED
+                numbered = np.bincount(pairs.w[~keyed].astype(np.int64), weights=t[~keyed], minlength=width)
+                at = np.flatnonzero(numbered)
+                sums = pa.RecordBatch.from_arrays([pa.array(at), pa.array(numbered[at])], ["u", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([2], pa.int32()), pa.array([_written(sums)], pa.binary())], ["bucket", "kind", "payload"])
+                yield from _messages(1, pairs.w[keyed], buckets, pa.RecordBatch.from_arrays([pa.array(x[keyed]) for x in (pairs.w, pairs.u, t)], ["w", "u", "t"]))
+
+    def by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload in b.column(2):
+                yield from _read(payload).to_batches()
+
+    sent = cut(rest.select("bucket", "kind", "payload").mapInArrow(run, MESSAGE))
+    out = np.zeros(width)
+    for r in sent.filter("kind = 2").mapInArrow(by_number, "u bigint, n double").groupBy("u").agg(F.sum("n").alias("n")).collect():
+        out[r.u] = r.n
+    return sent, out
+
+
+def rest_scored(rest: DataFrame, seated: DataFrame, totals: Totals, contexts: list[str], buckets: int, kept: int) -> DataFrame:
+    """By family of rows: sums of the tokens after words without a number. Their contexts are seated anew for each kept seating of the root."""
+    spark = rest.sparkSession
+    numbered = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(contexts)})
+    width = len(contexts) + 1
+    floor = np.log10(totals.tokens + totals.words + 1.0)
+
+    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cs, each = _unpacked(b.column(1), "<i8")
+        n = np.bincount(np.repeat(np.arange(len(each)), each), weights=cs, minlength=len(each)).astype(np.int64)
+        return n, *[_unpacked(b.column(k), "<i8")[0].reshape(-1, kept) for k in (2, 3)]
+
+    def of_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number = numbers(b.column(0), numbered.value, ROOT)
+            at = np.flatnonzero(number)
+            n, rc, rt = counted(b)
+            yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array(n[at]), *[pa.array(x[at].tolist(), pa.list_(pa.int64())) for x in (rc, rt)]], ["number", "n", "rc", "rt"])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What contexts without a number need to know of a word without one."""
+        held, waiting = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield from _messages(1, rows.column(0).to_numpy(), buckets, rows)
+
+        for b in batches:
+            u, each = _unpacked(b.column(4), "<u8")
+            word = np.repeat(np.arange(len(each)), each)
+            n, rc, rt = counted(b)
+            columns = [u, word_keys(b.column(0))[word], n[word], *rc[word].T, *rt[word].T]
+            held.append(pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["u", "w", "n", *[f"{k}{s}" for k in ("c", "t") for s in range(kept)]]))
+            waiting += len(u)
+            if waiting >= BLOCK_TOKENS:
+                yield from flush()
+                held, waiting = [], 0
+        if waiting:
+            yield from flush()
+
+    rows = seated.select("word", "cs", "rc", "rt", "vs")
+    of_number = [np.zeros(width, np.int64), *np.zeros((2, width, kept), np.int64)]
+    for r in rows.mapInArrow(of_numbers, "number bigint, n bigint, rc array<bigint>, rt array<bigint>").collect():
+        for column, value in zip(of_number, (r.n, r.rc, r.rt)):
+            column[r.number] = value
+    sent = spark.sparkContext.broadcast((totals, of_number))
+
+    def score(each: Iterator[tuple[int, dict[int, pa.Table]]]) -> Iterator[pa.RecordBatch]:
+        totals, of_number = sent.value
+        d, d0 = totals.discounts
+        held, waiting = [], 0
+        for bucket, found in each:
+            pairs = Rest.of(found[0])
+            code = np.where(pairs.w < KEYED, pairs.w, 0).astype(np.int64)
+            n, rc, rt = (x[code] for x in of_number)
+            if 1 in found:
+                known = pd.DataFrame({"u": pairs.u, "w": pairs.w}).merge(found[1].to_pandas(), "left", ["u", "w"])
+                at = np.flatnonzero(known["n"].notna())
+                n[at] = known["n"].to_numpy()[at]
+                for s in range(kept):
+                    rc[at, s], rt[at, s] = (known[f"{k}{s}"].to_numpy()[at] for k in ("c", "t"))
+            root = (rc - d0 * rt + (STRENGTH + d0 * totals.tables[:, 0]) * totals.base) / (STRENGTH + totals.root_customers)
+            rng = np.random.default_rng(bucket)
+            customers = STRENGTH + pairs.totals(pairs.c)[pairs.own]
+            t, p = np.minimum(pairs.c, 1), 0
+            for s in range(kept):
+                for _ in range(SWEEPS - kept + 1 if s == 0 else 1):
+                    pairs.sweep(t, root[:, s], d, rng)
+                p += (pairs.c - d * t + (STRENGTH + d * pairs.totals(t)[pairs.own]) * root[:, s]) / customers / kept
+            at = pairs.pair
+            held.append(_summed(found[0]["row"].to_numpy(), (n > 0)[at], (np.log10(n + 1.0) - floor)[at], np.log10(p)[at]))
+            waiting += len(held[-1][0])
+            if waiting >= BLOCK_TOKENS:
+                yield _family_batch(_summed(*map(np.concatenate, zip(*held))))
+                held, waiting = [], 0
+        if held:
+            yield _family_batch(_summed(*map(np.concatenate, zip(*held))))
+
+    replies = rows.filter(F.length("vs") > 0).mapInArrow(reply, MESSAGE)
+    return cut(_meet(rest.select("bucket", "kind", "payload").unionByName(replies), score, FAMILIES))
 
 
 # -- scoring -----------------------------------------------------------------------
@@ -544,13 +829,6 @@ def _family_batch(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(families), pa.nulls(len(families), pa.binary()), packed], ["family", "own", "sums"])
 
 
-def _written(rows: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as out:
-        out.write_batch(rows)
-    return sink.getvalue().to_pybytes()
-
-
 def _by_family(rows: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Consecutive document rows cut where a family ends."""
     at, first = 0, rows.column(0)[0].as_py()
@@ -596,8 +874,35 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finished(held["own"], held["family"].to_numpy(), held["sums"].combine_chunks())
 
 
+FAMILIES = "family bigint, own binary, sums binary"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """Rows of a task are numbered one after the other."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
+
+
+def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, int, list[pa.Array], list[pa.Array]]]:
+    """Blocks of with_row(), each with the number of its first row, the ids, and which rows are held out."""
+    block, first, ids, held = Block(), 0, [], []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if not block.fits(b.column(3)):
+            yield block, first, ids, held
+            block, ids, held = Block(), [], []
+            pa.default_memory_pool().release_unused()
+        if not block.rows:
+            first = b.column(0)[0].as_py()
+        block.add(b.column(3))
+        ids.append(b.column(1))
+        held.append(b.column(2))
+    if block.rows:
+        yield block, first, ids, held
+
+
 def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, contexts: list[str], kept: int) -> DataFrame:
-    """id, held_out, n_tokens, n_known, base_score, score per row of ``docs`` (id, held_out, text)."""
+    """By family of rows of ``docs`` (id, held_out, text): the rows themselves, and the sums of their tokens, without those of rest_scored()."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((head, totals, {w: i + 1 for i, w in enumerate(contexts)}))
     width = len(contexts) + 1
@@ -607,7 +912,7 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per block: what is known here, by family of rows (without a word), and the places of other tokens, by word."""
-        head, _, numbered = sent.value
+        head, totals, numbered = sent.value
 
         def close(block: Block, first: int, ids: list[pa.Array], held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
             names, words, before, doc = block.places(numbered)
@@ -615,11 +920,15 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
             key = in_head[words] * width + before
             at = np.minimum(np.searchsorted(head.keys, key), max(len(head.keys) - 1, 0))
             here = (in_head[words] >= 0) & (head.keys[at] == key) if len(head.keys) else np.zeros(len(words), bool)
+            if totals.rest:
+                here &= before != ROOT
             n = block.rows
             score = np.bincount(doc[here], weights=head.lp[at[here]], minlength=n)
             base = np.bincount(doc[here], weights=np.log10(head.counts[in_head[words[here]]] + 1.0) - floor, minlength=n)
             known = np.bincount(doc[here], minlength=n)
             tokens = np.bincount(doc, minlength=n)
+            if totals.rest:
+                here |= before == ROOT  # rest_scored() has these
             own = [pa.array(first + np.arange(n)), pa.concat_arrays(ids), pa.concat_arrays(held)]
             own += [*[pa.array(x, pa.int64()) for x in (tokens, known)], *[pa.array(x.astype(float)) for x in (base, score)]]
             own = pa.RecordBatch.from_arrays(own, ["row", "id", "held_out", "tokens", "known", "base", "score"])
@@ -636,26 +945,11 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
             salt = numbers(named, head.hot, 0) * (zlib.crc32(str(first).encode()) % SALTS)
             yield pa.RecordBatch.from_arrays([named, pa.array(salt.astype(np.int32)), pa.array(np.full(len(which), first, np.int64)), posts], names_out)
 
-        block, first, ids, held = Block(), 0, [], []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if not block.fits(b.column(3)):
-                yield from close(block, first, ids, held)
-                block, ids, held = Block(), [], []
-                pa.default_memory_pool().release_unused()
-            if not block.rows:
-                first = b.column(0)[0].as_py()  # rows of a task are numbered one after the other
-            block.add(b.column(3))
-            ids.append(b.column(1))
-            held.append(b.column(2))
-        if block.rows:
+        for block, first, ids, held in row_blocks(batches):
             yield from close(block, first, ids, held)
 
     names_out = ["word", "salt", "n", "us"]
-    kind_of_id = docs.schema["id"].dataType.simpleString()
-    numbered_docs = docs.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
-    coded_docs = numbered_docs.mapInArrow(local, "word string, salt int, n bigint, us binary")
+    coded_docs = with_row(docs).mapInArrow(local, "word string, salt int, n bigint, us binary")
     nothing = F.lit(None).cast("binary")
     places = coded_docs.select("word", "salt", F.lit(1).alias("kind"), "n", "us", nothing.alias("lp"), nothing.alias("root"))
     every = F.when(F.col("n") >= _hot(totals), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -725,9 +1019,7 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
                 yield from flush()
         yield from flush()
 
-    # What comes back is packed by family of consecutive rows: never more rows than families and flushes, nor more entries than places.
-    packed = met.mapInArrow(remote, "family bigint, own binary, sums binary").repartition("family").sortWithinPartitions("family")
-    return packed.mapInArrow(_gathered, f"id {kind_of_id}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return met.mapInArrow(remote, FAMILIES)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -744,16 +1036,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     held_out = bucket_of(id_col, 7) == 2 if held_out is None else held_out
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = rows.filter(~F.col("held_out")).select("text")
-    _, contexts = frequent_words(texts)
-    pairs = count_pairs(texts, contexts)
-    guess = count_totals(pairs, len(contexts))
+    total, contexts = numbered_words(texts)
+    buckets = LEAST_BUCKETS + total // BUCKET_TOKENS
+    rest = rest_tokens(rows, contexts, buckets)
+    once, twice = (x or 0 for x in rest.agg(F.sum("once"), F.sum("twice")).first())
+    first, tables = first_tables(rest, _discount(once, twice), buckets, len(contexts) + 1)
+    pairs = count_pairs(texts, contexts, buckets, first.filter("kind = 1"), tables)
+    let_go(first)
+    guess = count_totals(pairs, len(contexts), (once, twice))
     trial = seatings(pairs, guess, SWEEPS // 2, 1)
     seated = cut(seatings(pairs, seated_totals(trial, guess, 1), SWEEPS, KEPT))
     let_go(pairs)
     totals = seated_totals(seated, guess, KEPT)
+    others = rest_scored(rest, seated, totals, contexts, buckets, KEPT)
+    let_go(rest)
     model = cut(modelled(seated, totals, KEPT))
     let_go(seated)
-    found = _scored(rows, model, head_of(model, totals), totals, contexts, KEPT)
+    sums = _scored(rows, model, head_of(model, totals), totals, contexts, KEPT).unionByName(others)
+    # What comes back is packed by family of consecutive rows: never more rows than families and flushes, nor more entries than places.
+    kind_of_id = rows.schema["id"].dataType.simpleString()
+    packed = sums.repartition("family").sortWithinPartitions("family")
+    found = packed.mapInArrow(_gathered, f"id {kind_of_id}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return found.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -302,6 +302,59 @@ def test_scores_are_plain_sums_over_the_model(spark, monkeypatch):
         assert got[i].score == pytest.approx(want, rel=1e-9) and got[i].base_score == pytest.approx(base, rel=1e-9)
 
 
+def test_rare_words_are_contexts(spark, monkeypatch):
+    """With a short list of numbered words: a word's usual follower is likelier, and probabilities after each known word sum to one."""
+    rng = random.Random(4)
+    often = [f"f{i}" for i in range(12)]
+    rare = [f"r{i}" for i in range(60)]
+    texts = [" ".join(w for k in rng.choices(range(60), k=8) for w in (rare[k], often[k % 12] if rng.random() < 0.8 else rare[k - 1])) for _ in range(150)]
+    vocab = sorted({w for t in texts for w in t.split()})
+    asked = ["r3", "r17", "never"]
+    every = texts + [*vocab, "unknown", "never", *[f"{u} {w}" for u in asked for w in [*vocab, "unknown"]]]
+    frame = language_model.cut(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").coalesce(1))
+    monkeypatch.setattr(language_model, "CONTEXT_SHARE", 0.03)
+    parts = {}
+    rest_scored = language_model.rest_scored
+
+    def recorded(*args):
+        parts["contexts"], parts["found"] = args[3], rest_scored(*args)
+        return parts["found"]
+
+    monkeypatch.setattr(language_model, "rest_scored", recorded)
+    rows = language_model.score(frame, held_out=language_model.F.col("doc_id") >= 150).collect()
+    assert len(rows) == len(every) and language_model.END in parts["contexts"] and not set(asked) & set(parts["contexts"])
+    got = {every[r.doc_id]: r.score for r in rows if r.doc_id >= 150}
+    assert got["r3 f3"] > got["r3 f4"] + 0.5 and got["r17 f5"] > got["r17 f3"] + 0.5
+    order = [r.doc_id for r in frame.select("doc_id").collect()]
+    after = Counter()  # log10 of the tokens after words without a number
+    for r in parts["found"].collect():
+        for e in np.frombuffer(r.sums, language_model._SUMS):
+            after[every[order[r.family * language_model.FAMILY + int(e["member"])]]] += float(e["score"])
+    for u in asked:
+        mass = 10 ** after[u]  # the end of the text
+        for w in [*vocab, "unknown"]:
+            mass += 10 ** (after[f"{u} {w}"] - after[w])
+        assert mass == pytest.approx(1, rel=1e-6), u
+
+
+def test_sweeps_of_a_rare_context_follow_the_exact_weights():
+    c, root, d = np.array([4, 3, 1, 0]), np.array([0.2, 0.05, 0.1, 0.3]), 0.6
+    exact = language_model.log_stirling(d, 8)
+    weights = {}
+    for a in range(1, 5):
+        for b in range(1, 4):
+            opened = sum(np.log(1 + d * i) for i in range(a + b + 1))
+            weights[a, b] = np.exp(exact[4, a] + exact[3, b] + a * np.log(0.2) + b * np.log(0.05) + opened)
+    total = sum(weights.values())
+    want = [sum(k[i] * x for k, x in weights.items()) / total for i in (0, 1)]
+    pairs = language_model.Rest(np.zeros(4), np.arange(4), c, np.zeros(4, int), np.zeros(0, int))
+    t, rng, kept = np.minimum(c, 1), np.random.default_rng(2), []
+    for _ in range(4000):
+        pairs.sweep(t, root, d, rng)
+        kept.append(t.copy())
+    assert np.mean(kept, axis=0) == pytest.approx([*want, 1, 0], rel=0.04)
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(table(spark, [])).count() == 0
     for r in language_model.score(table(spark, [None, "a b", "a b"])).collect():
