@@ -57,6 +57,8 @@ BLOCK_ROWS = 1 << 16
 #: Places whose sums wait in a task, and pairs of a chunk that is sampled at once.
 BLOCK_TOKENS = 1_000_000
 CHUNK_PAIRS = 200_000
+#: Bytes of places of a bucket that are scored at once.
+PART_BYTES = 16 << 20
 #: Pairs with more customers draw their tables by the saddle point.
 EXACT = 64
 #: The end of a text, a token; no word can be equal to it. It is also the context of a text's first token.
@@ -124,12 +126,13 @@ class Block:
 
     def rest(self, contexts: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens after words without a number: that word's key, the code of the token's own word, and the document."""
-        names, words, before, doc = self.places(contexts)
+        names, words, sizes = self.tokens()
         codes = numbers(names, contexts, ROOT).astype(np.uint64)
         without = np.flatnonzero(codes == ROOT)
         codes[without] = word_keys(names.take(pa.array(without)))
-        at = np.flatnonzero(before == ROOT)
-        return codes[words[at - 1]], codes[words[at]], doc[at]  # before a text's first token is the END of the text before it, or the block's last
+        before = codes[np.roll(words, 1)]  # before a text's first token is the END of the text before it, or the block's last
+        at = np.flatnonzero(before >= KEYED)
+        return before[at], codes[words[at]], np.repeat(np.arange(len(sizes)), sizes)[at]
 
 
 def word_keys(names: pa.Array) -> np.ndarray:
@@ -218,6 +221,12 @@ def _written(rows: pa.RecordBatch) -> bytes:
 
 
 MESSAGE = "bucket bigint, kind int, payload binary"
+#: The kind that may come in parts.
+LAST = 2
+
+
+def bucket_count(tokens: int) -> int:
+    return LEAST_BUCKETS + tokens // BUCKET_TOKENS
 
 
 def _messages(kind: int, keys: np.ndarray, buckets: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -235,8 +244,8 @@ def _read(payload: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(payload.as_buffer()).read_all()
 
 
-def _meet(messages: DataFrame, work: Callable[[Iterator[tuple[int, dict[int, pa.Table]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work`` on the buckets of a task, each with its messages by kind."""
+def _meet(messages: DataFrame, work: Callable[[Iterator[tuple[int, dict[int, pa.Table]]]], Iterator[pa.RecordBatch]], schema: str, most: int | None = None) -> DataFrame:
+    """``work`` on the buckets of a task, each with its messages by kind. With ``most``, a bucket comes in parts of about so many bytes of its last kind."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, pa.Table]]]:
         now, held = None, {}
@@ -248,10 +257,13 @@ def _meet(messages: DataFrame, work: Callable[[Iterator[tuple[int, dict[int, pa.
                     held = {}
                 now = bucket
                 held.setdefault(kind, []).append(_read(payload))
+                if most and kind == LAST and sum(t.nbytes for t in held[kind]) >= most:
+                    yield whole()
+                    held = {0: held[0]} if 0 in held else {}
         if held:
             yield whole()
 
-    return messages.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: work(each(batches)), schema)
+    return messages.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda batches: work(each(batches)), schema)
 
 
 def _packed(rows: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
@@ -328,6 +340,12 @@ def count_pairs(texts: DataFrame, contexts: list[str], buckets: int = LEAST_BUCK
     return cut(_meet(messages, merge, "word string, us binary, cs binary, vs binary, direct bigint"))
 
 
+def _once(rows: pa.Table) -> pa.Table:
+    """A row per word: salts of a word may fall into one bucket."""
+    first = np.unique(_one(rows["word"]).dictionary_encode().indices.to_numpy(), return_index=True)[1]
+    return rows if len(first) == len(rows) else rows.take(pa.array(first)).combine_chunks()
+
+
 def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
@@ -907,11 +925,13 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
     sent = spark.sparkContext.broadcast((head, totals, {w: i + 1 for i, w in enumerate(contexts)}))
     width = len(contexts) + 1
     floor = np.log10(totals.tokens + totals.words + 1.0)
+    buckets = bucket_count(totals.tokens)
+    least = _hot(totals)
     # A token's place: its document, counted from the first of its block, and its context.
-    place = np.dtype([("doc", "<u2"), ("ctx", "<u2" if width <= 1 << 16 else "<u4")])
+    kind_of_context = "<u2" if width <= 1 << 16 else "<u4"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per block: what is known here, by family of rows (without a word), and the places of other tokens, by word."""
+        """Per block: what is known here, by family of rows, and the places of other tokens, by word."""
         head, totals, numbered = sent.value
 
         def close(block: Block, first: int, ids: list[pa.Array], held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -932,94 +952,69 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
             own = [pa.array(first + np.arange(n)), pa.concat_arrays(ids), pa.concat_arrays(held)]
             own += [*[pa.array(x, pa.int64()) for x in (tokens, known)], *[pa.array(x.astype(float)) for x in (base, score)]]
             own = pa.RecordBatch.from_arrays(own, ["row", "id", "held_out", "tokens", "known", "base", "score"])
-            for family, piece in _by_family(own):
-                lot = zlib.crc32(str(family).encode()) >> 1
-                cells = [pa.nulls(1, pa.string()), pa.array([lot], pa.int32()), pa.array([family], pa.int64()), pa.array([_written(piece)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cells, names_out)
+            families, pieces = zip(*_by_family(own))
+            own = pa.RecordBatch.from_arrays([pa.array(families), pa.array(map(_written, pieces), pa.binary())], ["family", "own"])
+            yield from _messages(1, own.column(0).to_numpy().astype(np.uint64), buckets, own)
             rest = np.flatnonzero(~here)
             rest = rest[np.argsort(words[rest], kind="stable")]
-            packed = np.zeros(len(rest), place)
-            packed["doc"], packed["ctx"] = doc[rest], before[rest]
-            which, (posts,) = _packed(words[rest], [packed])
+            which, posts = _packed(words[rest], [doc[rest].astype("<u2"), before[rest].astype(kind_of_context)])
             named = names.take(pa.array(which)).cast(pa.string())
             salt = numbers(named, head.hot, 0) * (zlib.crc32(str(first).encode()) % SALTS)
-            yield pa.RecordBatch.from_arrays([named, pa.array(salt.astype(np.int32)), pa.array(np.full(len(which), first, np.int64)), posts], names_out)
+            rows = pa.RecordBatch.from_arrays([named, pa.array(np.full(len(which), first, np.int64)), *posts], ["word", "first", "docs", "ctxs"])
+            yield from _messages(LAST, word_keys(named) + salt.astype(np.uint64), buckets, rows)
 
         for block, first, ids, held in row_blocks(batches):
             yield from close(block, first, ids, held)
 
-    names_out = ["word", "salt", "n", "us"]
-    coded_docs = with_row(docs).mapInArrow(local, "word string, salt int, n bigint, us binary")
-    nothing = F.lit(None).cast("binary")
-    places = coded_docs.select("word", "salt", F.lit(1).alias("kind"), "n", "us", nothing.alias("lp"), nothing.alias("root"))
-    every = F.when(F.col("n") >= _hot(totals), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    rows = model.select("word", F.explode(every).alias("salt"), F.lit(0).alias("kind"), "n", "us", "lp", "root")
-    met = rows.unionByName(places).repartition("word", "salt").sortWithinPartitions("word", "salt", "kind")
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the model, by word; those of hot words to each of their salts."""
+        for b in batches:
+            times = np.where(b.column(1).to_numpy() >= least, SALTS, 1)
+            at = np.repeat(np.arange(len(times)), times)
+            salt = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            yield from _messages(0, word_keys(b.column(0))[at] + salt.astype(np.uint64), buckets, b.take(pa.array(at)))
 
-    def remote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by word and salt, its model row first: sums per document row. What has no word passes."""
+    def remote(each: Iterator[tuple[int, dict[int, pa.Table]]]) -> Iterator[pa.RecordBatch]:
+        """Sums per document row of the places of a bucket's words. The documents' own rows pass."""
         _, totals, _ = sent.value
         lost = unknown_root(totals)
-        held: pa.RecordBatch | None = None
-        sums: dict[str, list[np.ndarray]] = {"row": [], "known": [], "base": [], "score": []}
-        waiting = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
-            if waiting:
-                yield _family_batch(_summed(*[np.concatenate(sums[k]) for k in ("row", "known", "base", "score")]))
-                for v in sums.values():
-                    v.clear()
-                waiting = 0
-
-        for b in batches:
-            if b.column(0).null_count:  # these come first
-                own = b.filter(b.column(0).is_null())
-                yield pa.RecordBatch.from_arrays([own.column(3), own.column(4), pa.nulls(own.num_rows, pa.binary())], ["family", "own", "sums"])
-                b = b.filter(b.column(0).is_valid())
-            if not b.num_rows:
-                continue
-            if held is not None:
-                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            kind, salt = b.column(2).to_numpy(), b.column(1).to_numpy()
-            new = np.concatenate(([True], pc.not_equal(b.column(0)[1:], b.column(0)[:-1]).to_numpy(zero_copy_only=False)))
-            new[1:] |= np.diff(salt) != 0
-            group = np.cumsum(new) - 1
-            has = np.zeros(group[-1] + 1, bool)
-            own, other = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            has[group[own]] = True
-            last = own[group[own] == group[-1]]
-            held = b.slice(last[0], 1) if len(last) else None
-            if not len(other):
+        sums, waiting = [], 0
+        for _, found in each:
+            if 1 in found:
+                own = found[1]
+                yield from pa.table([own["family"], own["own"], pa.nulls(len(own), pa.binary())], ["family", "own", "sums"]).to_batches()
+            if LAST not in found:
                 continue
-            models, posts = b.take(pa.array(own)), b.take(pa.array(other))
-            us, each = _unpacked(models.column(4), "<u4")
-            lp, _ = _unpacked(models.column(5), "<f8")
-            roots = np.tile(lost, (len(has), 1))
-            counts = np.zeros(len(has), np.int64)
-            if len(own):
-                roots[group[own]] = _unpacked(models.column(6), "<f8")[0].reshape(-1, kept)
-                counts[group[own]] = models.column(3).to_numpy()
-            keys = np.repeat(group[own], each) * width + us
-            packed, each = _unpacked(posts.column(4), place)
-            g = np.repeat(group[other], each)
-            u = packed["ctx"].astype(np.int64)
+            posts, keys, lp, roots, counts = found[LAST], np.zeros(0, np.int64), np.zeros(0), lost[None], np.zeros(1, np.int64)
+            which = np.zeros(len(posts), np.int64)
+            if 0 in found:  # a bucket without has no word of training
+                model = _once(found[0])
+                at = pc.index_in(_one(posts["word"]), value_set=_one(model["word"]))
+                which = at.fill_null(len(model)).to_numpy().astype(np.int64)
+                us, size = _unpacked(_one(model["us"]), "<u4")
+                lp, _ = _unpacked(_one(model["lp"]), "<f8")
+                roots = np.concatenate([_unpacked(_one(model["root"]), "<f8")[0].reshape(-1, kept), roots])
+                counts = np.append(model["n"].to_numpy(), 0)
+                keys = np.repeat(np.arange(len(model)), size) * width + us
+            doc, size = _unpacked(_one(posts["docs"]), "<u2")
+            u = _unpacked(_one(posts["ctxs"]), kind_of_context)[0].astype(np.int64)
+            g = np.repeat(which, size)
             want = g * width + u
             at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
             seen = keys[at] == want if len(keys) else np.zeros(len(want), bool)
             score = np.empty(len(want))
             score[seen] = lp[at[seen]]
             score[~seen] = np.log10(unseen(u[~seen], roots[g[~seen]], totals))
-            sums["row"].append(np.repeat(posts.column(3).to_numpy(), each) + packed["doc"])
-            sums["known"].append((counts[g] > 0).astype(float))
-            sums["base"].append(np.log10(counts[g] + 1.0) - floor)
-            sums["score"].append(score)
-            waiting += len(want)
+            sums.append(_summed(np.repeat(posts["first"].to_numpy(), size) + doc, (counts > 0)[g], (np.log10(counts + 1.0) - floor)[g], score))
+            waiting += len(sums[-1][0])
             if waiting >= BLOCK_TOKENS:
-                yield from flush()
-        yield from flush()
+                yield _family_batch(_summed(*map(np.concatenate, zip(*sums))))
+                sums, waiting = [], 0
+        if sums:
+            yield _family_batch(_summed(*map(np.concatenate, zip(*sums))))
 
-    return met.mapInArrow(remote, FAMILIES)
+    rows = model.select("word", "n", "us", "lp", "root").mapInArrow(dealt, MESSAGE)
+    return _meet(rows.unionByName(with_row(docs).mapInArrow(local, MESSAGE)), remote, FAMILIES, PART_BYTES)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -1037,7 +1032,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = rows.filter(~F.col("held_out")).select("text")
     total, contexts = numbered_words(texts)
-    buckets = LEAST_BUCKETS + total // BUCKET_TOKENS
+    buckets = bucket_count(total)
     rest = rest_tokens(rows, contexts, buckets)
     once, twice = (x or 0 for x in rest.agg(F.sum("once"), F.sum("twice")).first())
     first, tables = first_tables(rest, _discount(once, twice), buckets, len(contexts) + 1)
