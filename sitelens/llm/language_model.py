@@ -141,8 +141,8 @@ def word_keys(names: pa.Array) -> np.ndarray:
 
 
 def numbers(names: pa.Array, of: dict[str, int], none: int) -> np.ndarray:
-    get = of.get
-    return np.fromiter([get(w, none) for w in names.to_numpy(zero_copy_only=False).tolist()], np.int64, len(names))
+    at = pc.index_in(names, value_set=pa.array(list(of), names.type)).fill_null(len(of)).to_numpy(zero_copy_only=False)
+    return np.fromiter([*of.values(), none], np.int64, len(of) + 1)[at]
 
 
 def blocks(arrays: Iterator[pa.Array]) -> Iterator[Block]:
@@ -255,6 +255,7 @@ def _meet(messages: DataFrame, work: Callable[[Iterator[tuple[int, dict[int, pa.
                 if bucket != now and held:
                     yield whole()
                     held = {}
+                    pa.default_memory_pool().release_unused()
                 now = bucket
                 held.setdefault(kind, []).append(_read(payload))
                 if most and kind == LAST and sum(t.nbytes for t in held[kind]) >= most:
