@@ -28,6 +28,7 @@ On Spark:
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -72,6 +73,35 @@ BUCKET_TOKENS = 1_000_000
 LEAST_BUCKETS = 16
 
 
+# -- tasks -------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # a C library without it
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def mapped(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` on the batches of each task. Python workers outlive tasks and wait beside those that run, so a task ends by giving back its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
 # -- counting ----------------------------------------------------------------------
 
 
@@ -125,19 +155,20 @@ class Block:
 
 
     def rest(self, contexts: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens after words without a number: that word's key, the code of the token's own word, and the document."""
+        """Tokens after words without a number, those after one word together: that word's key, the code of the token's own word, and the document."""
         names, words, sizes = self.tokens()
         codes = numbers(names, contexts, ROOT).astype(np.uint64)
         without = np.flatnonzero(codes == ROOT)
         codes[without] = word_keys(names.take(pa.array(without)))
-        before = codes[np.roll(words, 1)]  # before a text's first token is the END of the text before it, or the block's last
-        at = np.flatnonzero(before >= KEYED)
-        return before[at], codes[words[at]], np.repeat(np.arange(len(sizes)), sizes)[at]
+        last = np.roll(words, 1)  # before a text's first token is the END of the text before it, or the block's last
+        at = np.flatnonzero((codes >= KEYED)[last])
+        at = at[np.argsort(last[at] * len(names) + words[at])]
+        return codes[last[at]], codes[words[at]], np.repeat(np.arange(len(sizes)), sizes)[at]
 
 
 def word_keys(names: pa.Array) -> np.ndarray:
     """63 bits of a hash of each word, and KEYED."""
-    return pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False).astype(np.uint64) | KEYED
+    return pd.util.hash_array(names.cast(pa.large_binary()).to_numpy(zero_copy_only=False), categorize=False).astype(np.uint64) | KEYED
 
 
 def numbers(names: pa.Array, of: dict[str, int], none: int) -> np.ndarray:
@@ -174,7 +205,7 @@ def frequent_words(texts: DataFrame) -> tuple[int, list[str]]:
             kept = pa.concat_arrays([names.take(pa.array(at)), pa.array([""], names.type)])
             yield pa.RecordBatch.from_arrays([kept.cast(pa.string()), pa.array(np.append(counts[at], len(words)))], ["word", "n"])
 
-    counted = cut(texts.mapInArrow(report, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counted = cut(mapped(texts, report, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = counted.filter("word = ''").agg(F.sum("n")).first()[0] or 0
     least = CONTEXT_SHARE * total
     rows = counted.filter((F.col("word") != "") & (F.col("n") >= (1 - REPORT_PART) * least)).collect()
@@ -189,7 +220,7 @@ def frequent_words(texts: DataFrame) -> tuple[int, list[str]]:
         yield pa.RecordBatch.from_arrays([pa.array(list(doubt), pa.string()), pa.array(sums[:-1])], ["word", "n"])
 
     if doubt:
-        exact = texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        exact = mapped(texts, count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         sure += [r.word for r in exact.collect() if r.n >= least]
     let_go(counted)
     return total, sorted(sure)
@@ -206,7 +237,7 @@ def numbered_words(texts: DataFrame) -> tuple[int, list[str]]:
         for block in blocks(b.column(0) for b in batches):
             yield pa.RecordBatch.from_arrays([block.tokens()[0].cast(pa.string())], ["word"])
 
-    every = texts.mapInArrow(distinct, "word string").distinct().limit(most + 1).collect()
+    every = mapped(texts, distinct, "word string").distinct().limit(most + 1).collect()
     return total, sorted(r.word for r in every) if len(every) <= most else words
 
 
@@ -231,9 +262,9 @@ def bucket_count(tokens: int) -> int:
 
 def _messages(kind: int, keys: np.ndarray, buckets: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """``rows`` by the buckets of their keys, a message for each."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short integers are sorted by radix
     order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows.take(pa.array(order)), bucket[order]
+    rows, bucket = rows.take(pa.array(order)), bucket[order].astype(np.int64)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
         cells = [pa.array([bucket[a]], pa.int64()), pa.array([kind], pa.int32()), pa.array([_written(rows.slice(a, b - a))], pa.binary())]
@@ -264,7 +295,7 @@ def _meet(messages: DataFrame, work: Callable[[Iterator[tuple[int, dict[int, pa.
         if held:
             yield whole()
 
-    return messages.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda batches: work(each(batches)), schema)
+    return mapped(messages.repartition("bucket").sortWithinPartitions("bucket", "kind"), lambda batches: work(each(batches)), schema)
 
 
 def _packed(rows: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
@@ -291,7 +322,7 @@ def count_pairs(texts: DataFrame, contexts: list[str], buckets: int = LEAST_BUCK
     """word, us, cs, vs, direct: for every training word, the numbers of the contexts it follows (packed, ascending) and how often.
 
     ``rest`` has what first_tables() sends of contexts without a number: their tables sum to ``direct`` (of numbered words: ``tables``), and
-    ``vs`` are those that a word without a number occurs after. Without ``rest``, ``direct`` are the tokens that follow no numbered context.
+    ``vs`` are the places of a word's pairs there, if it has no number itself. Without ``rest``, ``direct`` are the tokens that follow no numbered context.
     """
     sent = texts.sparkSession.sparkContext.broadcast(({w: i + 1 for i, w in enumerate(contexts)}, tables))
     width = len(contexts) + 1
@@ -324,19 +355,19 @@ def count_pairs(texts: DataFrame, contexts: list[str], buckets: int = LEAST_BUCK
             direct = np.bincount(keys[at_root] // width, weights=sums[at_root], minlength=len(names)) if tables is None else tables[number].astype(float)
             vs = pa.array([b""] * len(names), pa.binary())
             if 1 in found:
-                w, u, t = (found[1][k].to_numpy() for k in ("w", "u", "t"))
+                w, pair, t = (found[1][k].to_numpy() for k in ("w", "pair", "t"))
                 own = word_keys(names)
                 by = np.argsort(own)
                 to = np.minimum(np.searchsorted(own[by], w), len(by) - 1)
                 known = own[by][to] == w
-                word, u, t = by[to][known], u[known], t[known]
+                word, pair, t = by[to][known], pair[known], t[known]
                 direct += np.bincount(word, weights=t, minlength=len(names))
-                by = np.lexsort((u, word))
+                by = np.lexsort((pair, word))
                 edges = np.searchsorted(word[by], np.arange(len(names) + 1)) * 8
-                vs = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(u[by].tobytes())])
+                vs = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(pair[by].tobytes())])
             yield pa.RecordBatch.from_arrays([names, us, cs, vs, pa.array(direct.astype(np.int64))], ["word", "us", "cs", "vs", "direct"])
 
-    messages = texts.mapInArrow(count, MESSAGE)
+    messages = mapped(texts, count, MESSAGE)
     messages = messages if rest is None else messages.unionByName(rest)
     return cut(_meet(messages, merge, "word string, us binary, cs binary, vs binary, direct bigint"))
 
@@ -376,31 +407,41 @@ def seat(customers: np.ndarray, opening: np.ndarray, rest: np.ndarray, discount:
     than a Poisson number of tables given that their sizes sum to c, and is drawn by the saddle point's mean and variance.
     """
     out = np.minimum(customers, 1).astype(np.int64)
-    order = np.argsort(customers, kind="stable")
-    sizes, starts = np.unique(customers[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
+    size = np.minimum(customers, EXACT + 1).astype(np.uint16)  # short integers are sorted by radix
+    order = np.argsort(size, kind="stable")
+    ends = np.cumsum(np.bincount(size, minlength=EXACT + 2))
     table = log_stirling(discount, EXACT)
-    for c, a, b in zip(sizes.tolist(), starts.tolist(), ends.tolist()):
-        if not 2 <= c <= EXACT:
+    for c in range(2, EXACT + 1):
+        at = order[ends[c - 1] : ends[c]]
+        if not len(at):
             continue
-        at = order[a:b]
-        weight = np.arange(1, c + 1) * np.log(opening[at])[:, None] + table[c, 1 : c + 1]
-        weight[:, 1:] += np.cumsum(np.log1p(np.arange(1, c) / rest[at][:, None]), axis=1)
-        weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-        out[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
-    many = order[np.searchsorted(customers[order], EXACT, "right") :]
+        # Each number of tables weighs so many times the one before it.
+        k = np.arange(1, c)[:, None]
+        times = (k / rest[at] + 1) * opening[at] * np.exp(np.diff(table[c, 1 : c + 1]))[:, None]
+        weight = np.ones((c, len(at)))
+        if c * np.log(max(times.max(), 1.0)) < 600:
+            np.multiply.accumulate(times, axis=0, out=weight[1:])
+        else:  # out of a double's range
+            weight[1:] = np.cumsum(np.log(times), axis=0)
+            weight[0] = 0
+            weight = np.exp(weight - weight.max(axis=0))
+        np.add.accumulate(weight, axis=0, out=weight)
+        out[at] = 1 + (weight < rng.random(len(at)) * weight[-1]).sum(axis=0)
+    many = order[ends[EXACT] :]
     if len(many):
         c, a0 = customers[many].astype(float), opening[many]
         t = np.ones(len(many))
         for _ in range(4):
             a = a0 * (1 + t / rest[many])
-            low, high = np.full(len(many), -700.0), np.zeros(len(many))
-            for _ in range(50):  # the logarithm of y, where a (1 - y) y^(d - 1) = c
-                middle = (low + high) / 2
-                over = np.log(a) + np.log1p(-np.exp(middle) + 1e-300) + (discount - 1) * middle > np.log(c)
-                low, high = np.where(over, middle, low), np.where(over, high, middle)
-            y = np.exp(low)
-            mean = a * -np.expm1(discount * low) / discount
+            wanted = np.log(c / a)
+            # The logarithm of y, where a (1 - y) y^(d - 1) = c. Both bounds are above it; as the logarithm of the left side is concave in it, Newton's steps
+            # come down to it from there.
+            log_y = np.minimum(wanted / (discount - 1), -np.log1p(c / a))
+            for _ in range(12):
+                y = np.exp(log_y)
+                log_y = log_y + (np.log1p(-y) + (discount - 1) * log_y - wanted) / (y / (1 - y) + 1 - discount)
+            y = np.exp(log_y)
+            mean = a * -np.expm1(discount * log_y) / discount
             t = np.minimum(1 + mean, c)
         spread = np.clip(mean - c * y / (y + (1 - y) * (1 - discount)), 1e-9, mean)
         chance = 1 - spread / mean
@@ -510,7 +551,7 @@ def count_totals(pairs: DataFrame, n_contexts: int, more: tuple[int, int] | None
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), *range(-6, 0)], pa.int64()), pa.array([*total[at].tolist(), *ones.tolist()], pa.float64())], ["u", "n"])
 
-    rows = pairs.mapInArrow(run, "u bigint, n double").groupBy("u").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(pairs, run, "u bigint, n double").groupBy("u").agg(F.sum("n").alias("n")).collect()
     found = {r.u: r.n for r in rows}
     p1, p2, w1, w2, words, tokens = (found.get(k, 0) for k in range(-6, 0))
     customers = np.array([found.get(u, 0.0) for u in range(width)])
@@ -524,27 +565,29 @@ def count_totals(pairs: DataFrame, n_contexts: int, more: tuple[int, int] | None
 def seatings(pairs: DataFrame, totals: Totals, sweeps: int, kept: int) -> DataFrame:
     """word, us, cs, ts, rc, rt, vs: the pair table with the kept seatings (packed, seating by seating)."""
     sent = pairs.sparkSession.sparkContext.broadcast(totals)
+    work = lambda batches: _seated(batches, sent.value, sweeps, kept)
+    return mapped(pairs, work, "word string, us binary, cs binary, ts binary, rc binary, rt binary, vs binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, word, us, cs in _chunks(batches):
-            names, n = _one(rows["word"]), len(rows)
-            seed = zlib.crc32(names[0].as_py().encode())  # the same whenever the task is repeated
-            ts, rc, rt = sample_seatings(word, us, cs, n, sent.value, seed, sweeps, kept, rows["direct"].to_numpy())
-            _, packed = _packed(word, [us.astype("<u4"), cs.astype("<i8"), np.ascontiguousarray(ts.T).astype("<u4").reshape(-1, kept).view(f"V{4 * kept}").ravel()])
-            per = [np.ascontiguousarray(x.T).astype("<i8").view(f"V{8 * kept}").ravel() for x in (rc, rt)]
-            _, roots = _packed(np.arange(n), per)
-            yield pa.RecordBatch.from_arrays([names, *packed, *roots, _one(rows["vs"])], ["word", "us", "cs", "ts", "rc", "rt", "vs"])
 
-    return pairs.mapInArrow(run, "word string, us binary, cs binary, ts binary, rc binary, rt binary, vs binary")
+def _seated(batches: Iterator[pa.RecordBatch], totals: Totals, sweeps: int, kept: int) -> Iterator[pa.RecordBatch]:
+    for rows, word, us, cs in _chunks(batches):
+        names, n = _one(rows["word"]), len(rows)
+        seed = zlib.crc32(names[0].as_py().encode())  # the same whenever the task is repeated
+        ts, rc, rt = sample_seatings(word, us, cs, n, totals, seed, sweeps, kept, rows["direct"].to_numpy())
+        _, packed = _packed(word, [us.astype("<u4"), cs.astype("<i8"), np.ascontiguousarray(ts.T).astype("<u4").reshape(-1, kept).view(f"V{4 * kept}").ravel()])
+        per = [np.ascontiguousarray(x.T).astype("<i8").view(f"V{8 * kept}").ravel() for x in (rc, rt)]
+        _, roots = _packed(np.arange(n), per)
+        yield pa.RecordBatch.from_arrays([names, *packed, *roots, _one(rows["vs"])], ["word", "us", "cs", "ts", "rc", "rt", "vs"])
 
 
-def seated_totals(seated: DataFrame, totals: Totals, kept: int) -> Totals:
-    """The totals of the kept seatings."""
+def seated_totals(seated: DataFrame, totals: Totals, kept: int, sweeps: int = 0) -> Totals:
+    """The totals of the kept seatings. With ``sweeps``, of a pair table that is seated on the way, by the same worker."""
     width = len(totals.customers)
+    sent = seated.sparkSession.sparkContext.broadcast(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, root = np.zeros((width, kept)), np.zeros((2, kept))
-        for b in batches:
+        for b in _seated(batches, sent.value, sweeps, kept) if sweeps else batches:
             us, _ = _unpacked(b.column(1), "<u4")
             ts = _unpacked(b.column(3), "<u4")[0].reshape(-1, kept)
             for s in range(kept):
@@ -555,7 +598,7 @@ def seated_totals(seated: DataFrame, totals: Totals, kept: int) -> Totals:
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -2, -1], pa.int64()), pa.array(values, pa.list_(pa.float64()))], ["u", "n"])
 
     parts = [F.sum(F.col("n")[s]).alias(f"n{s}") for s in range(kept)]
-    rows = seated.mapInArrow(run, "u bigint, n array<double>").groupBy("u").agg(*parts).collect()
+    rows = mapped(seated, run, "u bigint, n array<double>").groupBy("u").agg(*parts).collect()
     found = {r.u: np.array([r[f"n{s}"] for s in range(kept)]) for r in rows}
     zero = np.zeros(kept)
     tables = np.stack([found.get(u, zero) for u in range(width)], axis=1)
@@ -577,8 +620,6 @@ def rest_tokens(docs: DataFrame, contexts: list[str], buckets: int) -> DataFrame
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, first, _, held in row_blocks(batches):
             u, w, doc = block.rest(sent.value)
-            by = np.lexsort((w, u))
-            u, w, doc = u[by], w[by], doc[by]
             train = ~pa.concat_arrays(held).to_numpy(zero_copy_only=False)
             yield from _messages(0, u, buckets, pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(first + doc), pa.array(train[doc])], ["u", "w", "row", "train"]))
 
@@ -590,7 +631,7 @@ def rest_tokens(docs: DataFrame, contexts: list[str], buckets: int) -> DataFrame
             cells = [pa.array([bucket]), pa.array([0], pa.int32()), pa.array([_written(rows.to_batches()[0])], pa.binary()), *[pa.array([int((c == k).sum())]) for k in (1, 2)]]
             yield pa.RecordBatch.from_arrays(cells, ["bucket", "kind", "payload", "once", "twice"])
 
-    return cut(_meet(with_row(docs).mapInArrow(send, MESSAGE), merge, f"{MESSAGE}, once bigint, twice bigint"))
+    return cut(_meet(mapped(with_row(docs), send, MESSAGE), merge, f"{MESSAGE}, once bigint, twice bigint"))
 
 
 @dataclass
@@ -628,9 +669,9 @@ class Rest:
 
 
 def first_tables(rest: DataFrame, discount: float, buckets: int, width: int) -> tuple[DataFrame, np.ndarray]:
-    """First tables of contexts without a number: messages (w, u, t) on words without a number, held-out pairs (0 tables) too, and tables by number.
+    """First tables of contexts without a number: messages (w, pair, t) on words without a number, held-out pairs (0 tables) too, and tables by number.
 
-    A word's share of a bucket's pairs stands for the root's probability.
+    ``pair`` is the place of a pair: its bucket, and in the lower 32 bits its place in that bucket's Rest. A word's share of a bucket's pairs stands for the root's probability.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -647,16 +688,17 @@ def first_tables(rest: DataFrame, discount: float, buckets: int, width: int) ->
                 at = np.flatnonzero(numbered)
                 sums = pa.RecordBatch.from_arrays([pa.array(at), pa.array(numbered[at])], ["u", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([2], pa.int32()), pa.array([_written(sums)], pa.binary())], ["bucket", "kind", "payload"])
-                yield from _messages(1, pairs.w[keyed], buckets, pa.RecordBatch.from_arrays([pa.array(x[keyed]) for x in (pairs.w, pairs.u, t)], ["w", "u", "t"]))
+                place = np.uint64(bucket << 32) | np.arange(len(t), dtype=np.uint64)
+                yield from _messages(1, pairs.w[keyed], buckets, pa.RecordBatch.from_arrays([pa.array(x[keyed]) for x in (pairs.w, place, t)], ["w", "pair", "t"]))
 
     def by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for payload in b.column(2):
                 yield from _read(payload).to_batches()
 
-    sent = cut(rest.select("bucket", "kind", "payload").mapInArrow(run, MESSAGE))
+    sent = cut(mapped(rest.select("bucket", "kind", "payload"), run, MESSAGE))
     out = np.zeros(width)
-    for r in sent.filter("kind = 2").mapInArrow(by_number, "u bigint, n double").groupBy("u").agg(F.sum("n").alias("n")).collect():
+    for r in mapped(sent.filter("kind = 2"), by_number, "u bigint, n double").groupBy("u").agg(F.sum("n").alias("n")).collect():
         out[r.u] = r.n
     return sent, out
 
@@ -668,61 +710,63 @@ def rest_scored(rest: DataFrame, seated: DataFrame, totals: Totals, contexts: li
     width = len(contexts) + 1
     floor = np.log10(totals.tokens + totals.words + 1.0)
 
-    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d, d0 = totals.discounts
+    opening, customers_of_root = (STRENGTH + d0 * totals.tables[:, 0]) * totals.base, STRENGTH + totals.root_customers
+
+    def counted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word, how often it occurs in training, and its probability at the root, seating by seating."""
         cs, each = _unpacked(b.column(1), "<i8")
         n = np.bincount(np.repeat(np.arange(len(each)), each), weights=cs, minlength=len(each)).astype(np.int64)
-        return n, *[_unpacked(b.column(k), "<i8")[0].reshape(-1, kept) for k in (2, 3)]
+        rc, rt = (_unpacked(b.column(k), "<i8")[0].reshape(-1, kept) for k in (2, 3))
+        return n, (rc - d0 * rt + opening) / customers_of_root
 
     def of_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             number = numbers(b.column(0), numbered.value, ROOT)
             at = np.flatnonzero(number)
-            n, rc, rt = counted(b)
-            yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array(n[at]), *[pa.array(x[at].tolist(), pa.list_(pa.int64())) for x in (rc, rt)]], ["number", "n", "rc", "rt"])
+            n, root = counted(b)
+            yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array(n[at]), pa.array(root[at].tolist(), pa.list_(pa.float64()))], ["number", "n", "root"])
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What contexts without a number need to know of a word without one."""
-        held, waiting = [], 0
+        """What contexts without a number need to know of a word without one, sent to the places of its pairs."""
+        held, waiting, words = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            yield from _messages(1, rows.column(0).to_numpy(), buckets, rows)
+            place, word, n, root = (np.concatenate(x) for x in zip(*held))
+            by = np.argsort(place)
+            place, word = place[by], word[by]
+            columns = [(place & np.uint64(0xFFFFFFFF)).astype("<u4"), n[word], *(root[word, s] for s in range(kept))]
+            yield from _messages(1, place >> np.uint64(32), buckets, pa.RecordBatch.from_arrays([pa.array(x) for x in columns], reply_names))
 
         for b in batches:
-            u, each = _unpacked(b.column(4), "<u8")
-            word = np.repeat(np.arange(len(each)), each)
-            n, rc, rt = counted(b)
-            columns = [u, word_keys(b.column(0))[word], n[word], *rc[word].T, *rt[word].T]
-            held.append(pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["u", "w", "n", *[f"{k}{s}" for k in ("c", "t") for s in range(kept)]]))
-            waiting += len(u)
+            place, each = _unpacked(b.column(4), "<u8")
+            held.append((place, np.repeat(np.arange(words, words + len(each)), each), *counted(b)))
+            waiting, words = waiting + len(place), words + len(each)
             if waiting >= BLOCK_TOKENS:
                 yield from flush()
-                held, waiting = [], 0
+                held, waiting, words = [], 0, 0
         if waiting:
             yield from flush()
 
+    reply_names = ["at", "n", *[f"p{s}" for s in range(kept)]]
     rows = seated.select("word", "cs", "rc", "rt", "vs")
-    of_number = [np.zeros(width, np.int64), *np.zeros((2, width, kept), np.int64)]
-    for r in rows.mapInArrow(of_numbers, "number bigint, n bigint, rc array<bigint>, rt array<bigint>").collect():
-        for column, value in zip(of_number, (r.n, r.rc, r.rt)):
+    of_number = [np.zeros(width, np.int64), np.tile(opening / customers_of_root, (width, 1))]
+    for r in mapped(rows, of_numbers, "number bigint, n bigint, root array<double>").collect():
+        for column, value in zip(of_number, (r.n, r.root)):
             column[r.number] = value
-    sent = spark.sparkContext.broadcast((totals, of_number))
+    sent = spark.sparkContext.broadcast(of_number)
 
     def score(each: Iterator[tuple[int, dict[int, pa.Table]]]) -> Iterator[pa.RecordBatch]:
-        totals, of_number = sent.value
-        d, d0 = totals.discounts
         held, waiting = [], 0
         for bucket, found in each:
             pairs = Rest.of(found[0])
             code = np.where(pairs.w < KEYED, pairs.w, 0).astype(np.int64)
-            n, rc, rt = (x[code] for x in of_number)
+            n, root = (x[code] for x in sent.value)
             if 1 in found:
-                known = pd.DataFrame({"u": pairs.u, "w": pairs.w}).merge(found[1].to_pandas(), "left", ["u", "w"])
-                at = np.flatnonzero(known["n"].notna())
-                n[at] = known["n"].to_numpy()[at]
+                at = found[1]["at"].to_numpy()
+                n[at] = found[1]["n"].to_numpy()
                 for s in range(kept):
-                    rc[at, s], rt[at, s] = (known[f"{k}{s}"].to_numpy()[at] for k in ("c", "t"))
-            root = (rc - d0 * rt + (STRENGTH + d0 * totals.tables[:, 0]) * totals.base) / (STRENGTH + totals.root_customers)
+                    root[at, s] = found[1][f"p{s}"].to_numpy()
             rng = np.random.default_rng(bucket)
             customers = STRENGTH + pairs.totals(pairs.c)[pairs.own]
             t, p = np.minimum(pairs.c, 1), 0
@@ -739,7 +783,7 @@ def rest_scored(rest: DataFrame, seated: DataFrame, totals: Totals, contexts: li
         if held:
             yield _family_batch(_summed(*map(np.concatenate, zip(*held))))
 
-    replies = rows.filter(F.length("vs") > 0).mapInArrow(reply, MESSAGE)
+    replies = mapped(rows.filter(F.length("vs") > 0), reply, MESSAGE)
     return cut(_meet(rest.select("bucket", "kind", "payload").unionByName(replies), score, FAMILIES))
 
 
@@ -783,7 +827,7 @@ def modelled(seated: DataFrame, totals: Totals, kept: int) -> DataFrame:
             n = np.bincount(word, weights=cs, minlength=len(each)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(1), b.column(2), lp, packed_root], ["word", "n", "us", "cs", "lp", "root"])
 
-    return seated.mapInArrow(run, "word string, n bigint, us binary, cs binary, lp binary, root binary")
+    return mapped(seated, run, "word string, n bigint, us binary, cs binary, lp binary, root binary")
 
 
 @dataclass
@@ -818,7 +862,7 @@ def head_of(model: DataFrame, totals: Totals) -> Head:
                 rows = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), us, lp], ["word", "n", "us", "lp"])
 
-    rows = model.select("word", "n", "us", "lp", "cs").mapInArrow(run, "word string, n bigint, us binary, lp binary").collect()
+    rows = mapped(model.select("word", "n", "us", "lp", "cs"), run, "word string, n bigint, us binary, lp binary").collect()
     rows.sort(key=lambda r: r.word)
     hot = model.filter(F.col("n") >= _hot(totals)).select("word").collect()
     us = [np.frombuffer(r.us, "<u4").astype(np.int64) + i * width for i, r in enumerate(rows)]
@@ -938,15 +982,19 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
         def close(block: Block, first: int, ids: list[pa.Array], held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
             names, words, before, doc = block.places(numbered)
             in_head = numbers(names, head.words, -1)
-            key = in_head[words] * width + before
-            at = np.minimum(np.searchsorted(head.keys, key), max(len(head.keys) - 1, 0))
-            here = (in_head[words] >= 0) & (head.keys[at] == key) if len(head.keys) else np.zeros(len(words), bool)
-            if totals.rest:
-                here &= before != ROOT
+            may = np.flatnonzero((in_head >= 0)[words] & (before != ROOT)) if totals.rest else np.flatnonzero((in_head >= 0)[words])
+            key = in_head[words[may]] * width + before[may]
+            by = np.argsort(key)  # ascending keys are looked up faster
+            key, may = key[by], may[by]
+            at = np.searchsorted(head.keys, key)
+            seen = head.keys[np.minimum(at, len(head.keys) - 1)] == key if len(may) else np.zeros(0, bool)
+            at, may = at[seen], may[seen]
+            here = np.zeros(len(words), bool)
+            here[may] = True
             n = block.rows
-            score = np.bincount(doc[here], weights=head.lp[at[here]], minlength=n)
-            base = np.bincount(doc[here], weights=np.log10(head.counts[in_head[words[here]]] + 1.0) - floor, minlength=n)
-            known = np.bincount(doc[here], minlength=n)
+            score = np.bincount(doc[may], weights=head.lp[at], minlength=n)
+            base = np.bincount(doc[may], weights=(np.log10(head.counts + 1.0) - floor)[in_head[words[may]]], minlength=n)
+            known = np.bincount(doc[may], minlength=n)
             tokens = np.bincount(doc, minlength=n)
             if totals.rest:
                 here |= before == ROOT  # rest_scored() has these
@@ -1014,8 +1062,8 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
         if sums:
             yield _family_batch(_summed(*map(np.concatenate, zip(*sums))))
 
-    rows = model.select("word", "n", "us", "lp", "root").mapInArrow(dealt, MESSAGE)
-    return _meet(rows.unionByName(with_row(docs).mapInArrow(local, MESSAGE)), remote, FAMILIES, PART_BYTES)
+    rows = mapped(model.select("word", "n", "us", "lp", "root"), dealt, MESSAGE)
+    return _meet(rows.unionByName(mapped(with_row(docs), local, MESSAGE)), remote, FAMILIES, PART_BYTES)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -1040,8 +1088,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     pairs = count_pairs(texts, contexts, buckets, first.filter("kind = 1"), tables)
     let_go(first)
     guess = count_totals(pairs, len(contexts), (once, twice))
-    trial = seatings(pairs, guess, SWEEPS // 2, 1)
-    seated = cut(seatings(pairs, seated_totals(trial, guess, 1), SWEEPS, KEPT))
+    seated = cut(seatings(pairs, seated_totals(pairs, guess, 1, SWEEPS // 2), SWEEPS, KEPT))
     let_go(pairs)
     totals = seated_totals(seated, guess, KEPT)
     others = rest_scored(rest, seated, totals, contexts, buckets, KEPT)
@@ -1052,7 +1099,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     # What comes back is packed by family of consecutive rows: never more rows than families and flushes, nor more entries than places.
     kind_of_id = rows.schema["id"].dataType.simpleString()
     packed = sums.repartition("family").sortWithinPartitions("family")
-    found = packed.mapInArrow(_gathered, f"id {kind_of_id}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    found = mapped(packed, _gathered, f"id {kind_of_id}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return found.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

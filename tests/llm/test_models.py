@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -355,6 +356,42 @@ def test_sweeps_of_a_rare_context_follow_the_exact_weights():
     assert np.mean(kept, axis=0) == pytest.approx([*want, 1, 0], rel=0.04)
 
 
+def test_replies_go_to_places_of_pairs(spark):
+    """Words without a number know where their pairs lie: bucket, and place in its Rest."""
+    texts = [" ".join(random.Random(i).choices("abcdefghij", k=30)) for i in range(20)]
+    docs = language_model.cut(spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "id % 4 = 0 AS held_out", "text"))
+    rest = language_model.rest_tokens(docs, ["\n", "a", "b"], 5)
+    pairs = {r.bucket: language_model.Rest.of(language_model._read(pa.scalar(bytes(r.payload)))) for r in rest.collect()}
+    sent, _ = language_model.first_tables(rest, 0.5, 5, 4)
+    found = []
+    for r in sent.filter("kind = 1").collect():
+        rows = language_model._read(pa.scalar(bytes(r.payload)))
+        found += zip(*(rows[k].to_pylist() for k in ("w", "pair", "t")))
+    assert len(found) == len({p for _, p, _ in found}) == sum(int((p.w >= language_model.KEYED).sum()) for p in pairs.values())
+    for w, place, t in found:
+        own, at = pairs[place >> 32], place & 0xFFFFFFFF
+        assert own.w[at] == w and min(own.c[at], 1) <= t <= own.c[at]
+
+
+def test_a_trial_needs_no_second_worker(spark, monkeypatch):
+    """Pairs are seated and summed by one Python worker a task, with the totals of seatings that are written first."""
+    frame = spark.createDataFrame([("a b a c b a " * 20,), ("c a b d",), ("d d a",)], "text string").coalesce(1)
+    pairs = language_model.count_pairs(frame, ["\n", "a", "b"])
+    guess = language_model.count_totals(pairs, 3)
+    want = language_model.seated_totals(language_model.cut(language_model.seatings(pairs, guess, 4, 1)), guess, 1)
+    plans = []
+    mapped = language_model.mapped
+
+    def seen(rows, work, schema):
+        plans.append((out := mapped(rows, work, schema))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return out
+
+    monkeypatch.setattr(language_model, "mapped", seen)
+    got = language_model.seated_totals(pairs, guess, 1, 4)
+    assert plans == [1]
+    assert (got.tables == want.tables).all() and (got.root_customers == want.root_customers).all()
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score(table(spark, [])).count() == 0
     for r in language_model.score(table(spark, [None, "a b", "a b"])).collect():
