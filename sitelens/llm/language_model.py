@@ -105,9 +105,14 @@ def mapped(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
 # -- counting ----------------------------------------------------------------------
 
 
+def split_words(texts: pa.Array) -> pa.LargeListArray:
+    """The words of each text, with empty ones at its edges."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))  # white space is 20 and 09 to 0D
+
+
 def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the last of them END; the word number of every token; and how many tokens each text has."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))  # white space is 20 and 09 to 0D
+    split = split_words(texts)
     flat = split.flatten().dictionary_encode()
     names, codes = flat.dictionary, flat.indices.to_numpy()
     edges = split.offsets.to_numpy().astype(np.int64)
@@ -213,11 +218,13 @@ def frequent_words(texts: DataFrame) -> tuple[int, list[str]]:
     doubt = {r.word: i for i, r in enumerate(r for r in rows if r.n < least)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(doubt) + 1, np.int64)
-        for block in blocks(b.column(0) for b in batches):
-            names, words, _ = block.tokens()
-            np.add.at(sums, numbers(names, doubt, len(doubt)), np.bincount(words, minlength=len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(doubt), pa.string()), pa.array(sums[:-1])], ["word", "n"])
+        wanted, sums = pa.array(list(doubt), pa.large_string()), np.zeros(len(doubt), np.int64)
+        for b in batches:
+            found = pc.index_in(split_words(b.column(0)).flatten(), value_set=wanted).drop_null()
+            sums += np.bincount(found.to_numpy(), minlength=len(doubt))
+            if END in doubt:
+                sums[doubt[END]] += b.num_rows
+        yield pa.RecordBatch.from_arrays([wanted.cast(pa.string()), pa.array(sums)], ["word", "n"])
 
     if doubt:
         exact = mapped(texts, count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -245,10 +252,12 @@ def numbered_words(texts: DataFrame) -> tuple[int, list[str]]:
 
 
 def _written(rows: pa.RecordBatch) -> bytes:
+    """Eight bytes of its size, and a stream of one batch, compressed whole: messages are small, and Arrow would compress each buffer by itself."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema) as out:
         out.write_batch(rows)
-    return sink.getvalue().to_pybytes()
+    stream = sink.getvalue()
+    return stream.size.to_bytes(8, "little") + pa.compress(stream, "zstd", asbytes=True)
 
 
 MESSAGE = "bucket bigint, kind int, payload binary"
@@ -272,7 +281,9 @@ def _messages(kind: int, keys: np.ndarray, buckets: int, rows: pa.RecordBatch) -
 
 
 def _read(payload: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(payload.as_buffer()).read_all()
+    message = payload.as_buffer()
+    size = int.from_bytes(memoryview(message)[:8], "little")
+    return pa.ipc.open_stream(pa.decompress(message.slice(8), size, "zstd")).read_all()
 
 
 def _meet(messages: DataFrame, work: Callable[[Iterator[tuple[int, dict[int, pa.Table]]]], Iterator[pa.RecordBatch]], schema: str, most: int | None = None) -> DataFrame:
@@ -905,7 +916,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by family: each document's own row with the sums that came back for it. One family waits at a time."""
 
     def finished(own: pa.Array, families: np.ndarray, sums: pa.Array) -> Iterator[pa.RecordBatch]:
-        pieces = [pa.ipc.open_stream(piece).read_all() for piece in own.drop_null().to_pylist()]
+        pieces = [_read(piece) for piece in own.drop_null()]
         if not pieces:
             return
         whole = pa.concat_tables(pieces).combine_chunks()

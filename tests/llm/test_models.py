@@ -356,6 +356,27 @@ def test_sweeps_of_a_rare_context_follow_the_exact_weights():
     assert np.mean(kept, axis=0) == pytest.approx([*want, 1, 0], rel=0.04)
 
 
+def test_messages_come_back_whole():
+    rows = pa.RecordBatch.from_arrays([pa.array(["a", None, "ö" * 5000]), pa.array([b"", b"x", b"y" * 9]), pa.array([True, False, None])], ["s", "b", "t"])
+    for part in (rows, rows.slice(1, 1), rows.slice(3)):
+        message = language_model._written(part)
+        assert language_model._read(pa.scalar(message)).to_pylist() == part.to_pylist()
+        assert int.from_bytes(message[:8], "little") == len(pa.decompress(message[8:], int.from_bytes(message[:8], "little"), "zstd"))
+
+
+def test_words_in_doubt_are_counted_whole(spark, monkeypatch):
+    """Also the end of texts, in reports of every block size, and with empty and blank texts."""
+    texts = ["A b  c ", "", " \t", "b b B x", "c c a end", "\x0bq\x0cA"] * 40
+    counts = Counter(w for t in texts for w in [*t.lower().split(), "\n"])
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 1)
+    for share in (0.1, 0.2, 0.3):
+        monkeypatch.setattr(language_model, "CONTEXT_SHARE", share)
+        for part in (0.5, 0.99):
+            monkeypatch.setattr(language_model, "REPORT_PART", part)
+            total, words = language_model.frequent_words(spark.createDataFrame([(t,) for t in texts], "text string"))
+            assert (total, words) == (sum(counts.values()), sorted(w for w, n in counts.items() if n >= share * total))
+
+
 def test_replies_go_to_places_of_pairs(spark):
     """Words without a number know where their pairs lie: bucket, and place in its Rest."""
     texts = [" ".join(random.Random(i).choices("abcdefghij", k=30)) for i in range(20)]
