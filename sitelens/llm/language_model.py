@@ -29,10 +29,13 @@ On Spark:
 from __future__ import annotations
 
 import ctypes
+import math
+import tempfile
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -41,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.llm.shared import bucket_of, cut, for_python, let_go
+from sitelens.llm.shared import bucket_of, cut, drop_shuffles, for_python, let_go
 
 CONTEXT_SHARE = 1e-5
 #: Blocks report the words above this part of that share of their own tokens; words that may be contexts are then counted exactly.
@@ -58,6 +61,9 @@ BLOCK_ROWS = 1 << 16
 #: Places whose sums wait in a task, and pairs of a chunk that is sampled at once.
 BLOCK_TOKENS = 1_000_000
 CHUNK_PAIRS = 200_000
+#: From so many training tokens, sums return in so many waves: with enough buckets, a text's tokens are summed one by one, and what returns is larger than the input.
+WAVE_TOKENS = 200_000_000
+WAVES = 4
 #: Bytes of places of a bucket that are scored at once.
 PART_BYTES = 16 << 20
 #: Pairs with more customers draw their tables by the saddle point.
@@ -71,6 +77,12 @@ KEYED = np.uint64(1 << 63)
 #: Training tokens per bucket of keys, and the fewest buckets.
 BUCKET_TOKENS = 1_000_000
 LEAST_BUCKETS = 16
+#: Buckets above so many travel in groups.
+LEAST_GROUPS = 192
+#: Bytes of messages that are taken apart at once, and of those that wait in memory for their bucket's turn.
+APART_BYTES = 32 << 20
+#: Bytes of messages that a task gives to Spark at once.
+SENT_BYTES = 1 << 20
 
 
 # -- tasks -------------------------------------------------------------------------
@@ -269,15 +281,35 @@ def bucket_count(tokens: int) -> int:
     return LEAST_BUCKETS + tokens // BUCKET_TOKENS
 
 
+def group_count(buckets: int) -> int:
+    """Bucket b is of group b % group_count(), as part b // group_count() of it.
+
+    With a message from each block to each bucket, messages would grow with the square of the input, and handling one costs as much as a thousand tokens. So there is one
+    to each group, and groups grow in number and in buckets alike.
+    """
+    return min(buckets, max(LEAST_GROUPS, 4 * math.isqrt(buckets)))
+
+
 def _messages(kind: int, keys: np.ndarray, buckets: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``rows`` by the buckets of their keys, a message for each."""
-    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short integers are sorted by radix
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows.take(pa.array(order)), bucket[order].astype(np.int64)
-    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
-        cells = [pa.array([bucket[a]], pa.int64()), pa.array([kind], pa.int32()), pa.array([_written(rows.slice(a, b - a))], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cells, ["bucket", "kind", "payload"])
+    """``rows`` by the groups of their keys' buckets, a message for each. Where a group has several buckets, ``part`` tells which, ascending."""
+    groups = group_count(buckets)
+    parts = -(-buckets // groups)
+    bucket = keys % np.uint64(buckets)
+    place = (bucket % np.uint64(groups) * np.uint64(parts) + bucket // np.uint64(groups)).astype(np.uint16 if groups * parts <= 1 << 16 else np.int64)  # short integers are sorted by radix
+    order = np.argsort(place, kind="stable")
+    rows, place = rows.take(pa.array(order)), place[order].astype(np.int64)
+    if parts > 1:
+        rows = rows.append_column("part", pa.array((place % parts).astype(np.int32)))
+    group = place // parts
+    starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    sent, size = [], 0
+    for a, b in zip(starts, [*starts[1:], len(group)]):
+        sent.append((group[a], _written(rows.slice(a, b - a))))
+        size += len(sent[-1][1])
+        if size >= SENT_BYTES or b == len(group):
+            to, payloads = zip(*sent)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([kind] * len(to), pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "kind", "payload"])
+            sent, size = [], 0
 
 
 def _read(payload: pa.Scalar) -> pa.Table:
@@ -286,23 +318,84 @@ def _read(payload: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(pa.decompress(message.slice(8), size, "zstd")).read_all()
 
 
-def _meet(messages: DataFrame, work: Callable[[Iterator[tuple[int, dict[int, pa.Table]]]], Iterator[pa.RecordBatch]], schema: str, most: int | None = None) -> DataFrame:
+class Apart:
+    """The messages of a group, taken apart by bucket. What is more than ``APART_BYTES`` waits in a temporary file of the task."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.SpooledTemporaryFile(APART_BYTES)
+        self.places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)  # in the file, by part and kind
+        self.open: dict[tuple[int, int], list[pa.Table]] = defaultdict(list)
+        self.size = 0
+
+    def add(self, kind: int, payload: pa.Scalar) -> None:
+        rows = _read(payload)
+        part = rows["part"].to_numpy()
+        if part[0] == part[-1]:
+            self._put((int(part[0]), kind), payload.as_buffer())
+            return
+        starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(part)]):
+            self.open[int(part[a]), kind].append(rows.slice(a, b - a))
+        self.size += rows.nbytes
+        if self.size >= APART_BYTES:
+            self._close()
+
+    def _put(self, key: tuple[int, int], message: bytes | pa.Buffer) -> None:
+        self.places[key].append((self.file.tell(), len(message)))
+        self.file.write(message)
+
+    def _close(self) -> None:
+        for key, tables in self.open.items():
+            self._put(key, _written(pa.concat_tables(tables).combine_chunks().to_batches()[0]))
+        self.open.clear()
+        self.size = 0
+
+    def each(self) -> Iterator[tuple[int, int, pa.Table]]:
+        """Part, kind and rows, ordered by part and kind."""
+        self._close()
+        with self.file:
+            for part, kind in sorted(self.places):
+                for at, size in self.places[part, kind]:
+                    self.file.seek(at)
+                    yield part, kind, _read(pa.scalar(self.file.read(size))).drop_columns("part")
+
+
+def _arrived(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, int, pa.Table]]:
+    """Bucket, kind and rows of messages that are ordered by group and kind, ordered by bucket (within its group) and kind."""
+    groups = group_count(buckets)
+    messages = (m for b in batches for m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
+    if groups == buckets:
+        yield from ((bucket, kind, _read(payload)) for bucket, kind, payload in messages)
+        return
+    now, apart = None, None
+    for group, kind, payload in messages:
+        if group != now and apart:
+            yield from ((now + part * groups, k, rows) for part, k, rows in apart.each())
+            apart = None
+        now, apart = group, apart or Apart()
+        apart.add(kind, payload)
+    if apart:
+        yield from ((now + part * groups, k, rows) for part, k, rows in apart.each())
+
+
+def _meet(
+    messages: DataFrame, buckets: int, work: Callable[[Iterator[tuple[int, dict[int, pa.Table]]]], Iterator[pa.RecordBatch]], schema: str, most: int | None = None
+) -> DataFrame:
     """``work`` on the buckets of a task, each with its messages by kind. With ``most``, a bucket comes in parts of about so many bytes of its last kind."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, pa.Table]]]:
         now, held = None, {}
         whole = lambda: (now, {k: pa.concat_tables(v).combine_chunks() for k, v in held.items()})
-        for b in batches:
-            for bucket, kind, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if bucket != now and held:
-                    yield whole()
-                    held = {}
-                    pa.default_memory_pool().release_unused()
-                now = bucket
-                held.setdefault(kind, []).append(_read(payload))
-                if most and kind == LAST and sum(t.nbytes for t in held[kind]) >= most:
-                    yield whole()
-                    held = {0: held[0]} if 0 in held else {}
+        for bucket, kind, rows in _arrived(batches, buckets):
+            if bucket != now and held:
+                yield whole()
+                held = {}
+                pa.default_memory_pool().release_unused()
+            now = bucket
+            held.setdefault(kind, []).append(rows)
+            if most and kind == LAST and sum(t.nbytes for t in held[kind]) >= most:
+                yield whole()
+                held = {0: held[0]} if 0 in held else {}
         if held:
             yield whole()
 
@@ -380,7 +473,7 @@ def count_pairs(texts: DataFrame, contexts: list[str], buckets: int = LEAST_BUCK
 
     messages = mapped(texts, count, MESSAGE)
     messages = messages if rest is None else messages.unionByName(rest)
-    return cut(_meet(messages, merge, "word string, us binary, cs binary, vs binary, direct bigint"))
+    return cut(_meet(messages, buckets, merge, "word string, us binary, cs binary, vs binary, direct bigint"))
 
 
 def _once(rows: pa.Table) -> pa.Table:
@@ -627,6 +720,7 @@ def rest_tokens(docs: DataFrame, contexts: list[str], buckets: int) -> DataFrame
     pairs that occur so often in training.
     """
     sent = docs.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(contexts)})
+    groups = group_count(buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, first, _, held in row_blocks(batches):
@@ -639,10 +733,12 @@ def rest_tokens(docs: DataFrame, contexts: list[str], buckets: int) -> DataFrame
             u, w = (found[0][k].to_numpy() for k in ("u", "w"))
             rows = found[0].take(pa.array(np.lexsort((w, u)))).combine_chunks()
             c = Rest.of(rows).c
+            if buckets > groups:
+                rows = rows.append_column("part", pa.array(np.full(len(rows), bucket // groups, np.int32)))
             cells = [pa.array([bucket]), pa.array([0], pa.int32()), pa.array([_written(rows.to_batches()[0])], pa.binary()), *[pa.array([int((c == k).sum())]) for k in (1, 2)]]
             yield pa.RecordBatch.from_arrays(cells, ["bucket", "kind", "payload", "once", "twice"])
 
-    return cut(_meet(mapped(with_row(docs), send, MESSAGE), merge, f"{MESSAGE}, once bigint, twice bigint"))
+    return cut(_meet(mapped(with_row(docs), send, MESSAGE), buckets, merge, f"{MESSAGE}, once bigint, twice bigint"))
 
 
 @dataclass
@@ -686,8 +782,14 @@ def first_tables(rest: DataFrame, discount: float, buckets: int, width: int) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered, held, waiting = np.zeros(width), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            w, place, t = (np.concatenate(x) for x in zip(*held))
+            yield from _messages(1, w, buckets, pa.RecordBatch.from_arrays([pa.array(w), pa.array(place), pa.array(t)], ["w", "pair", "t"]))
+
         for b in batches:
-            for bucket, payload in zip(b.column(0).to_pylist(), b.column(2)):
+            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 pairs = Rest.of(_read(payload))
                 rng = np.random.default_rng(bucket)
                 t = np.minimum(pairs.c, 1)
@@ -695,19 +797,25 @@ def first_tables(rest: DataFrame, discount: float, buckets: int, width: int) ->
                 for _ in range(SWEEPS // 2):
                     pairs.sweep(t, times[word] / len(t), discount, rng)
                 keyed = pairs.w >= KEYED
-                numbered = np.bincount(pairs.w[~keyed].astype(np.int64), weights=t[~keyed], minlength=width)
-                at = np.flatnonzero(numbered)
-                sums = pa.RecordBatch.from_arrays([pa.array(at), pa.array(numbered[at])], ["u", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([2], pa.int32()), pa.array([_written(sums)], pa.binary())], ["bucket", "kind", "payload"])
+                numbered += np.bincount(pairs.w[~keyed].astype(np.int64), weights=t[~keyed], minlength=width)
                 place = np.uint64(bucket << 32) | np.arange(len(t), dtype=np.uint64)
-                yield from _messages(1, pairs.w[keyed], buckets, pa.RecordBatch.from_arrays([pa.array(x[keyed]) for x in (pairs.w, place, t)], ["w", "pair", "t"]))
+                held.append([x[keyed] for x in (pairs.w, place, t)])
+                waiting += len(held[-1][0])
+                if waiting >= BLOCK_TOKENS:
+                    yield from flush()
+                    held, waiting = [], 0
+        if waiting:
+            yield from flush()
+        at = np.flatnonzero(numbered)
+        sums = pa.RecordBatch.from_arrays([pa.array(at), pa.array(numbered[at])], ["u", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([2], pa.int32()), pa.array([_written(sums)], pa.binary())], ["bucket", "kind", "payload"])
 
     def by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for payload in b.column(2):
                 yield from _read(payload).to_batches()
 
-    sent = cut(mapped(rest.select("bucket", "kind", "payload"), run, MESSAGE))
+    sent = cut(mapped(rest.select("bucket", "payload"), run, MESSAGE))
     out = np.zeros(width)
     for r in mapped(sent.filter("kind = 2"), by_number, "u bigint, n double").groupBy("u").agg(F.sum("n").alias("n")).collect():
         out[r.u] = r.n
@@ -795,7 +903,8 @@ def rest_scored(rest: DataFrame, seated: DataFrame, totals: Totals, contexts: li
             yield _family_batch(_summed(*map(np.concatenate, zip(*held))))
 
     replies = mapped(rows.filter(F.length("vs") > 0), reply, MESSAGE)
-    return cut(_meet(rest.select("bucket", "kind", "payload").unionByName(replies), score, FAMILIES))
+    by_group = rest.select((F.col("bucket") % group_count(buckets)).alias("bucket"), "kind", "payload")
+    return cut(_meet(by_group.unionByName(replies), buckets, score, FAMILIES))
 
 
 # -- scoring -----------------------------------------------------------------------
@@ -883,8 +992,8 @@ def head_of(model: DataFrame, totals: Totals) -> Head:
     return Head({r.word: i for i, r in enumerate(rows)}, counts, np.concatenate(us or [np.zeros(0, np.int64)]), np.concatenate(lp or empty), {r.word: 1 for r in hot})
 
 
-#: Consecutive document rows whose sums travel together.
-FAMILY = 1024
+#: Consecutive document rows whose sums travel together: about those of a task.
+FAMILY = 8192
 
 _SUMS = np.dtype([("member", "<u2"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")])
 
@@ -913,39 +1022,34 @@ def _by_family(rows: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by family: each document's own row with the sums that came back for it. One family waits at a time."""
+    """Sorted by family: each document's own row with the sums that came back for it, which are added up as they come."""
+    names = ("known", "base", "score")
+    family, own, sums = None, [], np.zeros((len(names), FAMILY))
 
-    def finished(own: pa.Array, families: np.ndarray, sums: pa.Array) -> Iterator[pa.RecordBatch]:
-        pieces = [_read(piece) for piece in own.drop_null()]
-        if not pieces:
-            return
-        whole = pa.concat_tables(pieces).combine_chunks()
-        rows = whole["row"].to_numpy()
-        entries, each = _unpacked(sums, _SUMS)
-        brought, *found = _summed(np.repeat(families, each) * FAMILY + entries["member"], *[entries[k].astype(float) for k in ("known", "base", "score")])
-        order = np.argsort(rows)
-        at = order[np.searchsorted(rows[order], brought)]
+    def finished() -> Iterator[pa.RecordBatch]:
+        whole = pa.concat_tables([_read(pa.scalar(piece)) for piece in own]).combine_chunks()
+        member = whole["row"].to_numpy() % FAMILY
         out = [whole["id"], whole["held_out"], whole["tokens"]]
-        for name, more in zip(("known", "base", "score"), found):
-            total = whole[name].to_numpy().copy()
-            total[at] += more.astype(total.dtype)
-            out.append(pa.array(total))
+        for name, more in zip(names, sums):
+            total = whole[name].to_numpy()
+            out.append(pa.array(total + more[member].astype(total.dtype)))
         yield from pa.table(out, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"]).to_batches()
 
-    held: pa.Table | None = None
     for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        families = t["family"].to_numpy()
-        last = int(np.searchsorted(families, families[-1]))
-        if last:
-            ready = t.slice(0, last).combine_chunks()
-            yield from finished(ready["own"], families[:last], ready["sums"].combine_chunks())
-        held = t.slice(last)
-    if held is not None:
-        held = held.combine_chunks()
-        yield from finished(held["own"], held["family"].to_numpy(), held["sums"].combine_chunks())
+        for now, piece, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            if now != family and own:
+                yield from finished()
+                own = []
+                sums[:] = 0
+            family = now
+            if piece.is_valid:
+                own.append(piece.as_py())
+            if packed.is_valid:
+                entries = np.frombuffer(packed.as_buffer(), _SUMS)
+                for to, name in zip(sums, names):
+                    to[entries["member"]] += entries[name]  # a row's members differ
+    if own:
+        yield from finished()
 
 
 FAMILIES = "family bigint, own binary, sums binary"
@@ -1074,7 +1178,7 @@ def _scored(docs: DataFrame, model: DataFrame, head: Head, totals: Totals, conte
             yield _family_batch(_summed(*map(np.concatenate, zip(*sums))))
 
     rows = mapped(model.select("word", "n", "us", "lp", "root"), dealt, MESSAGE)
-    return _meet(rows.unionByName(mapped(with_row(docs), local, MESSAGE)), remote, FAMILIES, PART_BYTES)
+    return _meet(rows.unionByName(mapped(with_row(docs), local, MESSAGE)), buckets, remote, FAMILIES, PART_BYTES)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -1106,11 +1210,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     let_go(rest)
     model = cut(modelled(seated, totals, KEPT))
     let_go(seated)
-    sums = _scored(rows, model, head_of(model, totals), totals, contexts, KEPT).unionByName(others)
-    # What comes back is packed by family of consecutive rows: never more rows than families and flushes, nor more entries than places.
+    sums = _scored(rows, model, head_of(model, totals), totals, contexts, KEPT)
     kind_of_id = rows.schema["id"].dataType.simpleString()
-    packed = sums.repartition("family").sortWithinPartitions("family")
-    found = mapped(packed, _gathered, f"id {kind_of_id}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+
+    def gathered(some: DataFrame) -> DataFrame:
+        # What comes back is packed by family of consecutive rows: never more rows than families and flushes, nor more entries than places.
+        packed = some.repartition("family").sortWithinPartitions("family")
+        return mapped(packed, _gathered, f"id {kind_of_id}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+
+    if total < WAVE_TOKENS:
+        found = gathered(sums.unionByName(others))
+    else:  # the places that were sent go before the sums return, and these return in waves of families
+        sums = cut(sums)
+        let_go(model)
+        waves, wave = [], F.pmod(F.xxhash64("family"), F.lit(WAVES))
+        for w in range(WAVES):
+            waves.append(cut(gathered(sums.unionByName(others).filter(wave == w))))
+            drop_shuffles()
+        let_go(sums)
+        let_go(others)
+        found = reduce(DataFrame.unionByName, waves)
     return found.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -73,14 +73,19 @@ def cleared() -> None:
 atexit.register(cleared)
 
 
+def drop_shuffles() -> None:
+    """Let Spark drop the shuffles that nothing refers to any more."""
+    gc.collect()  # shuffle files go once neither side refers to their dataset
+    SparkContext._gateway.jvm.System.gc()
+
+
 def let_go(table: DataFrame) -> None:
     """Delete a table of cut() from which everything that reads it has been written, and let Spark drop the shuffles that nothing refers to any more."""
     for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
         for known in [c for c in _cut if c.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]]:
             _cut.discard(known)
             _delete(known, table.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    gc.collect()  # shuffle files go once neither side refers to their dataset
-    SparkContext._gateway.jvm.System.gc()
+    drop_shuffles()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -364,6 +364,51 @@ def test_messages_come_back_whole():
         assert int.from_bytes(message[:8], "little") == len(pa.decompress(message[8:], int.from_bytes(message[:8], "little"), "zstd"))
 
 
+@pytest.mark.parametrize("buckets", [7, 900, 5000])
+def test_buckets_share_messages(spark, monkeypatch, buckets):
+    """A block sends no more messages than there are groups, and every row arrives once, in its bucket."""
+    groups = language_model.group_count(buckets)
+    assert groups == (buckets if buckets < 192 else 4 * int(buckets**0.5) if buckets == 5000 else 192)
+    monkeypatch.setattr(language_model, "APART_BYTES", 60_000)  # here, what waits goes to a file
+    rng = np.random.default_rng(buckets)
+    sent = []
+    for kind in (0, 2, 0, 2):
+        keys = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+        rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([str(k) * 3 for k in keys])], ["k", "s"])
+        out = list(language_model._messages(kind, keys, buckets, rows))
+        assert sum(b.num_rows for b in out) <= groups
+        sent.append((kind, keys, out))
+    arrived = sorted((m for _, _, out in sent for b in out for m in b.to_pylist()), key=lambda m: (m["bucket"], m["kind"]))
+    batches = [pa.RecordBatch.from_pylist(arrived[i : i + 50], sent[0][2][0].schema) for i in range(0, len(arrived), 50)]
+    found, order = Counter(), []
+    for bucket, kind, table in language_model._arrived(iter(batches), buckets):
+        order.append((bucket, kind))
+        assert table.column_names == ["k", "s"]
+        for k, s in zip(table["k"].to_pylist(), table["s"].to_pylist()):
+            assert k % buckets == bucket and s == str(k) * 3
+            found[kind, k] += 1
+    assert found == Counter((kind, int(k)) for kind, keys, _ in sent for k in keys)
+    met = [b for i, (b, _) in enumerate(order) if not i or order[i - 1][0] != b]
+    assert len(met) == len(set(met)) and all(a[1] <= b[1] for a, b in zip(order, order[1:]) if a[0] == b[0])
+
+
+def test_scores_with_groups_and_waves(spark, monkeypatch):
+    """Groups of several buckets and sums in waves: as many rows, the same counts, and scores against the same plain sums."""
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 20)
+    monkeypatch.setattr(language_model, "WAVE_TOKENS", 0)
+    asked = []
+    buckets = language_model.bucket_count
+    monkeypatch.setattr(language_model, "bucket_count", lambda tokens: asked.append(buckets(tokens)) or asked[-1])
+    monkeypatch.setattr(language_model, "let_go", lambda table: None)  # the model is looked at afterwards
+    test_scores_are_plain_sums_over_the_model(spark, monkeypatch)
+    assert language_model.group_count(asked[0]) < asked[0]
+    monkeypatch.undo()
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 2)
+    monkeypatch.setattr(language_model, "WAVE_TOKENS", 0)
+    monkeypatch.setattr(language_model, "let_go", lambda table: None)
+    test_rare_words_are_contexts(spark, monkeypatch)
+
+
 def test_words_in_doubt_are_counted_whole(spark, monkeypatch):
     """Also the end of texts, in reports of every block size, and with empty and blank texts."""
     texts = ["A b  c ", "", " \t", "b b B x", "c c a end", "\x0bq\x0cA"] * 40
