@@ -88,7 +88,7 @@ def let_go(table: DataFrame) -> None:
     drop_shuffles()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later jobs start from the files, so a lost executor costs no recomputation of what lies
@@ -96,7 +96,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     _cut.add(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
